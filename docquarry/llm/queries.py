@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe
+from docquarry.llm import bpe, simhash
 from docquarry.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op7_covering_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op7_covering_simhash": op7_covering_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
