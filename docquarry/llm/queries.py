@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, simhash
+from docquarry.llm import bpe, mixing, simhash
 from docquarry.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op7_covering_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op7_covering_simhash": op7_covering_simhash}
+def op10_weighted_mix(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op7_covering_simhash": op7_covering_simhash, "op10_weighted_mix": op10_weighted_mix}
+
+ORACLE_SQL: dict[str, str] = {"op10_weighted_mix": mixing.TAKEN_SQL}
