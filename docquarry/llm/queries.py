@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, mixing, simhash
+from docquarry.llm import bpe, mixing, quality, simhash
 from docquarry.llm.shared import table
 
 
@@ -12,6 +12,11 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_boosted_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_covering_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,6 @@ def op10_weighted_mix(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op7_covering_simhash": op7_covering_simhash, "op10_weighted_mix": op10_weighted_mix}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op7_covering_simhash": op7_covering_simhash, "op10_weighted_mix": op10_weighted_mix}
 
 ORACLE_SQL: dict[str, str] = {"op10_weighted_mix": mixing.TAKEN_SQL}
