@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, mixing, quality, simhash
+from docquarry.llm import bpe, mixing, quality, secrets, simhash
 from docquarry.llm.shared import table
 
 
@@ -21,10 +21,14 @@ def op7_covering_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_forest(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_mix(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op7_covering_simhash": op7_covering_simhash, "op10_weighted_mix": op10_weighted_mix}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op7_covering_simhash": op7_covering_simhash, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
 
 ORACLE_SQL: dict[str, str] = {"op10_weighted_mix": mixing.TAKEN_SQL}
