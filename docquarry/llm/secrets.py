@@ -161,12 +161,18 @@ def report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     return rows.select(id_col, "c.run_no", F.col("c.n_chars").cast("int").alias("n_chars"), F.sha2("c.value", 256).alias("value_sha256"), F.col("c.near").alias("near_word"), F.col("c.score").alias("score"), (F.col("c.score") >= SURE).alias("is_secret"))
 
 
-def redacted(df: DataFrame, *, text_col: str = "text", path_col: str | None = "source", findings: list | None = None) -> DataFrame:
-    """df with every secret in the text replaced by MASK; columns and other texts as before."""
+def redacted(df: DataFrame, *, text_col: str = "text", path_col: str | None = "source", count_col: str | None = None, findings: list | None = None) -> DataFrame:
+    """df with every secret in the text replaced by MASK; columns and other texts as before.
+
+    count_col: a column that gets the characters of a changed text, if df has it."""
     score = _fitted(tuple(findings or labelled()), "q__c.", df.sparkSession)
     path = f"`{path_col}`" if path_col else "CAST(NULL AS STRING)"
     run = "q__r[q__i]"
     sure = f"transform(array({_candidate('q__r', 'q__i', path)}), q__c -> {score})[0] >= {SURE}D"
     masked = f"transform(sequence(0, size(q__r) - 1), q__i -> CASE WHEN {IS_CANDIDATE.format(v=run)} THEN CASE WHEN {sure} THEN '{MASK}' ELSE {run} END ELSE {run} END)"
     text = f"CASE WHEN `{text_col}` rlike '{LIKELY}' THEN transform(array(regexp_extract_all(`{text_col}`, '{RUNS}', 0)), q__r -> array_join({masked}, ''))[0] ELSE `{text_col}` END"
-    return df.withColumn(text_col, F.expr(text))
+    if count_col not in df.columns:
+        return df.withColumn(text_col, F.expr(text))
+    masked = df.withColumn("_masked", F.expr(text))
+    count = F.when(F.col("_masked") == F.col(text_col), F.col(count_col)).otherwise(F.length("_masked").cast(df.schema[count_col].dataType))
+    return masked.withColumn(count_col, count).withColumn(text_col, F.col("_masked")).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -163,23 +163,49 @@ def progressions(tables: int, width: int, bits: int) -> np.ndarray:
     return (start[:, None] + step[:, None] * np.arange(width)) % bits
 
 
-def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits: int = 512, tables: int = 128, width: int = 22, slack: int = 6, leaders: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more, as SimHash tells it.
+#: Text hashes that a broadcast may carry (16 bytes each).
+BROADCAST = 500_000
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (of first 64 bits, a and b) whose shingle sets are as similar as asked. One text stands for a class."""
+    used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = written(docs.join(used, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash")), "verified")
+    few = texts.count() <= BROADCAST
+    found = own.select("text_hash", "text").join(F.broadcast(texts) if few else texts, "text_hash").select("fp", "text")
+
+    def run(batches):
+        for b in batches:
+            sets = [sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(t, k)}) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, dtype=np.uint64).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "set"])
+
+    # a text that many rows repeat is taken once for each task at most, then once
+    sets = written(found.mapInArrow(run, "fp long, set array<long>").groupBy("fp").agg(F.first("set").alias("set")), "sets")
+    side = lambda c, name: sets.select(F.col("fp").alias(c), F.col("set").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits: int = 512, tables: int = 128, width: int = 22, leaders: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
 
     Returns one row for each different pair of id and text: is_null, id0, text_hash (the key of the row: whether the id
     is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group.
 
-    Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average; slack (in positions) is
-    added to it, since the count scatters by sqrt(bits * p * (1-p)), 8 positions of 512. Texts with equal first 64 bits
-    are one class. In a bucket each member is compared with `leaders` members, chosen by the smallest exclusive-or with
-    as many constants: a bucket of two or three is compared whole, a large one in as many rows as it has members, and a
-    link that a bucket's leaders miss is found in another of the tables the pair meets in."""
+    Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average, 78 of 512, and scatter about
+    it by 8. A pair two such steps below is linked at once; between there and three steps above, the sets themselves
+    are compared, unless links have joined the pair already. Texts with equal first 64 bits are one class. In a bucket
+    each member is compared with `leaders` members, chosen by the smallest exclusive-or with as many constants: a bucket
+    of two or three is compared whole, a large one in as many rows as it has members and leaders, and a link that a
+    bucket's leaders miss is found in another of the tables the pair meets in."""
     arrow_batches(df.sparkSession)
     n = bits // 64
     at = progressions(tables, width, bits)
     weights = 1 << np.arange(width, dtype=np.int64)
-    s = 2 * similarity / (1 + similarity)
-    radius = int(bits * np.arccos(s) / np.pi) + slack
+    mean = bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    step = np.sqrt(mean * (1 - mean / bits))
+    sure, radius = int(mean - 2 * step), int(mean + 3 * step)
     key = [F.col(id_col).isNull().alias("is_null"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id0")]
     own = df.select(*key, F.col(text_col).cast("string").alias("text"))
     own = own.select("is_null", "id0", F.xxhash64("text").alias("text_hash"), "text")
@@ -208,8 +234,14 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     pairs = two.unionByName(star).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(near(F.col("a"), F.col("b")) <= first).distinct()
     whole = nodes.select("fp", "bits")
     both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-    edges = both.where(sum(near(F.col("x")[i], F.col("y")[i]) for i in range(n)) <= radius).select("a", "b")
-    hung = components(edges)
+    apart = sum(near(F.col("x")[i], F.col("y")[i]) for i in range(n))
+    edges = written(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= radius), "candidates")
+    hung = components(edges.where(F.col("apart") <= sure))
+    label = lambda c: hung.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
+    open_ = edges.where(F.col("apart") > sure).join(label("a"), "a", "left").join(label("b"), "b", "left")
+    open_ = written(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open")
+    checked = _verified(open_, docs, own, k, similarity)
+    hung = components(hung.unionByName(checked))
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
 
