@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, digest, mixing, quality, secrets, sharding, simhash
+from docquarry.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, urlgraph
 from docquarry.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op5_improbable_digest(spark, sf_dir):
     return digest.compared(table(spark, sf_dir, "documents"))
 
 
+def op6_link_trust(spark, sf_dir):
+    return urlgraph.judged(table(spark, sf_dir, "pages"))
+
+
 def op7_covering_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_weighted_mix(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op7_covering_simhash": op7_covering_simhash, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
 
 ORACLE_SQL: dict[str, str] = {"op10_weighted_mix": mixing.TAKEN_SQL}
