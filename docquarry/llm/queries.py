@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, urlgraph
+from docquarry.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, urlgraph, warc
 from docquarry.llm.shared import table
 
 
@@ -33,6 +33,10 @@ def op7_covering_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_history(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_forest(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op10_weighted_mix(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op8_warc_history": op8_warc_history, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
 
 ORACLE_SQL: dict[str, str] = {"op10_weighted_mix": mixing.TAKEN_SQL}
