@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, urlgraph, warc
+from docquarry.llm import bpe, digest, materialise, mixing, quality, secrets, sharding, simhash, urlgraph, warc
 from docquarry.llm.shared import table
 
 
@@ -12,6 +12,12 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_feistel_shards(spark, sf_dir):
+    import public_tokenizers
+
+    return materialise.materialised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_boosted_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,6 +51,6 @@ def op10_weighted_mix(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op8_warc_history": op8_warc_history, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_feistel_shards": op2_feistel_shards, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op8_warc_history": op8_warc_history, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
 
 ORACLE_SQL: dict[str, str] = {"op10_weighted_mix": mixing.TAKEN_SQL}

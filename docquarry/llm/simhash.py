@@ -167,6 +167,42 @@ def progressions(tables: int, width: int, bits: int) -> np.ndarray:
 BROADCAST = 500_000
 
 
+def _leaders(rows: DataFrame, n: int) -> DataFrame:
+    """rows: key, fp. Of each key with two or more: its count n and leaders l0, l1, ..., those with the smallest
+    exclusive-or with as many constants. l0 is the smallest member and l1 the largest."""
+    constants = [0, -1] + [(i * 0x9E3779B97F4A7C15 & (1 << 63) - 1) - (i & 1) * (1 << 63) for i in range(1, n - 1)]
+    least = lambda c: F.min(F.col("fp").bitwiseXOR(F.lit(c).cast("long"))).bitwiseXOR(F.lit(c).cast("long"))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(least(c).alias(f"l{i}") for i, c in enumerate(constants))).where("n > 1")
+
+
+def _pairs(star: DataFrame, n: int) -> DataFrame:
+    """Pairs of each row's fp with the leaders of its bucket."""
+    return star.select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(n))))).alias("b"))
+
+
+def _label(hung: DataFrame, c: str) -> DataFrame:
+    """Roots of components() under the name of the column they are joined to."""
+    return hung.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
+
+
+def _linked(pairs: DataFrame, hung: DataFrame | None, nodes: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float, sure: int, radius: int, bits: int) -> DataFrame:
+    """Components after the candidate pairs that are similar are added to those of hung."""
+    n = bits // 64
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    # the first 64 bits alone leave out nearly all strangers: four standard deviations above the radius
+    first = int(radius / n + 4 * np.sqrt(radius / n * (1 - radius / (64 * n))))
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(apart(F.col("a"), F.col("b")) <= first).distinct()
+    side = lambda c, name: nodes.select(F.col("fp").alias(c), F.col("bits").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    edges = both.select("a", "b", sum(apart(F.col("x")[i], F.col("y")[i]) for i in range(n)).alias("apart"))
+    edges = written(edges.where(F.col("apart") <= radius), "candidates")
+    certain = edges.where(F.col("apart") <= sure).select("a", "b")
+    hung = components(certain.unionByName(hung) if hung else certain)
+    unsure = edges.where(F.col("apart") > sure).join(_label(hung, "a"), "a", "left").join(_label(hung, "b"), "b", "left")
+    unsure = written(unsure.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "unsure")
+    return components(hung.unionByName(_verified(unsure, docs, own, k, similarity)))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (of first 64 bits, a and b) whose shingle sets are as similar as asked. One text stands for a class."""
     used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -195,10 +231,13 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
 
     Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average, 78 of 512, and scatter about
     it by 8. A pair two such steps below is linked at once; between there and three steps above, the sets themselves
-    are compared, unless links have joined the pair already. Texts with equal first 64 bits are one class. In a bucket
-    each member is compared with `leaders` members, chosen by the smallest exclusive-or with as many constants: a bucket
-    of two or three is compared whole, a large one in as many rows as it has members and leaders, and a link that a
-    bucket's leaders miss is found in another of the tables the pair meets in."""
+    are compared, unless links have joined the pair already. Texts with equal first 64 bits are one class.
+
+    In a bucket each member is compared with its smallest and largest; then those whom no link has joined to the
+    smallest are compared with `leaders` of their own. So a bucket makes rows in proportion to its members, a large group
+    of near copies is joined by the first round, and strangers who meet in a bucket by chance don't hide a pair. A link
+    that both rounds miss is found in another of the tables the pair meets in. Chance meetings double with the texts;
+    width should be about the binary logarithm of their number, and tables grow by a sixth with each further bit."""
     arrow_batches(df.sparkSession)
     n = bits // 64
     at = progressions(tables, width, bits)
@@ -222,26 +261,16 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     docs = written(found.withColumn("fp", F.col("bits")[0]), "sketches")
     nodes = written(docs.groupBy("fp").agg(F.min(F.struct("bits", "keys")).alias("x")).select("fp", "x.*"), "nodes")
     rows = nodes.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).alias("key"))
-    constants = [0, -1] + [(i * 0x9E3779B97F4A7C15 & (1 << 63) - 1) - (i & 1) * (1 << 63) for i in range(1, leaders - 1)]
-    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.min(F.col("fp").bitwiseXOR(F.lit(c).cast("long"))).bitwiseXOR(F.lit(c).cast("long")).alias(f"l{i}") for i, c in enumerate(constants))).where("n > 1")
-    heads = written(heads, "leaders")
-    two = heads.where("n = 2").select(F.col("l0").alias("a"), F.col("l1").alias("b"))
-    more = heads.where("n > 2").select("key", F.array_distinct(F.array(*(f"l{i}" for i in range(leaders)))).alias("heads"))
-    star = rows.join(more, "key").select(F.col("fp").alias("a"), F.explode("heads").alias("b"))
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    # the first 64 bits alone leave out nearly all strangers: four standard deviations above the radius
-    first = int(radius / n + 4 * np.sqrt(radius / n * (1 - radius / bits)))
-    pairs = two.unionByName(star).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(near(F.col("a"), F.col("b")) <= first).distinct()
-    whole = nodes.select("fp", "bits")
-    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-    apart = sum(near(F.col("x")[i], F.col("y")[i]) for i in range(n))
-    edges = written(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= radius), "candidates")
-    hung = components(edges.where(F.col("apart") <= sure))
-    label = lambda c: hung.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
-    open_ = edges.where(F.col("apart") > sure).join(label("a"), "a", "left").join(label("b"), "b", "left")
-    open_ = written(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open")
-    checked = _verified(open_, docs, own, k, similarity)
-    hung = components(hung.unionByName(checked))
+    first = written(_leaders(rows, 2), "leaders")
+    more = first.where("n > 2")
+    alone = first.where("n = 2").select(F.col("l0").alias("a"), F.col("l1").alias("b"))
+    star = written(rows.join(more, "key").select("key", "fp", "l0", "l1"), "star")
+    pairs = alone.unionByName(_pairs(star, 2))
+    link = lambda pairs, hung: _linked(pairs, hung, nodes, docs, own, k, similarity, sure, radius, bits)
+    hung = link(pairs, None)
+    rest = star.join(_label(hung, "fp"), "fp", "left").join(_label(hung, "l0"), "l0", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("l0_root", "l0")).select("key", "fp")
+    rest = written(rest, "rest")
+    hung = link(_pairs(rest.join(_leaders(rest, leaders), "key"), leaders), hung)
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
 
