@@ -7,9 +7,9 @@ Within a small radius r the masks cover every pair: position i gets a non-zero v
 of a non-zero vector v keeps the positions with an odd inner product of m(i) and v. The at most r positions in which a
 pair differs put at most r linear conditions on v, so some v satisfies them all, and its mask keeps none of them.
 
-Jaccard similarities of 0.8 lie far outside such a radius (78 of 512 bits). similar_groups() therefore takes long
-fingerprints and many masks of 22 positions in arithmetic progression: a pair at 0.8 meets in some table with
-probability 0.97, at 0.85 with 0.998, at 0.9 with 0.99999.
+Jaccard similarities of 0.8 lie far outside such a radius (155 of 1024 bits). similar_groups() therefore takes long
+fingerprints and many masks of 20 positions in arithmetic progression: a pair at 0.8 meets in some table with
+probability 0.93, at 0.85 with 0.99, at 0.9 with 0.9999.
 """
 
 from __future__ import annotations
@@ -167,17 +167,9 @@ def progressions(tables: int, width: int, bits: int) -> np.ndarray:
 BROADCAST = 500_000
 
 
-def _leaders(rows: DataFrame, n: int) -> DataFrame:
-    """rows: key, fp. Of each key with two or more: its count n and leaders l0, l1, ..., those with the smallest
-    exclusive-or with as many constants. l0 is the smallest member and l1 the largest."""
-    constants = [0, -1] + [(i * 0x9E3779B97F4A7C15 & (1 << 63) - 1) - (i & 1) * (1 << 63) for i in range(1, n - 1)]
-    least = lambda c: F.min(F.col("fp").bitwiseXOR(F.lit(c).cast("long"))).bitwiseXOR(F.lit(c).cast("long"))
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(least(c).alias(f"l{i}") for i, c in enumerate(constants))).where("n > 1")
-
-
-def _pairs(star: DataFrame, n: int) -> DataFrame:
-    """Pairs of each row's fp with the leaders of its bucket."""
-    return star.select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(n))))).alias("b"))
+def _heads(rows: DataFrame) -> DataFrame:
+    """rows: key, fp. Of each key with two or more: its count n, least and most."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("n > 1")
 
 
 def _label(hung: DataFrame, c: str) -> DataFrame:
@@ -223,28 +215,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similar
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits: int = 512, tables: int = 128, width: int = 22, leaders: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits: int = 1024, tables: int = 72, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
 
     Returns one row for each different pair of id and text: is_null, id0, text_hash (the key of the row: whether the id
     is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group.
 
-    Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average, 78 of 512, and scatter about
-    it by 8. A pair two such steps below is linked at once; between there and three steps above, the sets themselves
+    Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average, 155 of 1024, and scatter about
+    it by 11. A pair two such steps below is linked at once; between there and two and a half above, the sets themselves
     are compared, unless links have joined the pair already. Texts with equal first 64 bits are one class.
 
-    In a bucket each member is compared with its smallest and largest; then those whom no link has joined to the
-    smallest are compared with `leaders` of their own. So a bucket makes rows in proportion to its members, a large group
-    of near copies is joined by the first round, and strangers who meet in a bucket by chance don't hide a pair. A link
-    that both rounds miss is found in another of the tables the pair meets in. Chance meetings double with the texts;
-    width should be about the binary logarithm of their number, and tables grow by a sixth with each further bit."""
+    In a bucket each member is compared with the smallest; then those whom no link has joined to it are compared with the
+    smallest of their own. So a bucket makes rows in proportion to its members, a large group of copies is joined by the
+    first round, and a stranger who comes first in a bucket doesn't hide the pairs behind it. A link that both rounds miss
+    is found in another of the tables the pair meets in. Chance meetings grow with the texts: width should be about the
+    binary logarithm of their number, and tables grow by a sixth with each further bit."""
     arrow_batches(df.sparkSession)
     n = bits // 64
     at = progressions(tables, width, bits)
     weights = 1 << np.arange(width, dtype=np.int64)
     mean = bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi
     step = np.sqrt(mean * (1 - mean / bits))
-    sure, radius = int(mean - 2 * step), int(mean + 3 * step)
+    sure, radius = int(mean - 2 * step), int(mean + 2.5 * step)
     key = [F.col(id_col).isNull().alias("is_null"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id0")]
     own = df.select(*key, F.col(text_col).cast("string").alias("text"))
     own = own.select("is_null", "id0", F.xxhash64("text").alias("text_hash"), "text")
@@ -261,16 +253,14 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     docs = written(found.withColumn("fp", F.col("bits")[0]), "sketches")
     nodes = written(docs.groupBy("fp").agg(F.min(F.struct("bits", "keys")).alias("x")).select("fp", "x.*"), "nodes")
     rows = nodes.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).alias("key"))
-    first = written(_leaders(rows, 2), "leaders")
-    more = first.where("n > 2")
-    alone = first.where("n = 2").select(F.col("l0").alias("a"), F.col("l1").alias("b"))
-    star = written(rows.join(more, "key").select("key", "fp", "l0", "l1"), "star")
-    pairs = alone.unionByName(_pairs(star, 2))
+    heads = written(_heads(rows), "heads")
+    two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    star = written(rows.join(heads.where("n > 2").select("key", "least"), "key"), "star")
     link = lambda pairs, hung: _linked(pairs, hung, nodes, docs, own, k, similarity, sure, radius, bits)
-    hung = link(pairs, None)
-    rest = star.join(_label(hung, "fp"), "fp", "left").join(_label(hung, "l0"), "l0", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("l0_root", "l0")).select("key", "fp")
+    hung = link(two.unionByName(star.select(F.col("fp").alias("a"), F.col("least").alias("b"))), None)
+    rest = star.join(_label(hung, "fp"), "fp", "left").join(_label(hung, "least"), "least", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("least_root", "least")).select("key", "fp")
     rest = written(rest, "rest")
-    hung = link(_pairs(rest.join(_leaders(rest, leaders), "key"), leaders), hung)
+    hung = link(rest.join(_heads(rest).select("key", "least"), "key").select(F.col("fp").alias("a"), F.col("least").alias("b")), hung)
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
 
