@@ -1,17 +1,20 @@
 """Training-order materialisation: token sequences at permuted slots, in shards of fixed stride.
 
-Every text is encoded and cut into sequences of LENGTH ids; the last is padded, and a text without ids gives one empty
-sequence. Sequences are numbered from 0 to N-1: by the task that reads them and their order in it. A keyed Feistel
-network permutes the smallest power of four from N on, and a number that leaves 0..N-1 is sent through again until it is
-back (cycle-walking), so every sequence gets a slot of its own and every slot below N is used.
-
-Shard s holds the slots from s * PER_SHARD on, each in STRIDE bytes after a header, so a reader finds a slot by
-arithmetic, reads on in order, and resumes at any slot. Ranges of slots are dealt to tasks by their number; each sorts its
-slots and writes its shards through Spark's text writer (a newline ends the file), to any store Spark writes to.
-
-Encoding runs twice, once to count and once to write: keeping the ids between would take more disk than the shards. The
-second run must find the counts of the first, else it fails. The numbering follows the input's files and splits; with the
-same files and settings it is the same. Null texts count as empty, null ids are kept, repeated rows are rows of their own.
+Every text is encoded once and cut into sequences of LENGTH ids; the last is padded, and a text without ids gives one
+empty sequence. Texts are numbered by the task that reads them and their order in it; a sequence's number is its text's
+number times the most sequences a text can have (it has no more ids than bytes), plus its own. A keyed Feistel network
+permutes the smallest power of four from all M numbers on, and a number that leaves 0..M-1 is sent through again until it
+is back (cycle-walking), so each sequence gets a place of its own among M.
+
+Equal ranges of places are dealt to tasks by number. A task sorts its sequences by place and writes them to shards of
+PER_SHARD records of STRIDE bytes after a header, through Spark's text writer (a newline ends the file), to any store that
+Spark writes to. The global slot of a sequence is its rank by place: the records of the ranges before its own, and its
+index in its range. Both counts are in the manifest and the headers, so a reader finds a slot by arithmetic, reads on in
+order, and resumes at any slot. Slots have no gaps.
+
+The numbering follows the input's files and splits; with the same files and settings it is the same, and a task that
+meets other counts than were taken before fails. Null texts count as empty, null ids are kept, repeated rows are rows of
+their own.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ LENGTH, PER_SHARD, ROUNDS = 512, 8192, 4
 #: A record: whether the document's id is given, the id, the sequence's number in the document, its ids in use, all ids.
 RECORD = np.dtype([("given", "<u2"), ("used", "<u2"), ("part", "<u4"), ("doc", "<i8"), ("ids", "<u2", LENGTH)])
 STRIDE = RECORD.itemsize
-HEADER = "<8sQQQ"
+#: Of a shard: magic, range, index of its first record in the range, records, stride.
+HEADER = ">8sQQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"TOKSHRD1"
 
@@ -46,7 +50,7 @@ def _round(x: np.ndarray, key: int, i: int) -> np.ndarray:
 
 def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     """The slots of numbers below n under a key: a Feistel network of ROUNDS rounds, with cycle-walking."""
-    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    half = ((max(n, 2) - 1).bit_length() + 1) // 2
     mask = np.uint64((1 << half) - 1)
     x = np.asarray(numbers, dtype=np.uint64).copy()
     out = np.ones(len(x), dtype=bool)
@@ -78,10 +82,6 @@ def encoder(ranks: bytes, pattern: str):
     return _encoders[key]
 
 
-def _pieces(ids: np.ndarray) -> int:
-    return max(1, -(-len(ids) // LENGTH))
-
-
 def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20240607, *, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Write the shards of df's texts to the folder `path`; returns the number of sequences. Ids must be below 65536."""
     spark: SparkSession = df.sparkSession
@@ -90,98 +90,114 @@ def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20
         sent = spark.sparkContext.broadcast(f.read())
     own = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def count(batches):
-        enc, n = encoder(sent.value, pattern), 0
-        for b in batches:
-            n += sum(_pieces(enc.encode_to_numpy(t, disallowed_special=())) for t in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["task", "n"])
-
     # one row for each task that reads
-    counts = dict(sorted(own.mapInArrow(count, "task int, n long").toArrow().to_pandas().itertuples(index=False)))
+    counts = own.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("longest")).collect()
+    most = max((-(-r.longest // LENGTH) for r in counts), default=1) or 1
     total, starts = 0, {}
-    for task, n in counts.items():
-        starts[int(task)] = (total, int(n))
-        total += int(n)
+    for r in sorted(counts):
+        starts[r.task] = (total, r.n)
+        total += r.n
+    begun = spark.sparkContext.broadcast(starts)
+    places = max(1, total * most)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-places // parts)
 
     def cut(batches):
-        enc, task = encoder(sent.value, pattern), TaskContext.get().partitionId()
-        at, expected = starts.get(task, (0, 0))
+        enc = encoder(sent.value, pattern)
+        at, expected = begun.value.get(TaskContext.get().partitionId(), (0, 0))
         last = at + expected
         for b in batches:
-            rows = []
+            rows, numbers = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.encode_to_numpy(text, disallowed_special=())
-                made = np.zeros(_pieces(ids), dtype=RECORD)
-                made["given"], made["doc"], made["part"] = doc is not None, doc or 0, np.arange(len(made))
-                made["used"] = np.clip(len(ids) - LENGTH * np.arange(len(made)), 0, LENGTH)
-                padded = np.zeros(len(made) * LENGTH, dtype="<u2")
+                n = max(1, -(-len(ids) // LENGTH))
+                made = np.zeros(n, dtype=RECORD)
+                made["given"], made["doc"], made["part"] = doc is not None, doc or 0, np.arange(n)
+                made["used"] = np.clip(len(ids) - LENGTH * np.arange(n), 0, LENGTH)
+                padded = np.zeros(n * LENGTH, dtype="<u2")
                 padded[: len(ids)] = ids
                 made["ids"] = padded.reshape(-1, LENGTH)
                 rows.append(made)
-            if not rows:
-                continue
-            made = np.concatenate(rows)
-            slots = permuted(np.arange(at, at + len(made)), max(total, 1), key)
-            at += len(made)
-            if at > last:
-                raise RuntimeError("the input changed between counting and writing")
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(STRIDE), len(made), [None, pa.py_buffer(made.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(slots), data.cast(pa.binary())], names=["slot", "data"])
+                numbers.append(at * most + np.arange(n))
+                at += 1
+            if rows:
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(STRIDE), sum(map(len, rows)), [None, pa.py_buffer(np.concatenate(rows).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(permuted(np.concatenate(numbers), places, key)), data.cast(pa.binary())], names=["place", "data"])
         if at != last:
             raise RuntimeError("the input changed between counting and writing")
 
-    shards = -(-total // PER_SHARD)
-    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    each = -(-max(shards, 1) // parts) * PER_SHARD
-
     def pack(batches):
-        held, base, n = [], None, 0
+        held, done, number = [], 0, TaskContext.get().partitionId()
         for b in batches:
-            for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if slot // PER_SHARD != base and held:
-                    yield shard(base, held)
-                    held = []
-                base = slot // PER_SHARD
+            for data in b.column(1).to_pylist():
                 held.append(data)
+                if len(held) == PER_SHARD:
+                    yield shard(number, done, held)
+                    held, done = [], done + PER_SHARD
         if held:
-            yield shard(base, held)
+            yield shard(number, done, held)
 
-    def shard(number: int, held: list) -> pa.RecordBatch:
-        head = struct.pack(HEADER, MAGIC, number * PER_SHARD, len(held), STRIDE)
+    def shard(number: int, first: int, held: list) -> pa.RecordBatch:
+        head = struct.pack(HEADER, MAGIC, number, first, len(held), STRIDE)
         return pa.RecordBatch.from_arrays([pa.array([b"".join([head, *held])], pa.binary())], names=["value"])
 
-    placed = own.mapInArrow(cut, "slot long, data binary").repartitionById(parts, F.floor(F.col("slot") / each).cast("int"))
-    files = placed.sortWithinPartitions("slot").mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    placed = own.mapInArrow(cut, "place long, data binary").repartitionById(parts, F.floor(F.col("place") / each).cast("int"))
+    files = placed.sortWithinPartitions("place").mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")
+    return _manifest(spark, path)
+
+
+def _number(c: str, at: int) -> F.Column:
+    """The unsigned big-endian 64-bit integer at byte `at` of a binary column."""
+    return F.conv(F.hex(F.substring(c, at + 1, 8)), 16, 10).cast("long")
+
+
+def _manifest(spark: SparkSession, path: str) -> int:
+    """Write the table of ranges (range, first slot, records) from the shards' headers; returns the number of sequences.
+    There are as many ranges as shuffle partitions."""
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(f"length >= {HEADER_BYTES}")
+    counts = files.select(_number("content", 8).alias("range"), _number("content", 24).alias("n")).groupBy("range").agg(F.sum("n").alias("n")).collect()
+    rows, total = [], 0
+    for r in sorted(counts):
+        rows.append((r.range, total, r.n))
+        total += r.n
+    spark.createDataFrame(rows, "range long, first long, n long").coalesce(1).write.parquet(f"{path}/manifest")
     return total
 
 
-def records(data: bytes, start: int = 0) -> tuple[int, np.ndarray]:
-    """The first slot of a shard from slot `start` on, and the records from there."""
-    magic, first, n, stride = struct.unpack_from(HEADER, data)
+def records(data: bytes, first: int = 0, start: int = 0) -> tuple[int, int, np.ndarray]:
+    """Of a shard whose range begins at slot `first`: the slot of its first record from slot `start` on, that record's byte
+    offset, and the records from there."""
+    magic, _, index, n, stride = struct.unpack_from(HEADER, data)
     if magic != MAGIC or stride != STRIDE or len(data) < HEADER_BYTES + n * stride:
         raise ValueError("not a whole shard")
-    skip = min(n, max(0, start - first))
-    return first + skip, np.frombuffer(data, dtype=RECORD, count=n - skip, offset=HEADER_BYTES + skip * stride)
+    slot = first + index
+    skip = min(n, max(0, start - slot))
+    return slot + skip, HEADER_BYTES + skip * stride, np.frombuffer(data, dtype=RECORD, count=n - skip, offset=HEADER_BYTES + skip * stride)
 
 
 def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """The sequences of the shards in a folder from slot `start` on: slot, shard, byte_offset, doc_id, part, n_tokens, ids_sha256
-    (of the ids in use as little-endian unsigned 32-bit integers)."""
+    """The sequences of the shards in a folder from slot `start` on: slot, shard (its range and number in it), byte_offset,
+    doc_id, part, n_tokens, ids_sha256 (of the ids in use as little-endian unsigned 32-bit integers)."""
     arrow_batches(spark, rows=1)
+    firsts = {r.range: r.first for r in spark.read.schema("range long, first long, n long").parquet(f"{path}/manifest").where(F.col("first") + F.col("n") > start).collect()}
 
     def run(batches):
         for b in batches:
-            for data in b.column(0):
-                first, got = records(data.as_buffer().to_pybytes(), start)
-                slots = first + np.arange(len(got))
+            for content in b.column(0):
+                data = content.as_buffer().to_pybytes()
+                _, number, index, _, _ = struct.unpack_from(HEADER, data)
+                if number not in firsts:
+                    continue
+                slot, offset, got = records(data, firsts[number], start)
+                slots = slot + np.arange(len(got))
                 sums = [hashlib.sha256(r["ids"][: r["used"]].astype("<u4").tobytes()).hexdigest() for r in got]
                 docs = pa.array(got["doc"], pa.int64(), mask=got["given"] == 0)
-                cols = [pa.array(slots), pa.array((slots // PER_SHARD).astype(np.int32)), pa.array(HEADER_BYTES + slots % PER_SHARD * STRIDE), docs, pa.array(got["part"].astype(np.int64)), pa.array(got["used"].astype(np.int32)), pa.array(sums, pa.string())]
+                cols = [pa.array(slots), pa.array([f"{number}-{index // PER_SHARD}"] * len(got), pa.string()), pa.array(offset + STRIDE * np.arange(len(got))), docs, pa.array(got["part"].astype(np.int64)), pa.array(got["used"].astype(np.int32)), pa.array(sums, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "ids_sha256"])
 
-    files = spark.read.format("binaryFile").load(path).where(f"length >= {HEADER_BYTES}").select("content")
-    return files.mapInArrow(run, "slot long, shard int, byte_offset long, doc_id long, part long, n_tokens int, ids_sha256 string")
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(f"length >= {HEADER_BYTES}").select("content")
+    return files.mapInArrow(run, "slot long, shard string, byte_offset long, doc_id long, part long, n_tokens int, ids_sha256 string")
 
 
 def materialised(df: DataFrame, ranks_path: str, pattern: str, key: int = 20240607, path: str | None = None, **columns: str) -> DataFrame:
