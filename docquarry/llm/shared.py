@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 256, mb: int = 16) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 128, mb: int = 4) -> None:
     """Keep Arrow batches small, so that a Python worker holds a few long texts at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
