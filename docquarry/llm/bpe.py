@@ -2,7 +2,8 @@
 
 A rank file maps byte strings to ranks. The library works on characters, so each byte gets a printable character (the
 byte table); a token's merge is the last pair that the lower ranks leave of it. A text is split by the pattern and each
-piece is merged alone, so a worker remembers the ids of the pieces it has met and asks the library for new ones only.
+match is merged alone, so a worker remembers the ids of the matches it has met first (REMEMBERED of them), and the
+library merges the other ones only.
 
 Null texts count as empty and give no ids. A repeated row gives a repeated result, a text of any length is encoded
 whole, and ids that no vocabulary has raise an error when decoded.
@@ -22,10 +23,8 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.shared import arrow_batches
 
-#: Pieces a worker remembers; when full it starts anew.
-REMEMBERED = 300_000
-#: Characters above which a piece isn't remembered.
-LONG_PIECE = 64
+#: Matches a worker remembers, the characters above which it forgets one at once, and those that are merged in one call.
+REMEMBERED, LONG, TOGETHER = 150_000, 64, 20_000
 
 
 def byte_table() -> list[str]:
@@ -87,35 +86,42 @@ class Codec:
             self.bytes_of[i] = bytes(back[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, without special tokens."""
-        pieces = [self.split.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as little-endian unsigned 32-bit integers. One call merges many, each alone; the lengths of
+        ids in bytes tell where a piece's ids end."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), TOGETHER):
+            some = pieces[k : k + TOGETHER]
+            ids = np.array(self.library.encode(some, is_pretokenized=True, add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in some])) + 1).tolist()
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, without special tokens, as little-endian unsigned 32-bit integers."""
         known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
-        fresh = {p: e.ids for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONG_PIECE)
-        out = []
-        for ps in pieces:
-            ids: list[int] = []
-            for p in ps:
-                ids += known[p] if p in known else fresh[p]
-            out.append(ids)
+        cut = [self.split.findall(t) for t in texts]
+        new = list({p for pieces in cut for p in pieces if p not in known})
+        fresh = dict(zip(new, self._merged(new), strict=True))
+        out = [b"".join([known[p] if p in known else fresh[p] for p in pieces]) for pieces in cut]
+        known.update([(p, fresh[p]) for p in new if len(p) <= LONG][: max(0, REMEMBERED - len(known))])
         return out
 
-    def decode(self, ids) -> bytes:
-        """The bytes of ids; single tokens may hold parts of a character."""
-        return b"".join([self.bytes_of[i] for i in ids])
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of ids, as encode() gives them; single tokens may hold parts of a character."""
+        table = self.bytes_of
+        return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         """For each id the first character it touches and the one after its last; how many characters are split.
 
         Characters follow from bytes: a byte's character is the count of leading bytes up to it, less one."""
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         char = np.cumsum((data & 0xC0) != 0x80) - 1
-        ends = np.cumsum(self.lengths[np.asarray(ids, dtype=np.int64)])
-        starts = ends - self.lengths[np.asarray(ids, dtype=np.int64)] if len(ids) else ends
+        lengths = self.lengths[np.frombuffer(ids, dtype="<u4")]
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         if not len(ids):
             return starts, ends, 0
         first, last = char[starts], char[ends - 1] + 1
@@ -148,7 +154,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", te
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = c.encode(texts)
-            cols = [ids]
+            cols = [[np.frombuffer(i, dtype="<u4") for i in ids]]
             if offsets:
                 spans = [c.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
                 cols += [list(x) for x in zip(*spans, strict=True)] if spans else [[], [], []]
@@ -169,7 +175,7 @@ def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "
     def run(batches):
         c = codec(sent.value, ".")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(i or ()) for i in b.column(1).to_pylist()], pa.binary())], names=["id", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(np.array(i or (), dtype="<u4").tobytes()) for i in b.column(1).to_pylist()], pa.binary())], names=["id", "decoded"])
 
     own = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
@@ -188,12 +194,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id"
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n, sha, back, split, raw = [], [], [], [], []
-            for t, i in zip(texts, c.encode(texts), strict=True):
-                data = np.asarray(i, dtype="<u4").tobytes()
-                n.append(len(i))
+            for t, data in zip(texts, c.encode(texts), strict=True):
+                n.append(len(data) // 4)
                 sha.append(hashlib.sha256(data).hexdigest())
-                back.append(hashlib.sha256(c.decode(i)).hexdigest())
-                split.append(0 if t.isascii() else c.offsets(t, i)[2])
+                back.append(hashlib.sha256(c.decode(data)).hexdigest())
+                split.append(0 if t.isascii() else c.offsets(t, data)[2])
                 raw.append(data)
             cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(split, pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, *([pa.array(raw, pa.binary())] if ids else [])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "split_chars", *(["token_bytes"] if ids else [])])
