@@ -174,5 +174,5 @@ def redacted(df: DataFrame, *, text_col: str = "text", path_col: str | None = "s
     if count_col not in df.columns:
         return df.withColumn(text_col, F.expr(text))
     masked = df.withColumn("_masked", F.expr(text))
-    count = F.when(F.col("_masked") == F.col(text_col), F.col(count_col)).otherwise(F.length("_masked").cast(df.schema[count_col].dataType))
+    count = F.when(F.col("_masked").eqNullSafe(F.col(text_col)), F.col(count_col)).otherwise(F.length("_masked").cast(df.schema[count_col].dataType))
     return masked.withColumn(count_col, count).withColumn(text_col, F.col("_masked")).select(*(F.col(f"`{c}`") for c in df.columns))
