@@ -32,7 +32,8 @@ def searched(steps: DataFrame, search: Search, assess: Assess | None = None, con
 
     search: rows with query_id, step, active_query to rows with query_id, step and hits (an array of structs). assess: rows with
     sub_question, active_query, hits to the same with sufficient and suggested. A sub-question with hits keeps those of
-    its last search that had any; without hits it is rewritten unassessed. cut: ends the lineage of a round's table."""
+    its last search that had any; without hits it is rewritten unassessed. cut: writes a round's table and rereads it, so
+    that a round's searches run once; rounds then end as soon as nothing is open."""
     open_ = steps.withColumn("active_query", F.col("sub_question")).withColumn("rewrites", F.array().cast("array<string>")).withColumn("best", F.lit(None))
     done: DataFrame | None = None
     last = config.rewrites + 1
@@ -52,6 +53,8 @@ def searched(steps: DataFrame, search: Search, assess: Assess | None = None, con
         columns = ["query_id", "step", "sub_question", "active_query", "rewrites", "attempts", "best", "sufficient"]
         ended = rows.where(ends).select(columns)
         done = ended if done is None else done.unionByName(ended)
+        if cut and attempt < last and not rows.where(~ends).head(1):
+            return done
         if attempt < last:
             rewrite = F.coalesce(F.when(F.col("suggested") != "", F.col("suggested")), keywords(F.col("sub_question")))
             open_ = rows.where(~ends).select("query_id", "step", "sub_question", rewrite.alias("active_query"), F.array_append("rewrites", rewrite).alias("rewrites"), "best")

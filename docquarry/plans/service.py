@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.operators import agent, answers, retrieval, routing
+from docquarry.sources.files import cut
 
 
 def validity(query: Column, force: Column, top_k: Column) -> Column:
@@ -30,13 +31,13 @@ def answer(index: retrieval.Index, chunks: DataFrame, requests: DataFrame, embed
     requests: query_id, question, force_workflow. embed: adds embedding to rows with text. top_k of the configuration holds
     for the single-pass workflow; the multi-step one searches less for each sub-question."""
     asked = requests.select("query_id", "question")
-    runs = effective(routing.routed(asked, replies), requests)
+    runs = cut(effective(routing.routed(asked, replies), requests), "routes")
     simple, multi = runs.where("runs = 'simple_rag'"), runs.where("runs = 'agentic'")
 
     def hits(rows: DataFrame, k: int) -> DataFrame:
         return retrieval.search_hybrid(index, embed(rows), k)
 
-    one = hits(simple.select("query_id", F.col("question").alias("text")), 5)
+    one = cut(hits(simple.select("query_id", F.col("question").alias("text")), 5), "hits")
     single = answers.answered(simple.select("query_id", "question"), answers.context(one, chunks), answers.citations(one, chunks), provider)
     single = single.select("query_id", "question", "workflow", "answer", "confidence", F.coalesce(F.array_size("sources"), F.lit(0)).alias("sources"), "abstained", "model_used")
 
@@ -47,7 +48,7 @@ def answer(index: retrieval.Index, chunks: DataFrame, requests: DataFrame, embed
         lists = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "doc_name", "page_number", "section", "score", "snippet"))).alias("hits"))
         return keyed.join(lists.withColumnRenamed("query_id", "key"), "key").select("query_id", "step", "hits")
 
-    steps = agent.searched(agent.planned(multi.select("query_id", "question")), search)
+    steps = cut(agent.searched(agent.planned(multi.select("query_id", "question")), search, cut=cut), "steps")
     trace, context = agent.traced(steps), agent.aggregated_context(steps)
     rows = multi.select("query_id", "question").join(context, "query_id").join(trace, "query_id")
     told = answers.drafted(rows, provider) if provider else rows.withColumn("draft", F.col("context")).withColumn("model_used", F.lit("extractive")).withColumn("audit", answers.audit_fallback())

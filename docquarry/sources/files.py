@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import schemas
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder (spark.checkpoint.dir, or one of our own where it is unset): plans that
+    follow start from it, and a lost executor costs a reread."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="docquarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/docquarry/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """doc_name, path, length, file_hash of the files of a folder (not below it), content last, so that it can be pruned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
