@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import boosting
-from docquarry.llm.shared import arrow_batches
+from docquarry.llm.shared import arrow_batches, renamed
 
 #: Labelled rows that a fit takes at most.
 LABELLED = 6000
@@ -123,4 +123,5 @@ def keep(docs: DataFrame, trees: boosting.Trees, *, text_col: str = "text") -> D
         for b in batches:
             yield b.filter(pa.array(verdict(sent.value, *statistics(b.column(at).to_pylist()))))
 
-    return docs.mapInArrow(run, docs.schema)
+    own, _ = renamed(docs)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import forest
+from docquarry.llm.shared import renamed
 
 #: Labelled findings a fit takes, and the share of trees' votes from which a candidate counts as a secret.
 FINDINGS, SURE = 4000, 0.5
@@ -166,13 +167,13 @@ def redacted(df: DataFrame, *, text_col: str = "text", path_col: str | None = "s
 
     count_col: a column that gets the characters of a changed text, if df has it."""
     score = _fitted(tuple(findings or labelled()), "q__c.", df.sparkSession)
-    path = f"`{path_col}`" if path_col else "CAST(NULL AS STRING)"
+    own, c = renamed(df)
+    text, path = c[text_col], f"CAST({c[path_col]} AS STRING)" if path_col else "CAST(NULL AS STRING)"
     run = "q__r[q__i]"
     sure = f"transform(array({_candidate('q__r', 'q__i', path)}), q__c -> {score})[0] >= {SURE}D"
     masked = f"transform(sequence(0, size(q__r) - 1), q__i -> CASE WHEN {IS_CANDIDATE.format(v=run)} THEN CASE WHEN {sure} THEN '{MASK}' ELSE {run} END ELSE {run} END)"
-    text = f"CASE WHEN `{text_col}` rlike '{LIKELY}' THEN transform(array(regexp_extract_all(`{text_col}`, '{RUNS}', 0)), q__r -> array_join({masked}, ''))[0] ELSE `{text_col}` END"
-    if count_col not in df.columns:
-        return df.withColumn(text_col, F.expr(text))
-    masked = df.withColumn("_masked", F.expr(text))
-    count = F.when(F.col("_masked").eqNullSafe(F.col(text_col)), F.col(count_col)).otherwise(F.length("_masked").cast(df.schema[count_col].dataType))
-    return masked.withColumn(count_col, count).withColumn(text_col, F.col("_masked")).select(*(F.col(f"`{c}`") for c in df.columns))
+    out = own.withColumn("masked", F.expr(f"CASE WHEN {text} rlike '{LIKELY}' THEN transform(array(regexp_extract_all({text}, '{RUNS}', 0)), q__r -> array_join({masked}, ''))[0] ELSE {text} END"))
+    if count_col in c:
+        n = F.col(c[count_col])
+        out = out.withColumn(c[count_col], F.when(F.col("masked").eqNullSafe(F.col(text)), n).otherwise(F.length("masked").cast(df.schema[count_col].dataType)))
+    return out.withColumn(text, F.col("masked")).drop("masked").toDF(*df.columns)

@@ -61,3 +61,9 @@ def words(text) -> F.Column:
 def n_words(text) -> F.Column:
     """How many words a text column has, 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., and the new name of each, so that an operator's own columns can't clash with df's."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

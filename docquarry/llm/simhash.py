@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.graph import components
-from docquarry.llm.shared import arrow_batches, written
+from docquarry.llm.shared import arrow_batches, renamed, written
 
 #: Seed of the shingle hash, which is also the seed of Spark's xxhash64.
 SEED = 42
@@ -269,12 +269,12 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """df without near duplicates: of each group of similar_groups() the row with the smallest id stays (a null id only
     if the group has no other; among equal ids the text with the smallest hash). All columns of df stay as they are.
     Texts without words are one group. Of rows repeated with id and text one stays."""
-    groups = written(similar_groups(df, id_col=id_col, text_col=text_col, **options), "groups")
+    rows, c = renamed(df)
+    groups = written(similar_groups(rows, id_col=c[id_col], text_col=c[text_col], **options), "groups")
     stays = groups.groupBy("root").agg(F.min(F.struct("is_null", "id0", "text_hash", "n")).alias("x")).select("x.*")
     stays = written(stays, "stays")
     repeated = bool(stays.where("n > 1").head(1))
     names = ["is_null", "id0", "text_hash"]
-    own = [f"_near_{x}" for x in names]
-    marked = df.withColumns({own[0]: F.col(id_col).isNull(), own[1]: F.coalesce(F.col(id_col), F.lit(-1)).cast("long"), own[2]: F.xxhash64(F.col(text_col).cast("string"))})
-    out = marked.join(stays.select(*(F.col(x).alias(y) for x, y in zip(names, own, strict=True))), own, "left_semi")
-    return (out.dropDuplicates(own) if repeated else out).drop(*own)
+    marked = rows.withColumns({"is_null": F.col(c[id_col]).isNull(), "id0": F.coalesce(F.col(c[id_col]), F.lit(-1)).cast("long"), "text_hash": F.xxhash64(F.col(c[text_col]).cast("string"))})
+    out = marked.join(stays.select(names), names, "left_semi")
+    return (out.dropDuplicates(names) if repeated else out).select(*c.values()).toDF(*df.columns)
