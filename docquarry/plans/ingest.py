@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.config import CHUNKING, Chunking
-from docquarry.operators import chunking, retrieval
+from docquarry.operators import chunking, layout, retrieval
 from docquarry.sources import files
 
 
@@ -17,6 +17,24 @@ def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc_name", "ord", F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type"), "content", "section")
 
 
+def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str) -> DataFrame:
+    """Extract elements from layout tables, and write them as JSON, their Markdown, and a manifest of documents; returns
+    the manifest. Documents without a block raise FileNotFoundError if nothing at all is to be extracted.
+
+    Layout tables come from a front end that reads the files; none for PDF is part of this repository."""
+    found = layout.elements(blocks, spans, grids)
+    rows = found.select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section")
+    files.write_elements(rows, f"{path}/elements")
+    rows = files.read_elements(blocks.sparkSession, f"{path}/elements")
+    if not rows.head(1):
+        raise FileNotFoundError("there is no document to extract")
+    els = rows.select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "element_type", "content")
+    files.write_markdown(layout.full_markdown(els), f"{path}/markdown")
+    pages = els.groupBy("doc").agg(F.max("page").alias("pages"), F.count(F.lit(1)).alias("elements")).join(layout.doc_statistics(els), "doc")
+    docs = pages.select(F.col("doc").alias("doc_name"), F.lit("extracted").alias("status"), "pages", "elements", "tables", "code_blocks", F.lit(0.0).alias("seconds"))
+    return files.extraction_manifest(docs)
+
+
 def chunk_job(spark: SparkSession, elements_path: str, chunks_path: str, config: Chunking = CHUNKING) -> DataFrame:
     """Chunk the extracted elements at a path; returns the manifest by type."""
     made = chunking.chunks(files.read_elements(spark, elements_path), config)
