@@ -239,3 +239,15 @@ def archived(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col)
     found = merged(read(pages.sparkSession, path))
     return found.select(F.col("page").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url_key", "captured_at", "capture_no")
+
+
+#: DuckDB SQL of archived() over the table of pages.
+ARCHIVED_SQL = """
+WITH split AS (SELECT page_id, coalesce(html, '') AS html, lower(split_part(CASE WHEN length(split_part(url, '://', 2)) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END, '#', 1)) AS rest FROM pages),
+hosts AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS authority, regexp_extract(rest, '^[^/?]*(.*)$', 1, 's') AS tail FROM split),
+keyed AS (SELECT *, split_part(regexp_replace(authority, '^.*@', ''), ':', 1) AS host, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS newest,
+          strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM hosts),
+named AS (SELECT *, CASE WHEN host <> '' THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END ELSE tail END AS url_key,
+          CASE WHEN payload_bytes >= 1000 AND newest IS NOT NULL AND (page_id IS NULL OR page_id < newest) THEN newest END AS refers_to FROM keyed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url_key, captured_at,
+       row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS FIRST) - 1 AS capture_no FROM named"""
