@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import fixtures
-from docquarry.config import AGENT, CHUNKING, CODE_FONTS, HEADER_FOOTER, ROUTING
+from docquarry.config import AGENT, CODE_FONTS, HEADER_FOOTER, ROUTING
 from docquarry.functions import model_text, text
 from docquarry.operators import agent, answers, chunking, evaluation, layout, retrieval, routing
 from docquarry.plans import ingest, service
@@ -106,7 +106,7 @@ def hybrid(spark, sf_dir):
 
 @query("hybrid_rrf_filtered", f"{_ALL}, kept AS (SELECT * FROM fused WHERE ordinal IN (SELECT doc_id FROM documents WHERE lower(source) LIKE '%src1%')) SELECT query_id, ordinal, round(score, 9) AS score, dense_rank, sparse_rank, rank FROM ({_TOP.format('kept')})")
 def _(spark, sf_dir):
-    keep = table(spark, sf_dir, "documents").where(F.lower("source").contains("SRC1".lower())).select(F.col("doc_id").alias("ordinal"))
+    keep = table(spark, sf_dir, "documents").where(F.lower("source").contains("src1")).select(F.col("doc_id").alias("ordinal"))
     return retrieval.search_hybrid(index(spark, sf_dir), asked(spark, sf_dir), keep=keep).withColumn("score", F.round("score", 9))
 
 
@@ -442,8 +442,8 @@ def _(spark, sf_dir):
 @query("fused_fixture", f"WITH d AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, ordinal)::INTEGER AS rank FROM {fixtures.values('ranked')} WHERE dense IS NOT NULL), s AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, ordinal DESC)::INTEGER AS rank FROM {fixtures.values('ranked')} WHERE sparse > 0), f AS (SELECT query_id, ordinal, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score FROM d FULL JOIN s USING (query_id, ordinal)) SELECT query_id, ordinal, round(score, 4) AS score, score >= 0.015 AS passes FROM f")
 def _(spark, sf_dir):
     rows = fixtures.frame(spark, "ranked")
-    dense = retrieval._top(rows.where("dense is not null").select("query_id", "ordinal", F.col("dense").alias("score")), 99, "score", F.col("ordinal").asc())
-    sparse = retrieval._top(rows.where("sparse > 0").select("query_id", "ordinal", F.col("sparse").alias("score")), 99, "score", F.col("ordinal").desc())
+    dense = retrieval.ranked(rows.where("dense is not null").select("query_id", "ordinal", F.col("dense").alias("score")), 99, "score", F.col("ordinal").asc())
+    sparse = retrieval.ranked(rows.where("sparse > 0").select("query_id", "ordinal", F.col("sparse").alias("score")), 99, "score", F.col("ordinal").desc())
     return retrieval.fuse(dense, sparse, 99).select("query_id", "ordinal", F.round("score", 4).alias("score"), (F.col("score") >= 0.015).alias("passes"))
 
 
@@ -592,6 +592,3 @@ def _(spark, sf_dir):
 @query("eval_details", f"SELECT id, expected_workflow, actual_workflow, actual_workflow = expected_workflow AS routing_match, should_abstain, abstained, abstained = should_abstain AS abstained_correctly, verification_status, round(latency, 2) AS latency FROM {_EV} WHERE NOT errored")
 def _(spark, sf_dir):
     return evaluation.details(fixtures.frame(spark, "eval_records"))
-
-
-assert CHUNKING.target < CHUNKING.most
