@@ -59,4 +59,5 @@ def answer(index: retrieval.Index, chunks: DataFrame, requests: DataFrame, embed
 
 def health(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: chunks, dimension of vectors, documents."""
-    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_name").alias("documents")).crossJoin(vectors.agg(F.max(F.size("embedding")).alias("dimension")))
+    dimension = vectors.agg(F.max(F.size("embedding"))).scalar()
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_name").alias("documents")).withColumn("dimension", dimension)
