@@ -8,8 +8,9 @@ of a non-zero vector v keeps the positions with an odd inner product of m(i) and
 pair differs put at most r linear conditions on v, so some v satisfies them all, and its mask keeps none of them.
 
 Jaccard similarities of 0.8 lie far outside such a radius (155 of 1024 bits). similar_groups() therefore takes long
-fingerprints and many masks of 20 positions in arithmetic progression: a pair at 0.8 meets in some table with
-probability 0.93, at 0.85 with 0.99, at 0.9 with 0.9999.
+fingerprints and many masks of 20 positions in arithmetic progression, which join most pairs (one at 0.8 meets in some
+table with probability 0.93) and large groups in a few rows for each text. A prefix-filter join then compares every pair
+that could be as similar and is not joined yet, so no pair is left to chance.
 """
 
 from __future__ import annotations
@@ -74,12 +75,17 @@ def mixed(h: np.ndarray, j: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def sketch(texts: list, k: int, n: int = 1, once: bool = False) -> np.ndarray:
-    """Fingerprint bits of each text, 64 * n a row, over its shingles of k words (once: each different one once)."""
+def hashed(texts: list, k: int, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' shingles of k words (once: each different one once), and how many each text has."""
     runs = [set(shingles(t, k)) if once else shingles(t, k) for t in texts]
     counts = np.array([len(r) for r in runs], dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for r in runs for s in r), dtype=np.uint64, count=int(counts.sum()))
+    return np.fromiter((digest(s, SEED) for r in runs for s in r), dtype=np.uint64, count=int(counts.sum())), counts
+
+
+def sketch(texts: list, k: int, n: int = 1, once: bool = False) -> np.ndarray:
+    """Fingerprint bits of each text, 64 * n a row, over its shingles of k words (once: each different one once)."""
+    h, counts = hashed(texts, k, once)
     return np.concatenate([majority(mixed(h, j), counts) for j in range(n)], axis=1)
 
 
@@ -165,6 +171,56 @@ def progressions(tables: int, width: int, bits: int) -> np.ndarray:
 
 #: Text hashes that a broadcast may carry (16 bytes each).
 BROADCAST = 500_000
+#: Texts whose shingles are counted, and how many common shingles prefixes take last: the cost depends on it, not the groups.
+SAMPLE, COMMON = 20_000, 50_000
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The hashes of a set (all different) that come first in the order of counts, and how many of them lead.
+
+    Two sets as similar as asked have at least ceil(similarity * n) hashes in common, n being the size of either. In one
+    order of all hashes their first common one is thus among the n - ceil(similarity * n) + 1 first of both, and among
+    the n - ceil(2 * similarity / (1 + similarity) * n) + 1 first, which lead, of the smaller set."""
+    n = len(hashes)
+    if not n:
+        return hashes, 0
+    least = lambda share: int(np.ceil(share * n - 1e-9))
+    known = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, known))][: n - least(similarity) + 1], n - least(2 * similarity / (1 + similarity)) + 1
+
+
+def _common(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that most texts of a sample have, in ascending order, and how many have each."""
+    every = max(1, own.count() // SAMPLE)
+    some = own.where(F.pmod(F.col("text_hash"), F.lit(every)) == 0).select("text_hash", "text").dropDuplicates(["text_hash"])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(b.column(1).to_pylist(), k, once=True)[0].view(np.int64))], names=["h"])
+
+    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _across(many: DataFrame, hung: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of different components that shares a key and can be as similar as asked.
+
+    many: key, fp, size, leads. Components are paired first, so members of one are never paired with each other."""
+    rows = many.join(_label(hung, "fp"), "fp", "left").select("key", "fp", "size", "leads", F.coalesce("fp_root", "fp").alias("root"))
+    rows = written(rows, "rows")
+    blocks = rows.groupBy("key", "root").agg(F.max("leads").alias("leads"), F.min("size").alias("low"), F.max("size").alias("high"))
+    side = lambda df, x, *names: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in names))
+    near = lambda small, large: F.col(small) >= similarity * F.col(large) - 1e-9
+    met = side(blocks, "a", "root", "leads", "low", "high").join(side(blocks, "b", "root", "leads", "low", "high"), "key").where("root_a < root_b and (leads_a or leads_b)")
+    met = met.where(near("high_a", "low_b") & near("high_b", "low_a")).select("key", "root_a", "root_b")
+    both = met.join(side(rows, "a", "root", "fp", "size", "leads"), ["key", "root_a"]).join(side(rows, "b", "root", "fp", "size", "leads"), ["key", "root_b"])
+    both = both.where("(leads_a or size_a > size_b) and (leads_b or size_b > size_a)").where(near("size_a", "size_b") & near("size_b", "size_a"))
+    return both.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
 def _heads(rows: DataFrame) -> DataFrame:
@@ -195,6 +251,12 @@ def _linked(pairs: DataFrame, hung: DataFrame | None, nodes: DataFrame, docs: Da
     return components(hung.unionByName(_verified(unsure, docs, own, k, similarity)))
 
 
+def _apart(pairs: DataFrame, hung: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hung has not joined, each once."""
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs.join(_label(hung, "a"), "a", "left").join(_label(hung, "b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (of first 64 bits, a and b) whose shingle sets are as similar as asked. One text stands for a class."""
     used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -225,11 +287,9 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     it by 11. A pair two such steps below is linked at once; between there and two and a half above, the sets themselves
     are compared, unless links have joined the pair already. Texts with equal first 64 bits are one class.
 
-    In a bucket each member is compared with the smallest; then those whom no link has joined to it are compared with the
-    smallest of their own. So a bucket makes rows in proportion to its members, a large group of copies is joined by the
-    first round, and a stranger who comes first in a bucket doesn't hide the pairs behind it. A link that both rounds miss
-    is found in another of the tables the pair meets in. Chance meetings grow with the texts: width should be about the
-    binary logarithm of their number, and tables grow by a sixth with each further bit."""
+    In a bucket each member is compared with the smallest, so a bucket makes rows in proportion to its members. Then all
+    texts meet again by prefix() of their shingle sets: a pair that is as similar as asked shares a key there, and is
+    compared unless links have joined it already. tables and width decide how much is left to that, not what is found."""
     arrow_batches(df.sparkSession)
     n = bits // 64
     at = progressions(tables, width, bits)
@@ -241,26 +301,37 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     own = df.select(*key, F.col(text_col).cast("string").alias("text"))
     own = own.select("is_null", "id0", F.xxhash64("text").alias("text_hash"), "text")
 
+    common, counts = _common(own, k)
+
     def run(batches):
         for b in batches:
-            got = sketch(b.column(3).to_pylist(), k, n, once=True) if b.num_rows else np.zeros((0, bits), dtype=bool)
+            h, sizes = hashed(b.column(3).to_pylist(), k, once=True)
+            got = np.concatenate([majority(mixed(h, j), sizes) for j in range(n)], axis=1)
+            sets = [np.unique(x) for x in np.split(h, np.cumsum(sizes)[:-1])] if b.num_rows else []
+            first = [prefix(x, similarity, common, counts) for x in sets]
             keys = np.stack([got[:, row] @ weights for row in at], axis=1) if b.num_rows else np.zeros((0, tables), dtype=np.int64)
             longs = packed(got) if b.num_rows else np.zeros((0, n), dtype=np.int64)
             cols = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), kind), w).cast(pa.list_(kind)) for x, kind, w in ((longs, pa.int64(), n), (keys.astype(np.int32), pa.int32(), tables))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "bits", "keys"])
+            cols += [pa.array([len(x) for x in sets], pa.int32()), pa.array([x for _, x in first], pa.int32()), pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "bits", "keys", "size", "lead", "prefix"])
 
-    found = own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, bits array<long>, keys array<int>")
+    found = own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, bits array<long>, keys array<int>, size int, lead int, prefix array<long>")
     docs = written(found.withColumn("fp", F.col("bits")[0]), "sketches")
-    nodes = written(docs.groupBy("fp").agg(F.min(F.struct("bits", "keys")).alias("x")).select("fp", "x.*"), "nodes")
+    nodes = written(docs.groupBy("fp").agg(F.min(F.struct("bits", "keys", "size", "lead", "prefix")).alias("x")).select("fp", "x.*"), "nodes")
     rows = nodes.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).alias("key"))
     heads = written(_heads(rows), "heads")
     two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
     star = written(rows.join(heads.where("n > 2").select("key", "least"), "key"), "star")
     link = lambda pairs, hung: _linked(pairs, hung, nodes, docs, own, k, similarity, sure, radius, bits)
     hung = link(two.unionByName(star.select(F.col("fp").alias("a"), F.col("least").alias("b"))), None)
-    rest = star.join(_label(hung, "fp"), "fp", "left").join(_label(hung, "least"), "least", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("least_root", "least")).select("key", "fp")
-    rest = written(rest, "rest")
-    hung = link(rest.join(_heads(rest).select("key", "least"), "key").select(F.col("fp").alias("a"), F.col("least").alias("b")), hung)
+    rows = nodes.select("fp", "size", "lead", F.posexplode("prefix").alias("at", "key"))
+    heads = written(_heads(rows), "heads")
+    two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    many = rows.join(heads.where("n > 2").select("key", "least"), "key").select("key", "least", "fp", "size", (F.col("at") < F.col("lead")).alias("leads"))
+    many = written(many, "many")
+    for pairs in (lambda: two.unionByName(many.select(F.col("fp").alias("a"), F.col("least").alias("b"))), lambda: _across(many, hung, similarity)):
+        left = written(_apart(pairs(), hung), "left")
+        hung = components(hung.unionByName(_verified(left, docs, own, k, similarity)))
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
 

@@ -132,3 +132,28 @@ def test_a_bucket_of_many_copies_is_one_group(spark):
 def test_expected_distance():
     s = 2 * 0.8 / 1.8
     assert int(1024 * np.arccos(s) / np.pi) == 155
+
+
+def grouped(spark, rows, **options):
+    got = {r.id0: r.root for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    want = roots(len(rows), lambda i, j: jaccard(rows[i][1], rows[j][1]) >= 0.8)
+    return [(got[rows[i][0]] == got[rows[j][0]], want[i] == want[j]) for i in range(len(rows)) for j in range(i)]
+
+
+def near_pairs(n, seed=8):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(800)]
+    rows = []
+    for i in range(n):
+        base = rng.choices(words, k=rng.randint(80, 200))
+        new = list(base)
+        for x in rng.sample(range(len(new)), len(new) // 55):
+            new[x] = rng.choice(words)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(new))]
+    return rows
+
+
+def test_pairs_behind_strangers_in_a_bucket_are_found(spark):
+    # one position a mask: each bucket holds half of all texts, and a pair is never the smallest of most
+    pairs = grouped(spark, near_pairs(40), tables=3, width=1)
+    assert sum(w for _, w in pairs) > 20 and all(g == w for g, w in pairs)
