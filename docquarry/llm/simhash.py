@@ -233,22 +233,22 @@ def _label(hung: DataFrame, c: str) -> DataFrame:
     return hung.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
 
 
-def _linked(pairs: DataFrame, hung: DataFrame | None, nodes: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float, sure: int, radius: int, bits: int) -> DataFrame:
-    """Components after the candidate pairs that are similar are added to those of hung."""
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float, radius: int, bits: int) -> DataFrame:
+    """Components of the candidate pairs (a, b: fp and first 64 bits of each) that are within the radius and similar."""
     n = bits // 64
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     # the first 64 bits alone leave out nearly all strangers: four standard deviations above the radius
     first = int(radius / n + 4 * np.sqrt(radius / n * (1 - radius / (64 * n))))
-    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(apart(F.col("a"), F.col("b")) <= first).distinct()
+    pairs = pairs.where("a.fp <> b.fp").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(apart(F.col("a.word"), F.col("b.word")) <= first)
+    pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
     side = lambda c, name: nodes.select(F.col("fp").alias(c), F.col("bits").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    edges = both.select("a", "b", sum(apart(F.col("x")[i], F.col("y")[i]) for i in range(n)).alias("apart"))
-    edges = written(edges.where(F.col("apart") <= radius), "candidates")
-    certain = edges.where(F.col("apart") <= sure).select("a", "b")
-    hung = components(certain.unionByName(hung) if hung else certain)
-    unsure = edges.where(F.col("apart") > sure).join(_label(hung, "a"), "a", "left").join(_label(hung, "b"), "b", "left")
-    unsure = written(unsure.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "unsure")
-    return components(hung.unionByName(_verified(unsure, docs, own, k, similarity)))
+    edges = both.where(sum(apart(F.col("x")[i], F.col("y")[i]) for i in range(n)) <= radius).select("a", "b")
+    edges = written(edges, "candidates")
+    # each with the smallest it has met; of a large group of copies little is left after that
+    hung = components(_verified(edges.groupBy("a").agg(F.min("b").alias("b")), docs, own, k, similarity))
+    left = written(_apart(edges, hung), "left")
+    return components(hung.unionByName(_verified(left, docs, own, k, similarity)))
 
 
 def _apart(pairs: DataFrame, hung: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _apart(pairs: DataFrame, hung: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (of first 64 bits, a and b) whose shingle sets are as similar as asked. One text stands for a class."""
+    """The pairs (a and b, hashes of shingle sets) whose sets are as similar as asked."""
     used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     texts = written(docs.join(used, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash")), "verified")
     few = texts.count() <= BROADCAST
@@ -284,8 +284,8 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group.
 
     Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average, 155 of 1024, and scatter about
-    it by 11. A pair two such steps below is linked at once; between there and two and a half above, the sets themselves
-    are compared, unless links have joined the pair already. Texts with equal first 64 bits are one class.
+    it by 11. Pairs from the tables up to three such steps above are compared by the sets themselves, unless links have
+    joined them already; no pair is linked without that. Texts with equal shingle sets are one class.
 
     In a bucket each member is compared with the smallest, so a bucket makes rows in proportion to its members. Then all
     texts meet again by prefix() of their shingle sets: a pair that is as similar as asked shares a key there, and is
@@ -296,7 +296,7 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     weights = 1 << np.arange(width, dtype=np.int64)
     mean = bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi
     step = np.sqrt(mean * (1 - mean / bits))
-    sure, radius = int(mean - 2 * step), int(mean + 2.5 * step)
+    radius = int(mean + 3 * step)
     key = [F.col(id_col).isNull().alias("is_null"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id0")]
     own = df.select(*key, F.col(text_col).cast("string").alias("text"))
     own = own.select("is_null", "id0", F.xxhash64("text").alias("text_hash"), "text")
@@ -312,18 +312,18 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
             keys = np.stack([got[:, row] @ weights for row in at], axis=1) if b.num_rows else np.zeros((0, tables), dtype=np.int64)
             longs = packed(got) if b.num_rows else np.zeros((0, n), dtype=np.int64)
             cols = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), kind), w).cast(pa.list_(kind)) for x, kind, w in ((longs, pa.int64(), n), (keys.astype(np.int32), pa.int32(), tables))]
-            cols += [pa.array([len(x) for x in sets], pa.int32()), pa.array([x for _, x in first], pa.int32()), pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "bits", "keys", "size", "lead", "prefix"])
+            cols += [pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([x for _, x in first], pa.int32()), pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "bits", "keys", "fp", "size", "lead", "prefix"])
 
-    found = own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, bits array<long>, keys array<int>, size int, lead int, prefix array<long>")
-    docs = written(found.withColumn("fp", F.col("bits")[0]), "sketches")
+    found = own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, bits array<long>, keys array<int>, fp long, size int, lead int, prefix array<long>")
+    docs = written(found, "sketches")
     nodes = written(docs.groupBy("fp").agg(F.min(F.struct("bits", "keys", "size", "lead", "prefix")).alias("x")).select("fp", "x.*"), "nodes")
-    rows = nodes.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).alias("key"))
+    rows = nodes.select(F.struct("fp", F.col("bits")[0].alias("word")).alias("fp"), F.posexplode("keys").alias("t", "key"))
+    rows = rows.select("fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).alias("key"))
     heads = written(_heads(rows), "heads")
     two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    star = written(rows.join(heads.where("n > 2").select("key", "least"), "key"), "star")
-    link = lambda pairs, hung: _linked(pairs, hung, nodes, docs, own, k, similarity, sure, radius, bits)
-    hung = link(two.unionByName(star.select(F.col("fp").alias("a"), F.col("least").alias("b"))), None)
+    star = rows.join(heads.where("n > 2").select("key", "least"), "key").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    hung = _linked(two.unionByName(star), nodes, docs, own, k, similarity, radius, bits)
     rows = nodes.select("fp", "size", "lead", F.posexplode("prefix").alias("at", "key"))
     heads = written(_heads(rows), "heads")
     two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))

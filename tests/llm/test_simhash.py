@@ -157,3 +157,21 @@ def test_pairs_behind_strangers_in_a_bucket_are_found(spark):
     # one position a mask: each bucket holds half of all texts, and a pair is never the smallest of most
     pairs = grouped(spark, near_pairs(40), tables=3, width=1)
     assert sum(w for _, w in pairs) > 20 and all(g == w for g, w in pairs)
+
+
+def test_pairs_just_below_the_similarity_stay_apart(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(800)]
+    base = [rng.choices(words, k=400) for _ in range(400)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(400 + i, " ".join("changed" if x % 40 == 20 and x < 360 else w for x, w in enumerate(b))) for i, b in enumerate(base)]
+    assert all(0.79 < jaccard(rows[i][1], rows[400 + i][1]) < 0.8 for i in range(400))
+    # pairs whose fingerprints lie closer than two steps below the mean distance
+    bits = simhash.sketch([t for _, t in rows], 5, 16, once=True)
+    close = [i for i in range(400) if (bits[i] != bits[400 + i]).sum() <= 132]
+    assert close and not any(g for g, _ in grouped(spark, [rows[j] for i in close for j in (i, 400 + i)]))
+
+
+def test_equal_first_bits_are_no_class(spark, monkeypatch):
+    majority = simhash.majority
+    monkeypatch.setattr(simhash, "majority", lambda h, counts: majority(h, counts) & False)
+    assert all(g == w for g, w in grouped(spark, near_pairs(6)))
