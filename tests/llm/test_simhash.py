@@ -175,3 +175,9 @@ def test_equal_first_bits_are_no_class(spark, monkeypatch):
     majority = simhash.majority
     monkeypatch.setattr(simhash, "majority", lambda h, counts: majority(h, counts) & False)
     assert all(g == w for g, w in grouped(spark, near_pairs(6)))
+
+
+@pytest.mark.parametrize("n", [10, 60])
+def test_groups_equal_brute_force_whatever_the_tables(spark, n):
+    pairs = grouped(spark, near_pairs(n, seed=n), tables=1, width=30)
+    assert sum(w for _, w in pairs) > n // 2 and all(g == w for g, w in pairs)
