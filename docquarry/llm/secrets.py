@@ -1,8 +1,9 @@
 """Secret scans: candidates by shape, a random forest to remove false positives, in SQL functions only.
 
 A text is cut into runs of value characters (letters and digits of ASCII, + / _ -) and runs of others; the runs joined
-are the text. A value run of 12 characters or more is a candidate if it has a digit or begins like an issuer's key. The forest sees its length, character
-transitions, how much of it common words cover, whether it lies in a path, and the words next to it. It is fitted on
+are the text. A value run of 12 characters or more is a candidate if it has a digit or begins like an issuer's key. Next to
+a word that names a secret, with an assignment or a blank between, what stands there up to white space or its closing quote
+is one run and a candidate from NEAREST characters on, whatever they are. The forest sees its length, character transitions, how much of it common words cover, whether it lies in a path, and the words next to it. It is fitted on
 the driver from labelled findings, which are generated from a seed (FINDINGS of them), and written out as one SQL
 expression. Everything a text needs stays in its row: there is no join and no shuffle.
 
@@ -24,7 +25,6 @@ from docquarry.llm.shared import renamed
 #: Labelled findings a fit takes, and the share of trees' votes from which a candidate counts as a secret.
 FINDINGS, SURE = 4000, 0.5
 MASK = "[SECRET]"
-RUNS = r"[A-Za-z0-9+/_\\-]+|[^A-Za-z0-9+/_\\-]+"
 # Words that name a secret, words that name a digest or an identifier, words of placeholders and tests,
 # prefixes of issuers' keys, and common words for the dictionary coverage.
 SECRET_WORDS = "password passwd pwd passphrase token secret apikey api_key api-key accesskey access_key auth authorization bearer credential credentials private_key client_secret key pass".split()
@@ -32,11 +32,23 @@ DIGEST_WORDS = "sha sha1 sha256 sha512 md5 commit checksum digest etag uuid guid
 DUMMY_WORDS = "example sample dummy placeholder changeme your test fake mock fixture xxxx todo insert replace redacted demo foobar".split()
 PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- xoxb- xoxp- sk- sk_live_ rk_live_ AIza ya29 eyJ npm_ pypi- hf_ SG".split()
 COMMON = "the and for with from this that have not are was you all can has had will one our out day get use man new now way may say she her him his how its let put too old see two who did yes ing ion tion ment able ness ity ing data file name user test main page index list item node link view text time date type code base path home lib src app api web site html http https www com org net image img static assets config build dist module package version release branch master feature document article section chapter report order number customer product service server client request response function class object value string array table column query result error message".split()
+# what stands beside a word that names a secret and is none
+PLAIN_VALUES = "required optional string value text none null true false undefined basic bearer digest default enabled disabled integer boolean invalid missing expired administrator authentication authorization configuration documentation should must will cannot with from that this they field name manager rotation policy length features words through".split()
+#: Fewest characters of a value next to a word that names a secret.
+NEAREST = 4
+# In SQL strings: such a word, what lies between it and its value, and the value: up to the closing quote, or to white
+# space, less closing punctuation; a comma, semicolon or ampersand ends it if an assignment follows.
+_NAMED = r"(?i:(?<![A-Za-z0-9])(" + "|".join(SECRET_WORDS) + r")s?)"
+_BETWEEN = r"[\\x22\\x27]?[ \\t]{0,4}([=:]{1,3}>?[ \\t]{0,4}[\\x22\\x27]?|[ \\t])"
+_PLAIN = r"[^\\s\\x22\\x27<>,;&]"
+_VALUE = r"(?!\\[SECRET\\]|[\\s=:\\x22\\x27])((?<=[\\x22\\x27])[^\\x22\\x27\\r\\n]{4,256}(?=[\\x22\\x27])|(?=[^\\s\\x22\\x27<>]{4})" + _PLAIN + r"+([,;&](?![A-Za-z_.\\-]{0,40}=)" + _PLAIN + r"+){0,20}(?<![.,;:)}\\]]))"
+RUNS = f"(?<={_NAMED}{_BETWEEN}){_VALUE}|[A-Za-z0-9+/_\\\\-]+|(?<={_NAMED}){_BETWEEN}(?={_VALUE})|[^A-Za-z0-9+/_\\\\-]+"
 #: A run of 12 or more with a digit or an issuer's prefix; tried where a run begins only, so long runs take linear time.
 _STARTS = "(" + "|".join(PREFIXES) + ")"
-LIKELY = r"(?<![A-Za-z0-9+/_\\-])(?=[A-Za-z+/_\\-]*+[0-9]|" + _STARTS + r")[A-Za-z0-9+/_\\-]{12}"
+LIKELY = r"(?<![A-Za-z0-9+/_\\-])(?=[A-Za-z+/_\\-]*+[0-9]|" + _STARTS + r")[A-Za-z0-9+/_\\-]{12}|" + _NAMED + _BETWEEN + _VALUE
 IS_CANDIDATE = "length({v}) >= 12 and {v} rlike '[0-9]|^" + _STARTS + "' and {v} rlike '^[A-Za-z0-9+/_\\\\-]'"
-FEATURES = ["n_chars", "transitions", "distinct_share", "digit_share", "upper_share", "is_hex", "covered", "vowel_share", "path_like", "secret_word", "digest_word", "assigned", "prefixed", "dummy", "dummy_near", "path_dummy"]
+IS_NAMED = f"length({{v}}) >= {NEAREST} and {{sep}} rlike '^" + _BETWEEN.replace("{", "{{").replace("}", "}}") + "$' and {word} rlike '" + _NAMED + "$' and {v} rlike '^" + _VALUE.replace("(?<=[\\\\x22\\\\x27])", "").replace("(?=[\\\\x22\\\\x27])", "").replace("{", "{{").replace("}", "}}") + "$'"
+FEATURES = ["n_chars", "transitions", "distinct_share", "digit_share", "upper_share", "is_hex", "covered", "vowel_share", "path_like", "secret_word", "digest_word", "assigned", "prefixed", "dummy", "dummy_near", "path_dummy", "equals", "symbol_share", "letters_only", "filled_in"]
 
 
 def _any(words: list[str]) -> str:
@@ -68,14 +80,24 @@ def _candidate(runs: str, i: str, path: str) -> str:
         "prefixed": one(f"{v} rlike '^{_any(PREFIXES)}'"),
         "dummy": one(f"{low} rlike '{_any(DUMMY_WORDS)}'"),
         "dummy_near": one(f"{near} rlike '{_any(DUMMY_WORDS)}'"),
+        "equals": one(f"{sep} rlike '='"),
+        "symbol_share": share("[^A-Za-z0-9]"),
+        "letters_only": one(f"{v} rlike '^[A-Za-z]+$'"),
+        "filled_in": one(f"{v} rlike '^[$%{{(\\\\[*]|[(].*[)]$|[}}\\\\]]$'"),
         "path_dummy": one(f"lower(coalesce({path}, '')) rlike '{_any(DUMMY_WORDS)}'"),
     }
     return f"named_struct('run_no', {i}, 'value', {v}, 'near', {word}, " + ", ".join(f"'{k}', {columns[k]}" for k in FEATURES) + ")"
 
 
+def _is_candidate(runs: str, i: str) -> str:
+    """SQL that is true for a run that is a candidate."""
+    at = lambda k: f"coalesce(get({runs}, {i} + {k}), '')"
+    return f"(({IS_CANDIDATE.format(v=f'{runs}[{i}]')}) or ({IS_NAMED.format(v=f'{runs}[{i}]', sep=at(-1), word=at(-2))}))"
+
+
 def candidates(text: str, path: str = "CAST(NULL AS STRING)") -> str:
     """SQL of an array of candidate structs of a text column; the runs are cut once and bound to a name."""
-    places = f"filter(sequence(0, size(q__r) - 1), q__i -> {IS_CANDIDATE.format(v='q__r[q__i]')})"
+    places = f"filter(sequence(0, size(q__r) - 1), q__i -> {_is_candidate('q__r', 'q__i')})"
     found = f"transform({places}, q__i -> {_candidate('q__r', 'q__i', path)})"
     return f"CASE WHEN {text} rlike '{LIKELY}' THEN transform(array(regexp_extract_all({text}, '{RUNS}', 0)), q__r -> {found})[0] END"
 
@@ -94,7 +116,46 @@ def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, int]]:
     assign = lambda: pick(["=", " = ", ": ", '="', ' = "', ': "', "='", '": "', ":"])
     styled = lambda k: pick([k, k, k.upper(), k.title()])
 
+    syllables = lambda a, b: "".join(pick("bcdfglmnprst") + pick("aeiou") + pick(["", "", "n", "r", "s", "t"]) for _ in range(rng.randint(a, b)))
+    near = lambda: pick(["=", "=", " = ", ": ", ":", '="', ": '", '": "'])
+
+    def named() -> str:
+        kind, quote = rng.randrange(6), near()
+        if kind == 0:
+            value = chars(mixed, rng.randint(4, 9)) + pick("!@#$%^*.?-_") + chars(mixed + "!@#$%.", rng.randint(0, 8))
+        elif kind == 1:
+            value = pick([syllables(2, 3), pick(COMMON)]) + chars(digits, rng.randint(1, 4)) + pick(["", "!", "!x", "@", "#", "."]) + chars(mixed, rng.randint(0, 3))
+        elif kind == 2:
+            value = chars(lower + upper, rng.randint(8, 40))
+        elif kind == 3:
+            value = pick([chars(lower, rng.randint(14, 32)), chars(mixed, rng.randint(8, 11)), chars(hexes, rng.randint(8, 11))])
+        elif kind == 4:
+            value = pick(["", "", "-", ".", "_"]).join(pick([syllables(2, 3), noun() + pick("aeiou")]) for _ in range(rng.randint(4, 6)))
+        else:
+            quote, value = pick(['="', ' = "', ': "', '": "']), " ".join(syllables(2, 3) for _ in range(rng.randint(4, 6)))
+        if kind < 2 and rng.random() < 0.2:
+            quote = " "
+        return f"{filler()} {styled(key())}{quote}{value}{pick(quote[-1]) if quote[-1] in chr(34) + chr(39) else ''} {filler()}"
+
+    def unnamed() -> str:
+        plain = lambda: pick([syllables(1, 4), pick(COMMON), pick(PLAIN_VALUES)])
+        word = pick([lambda: plain(), lambda: plain().title(), lambda: pick(PLAIN_VALUES)])()
+        word = word if len(word) >= NEAREST else pick(PLAIN_VALUES)
+        kind = rng.randrange(5)
+        if kind == 0:
+            return f"{filler()} {styled(key())} {word} {filler()}"
+        if kind == 1:
+            return f"{filler()} {styled(key())}{pick([': ', ': ', ':'])}{word} {filler()}"
+        if kind == 2:
+            return f"{styled(key())}{near().rstrip(chr(34) + chr(39))}{pick(PLAIN_VALUES)} {filler()}"
+        if kind == 3:
+            name = pick([pick(SECRET_WORDS).upper(), "DB_" + pick(SECRET_WORDS).upper(), pick(SECRET_WORDS)])
+            return f"{styled(key())}{near().rstrip(chr(34) + chr(39))}{pick(['${%s}', '$%s', '{{%s}}', '%%%s%%', 'getenv(%s)', 'os.environ[%s]', 'config(%s)', '[%s]', '****%s']) % name} {filler()}"
+        return f"{styled(key())}: https://{noun()}.com/{syllables(1, 3)}/{pick(COMMON)} {filler()}"
+
     def secret() -> str:
+        if rng.random() < 0.35:
+            return named()
         if rng.random() < 0.4:
             kind = rng.randrange(5)
             body = [pick(["AKIA", "ASIA"]) + chars(upper + digits, 16), pick(["ghp_", "gho_", "ghs_"]) + chars(mixed, 36), pick(["sk_live_", "rk_live_"]) + chars(mixed, 24), "AIza" + chars(mixed + "_-", 35), pick(["glpat-", "hf_", "npm_"]) + chars(mixed, pick([20, 34, 36]))][kind]
@@ -102,6 +163,8 @@ def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, int]]:
         return f"{filler()} {styled(key())}{assign()}{random_value()}{pick(['', chr(34), chr(39)])} {filler()}"
 
     def other() -> str:
+        if rng.random() < 0.3:
+            return unnamed()
         kind = rng.randrange(9)
         if kind == 0:
             return f"{filler()} {pick(DIGEST_WORDS)}{pick([' ', ': ', '=', ':', ' = '])}{digit(chars(hexes, pick([32, 40, 64])))} {filler()}"
@@ -171,7 +234,7 @@ def redacted(df: DataFrame, *, text_col: str = "text", path_col: str | None = "s
     text, path = c[text_col], f"CAST({c[path_col]} AS STRING)" if path_col else "CAST(NULL AS STRING)"
     run = "q__r[q__i]"
     sure = f"transform(array({_candidate('q__r', 'q__i', path)}), q__c -> {score})[0] >= {SURE}D"
-    masked = f"transform(sequence(0, size(q__r) - 1), q__i -> CASE WHEN {IS_CANDIDATE.format(v=run)} THEN CASE WHEN {sure} THEN '{MASK}' ELSE {run} END ELSE {run} END)"
+    masked = f"transform(sequence(0, size(q__r) - 1), q__i -> CASE WHEN {_is_candidate('q__r', 'q__i')} THEN CASE WHEN {sure} THEN '{MASK}' ELSE {run} END ELSE {run} END)"
     out = own.withColumn("masked", F.expr(f"CASE WHEN {text} rlike '{LIKELY}' THEN transform(array(regexp_extract_all({text}, '{RUNS}', 0)), q__r -> array_join({masked}, ''))[0] ELSE {text} END"))
     if count_col in c:
         n = F.col(c[count_col])

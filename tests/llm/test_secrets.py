@@ -63,3 +63,13 @@ def test_odd_tables(spark):
 def test_few_findings(spark, n):
     x, y = secrets.features_of(spark, secrets.labelled(n))
     assert len(x) == n == len(y)
+
+
+def test_short_and_digitless_secrets_beside_their_words(spark):
+    hidden = ["hunter2!x9", "correcthorsebatterystaple", "QmfkdZsWqPtRcxYv", "p4$s:w@rd", "xK9#mQ2$vL"]
+    rows = [(i, f"login as root password={v}\nthen go on", "s") for i, v in enumerate(hidden)]
+    kept = ["the password is required here", "auth: basic", "password: ${DB_PASSWORD}", "key features of the product", "token: string", f"password={secrets.MASK}"]
+    rows += [(100 + i, v, "s") for i, v in enumerate(kept)]
+    got = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i] for i in range(len(hidden))] == [f"login as root password={secrets.MASK}\nthen go on"] * len(hidden)
+    assert [got[100 + i] for i in range(len(kept))] == kept
