@@ -1,10 +1,9 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters.
 
-Windows of WIDTH bytes start where a hash of the GAP bytes before has three zero bits, so they move with the text. A
-window's entropy is the collision entropy of its bytes, -log2 of the chance that two places hold the same byte, and
+A window of WIDTH bytes starts at every byte. A window's entropy is the collision entropy of its bytes, -log2 of the chance that two places hold the same byte, and
 follows from its count of equal pairs. How often each count comes is summed over all documents; a window is the rarer,
-the rarer its count. Of every NEAR windows in a row the rarest is named, and those named thrice or more are the
-features. Windows of very low entropy (runs of few characters) rank last, so they are named only among their like.
+the rarer its count. Of every NEAR windows in a row the rarest is named, and those named NAMED times or more
+(equal ones together) are the features; a text without such has all its windows. Windows of very low entropy (runs of few characters) rank last, so they are named only among their like.
 
 Features fill Bloom filters of BITS bits with HASHES bits each, FULL different features a filter; the chain of filters is
 the fingerprint. Two filters' likeness is their common bits, less what chance explains, against the most they could
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.shared import arrow_batches
 
-WIDTH, GAP, NEAR, NAMED, SHORT, TINY = 32, 4, 8, 3, 512, 32
+WIDTH, NEAR, NAMED, SHORT, TINY = 32, 64, 24, 512, 32
 BITS, HASHES, FULL, BAND = 2048, 5, 160, 32
 #: Equal pairs of a window: all of them, and from how many on its entropy is very low (under 2 bits).
 PAIRS = WIDTH * (WIDTH - 1) // 2
@@ -39,33 +38,62 @@ _BLOCK = 1 << 15
 
 def starts(data: np.ndarray) -> np.ndarray:
     """Where windows start in a text's bytes."""
-    if len(data) < WIDTH + GAP:
-        return np.zeros(0, dtype=np.int64)
-    wide = data[: len(data) - WIDTH].astype(np.uint32)
-    with np.errstate(over="ignore"):
-        h = wide[:-3] * np.uint32(0x9E3779B1) + wide[1:-2] * np.uint32(0x85EBCA77) + wide[2:-1] * np.uint32(0xC2B2AE3D) + wide[3:] * np.uint32(0x27D4EB2F)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-    return np.flatnonzero(h >> np.uint32(29) == 0) + GAP
+    return np.arange(max(0, len(data) - WIDTH + 1))
 
 
-def equal_pairs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Pairs of equal bytes in the window at each start; blocks of windows, so memory stays small."""
-    out = np.zeros(len(at), dtype=np.int64)
-    for b in range(0, len(at), _BLOCK):
-        x = data[at[b : b + _BLOCK][None, :] + np.arange(WIDTH)[:, None]]
-        total = np.zeros(x.shape[1], dtype=np.uint16)
+def all_pairs(data: np.ndarray) -> np.ndarray:
+    """Pairs of equal bytes in the window at each byte.
+
+    From one window to the next the pairs of the first byte go and those of the new one come; in blocks."""
+    out = np.zeros(max(0, len(data) - WIDTH + 1), dtype=np.int32)
+    for b in range(0, len(out), _BLOCK):
+        x = data[b : b + _BLOCK + WIDTH - 1]
+        ahead, behind = np.zeros(len(x), dtype=np.uint8), np.zeros(len(x), dtype=np.uint8)
         for d in range(1, WIDTH):
-            # fewer than 32 pairs at one distance, so a byte holds their count
-            total += (x[d:] == x[:-d]).view(np.uint8).sum(axis=0, dtype=np.uint8)
-        out[b : b + _BLOCK] = total
+            same = (x[d:] == x[:-d]).view(np.uint8)
+            ahead[:-d] += same
+            behind[d:] += same
+        out[b] = behind[:WIDTH].sum(dtype=np.int32)
+        out[b + 1 : b + _BLOCK] = out[b] + np.cumsum(behind[WIDTH:].astype(np.int32) - ahead[: len(x) - WIDTH])
     return out
 
 
+def equal_pairs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pairs of equal bytes in the window at each start."""
+    return all_pairs(data)[at]
+
+
+def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and the text that each belongs to."""
+    raw = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
+    return np.concatenate([np.zeros(0, np.uint8), *raw]), np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+
+
+def _within(of: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n bytes from each on are of one text."""
+    return of[: max(0, len(of) - n + 1)] == of[n - 1 :]
+
+
 def census(texts: list) -> np.ndarray:
     """How many windows of the texts have each count of equal pairs."""
-    data = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
-    return sum((np.bincount(equal_pairs(d, starts(d)), minlength=PAIRS + 1) for d in data), np.zeros(PAIRS + 1, dtype=np.int64))
+    data, of = _joined(texts)
+    return np.bincount(all_pairs(data)[_within(of, WIDTH)], minlength=PAIRS + 1)
+
+
+def named(place: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """How often each window is the rarest (the first of equals) of NEAR in a row, of those rows that are whole; in blocks."""
+    out = np.zeros(len(place), dtype=np.int64)
+    for b in range(0, len(whole), _BLOCK):
+        least = place[b : b + _BLOCK + NEAR - 1].astype(np.int64) << 32
+        least += np.arange(len(least))
+        w = 1
+        while w < NEAR:
+            least = np.minimum(least[:-w], least[w:])
+            w *= 2
+        best = least[whole[b : b + _BLOCK]] & (2**32 - 1)
+        most = min(_BLOCK + NEAR - 1, len(place) - b)
+        out[b : b + most] += np.bincount(best, minlength=most)
+    return out
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -87,12 +115,15 @@ def _mixed(rows: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def _hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the window at each start."""
+    return _mixed(np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view("<u8").reshape(-1, WIDTH // 8))
+
+
 def features(texts: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features of all texts, in their order, and the text each belongs to."""
     hashes, owner = [], []
     raw = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
-    offsets, total = np.cumsum([0, *map(len, raw)]), sum(map(len, raw))
-    data = np.concatenate(raw) if total else np.zeros(0, dtype=np.uint8)
     chars = [len(t or "") for t in texts]
     long = [i for i, n in enumerate(chars) if n >= SHORT]
     for i, d in enumerate(raw):
@@ -104,20 +135,23 @@ def features(texts: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hashes.append(_mixed(padded.view("<u8")))
             owner.append(np.full(len(w), i))
     if long:
-        own = [starts(raw[i]) for i in long]
-        at = np.concatenate([s + offsets[i] for i, s in zip(long, own, strict=True)])
-        of = np.repeat(long, [len(s) for s in own])
-        place = rank[equal_pairs(data, at)]
-        key = place * (1 << 40) + np.arange(len(at))
-        named = np.zeros(len(at), dtype=np.int64)
-        if len(at) >= NEAR:
-            best = sliding_window_view(key, NEAR).argmin(axis=1) + np.arange(len(at) - NEAR + 1)
-            named = np.bincount(best[of[: len(best)] == of[NEAR - 1 :]], minlength=len(at))
-        take = named >= NAMED
-        take |= np.bincount(of[take], minlength=len(raw))[of] == 0
-        chosen = at[take]
-        hashes.append(_mixed(np.ascontiguousarray(data[chosen[:, None] + np.arange(WIDTH)]).view("<u8").reshape(-1, WIDTH // 8)))
-        owner.append(of[take])
+        data, of = _joined([texts[i] for i in long])
+        inside, of = _within(of, WIDTH), np.array(long)[of]
+        if inside.any():
+            times = named(rank[all_pairs(data)], _within(of, WIDTH + NEAR - 1))
+            of = of[: len(times)]
+            some = np.flatnonzero(times)
+            h, o = _hashed(data, some), of[some]
+            # windows with the same bytes count together, or a text that repeats within NEAR would name none often
+            order = np.lexsort((h, o))
+            new = np.ones(len(some), dtype=bool)
+            new[1:] = (h[order[1:]] != h[order[:-1]]) | (o[order[1:]] != o[order[:-1]])
+            sums = np.add.reduceat(times[some][order], np.flatnonzero(new)) if len(some) else np.zeros(0, np.int64)
+            take = np.zeros(len(some), dtype=bool)
+            take[order] = sums[np.cumsum(new) - 1] >= NAMED
+            rest = np.flatnonzero(inside & (np.bincount(o[take], minlength=len(raw))[of] == 0))
+            hashes += [h[take], _hashed(data, rest)]
+            owner += [o[take], of[rest]]
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, o = np.concatenate(hashes), np.concatenate(owner)

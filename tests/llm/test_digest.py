@@ -57,3 +57,18 @@ def test_one_row_and_none(spark):
     df = spark.createDataFrame([(1, "a single row of text")], "doc_id long, text string")
     assert digest.compared(df).first().near_next == 1.0
     assert digest.compared(df.limit(0)).count() == 0
+
+
+def test_repeated_texts_have_windows():
+    own = ["a" * 600, "buy now " * 80, "ha " * 300]
+    rank = digest.ranks(digest.census([*own, *texts()]))
+    chains = digest.chains(own, rank)
+    assert all(digest.printed(c) != "0" for c in chains)
+    assert max(digest.likeness(a, b) for i, a in enumerate(chains) for b in chains[:i]) < 0.1
+    changed = digest.chains([digest.edited(t, max(texts(), key=len)) for t in own], rank)
+    assert all(digest.likeness(a, b) > 0.2 for a, b in zip(chains, changed, strict=True))
+
+
+def test_census_counts_all_windows():
+    own = [*texts(4), "", None, "short"]
+    assert digest.census(own).sum() == sum(max(0, len((t or "").encode()) - digest.WIDTH + 1) for t in own)
