@@ -7,8 +7,7 @@ the rarer its count. Of every NEAR windows in a row the rarest is named, and tho
 
 Features fill Bloom filters of BITS bits with HASHES bits each, FULL different features a filter; the chain of filters is
 the fingerprint. Two filters' likeness is their common bits, less what chance explains, against the most they could
-share; each filter of the shorter chain counts, by its features, with its best partner among those at a similar place
-(within BAND).
+share; each filter of the shorter chain counts, by its features, with its best partner among all of the other.
 
 A text under SHORT characters is digested by all its windows of 8 bytes, under TINY by those of 3. Null texts count as empty; a text without features
 has the fingerprint "0". Equal fingerprints have likeness 1, and "0" has likeness 0 to others.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import arrow_batches
 
 WIDTH, NEAR, NAMED, SHORT, TINY = 32, 64, 24, 512, 32
-BITS, HASHES, FULL, BAND = 2048, 5, 160, 32
+BITS, HASHES, FULL = 2048, 5, 160
 #: Equal pairs of a window: all of them, and from how many on its entropy is very low (under 2 bits).
 PAIRS = WIDTH * (WIDTH - 1) // 2
 LOW = (WIDTH * WIDTH // 4 - WIDTH) // 2
@@ -200,14 +199,13 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         return 1.0
     if not len(f):
         return 0.0
+    f, g = np.ascontiguousarray(f).view("<u8"), np.ascontiguousarray(g).view("<u8")
     size_f, size_g = np.bitwise_count(f).sum(axis=1, dtype=np.int64), np.bitwise_count(g).sum(axis=1, dtype=np.int64)
     total = 0.0
     for i in range(len(f)):
-        middle = i * len(g) // len(f)
-        near = slice(max(0, middle - BAND), middle + BAND + 1)
-        common = np.bitwise_count(f[i] & g[near]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(size_f[i], size_g[near])
-        mean = size_f[i] * size_g[near] / BITS
+        common = np.bitwise_count(f[i] & g).sum(axis=1, dtype=np.int64)
+        most = np.minimum(size_f[i], size_g)
+        mean = size_f[i] * size_g / BITS
         chance = mean + 1.5 * np.sqrt(mean)
         total += m[i] * float(np.clip((common - chance) / np.maximum(most - chance, 1e-9), 0, 1).max())
     return min(1.0, float(total / m.sum()))

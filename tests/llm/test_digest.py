@@ -72,3 +72,12 @@ def test_repeated_texts_have_windows():
 def test_census_counts_all_windows():
     own = [*texts(4), "", None, "short"]
     assert digest.census(own).sum() == sum(max(0, len((t or "").encode()) - digest.WIDTH + 1) for t in own)
+
+
+def test_filters_find_partners_at_any_place():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    whole = " ".join(rng.choices(words, k=170_000))
+    rank = digest.ranks(digest.census([whole]))
+    whole, start = digest.chains([whole, whole[: len(whole) // 4]], rank)
+    assert len(start[0]) > 20 and digest.likeness(start, whole) > 0.95
