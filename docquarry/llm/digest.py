@@ -9,8 +9,11 @@ Features fill Bloom filters of BITS bits with HASHES bits each, FULL different f
 the fingerprint. Two filters' likeness is their common bits, less what chance explains, against the most they could
 share; each filter of the shorter chain counts, by its features, with its best partner among all of the other.
 
-A text under SHORT characters is digested by all its windows of 8 bytes, under TINY by those of 3. Null texts count as empty; a text without features
-has the fingerprint "0". Equal fingerprints have likeness 1, and "0" has likeness 0 to others.
+There are three kinds of features: the rare windows, all windows of 8 bytes, and all of 3. A text's own kind is the last
+one under TINY characters, the second under SHORT, else the first. It also has each other kind that its neighbours across
+a border may have: rare windows wherever WIDTH bytes are, 8 bytes under twice SHORT characters, 3 under twice TINY. Each
+kind has a chain of its own, and two texts are compared by a kind that both have, the finer of their own ones if possible.
+Null texts count as empty; a text without features has the fingerprint "0". Equal fingerprints have likeness 1, and "0" has likeness 0 to others.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BITS, HASHES, FULL = 2048, 5, 160
 PAIRS = WIDTH * (WIDTH - 1) // 2
 LOW = (WIDTH * WIDTH // 4 - WIDTH) // 2
 _BLOCK = 1 << 15
+#: Letters of the kinds: rare windows, windows of 8 bytes, windows of 3.
+KINDS = "LST"
 
 
 def starts(data: np.ndarray) -> np.ndarray:
@@ -119,20 +124,26 @@ def _hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _mixed(np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view("<u8").reshape(-1, WIDTH // 8))
 
 
+def own_kind(n: int) -> int:
+    """The kind of features that a text of n characters is digested by."""
+    return 2 if n < TINY else 1 if n < SHORT else 0
+
+
 def features(texts: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the features of all texts, in their order, and the text each belongs to."""
+    """Hashes of the features of all texts, in their order, and 3 * text + kind (a place in KINDS) of each."""
     hashes, owner = [], []
     raw = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
     chars = [len(t or "") for t in texts]
-    long = [i for i, n in enumerate(chars) if n >= SHORT]
+    long = [i for i, d in enumerate(raw) if len(d) >= WIDTH]
     for i, d in enumerate(raw):
-        if 0 < chars[i] < SHORT:
-            wide = 3 if chars[i] < TINY else 8
+        for kind, wide, most in ((1, 8, 2 * SHORT), (2, 3, 2 * TINY)):
+            if not 0 < chars[i] < most or len(d) < wide and own_kind(chars[i]) != kind:
+                continue
             w = sliding_window_view(np.concatenate((d, np.zeros(max(0, wide - len(d)), np.uint8))), wide)
             padded = np.zeros((len(w), 8), dtype=np.uint8)
             padded[:, :wide] = w
             hashes.append(_mixed(padded.view("<u8")))
-            owner.append(np.full(len(w), i))
+            owner.append(np.full(len(w), 3 * i + kind))
     if long:
         data, of = _joined([texts[i] for i in long])
         inside, of = _within(of, WIDTH), np.array(long)[of]
@@ -150,7 +161,7 @@ def features(texts: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             take[order] = sums[np.cumsum(new) - 1] >= NAMED
             rest = np.flatnonzero(inside & (np.bincount(o[take], minlength=len(raw))[of] == 0))
             hashes += [h[take], _hashed(data, rest)]
-            owner += [o[take], of[rest]]
+            owner += [3 * o[take], 3 * of[rest]]
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, o = np.concatenate(hashes), np.concatenate(owner)
@@ -158,15 +169,15 @@ def features(texts: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[order], o[order]
 
 
-def chains(texts: list, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its filters (rows of bytes) and how many features each holds."""
+def chains(texts: list, rank: np.ndarray) -> list[dict]:
+    """For each text its chains by kind, its own kind first: filters (rows of bytes) and how many features each holds."""
     h, owner = features(texts, rank)
     order = np.lexsort((h, owner))
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[order[1:]] != h[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
     keep = np.sort(order[first])
     h, owner = h[keep], owner[keep]
-    n = np.bincount(owner, minlength=len(texts))
+    n = np.bincount(owner, minlength=3 * len(texts))
     within = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     filters = (n + FULL - 1) // FULL
     begin = np.cumsum(filters) - filters
@@ -175,30 +186,42 @@ def chains(texts: list, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
     for k in range(HASHES):
         bits[row, ((h >> np.uint64(11 * k)) % np.uint64(BITS)).astype(np.int64)] = True
     made, held = np.packbits(bits, axis=1), np.bincount(row, minlength=len(bits))
-    return [(made[b : b + f], held[b : b + f]) for b, f in zip(begin, filters, strict=True)]
+    out = []
+    for i, t in enumerate(texts):
+        own = own_kind(len(t or ""))
+        of = {k: (made[b : b + f], held[b : b + f]) for k in (own, *({0, 1, 2} - {own})) for b, f in [(begin[3 * i + k], filters[3 * i + k])]}
+        out.append({k: c for k, c in of.items() if len(c[0])})
+    return out
 
 
-def printed(chain: tuple[np.ndarray, np.ndarray]) -> str:
-    """The fingerprint as text: filters, features of the last one, and all bits in base 64."""
-    filters, held = chain
-    return f"{len(filters)}:{held[-1]}:{base64.b64encode(filters.tobytes()).decode()}" if len(filters) else "0"
+def printed(chain: dict) -> str:
+    """The fingerprint as text: for each kind its letter, filters, features of the last one, and all bits in base 64."""
+    return "|".join(f"{KINDS[k]}{len(f)}:{held[-1]}:{base64.b64encode(f.tobytes()).decode()}" for k, (f, held) in chain.items()) or "0"
 
 
-def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    """The chain that a fingerprint prints."""
-    if fingerprint == "0":
-        return np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int64)
-    n, last, data = fingerprint.split(":")
-    return np.frombuffer(base64.b64decode(data), np.uint8).reshape(int(n), -1), np.array([FULL] * (int(n) - 1) + [int(last)])
+def read(fingerprint: str) -> dict:
+    """The chains that a fingerprint prints."""
+    out = {}
+    for part in fingerprint.split("|") if fingerprint != "0" else []:
+        n, last, data = part[1:].split(":")
+        out[KINDS.index(part[0])] = np.frombuffer(base64.b64decode(data), np.uint8).reshape(int(n), -1), np.array([FULL] * (int(n) - 1) + [int(last)])
+    return out
+
+
+def likeness(a: dict, b: dict) -> float:
+    """Likeness of two texts' chains, 0 to 1, by a kind both have: the finer of their own ones, else the other, else any."""
+    if list(a) == list(b) and all(np.array_equal(a[k][0], b[k][0]) for k in a):
+        return 1.0
+    own = sorted((next(iter(x)) for x in (a, b) if x), reverse=True)
+    kind = next((k for k in (*own, 2, 1, 0) if k in a and k in b), None)
+    return _likeness(a[kind], b[kind]) if kind is not None else 0.0
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Likeness of two chains, 0 to 1."""
+def _likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Likeness of two chains of a kind, neither empty."""
     (f, m), (g, n) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
     if f.shape == g.shape and (f == g).all():
         return 1.0
-    if not len(f):
-        return 0.0
     f, g = np.ascontiguousarray(f).view("<u8"), np.ascontiguousarray(g).view("<u8")
     size_f, size_g = np.bitwise_count(f).sum(axis=1, dtype=np.int64), np.bitwise_count(g).sum(axis=1, dtype=np.int64)
     total = 0.0

@@ -80,4 +80,15 @@ def test_filters_find_partners_at_any_place():
     whole = " ".join(rng.choices(words, k=170_000))
     rank = digest.ranks(digest.census([whole]))
     whole, start = digest.chains([whole, whole[: len(whole) // 4]], rank)
-    assert len(start[0]) > 20 and digest.likeness(start, whole) > 0.95
+    assert len(digest.printed(start)) > 20 * digest.BITS // 6 and digest.likeness(start, whole) > 0.95
+
+
+def test_likeness_across_the_borders_of_length():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    whole = " ".join(rng.choices(words, k=4000))
+    rank = digest.ranks(digest.census([whole]))
+    for a, b in ((505, 515), (31, 32), (470, 526), (500, 682), (24, 32), (300, 2000)):
+        x, y = digest.chains([whole[:a], whole[:b]], rank)
+        assert digest.likeness(x, y) > 0.6 and digest.likeness(y, x) == digest.likeness(x, y), (a, b)
+        assert digest.likeness(x, digest.read(digest.printed(y))) == digest.likeness(x, y)
