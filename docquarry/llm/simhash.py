@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.graph import components
-from docquarry.llm.shared import arrow_batches, renamed, written
+from docquarry.llm.shared import arrow_batches, forget, renamed, written
 
 #: Seed of the shingle hash, which is also the seed of Spark's xxhash64.
 SEED = 42
@@ -172,7 +172,7 @@ def progressions(tables: int, width: int, bits: int) -> np.ndarray:
 #: Text hashes that a broadcast may carry (16 bytes each).
 BROADCAST = 500_000
 #: Texts whose shingles are counted, and how many common shingles prefixes take last: the cost depends on it, not the groups.
-SAMPLE, COMMON = 20_000, 50_000
+SAMPLE, COMMON = 4_000, 50_000
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -223,9 +223,9 @@ def _across(many: DataFrame, hung: DataFrame, similarity: float) -> DataFrame:
     return both.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
-def _heads(rows: DataFrame) -> DataFrame:
-    """rows: key, fp. Of each key with two or more: its count n, least and most."""
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("n > 1")
+def _heads(rows: DataFrame, *more) -> DataFrame:
+    """rows: key, fp. Of each key with two or more: its count n, least and most, and what more asks for."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"), *more).where("n > 1")
 
 
 def _label(hung: DataFrame, c: str) -> DataFrame:
@@ -274,7 +274,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similar
     side = lambda c, name: sets.select(F.col("fp").alias(c), F.col("set").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = written(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+    for t in (texts, sets):
+        forget(t.sparkSession, t)
+    return found
 
 
 def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits: int = 1024, tables: int = 72, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,12 +328,16 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
     star = rows.join(heads.where("n > 2").select("key", "least"), "key").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     hung = _linked(two.unionByName(star), nodes, docs, own, k, similarity, radius, bits)
     rows = nodes.select("fp", "size", "lead", F.posexplode("prefix").alias("at", "key"))
-    heads = written(_heads(rows), "heads")
+    rows = rows.select("key", "fp", "size", (F.col("at") < F.col("lead")).alias("leads"))
+    # a key that leads in no set makes no pair
+    heads = written(_heads(rows, F.max("leads").alias("leads")).where("leads"), "heads")
     two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    many = rows.join(heads.where("n > 2").select("key", "least"), "key").select("key", "least", "fp", "size", (F.col("at") < F.col("lead")).alias("leads"))
+    many = rows.join(heads.where("n > 2").select("key", "least"), "key")
     many = written(many, "many")
+    sizes = nodes.select("fp", "size")
     for pairs in (lambda: two.unionByName(many.select(F.col("fp").alias("a"), F.col("least").alias("b"))), lambda: _across(many, hung, similarity)):
-        left = written(_apart(pairs(), hung), "left")
+        left = _apart(pairs(), hung).join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b")
+        left = written(left.where(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b"), "left")
         hung = components(hung.unionByName(_verified(left, docs, own, k, similarity)))
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
