@@ -65,3 +65,11 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
 
 def test_no_pages(spark):
     assert u.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_ranks_that_do_not_settle_are_an_error(spark, monkeypatch):
+    assert 4 * u.DAMPING**u.ROUNDS < u.SETTLED
+    monkeypatch.setattr(u, "ROUNDS", 2)
+    links = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        u.ranks(links, spark.createDataFrame([("a", 1, 0)], "host string, good long, bad long"))
