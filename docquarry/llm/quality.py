@@ -2,7 +2,8 @@
 
 The trees are fitted on the driver from a bounded sample of the rows of `labels` (LABELLED rows, those with the
 smallest hash of the id), and score whole Arrow batches at once. A text without words has zero statistics and fails the
-base rules, null and empty ones alike. Without usable labels the base rules alone decide.
+base rules, null and empty ones alike. Without usable labels the base rules alone decide. Repeated rows are judged alike,
+each for itself; an empty table gives no rows; a text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -76,17 +77,19 @@ def failed(base: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED) -> boosting.Trees:
-    """Trees from at most `most` labelled rows. Labels of null, of ids without a document, and of null ids don't count."""
+    """Trees from at most `most` labelled rows. Labels of null, of ids without a document, and of null ids don't count.
+
+    A label counts once for each row that has its id, so of labelled rows those with the smallest hashes of id and text are taken."""
     arrow_batches(docs.sparkSession)
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     few = few.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").select("y", "text")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").select("y", F.xxhash64("id", "text").alias("h"), "text")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(statistics(b.column(1).to_pylist())[1]), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(statistics(b.column(2).to_pylist())[1]), pa.list_(pa.float64()))], names=["y", "h", "x"])
 
-    got = own.mapInArrow(run, "y double, x array<double>").toPandas().sort_values(by="y", kind="stable")
+    got = own.mapInArrow(run, "y double, h long, x array<double>").orderBy("h", "y").limit(most).toPandas().sort_values(by="y", kind="stable")
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T[::-1], got["y"].to_numpy())) if len(x) else []
     return boosting.fit(x[order], got["y"].to_numpy()[order] if len(x) else np.zeros(0), list(FEATURES.values()))

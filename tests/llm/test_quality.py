@@ -80,3 +80,20 @@ def test_odd_tables(spark):
     kept = quality.keep(docs, trees)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
     assert quality.judged(docs.limit(0), trees).count() == 0
+
+
+def test_many_rows_of_one_labelled_id_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(1, "good words of text " * 20 + str(i)) for i in range(300)] + [(2, long), (2, long), (3, "# * # " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 0)], "doc_id long, quality int")
+    trees = quality.fit(docs, labels, most=50)
+    got = quality.judged(docs, trees).where("doc_id = 2").collect()
+    assert len(got) == 2 and got[0] == got[1]
+    assert (got[0].n_words, got[0].word_chars, got[0].n_symbols, got[0].n_dup_lines, got[0].n_repeat_words) == plain(long)
+
+
+def test_the_sample_of_labels_does_not_follow_the_partitions(spark):
+    docs, labels = table(spark, f"{DATA}/sf0.001", "documents"), table(spark, f"{DATA}/sf0.001", "labels")
+    a, b = quality.fit(docs, labels, most=30), quality.fit(docs.repartition(5), labels, most=30)
+    assert a.base == b.base and (a.value == b.value).all()
