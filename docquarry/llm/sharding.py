@@ -4,8 +4,10 @@ A record's id hashes into one of SLOTS slots, for ever. Bytes are summed by slot
 that shards get nearly equal bytes. A map is a table with a version: rebalancing edits some slots' shards and stores the
 result as the next version, and only records of edited slots move.
 
-An id that holds many rows can't be divided by its hash alone, so a record's slot also depends on its text: rows of one
-id spread over the slots, and only rows equal in id, size and checksum share one. Those are counted, not gathered.
+An id that holds many rows can't be divided by its hash alone, so a record's slot also depends on its text and, among
+rows equal in both, on its number there. Equal rows are counted, not gathered, and written out again from their count in
+runs of RUN, so a group of any size spreads over the slots and over the tasks. Which of several equal rows has which
+number doesn't show.
 """
 
 from __future__ import annotations
@@ -18,13 +20,23 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import scratch, written
 
 SLOTS = 8192
+#: Equal rows that one row of the intermediate table stands for at most.
+RUN = 1024
 
 
 def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Per row: id, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32 (0 for null and empty) and vslot."""
+    """Per row: id, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32 (0 for null and empty) and vslot.
+
+    The first of equal rows has the slot of the hash of id and text, its n-th copy that of this hash and n."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    return df.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("vslot"))
+    own = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.col(id_col), text).alias("h"))
+    counted = own.groupBy("id", "size", "text_crc32", "h").agg(F.count(F.lit(1)).alias("n"))
+    runs = counted.select("id", "size", "text_crc32", "h", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("first"))
+    # runs of one group go to different tasks
+    slot = F.pmod(F.when(F.col("copy") == 0, F.col("h")).otherwise(F.xxhash64("h", "copy")), F.lit(slots)).cast("int")
+    last = F.least(F.col("first") + RUN, F.col("n")) - 1
+    numbered = runs.repartition("h", "first").select("id", "size", "text_crc32", "h", F.explode(F.sequence("first", last)).alias("copy"))
+    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", slot.alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
