@@ -30,6 +30,8 @@ from docquarry.llm.shared import arrow_batches, forget, renamed, written
 SEED = 42
 #: A bucket up to this size is compared pair by pair, a larger one by way of its members' neighbours.
 PAIRWISE = 64
+#: Parts that the documents of a fingerprint are dealt to when they get their component.
+SALTS = 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -150,16 +152,21 @@ def near_groups(df: DataFrame, *, k: int = 3, radius: int = 2, id_col: str = "do
     component has no other. Repeated rows stay. An empty table gives an empty result."""
     if radius not in (0, 2, 4):
         raise ValueError("radius must be 0, 2 or 4")
-    docs = written(fingerprints(df, k=k, id_col=id_col, text_col=text_col), "simhash")
-    nodes = docs.groupBy("fp").agg(F.min(id_col).alias("least"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = written(fingerprints(own, k=k, id_col="id"), "simhash")
+    nodes = written(docs.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     hung = components(links(nodes.select("fp"), radius))
     members = hung.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(hung.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    members = written(members.join(nodes, "fp"), "members")
+    members = written(members.join(nodes, "fp").select("fp", "root", "least"), "members")
     roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = members.join(roots, "root").select("fp", "component_id")
-    classes = nodes.join(own, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = members.join(roots, "root").select("fp", "component_id")
+    # a fingerprint of one document that is linked to no other needs no join; those of many documents meet in SALTS places
+    alone = nodes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    classes = linked.unionByName(alone).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    rows = docs.withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(classes, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
+    found = rows.join(classes.withColumn("met", F.lit(True)), ["fp", "salt"], "left")
+    return found.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def progressions(tables: int, width: int, bits: int) -> np.ndarray:
