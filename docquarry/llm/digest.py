@@ -1,51 +1,48 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters.
 
-A window of WIDTH bytes starts at every byte. A window's entropy is the collision entropy of its bytes, -log2 of the chance that two places hold the same byte, and
-follows from its count of equal pairs. How often each count comes is summed over all documents; a window is the rarer,
-the rarer its count. Of every NEAR windows in a row the rarest is named, and those named NAMED times or more
-(equal ones together) are the features; a text without such has all its windows. Windows of very low entropy (runs of few characters) rank last, so they are named only among their like.
+One rule holds for texts of every length. LEAD zero bytes are put before a text (and zeros after one that is still
+shorter than a window), so that its first few bytes have windows of their own. A window of WIDTH bytes starts at every
+byte. A window's entropy is the collision entropy of its bytes, -log2 of the chance that two places hold the same byte,
+and follows from its count of equal pairs. How often each count comes is summed over all windows of all documents; a
+window is the rarer, the rarer its count. Windows of very low entropy (runs of few characters) rank last, so they are
+named only among their like. Each window names the rarest of the NEAR windows up to and with itself (of fewer at a text's
+start), so what a text's start names doesn't depend on what follows. The windows named are the features, equal ones once.
 
 Features fill Bloom filters of BITS bits with HASHES bits each, FULL different features a filter; the chain of filters is
 the fingerprint. Two filters' likeness is their common bits, less what chance explains, against the most they could
 share; each filter of the shorter chain counts, by its features, with its best partner among all of the other.
 
-There are three kinds of features: the rare windows, all windows of 8 bytes, and all of 3. A text's own kind is the last
-one under TINY characters, the second under SHORT, else the first. It also has each other kind that its neighbours across
-a border may have: rare windows wherever WIDTH bytes are, 8 bytes under twice SHORT characters, 3 under twice TINY. Each
-kind has a chain of its own, and two texts are compared by a kind that both have, the finer of their own ones if possible.
-Null texts count as empty; a text without features has the fingerprint "0". Equal fingerprints have likeness 1, and "0" has likeness 0 to others.
+Null texts count as empty, and empty texts alone have the fingerprint "0". Equal fingerprints have likeness 1, and "0" has
+likeness 0 to others. Repeated texts have equal fingerprints.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.shared import arrow_batches
 
-WIDTH, NEAR, NAMED, SHORT, TINY = 32, 64, 24, 512, 32
+WIDTH, LEAD, NEAR = 16, 12, 64
 BITS, HASHES, FULL = 2048, 5, 160
 #: Equal pairs of a window: all of them, and from how many on its entropy is very low (under 2 bits).
 PAIRS = WIDTH * (WIDTH - 1) // 2
 LOW = (WIDTH * WIDTH // 4 - WIDTH) // 2
+#: Rows and bytes that a range of ids has about; a single id with more rows is cut by the texts' hashes.
+ROWS, BYTES = 50_000, 128 << 20
 _BLOCK = 1 << 15
-#: Letters of the kinds: rare windows, windows of 8 bytes, windows of 3.
-KINDS = "LST"
 
+Chain = tuple[np.ndarray, np.ndarray]
 
-def starts(data: np.ndarray) -> np.ndarray:
-    """Where windows start in a text's bytes."""
-    return np.arange(max(0, len(data) - WIDTH + 1))
 
-
-def all_pairs(data: np.ndarray) -> np.ndarray:
+def equal_pairs(data: np.ndarray) -> np.ndarray:
     """Pairs of equal bytes in the window at each byte.
 
     From one window to the next the pairs of the first byte go and those of the new one come; in blocks."""
@@ -62,42 +59,43 @@ def all_pairs(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def equal_pairs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Pairs of equal bytes in the window at each start."""
-    return all_pairs(data)[at]
-
-
-def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, and the text that each belongs to."""
-    raw = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
-    return np.concatenate([np.zeros(0, np.uint8), *raw]), np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-
-
-def _within(of: np.ndarray, n: int) -> np.ndarray:
-    """Whether the n bytes from each on are of one text."""
-    return of[: max(0, len(of) - n + 1)] == of[n - 1 :]
+def _windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts that have any, each led and filled up; where windows start in them, and the text of each window."""
+    raw = [(t or "").encode() for t in texts]
+    own = [i for i, r in enumerate(raw) if r]
+    led = [np.frombuffer((bytes(LEAD) + raw[i]).ljust(WIDTH, b"\0"), dtype=np.uint8) for i in own]
+    n = np.array([len(x) - WIDTH + 1 for x in led], dtype=np.int64)
+    first = np.cumsum([0, *(len(x) for x in led[:-1])]) if led else np.zeros(0, np.int64)
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.concatenate([np.zeros(0, np.uint8), *led]), at, np.repeat(np.array(own, dtype=np.int64), n)
 
 
 def census(texts: list) -> np.ndarray:
     """How many windows of the texts have each count of equal pairs."""
-    data, of = _joined(texts)
-    return np.bincount(all_pairs(data)[_within(of, WIDTH)], minlength=PAIRS + 1)
-
-
-def named(place: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """How often each window is the rarest (the first of equals) of NEAR in a row, of those rows that are whole; in blocks."""
-    out = np.zeros(len(place), dtype=np.int64)
-    for b in range(0, len(whole), _BLOCK):
-        least = place[b : b + _BLOCK + NEAR - 1].astype(np.int64) << 32
-        least += np.arange(len(least))
+    data, at, _ = _windows(texts)
+    return np.bincount(equal_pairs(data)[at], minlength=PAIRS + 1)
+
+
+def named(place: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The windows that are the rarest (the first of equals) of the NEAR up to some window of their text. place: each
+    window's rank, of: its text, in order. In blocks."""
+    gap, none = NEAR - 1, 1 << 30
+    if not len(of):
+        return of
+    texts = np.cumsum(np.concatenate(([0], of[1:] != of[:-1])))
+    spot = np.arange(len(place)) + gap * (texts + 1)
+    wide = np.full(int(spot[-1]) + 1, none, dtype=np.int64)
+    wide[spot] = place
+    rarest = np.zeros(len(wide), dtype=bool)
+    for b in range(0, len(wide) - gap, _BLOCK):
+        row = wide[b : b + _BLOCK + gap]
+        least = (row << 32) + np.arange(len(row))
         w = 1
         while w < NEAR:
             least = np.minimum(least[:-w], least[w:])
             w *= 2
-        best = least[whole[b : b + _BLOCK]] & (2**32 - 1)
-        most = min(_BLOCK + NEAR - 1, len(place) - b)
-        out[b : b + most] += np.bincount(best, minlength=most)
-    return out
+        rarest[b + (least[row[gap:] < none] & (2**32 - 1))] = True
+    return np.flatnonzero(rarest[spot])
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -108,8 +106,9 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mixed(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of 8-byte words."""
+def _hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the window at each start."""
+    rows = np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view("<u8").reshape(-1, WIDTH // 8)
     h = np.full(len(rows), 0x51ED270B, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for col in rows.T:
@@ -119,65 +118,22 @@ def _mixed(rows: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def _hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the window at each start."""
-    return _mixed(np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view("<u8").reshape(-1, WIDTH // 8))
-
-
-def own_kind(n: int) -> int:
-    """The kind of features that a text of n characters is digested by."""
-    return 2 if n < TINY else 1 if n < SHORT else 0
-
-
 def features(texts: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the features of all texts, in their order, and 3 * text + kind (a place in KINDS) of each."""
-    hashes, owner = [], []
-    raw = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
-    chars = [len(t or "") for t in texts]
-    long = [i for i, d in enumerate(raw) if len(d) >= WIDTH]
-    for i, d in enumerate(raw):
-        for kind, wide, most in ((1, 8, 2 * SHORT), (2, 3, 2 * TINY)):
-            if not 0 < chars[i] < most or len(d) < wide and own_kind(chars[i]) != kind:
-                continue
-            w = sliding_window_view(np.concatenate((d, np.zeros(max(0, wide - len(d)), np.uint8))), wide)
-            padded = np.zeros((len(w), 8), dtype=np.uint8)
-            padded[:, :wide] = w
-            hashes.append(_mixed(padded.view("<u8")))
-            owner.append(np.full(len(w), 3 * i + kind))
-    if long:
-        data, of = _joined([texts[i] for i in long])
-        inside, of = _within(of, WIDTH), np.array(long)[of]
-        if inside.any():
-            times = named(rank[all_pairs(data)], _within(of, WIDTH + NEAR - 1))
-            of = of[: len(times)]
-            some = np.flatnonzero(times)
-            h, o = _hashed(data, some), of[some]
-            # windows with the same bytes count together, or a text that repeats within NEAR would name none often
-            order = np.lexsort((h, o))
-            new = np.ones(len(some), dtype=bool)
-            new[1:] = (h[order[1:]] != h[order[:-1]]) | (o[order[1:]] != o[order[:-1]])
-            sums = np.add.reduceat(times[some][order], np.flatnonzero(new)) if len(some) else np.zeros(0, np.int64)
-            take = np.zeros(len(some), dtype=bool)
-            take[order] = sums[np.cumsum(new) - 1] >= NAMED
-            rest = np.flatnonzero(inside & (np.bincount(o[take], minlength=len(raw))[of] == 0))
-            hashes += [h[take], _hashed(data, rest)]
-            owner += [3 * o[take], 3 * of[rest]]
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, o = np.concatenate(hashes), np.concatenate(owner)
-    order = np.argsort(o, kind="stable")
-    return h[order], o[order]
-
-
-def chains(texts: list, rank: np.ndarray) -> list[dict]:
-    """For each text its chains by kind, its own kind first: filters (rows of bytes) and how many features each holds."""
+    """Hashes of the different features of all texts, in the order of their first places, and the text of each."""
+    data, at, of = _windows(texts)
+    some = named(rank[equal_pairs(data)[at]], of)
+    h, o = _hashed(data, at[some]), of[some]
+    order = np.lexsort((h, o))
+    new = np.ones(len(some), dtype=bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (o[order[1:]] != o[order[:-1]])
+    take = np.sort(order[new])
+    return h[take], o[take]
+
+
+def chains(texts: list, rank: np.ndarray) -> list[Chain]:
+    """For each text its chain: filters (rows of bytes) and how many features each holds."""
     h, owner = features(texts, rank)
-    order = np.lexsort((h, owner))
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[order[1:]] != h[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-    keep = np.sort(order[first])
-    h, owner = h[keep], owner[keep]
-    n = np.bincount(owner, minlength=3 * len(texts))
+    n = np.bincount(owner, minlength=len(texts))
     within = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     filters = (n + FULL - 1) // FULL
     begin = np.cumsum(filters) - filters
@@ -186,42 +142,30 @@ def chains(texts: list, rank: np.ndarray) -> list[dict]:
     for k in range(HASHES):
         bits[row, ((h >> np.uint64(11 * k)) % np.uint64(BITS)).astype(np.int64)] = True
     made, held = np.packbits(bits, axis=1), np.bincount(row, minlength=len(bits))
-    out = []
-    for i, t in enumerate(texts):
-        own = own_kind(len(t or ""))
-        of = {k: (made[b : b + f], held[b : b + f]) for k in (own, *({0, 1, 2} - {own})) for b, f in [(begin[3 * i + k], filters[3 * i + k])]}
-        out.append({k: c for k, c in of.items() if len(c[0])})
-    return out
+    return [(made[b : b + f], held[b : b + f]) for b, f in zip(begin, filters, strict=True)]
 
 
-def printed(chain: dict) -> str:
-    """The fingerprint as text: for each kind its letter, filters, features of the last one, and all bits in base 64."""
-    return "|".join(f"{KINDS[k]}{len(f)}:{held[-1]}:{base64.b64encode(f.tobytes()).decode()}" for k, (f, held) in chain.items()) or "0"
+def printed(chain: Chain) -> str:
+    """The fingerprint as text: filters, features of the last one, and all bits in base 64."""
+    f, held = chain
+    return f"{len(f)}:{held[-1]}:{base64.b64encode(f.tobytes()).decode()}" if len(f) else "0"
 
 
-def read(fingerprint: str) -> dict:
-    """The chains that a fingerprint prints."""
-    out = {}
-    for part in fingerprint.split("|") if fingerprint != "0" else []:
-        n, last, data = part[1:].split(":")
-        out[KINDS.index(part[0])] = np.frombuffer(base64.b64decode(data), np.uint8).reshape(int(n), -1), np.array([FULL] * (int(n) - 1) + [int(last)])
-    return out
-
-
-def likeness(a: dict, b: dict) -> float:
-    """Likeness of two texts' chains, 0 to 1, by a kind both have: the finer of their own ones, else the other, else any."""
-    if list(a) == list(b) and all(np.array_equal(a[k][0], b[k][0]) for k in a):
-        return 1.0
-    own = sorted((next(iter(x)) for x in (a, b) if x), reverse=True)
-    kind = next((k for k in (*own, 2, 1, 0) if k in a and k in b), None)
-    return _likeness(a[kind], b[kind]) if kind is not None else 0.0
+def read(fingerprint: str) -> Chain:
+    """The chain that a fingerprint prints."""
+    if fingerprint == "0":
+        return np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int64)
+    n, last, data = fingerprint.split(":")
+    return np.frombuffer(base64.b64decode(data), np.uint8).reshape(int(n), -1), np.array([FULL] * (int(n) - 1) + [int(last)])
 
 
-def _likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Likeness of two chains of a kind, neither empty."""
-    (f, m), (g, n) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+def likeness(a: Chain, b: Chain) -> float:
+    """Likeness of two chains, 0 to 1."""
+    (f, m), (g, n) = (a, b) if (len(a[0]), a[1].sum()) <= (len(b[0]), b[1].sum()) else (b, a)
     if f.shape == g.shape and (f == g).all():
         return 1.0
+    if not len(f):
+        return 0.0
     f, g = np.ascontiguousarray(f).view("<u8"), np.ascontiguousarray(g).view("<u8")
     size_f, size_g = np.bitwise_count(f).sum(axis=1, dtype=np.int64), np.bitwise_count(g).sum(axis=1, dtype=np.int64)
     total = 0.0
@@ -267,22 +211,31 @@ def fingerprints(df: DataFrame, rank: np.ndarray, *, id_col: str = "doc_id", tex
 def in_sequence(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt into ranges of the id, each followed by the row that comes next: bucket, late (1 for that row), id, text.
 
-    Order: id (null first), then the text's hash. Ranges come from approximate quantiles of the id; of each range only
-    its first key reaches the driver. The row after the last is the first of all. Within a partition rows are sorted."""
+    Order: id (null first), then the text's hash. Ranges come from approximate quantiles of the id and hold about BYTES; an
+    id of more than ROWS rows, null included, has ranges of its own, cut by the texts' hashes. Of each range only its first
+    key reaches the driver. The row after the last is the first of all. Within a partition rows are sorted."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     own = own.withColumn("place", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
+    total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.bytes // BYTES))
     cuts = own.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    splits = sorted({c for c in cuts if np.isfinite(c)})
+    # at most 10,000 places have so many rows
+    lot = max(ROWS, total.n // 10_000)
+    many = {r.place: -(-r["count"] // lot) for r in own.groupBy("place").count().where(F.col("count") > lot).collect()}
+    splits = sorted(({c for c in cuts} | {x for p in many for x in (p, math.nextafter(p, math.inf))}) - {-math.inf, math.inf})
     # a binary search for each row, however many ranges there are
-    ranges = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="place", outputCol="range") if len(splits) > 0 else None
-    own = (ranges.transform(own) if ranges else own.withColumn("range", F.lit(0.0))).withColumn("bucket", F.col("range").cast("int"))
+    ranges = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="place", outputCol="range") if splits else None
+    own = (ranges.transform(own) if ranges else own.withColumn("range", F.lit(0.0))).withColumn("range", F.col("range").cast("int"))
+    slices = spark.createDataFrame([(int(np.searchsorted(splits, p, side="right")), k) for p, k in many.items()], "range int, slices int")
+    part = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.coalesce("slices", F.lit(1)))
+    own = own.join(F.broadcast(slices), "range", "left").withColumn("slice", F.least(part, F.coalesce("slices", F.lit(1)) - 1).cast("int"))
     key = F.struct(F.col("id").isNotNull().alias("given"), F.col("id"), F.col("h"))
-    firsts = sorted((r.bucket, r.k) for r in own.groupBy("bucket").agg(F.min(key).alias("k")).collect())
+    firsts = sorted((r.range, r.slice, r.k) for r in own.groupBy("range", "slice").agg(F.min(key).alias("k")).collect())
     # the first row of each range also goes to the range before it; one row for each range
-    ahead = spark.createDataFrame([(b, k.id, k.h, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)], f"bucket int, first_id {own.schema['id'].dataType.simpleString()}, first_h long, before int")
-    own = own.join(F.broadcast(ahead), "bucket", "left")
+    kind = own.schema["id"].dataType.simpleString()
+    ahead = spark.createDataFrame([(r, s, i, k.id, k.h, (i - 1) % len(firsts)) for i, (r, s, k) in enumerate(firsts)], f"range int, slice int, bucket int, first_id {kind}, first_h long, before int")
+    own = own.join(F.broadcast(ahead), ["range", "slice"])
     is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
     copies = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("late")), F.when(is_first, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("late")))))
     return own.select(F.explode(copies).alias("x"), "id", "h", "text").select("x.bucket", "x.late", "id", "h", "text").repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "late", "id", "h").select("bucket", "late", "id", "text")
