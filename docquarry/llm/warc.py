@@ -5,12 +5,15 @@ text writer puts each archive in a file (it ends a file with a zero byte, which
 store that Spark writes to will do, and a lost executor's archives are written again.
 
 Reading: each archive is parsed record by record, payload digests are checked, and its captures, sorted by URL key, time
-and page, are a run. Ranges of the key are dealt to tasks; each merges its parts of all runs with a loser tree, so the
-ranges in order are the history of all captures.
+and page, are a run of blocks of BLOCK captures. The runs are written to the shared folder. Ranges of the key are dealt to
+tasks, and each merges its parts of all runs with a loser tree, so the ranges in order are the history of all captures.
+A task reads the blocks in the order of their first keys: a run's next block comes before any capture in it is due, so the
+merge is an external one. It holds the open blocks, about one for each run, and never a whole range.
 
 Of records with equal payloads of at least SHARED bytes, the one with the largest id is a response and the others revisit
 it; rows that repeat that id are all responses. A null id counts as smaller than any. Null payloads are empty. A page
-without a capture time was captured EPOCH plus its id in seconds.
+without a capture time was captured EPOCH plus its id modulo SPAN in seconds, a null id at EPOCH. Texts of any length are one
+record. Columns of other names in the table play no part.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.shared import arrow_batches, scratch, written
 
-SHARED, ARCHIVE, RANGE = 1000, 16 << 20, 200_000
-EPOCH = datetime.datetime(2024, 1, 1)
+SHARED, ARCHIVE, RANGE, BLOCK = 1000, 16 << 20, 200_000, 64
+EPOCH, SPAN = datetime.datetime(2024, 1, 1), 10**10
+#: Parts that the rows of a payload are dealt to when they get the page they refer to.
+SALTS = 16
 _CRLF = b"\r\n"
 
 
@@ -44,7 +49,7 @@ def url_key(url: str | None) -> str:
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: bytes) -> bytes:
     """A WARC/1.1 record as a gzip member: a response with its payload, or a revisit with the response's headers only."""
     name = lambda p: "<urn:page:{}>".format("null" if p is None else p)
-    date = EPOCH + datetime.timedelta(seconds=max(0, min(page or 0, 10**10)))
+    date = EPOCH + datetime.timedelta(seconds=(page or 0) % SPAN)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {date:%Y-%m-%dT%H:%M:%SZ}"]
     if url is not None:
@@ -95,7 +100,10 @@ def with_references(pages: DataFrame, id_col: str, url_col: str, html_col: str)
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.octet_length("payload") >= SHARED).groupBy("digest").agg(F.max("page").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    out = rows.join(shared.select("digest", "newest"), "digest", "left")
+    shared = written(shared.select("digest", "newest"), "shared")  # of known size: payloads stay where they are if it is small
+    # only payloads that several rows have need the join; their rows meet in SALTS places
+    spread = shared.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("page", "url", F.spark_partition_id()), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"], "left")
     older = F.col("newest").isNotNull() & (F.col("page").isNull() | (F.col("page") < F.col("newest"))) & (F.octet_length("payload") >= SHARED)
     return out.select("page", "url", "payload", F.when(older, F.col("newest")).alias("refers_to"))
 
@@ -125,10 +133,10 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The runs of the archives in a folder: run (the archive's file), pos (order in the run), url_key, captured_at, page,
-    url, type, digest, size, refers_to, offset, length."""
+    url, type, digest, size, refers_to, offset, length, and head_key, head_at and head_page, the first key of the block."""
     arrow_batches(spark, rows=1)
-    names = ["run", "pos", "url_key", "captured_at", "page", "url", "type", "digest", "size", "refers_to", "offset", "length"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["run", "pos", "url_key", "captured_at", "page", "url", "type", "digest", "size", "refers_to", "offset", "length", *HEAD]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
         for b in batches:
@@ -138,6 +146,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     r = parsed(content)
                     entries.append((url_key(r["url"]), r["at"], r["page"], r["url"], r["type"], r["digest"], r["size"], r["refers_to"], at, length))
                 entries.sort(key=order)
+                entries = [(*e, *entries[i - i % BLOCK][:3]) for i, e in enumerate(entries)]
                 cols = [[file] * len(entries), list(range(len(entries))), *(list(c) for c in zip(*entries, strict=True))] if entries else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -146,6 +155,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{n} {types[k]}" for n, k in zip(names, kinds, strict=True)))
 
 
+#: Columns of a capture that hold the first key of its block.
+HEAD = ["head_key", "head_at", "head_page"]
+
+
 def order(entry: tuple) -> tuple:
     """The order of captures: URL key, time, page (null first)."""
     return entry[0], entry[1], entry[2] is not None, entry[2] or 0
@@ -153,12 +166,17 @@ def order(entry: tuple) -> tuple:
 
 class LoserTree:
     """Merges sorted lists: inner nodes keep the losers of matches between lists, so the next winner needs one match for
-    each level. An exhausted list loses to all; of equal heads the earlier list wins."""
+    each level. An exhausted list loses to all; of equal heads the earlier list wins. A list that has run out can be
+    filled up again by add(); matches are then played anew when the next winner is asked for."""
 
     def __init__(self, lists: list[list], key=order):
-        self.lists, self.key, self.k = lists, key, len(lists)
-        self.at = [0] * self.k
-        self.head = [key(x[0]) if x else None for x in lists]
+        self.key, self.lists, self.at = key, [list(x) for x in lists], [0] * len(lists)
+        self._play()
+
+    def _play(self) -> None:
+        """Play all matches."""
+        self.k, self.stale = len(self.lists), False
+        self.head = [self.key(x[i]) if i < len(x) else None for x, i in zip(self.lists, self.at, strict=True)]
         self.losers = [-1] * self.k
         winner = [-1] * (2 * self.k)
         winner[self.k :] = range(self.k)
@@ -171,8 +189,22 @@ class LoserTree:
         x, y = self.head[a], self.head[b]
         return y is None or x is not None and (x, a) < (y, b)
 
-    def __iter__(self):
-        while self.best >= 0 and self.head[self.best] is not None:
+    def add(self, number: int, entries: list) -> None:
+        """Append entries to a list; number may be one past the last list, for a new one."""
+        if number == len(self.lists):
+            self.lists.append([])
+            self.at.append(0)
+        ran_out = self.at[number] >= len(self.lists[number])
+        self.lists[number] = self.lists[number][self.at[number] :] + entries
+        self.at[number] = 0
+        # the head of a list that goes on stays as it is
+        self.stale |= ran_out
+
+    def before(self, limit=None):
+        """The entries in order, as long as their key is below the limit."""
+        if self.stale:
+            self._play()
+        while self.best >= 0 and self.head[self.best] is not None and (limit is None or self.head[self.best] < limit):
             w = self.best
             yield self.lists[w][self.at[w]]
             self.at[w] += 1
@@ -184,6 +216,28 @@ class LoserTree:
                 node //= 2
             self.best = w
 
+    def __iter__(self):
+        return self.before()
+
+
+def interleaved(rows, number, head, key):
+    """Merge rows of several runs that come block by block, blocks in the order of head(row), the same for all of a block
+    and not above the keys in it; number(row): the row's run. Rows of a run come in the order of their keys."""
+    tree, of, block, now = LoserTree([], key), {}, [], None
+    for row in rows:
+        this = number(row), head(row)
+        if this != now:
+            if block:
+                tree.add(of.setdefault(now[0], len(of)), block)
+                block = []
+            # whatever is below the head of the block to come can't be preceded by anything still unread
+            yield from tree.before(this[1])
+            now = this
+        block.append(row)
+    if block:
+        tree.add(of.setdefault(now[0], len(of)), block)
+    yield from tree.before()
+
 
 def merged(runs: DataFrame) -> DataFrame:
     """All captures of the runs with capture_no, their place in the order of URL key, time and page, from 0.
@@ -192,30 +246,24 @@ def merged(runs: DataFrame) -> DataFrame:
     only its count reaches the driver."""
     spark = runs.sparkSession
     runs = written(runs, "runs")
-    names = runs.columns
+    names = [c for c in runs.columns if c not in HEAD]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
-    dealt = runs.repartitionByRange(parts, "url_key", "captured_at", F.col("page").asc_nulls_first()).sortWithinPartitions("run", "pos")
-    arrow_batches(spark, rows=10_000)
+    dealt = runs.repartitionByRange(parts, "url_key", "captured_at", F.col("page").asc_nulls_first())
+    dealt = dealt.sortWithinPartitions("head_key", "head_at", F.col("head_page").asc_nulls_first(), "run", "pos")
+    arrow_batches(spark, rows=1000)
 
     def run(batches):
-        lists: list[list] = []
-        last, part = None, TaskContext.get().partitionId()
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != last:
-                    last = row[0]
-                    lists.append([])
-                lists[-1].append(row)
-        out, done = [], 0
-        for row in LoserTree(lists, key=lambda r: order(r[2:])):
-            out.append(row)
-            if len(out) == 10_000:
+        part, out, done = TaskContext.get().partitionId(), [], 0
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for row in interleaved(rows, lambda r: r[0], lambda r: order(r[-3:]), lambda r: order(r[2:])):
+            out.append(row[: len(names)])
+            if len(out) == 1000:
                 yield batch(part, done, out)
                 done, out = done + len(out), []
         if out:
             yield batch(part, done, out)
 
-    schema = runs.schema
+    schema = runs.select(*names).schema
     kinds = [pa.string() if f.dataType.simpleString() == "string" else pa.int64() for f in schema.fields]
 
     def batch(part: int, done: int, rows: list) -> pa.RecordBatch:
@@ -246,7 +294,7 @@ ARCHIVED_SQL = """
 WITH split AS (SELECT page_id, coalesce(html, '') AS html, lower(split_part(CASE WHEN length(split_part(url, '://', 2)) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END, '#', 1)) AS rest FROM pages),
 hosts AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS authority, regexp_extract(rest, '^[^/?]*(.*)$', 1, 's') AS tail FROM split),
 keyed AS (SELECT *, split_part(regexp_replace(authority, '^.*@', ''), ':', 1) AS host, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS newest,
-          strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM hosts),
+          strftime(TIMESTAMP '2024-01-01' + to_seconds(((coalesce(page_id, 0) % 10000000000) + 10000000000) % 10000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM hosts),
 named AS (SELECT *, CASE WHEN host <> '' THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END ELSE tail END AS url_key,
           CASE WHEN payload_bytes >= 1000 AND newest IS NOT NULL AND (page_id IS NULL OR page_id < newest) THEN newest END AS refers_to FROM keyed)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url_key, captured_at,

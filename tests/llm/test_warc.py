@@ -56,6 +56,44 @@ def test_loser_tree_equals_a_sort(k):
     assert list(warc.LoserTree(lists, key=lambda x: x)) == sorted(x for one in lists for x in one)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_in_the_order_of_their_heads_equal_a_sort(seed):
+    rng = random.Random(seed)
+    runs = [sorted(rng.choices(range(40), k=rng.randint(0, 60))) for _ in range(rng.randint(1, 9))]
+    rows = [(k, run[i - i % 4], i, x) for k, run in enumerate(runs) for i, x in enumerate(run)]
+    rows.sort(key=lambda r: (r[1], r[0], r[2]))
+    got = list(warc.interleaved(rows, lambda r: r[0], lambda r: r[1], lambda r: r[3]))
+    assert [r[3] for r in got] == sorted(x for run in runs for x in run) and sorted(got) == sorted(rows)
+
+
+def test_a_merge_holds_open_blocks_only(monkeypatch):
+    runs = [[k + 50 * i for i in range(4000)] for k in range(5)]
+    rows = sorted(((run[i - i % 64], k, i, x) for k, run in enumerate(runs) for i, x in enumerate(run)), key=lambda r: r[:3])
+    held, add = [], warc.LoserTree.add
+    monkeypatch.setattr(warc.LoserTree, "add", lambda self, n, x: (add(self, n, x), held.append(sum(len(y) - a for y, a in zip(self.lists, self.at, strict=True))))[0])
+    assert [r[3] for r in warc.interleaved(rows, lambda r: r[1], lambda r: r[0], lambda r: r[3])] == sorted(x for run in runs for x in run)
+    assert max(held) <= 5 * 64 * 2
+
+
+def test_captures_of_many_small_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rng = random.Random(4)
+    pages = [(rng.randrange(400), f"http://h{rng.randrange(4)}.com/{rng.randrange(9)}", f"page {i}") for i in range(500)] + [(-5, "http://neg.com", "x"), (3 * 10**10 + 7, "http://far.com", "y")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    warc.write(df, str(tmp_path / "w"), archive=2000)
+    got = warc.merged(warc.read(spark, str(tmp_path / "w"))).orderBy("capture_no").collect()
+    assert len({r.run for r in got}) > 20 and [r.capture_no for r in got] == list(range(502))
+    assert [(r.url_key, r.page) for r in got] == sorted(((warc.url_key(u), i) for i, u, _ in pages), key=lambda x: (x[0], x[1] % warc.SPAN, x[1]))
+    assert {r.page: r.captured_at for r in got}[3 * 10**10 + 7] == "2024-01-01T00:00:07Z"
+
+
+def test_a_very_long_page_and_clashing_columns(spark, tmp_path):
+    html = "<p>é</p>" * 700_000
+    df = spark.createDataFrame([(1, "http://a.b", html, "x", "y", 3), (2, "http://a.b", html, "x", "y", 3)], "page_id long, url string, html string, digest string, run string, salt int")
+    got = warc.archived(df, path=str(tmp_path / "w")).orderBy("page_id").collect()
+    assert [(r.record_type, r.refers_to, r.payload_bytes) for r in got] == [("revisit", 2, 6_300_000), ("response", None, 6_300_000)]
+
+
 def test_url_keys():
     assert warc.url_key("HTTP://u@www.Example.com:80/A?b#c") == "com,example,www)/a?b"
     assert warc.url_key("http://x.org?q") == "org,x)?q" and warc.url_key("http://x.org") == "org,x)/" and warc.url_key(None) == ""
