@@ -1,20 +1,19 @@
-"""Training-order materialisation: token sequences at permuted slots, in shards of fixed stride.
-
-Every text is encoded once and cut into sequences of LENGTH ids; the last is padded, and a text without ids gives one
-empty sequence. Texts are numbered by the task that reads them and their order in it; a sequence's number is its text's
-number times the most sequences a text can have (it has no more ids than bytes), plus its own. A keyed Feistel network
-permutes the smallest power of four from all M numbers on, and a number that leaves 0..M-1 is sent through again until it
-is back (cycle-walking), so each sequence gets a place of its own among M.
-
-Equal ranges of places are dealt to tasks by number. A task sorts its sequences by place and writes them to shards of
-PER_SHARD records of STRIDE bytes after a header, through Spark's text writer (a newline ends the file), to any store that
-Spark writes to. The global slot of a sequence is its rank by place: the records of the ranges before its own, and its
-index in its range. Both counts are in the manifest and the headers, so a reader finds a slot by arithmetic, reads on in
-order, and resumes at any slot. Slots have no gaps.
-
-The numbering follows the input's files and splits; with the same files and settings it is the same, and a task that
-meets other counts than were taken before fails. Null texts count as empty, null ids are kept, repeated rows are rows of
-their own.
+"""Training-order materialisation: every token sequence at the slot that a keyed permutation gives it, in shards of fixed stride.
+
+Every text is encoded once, into a table in the shared folder. It is cut into sequences of LENGTH ids, the last one padded
+when it is written; a text without ids gives one empty sequence. Sequences are numbered from 0 to M-1 by the data alone:
+by a hash of the document's id and text, by both, by the copy's number among equal rows, and by the place in the text. A
+keyed Feistel network permutes the smallest power of four from M numbers on, and a number that leaves 0..M-1 is sent
+through again until it is back (cycle-walking). What comes out is the sequence's global slot. So the order depends on
+the rows and the key only, not on files, splits or settings, and slots have no gaps.
+
+Equal ranges of slots are dealt to tasks by number; ids are shuffled without padding. A task sorts its sequences by slot
+and writes them to shards of PER_SHARD records of STRIDE bytes after a header, through Spark's text writer (a newline ends
+the file), to any store that Spark writes to. All ranges but the last are full, so where a slot lies follows by
+arithmetic from one row of the manifest, and a reader that resumes at a slot opens the ranges from there on only.
+
+Null texts count as empty, null ids are kept, repeated rows are rows of their own (which of them has which number doesn't
+show), an empty table gives no shards, and a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -26,15 +25,19 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import arrow_batches, scratch
+from docquarry.llm.shared import arrow_batches, scratch, written
 
 LENGTH, PER_SHARD, ROUNDS = 512, 8192, 4
 #: A record: whether the document's id is given, the id, the sequence's number in the document, its ids in use, all ids.
 RECORD = np.dtype([("given", "<u2"), ("used", "<u2"), ("part", "<u4"), ("doc", "<i8"), ("ids", "<u2", LENGTH)])
 STRIDE = RECORD.itemsize
+#: Records of a range at least, if there are so many, and rows that are numbered together at most on average.
+RANGE, LOT = 16 * PER_SHARD, 500_000
+#: What a record begins with; in a shuffle only the ids in use follow.
+FRONT = RECORD.fields["ids"][1]
 #: Of a shard: magic, range, index of its first record in the range, records, stride.
 HEADER = ">8sQQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
@@ -82,55 +85,85 @@ def encoder(ranks: bytes, pattern: str):
     return _encoders[key]
 
 
-def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20240607, *, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Write the shards of df's texts to the folder `path`; returns the number of sequences. Ids must be below 65536."""
+def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """df: doc, text. Per row: given, doc, h (hash of the text), n (sequences), ids (unsigned 16-bit), task and nth, the row's
+    number among those of its task that are equal in doc, h and n."""
     spark: SparkSession = df.sparkSession
     arrow_batches(spark)
     with open(ranks_path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    own = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    # one row for each task that reads
-    counts = own.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("longest")).collect()
-    most = max((-(-r.longest // LENGTH) for r in counts), default=1) or 1
-    total, starts = 0, {}
-    for r in sorted(counts):
-        starts[r.task] = (total, r.n)
-        total += r.n
-    begun = spark.sparkContext.broadcast(starts)
-    places = max(1, total * most)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    each = -(-places // parts)
+    def run(batches):
+        enc, task, seen = encoder(sent.value, pattern), TaskContext.get().partitionId(), {}
+        for b in batches:
+            given, docs, hashes, texts = (c.to_pylist() for c in b.columns)
+            ids = [enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            if any(len(x) and x.max() > 65535 for x in ids):
+                raise ValueError("ids must be below 65536")
+            n = [max(1, -(-len(x) // LENGTH)) for x in ids]
+            nth = []
+            for k in zip(given, docs, hashes, n, strict=True):
+                nth.append(seen.get(k, 0))
+                seen[k] = nth[-1] + 1
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array([task] * len(n), pa.int32()), pa.array(nth, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["given", "doc", "h", "n", "ids", "task", "nth"])
+
+    own = df.select(F.col("doc").isNotNull().alias("given"), F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    return own.mapInArrow(run, "given boolean, doc long, h long, n int, ids binary, task int, nth long")
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows of encoded() with first, the number of each one's first sequence, and the number of all sequences.
+
+    Equal rows are counted by task and numbered from these counts, so a group of any size stays spread. Of each lot only
+    its sequences are summed on the driver; there is one lot for LOT rows or so."""
+    key = ["given", "doc", "h", "n"]
+    lots = 1 << max(8, (rows.select("n").count() // LOT).bit_length())
+    lot = F.pmod(F.xxhash64("given", "doc", "h"), F.lit(lots)).cast("int").alias("lot")
+    counted = rows.groupBy(*key, "task").agg(F.count(F.lit(1)).alias("copies")).select("*", lot)
+    before = Window.partitionBy("lot").orderBy("given", "doc", "h", "n", "task").rowsBetween(Window.unboundedPreceding, -1)
+    counted = written(counted.withColumn("at", F.coalesce(F.sum(F.col("copies") * F.col("n")).over(before), F.lit(0))), "counted")
+    held = {r.lot: r.n for r in counted.groupBy("lot").agg(F.sum(F.col("copies") * F.col("n")).alias("n")).collect()}
+    offsets = np.cumsum([0, *(held.get(k, 0) for k in range(lots))])
+    begun = rows.sparkSession.createDataFrame([(k, int(offsets[k])) for k in range(lots)], "lot int, begin long")
+    starts = counted.join(F.broadcast(begun), "lot").select(*key, "task", (F.col("begin") + F.col("at")).alias("start"))
+    return rows.join(starts, [*key, "task"]).withColumn("first", F.col("start") + F.col("nth") * F.col("n")), int(offsets[-1])
+
+
+def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20240607, *, id_col: str = "doc_id", text_col: str = "text") -> int:
+    """Write the shards of df's texts to the folder `path`; returns the number of sequences. Ids must be below 65536."""
+    spark: SparkSession = df.sparkSession
+    own = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = written(encoded(own, ranks_path, pattern), "encoded", compression="zstd")
+    rows, total = numbered(rows)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    each = max(1, -(-total // parts))
 
     def cut(batches):
-        enc = encoder(sent.value, pattern)
-        at, expected = begun.value.get(TaskContext.get().partitionId(), (0, 0))
-        last = at + expected
         for b in batches:
-            rows, numbers = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode_to_numpy(text, disallowed_special=())
-                n = max(1, -(-len(ids) // LENGTH))
-                made = np.zeros(n, dtype=RECORD)
-                made["given"], made["doc"], made["part"] = doc is not None, doc or 0, np.arange(n)
-                made["used"] = np.clip(len(ids) - LENGTH * np.arange(n), 0, LENGTH)
-                padded = np.zeros(n * LENGTH, dtype="<u2")
-                padded[: len(ids)] = ids
-                made["ids"] = padded.reshape(-1, LENGTH)
-                rows.append(made)
-                numbers.append(at * most + np.arange(n))
-                at += 1
-            if rows:
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(STRIDE), sum(map(len, rows)), [None, pa.py_buffer(np.concatenate(rows).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(permuted(np.concatenate(numbers), places, key)), data.cast(pa.binary())], names=["place", "data"])
-        if at != last:
-            raise RuntimeError("the input changed between counting and writing")
+            given, docs, n, first = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            ids = b.column(3).to_pylist()
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            slots = permuted(np.repeat(first, n) + part, total, key)
+            front = np.zeros(len(part), dtype=[(c, RECORD[c]) for c in ("given", "used", "part", "doc")])
+            front["given"], front["doc"], front["part"] = np.repeat(given, n), np.repeat(docs, n), part
+            sizes = np.array([len(x) // 2 for x in ids], dtype=np.int64)
+            front["used"] = np.clip(np.repeat(sizes, n) - LENGTH * part, 0, LENGTH)
+            heads = front.tobytes()
+            data, k = [], 0
+            for x, m in zip(ids, n.tolist(), strict=True):
+                for j in range(m):
+                    data.append(heads[FRONT * k : FRONT * (k + 1)] + x[2 * LENGTH * j : 2 * LENGTH * (j + 1)])
+                    k += 1
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(data, pa.binary())], names=["slot", "data"])
 
     def pack(batches):
         held, done, number = [], 0, TaskContext.get().partitionId()
         for b in batches:
-            for data in b.column(1).to_pylist():
-                held.append(data)
+            for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if slot != number * each + done + len(held):
+                    raise RuntimeError("a slot is missing or taken twice")
+                held.append(data.ljust(STRIDE, b"\0"))
                 if len(held) == PER_SHARD:
                     yield shard(number, done, held)
                     held, done = [], done + PER_SHARD
@@ -139,39 +172,29 @@ def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20
 
     def shard(number: int, first: int, held: list) -> pa.RecordBatch:
         head = struct.pack(HEADER, MAGIC, number, first, len(held), STRIDE)
-        return pa.RecordBatch.from_arrays([pa.array([b"".join([head, *held])], pa.binary())], names=["value"])
-
-    placed = own.mapInArrow(cut, "place long, data binary").repartitionById(parts, F.floor(F.col("place") / each).cast("int"))
-    files = placed.sortWithinPartitions("place").mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")
-    return _manifest(spark, path)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join([head, *held])], pa.binary())], names=["range", "value"])
 
-
-def _number(c: str, at: int) -> F.Column:
-    """The unsigned big-endian 64-bit integer at byte `at` of a binary column."""
-    return F.conv(F.hex(F.substring(c, at + 1, 8)), 16, 10).cast("long")
+    placed = rows.select("given", "doc", "n", "ids", "first").mapInArrow(cut, "slot long, data binary")
+    dealt = placed.repartitionById(parts, F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions("slot")
+    files = dealt.mapInArrow(pack, "range int, value binary").select("range", F.col("value").cast("string").alias("value"))
+    files.write.partitionBy("range").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")
+    spark.createDataFrame([(total, each, PER_SHARD, STRIDE)], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    return total
 
 
-def _manifest(spark: SparkSession, path: str) -> int:
-    """Write the table of ranges (range, first slot, records) from the shards' headers; returns the number of sequences.
-    There are as many ranges as shuffle partitions."""
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where(f"length >= {HEADER_BYTES}")
-    counts = files.select(_number("content", 8).alias("range"), _number("content", 24).alias("n")).groupBy("range").agg(F.sum("n").alias("n")).collect()
-    rows, total = [], 0
-    for r in sorted(counts):
-        rows.append((r.range, total, r.n))
-        total += r.n
-    spark.createDataFrame(rows, "range long, first long, n long").coalesce(1).write.parquet(f"{path}/manifest")
-    return total
+#: The manifest: sequences, slots of a range, records of a shard, bytes of a record.
+MANIFEST = "total long, each long, per_shard int, stride int"
 
 
-def records(data: bytes, first: int = 0, start: int = 0) -> tuple[int, int, np.ndarray]:
-    """Of a shard whose range begins at slot `first`: the slot of its first record from slot `start` on, that record's byte
-    offset, and the records from there."""
-    magic, _, index, n, stride = struct.unpack_from(HEADER, data)
+def records(data: bytes, each: int, start: int = 0) -> tuple[int, int, np.ndarray]:
+    """Of a shard in ranges of `each` slots: the slot of its first record from slot `start` on, that record's byte offset,
+    and the records from there."""
+    if len(data) < HEADER_BYTES:
+        raise ValueError("not a whole shard")
+    magic, number, index, n, stride = struct.unpack_from(HEADER, data)
     if magic != MAGIC or stride != STRIDE or len(data) < HEADER_BYTES + n * stride:
         raise ValueError("not a whole shard")
-    slot = first + index
+    slot = number * each + index
     skip = min(n, max(0, start - slot))
     return slot + skip, HEADER_BYTES + skip * stride, np.frombuffer(data, dtype=RECORD, count=n - skip, offset=HEADER_BYTES + skip * stride)
 
@@ -180,24 +203,27 @@ def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     """The sequences of the shards in a folder from slot `start` on: slot, shard (its range and number in it), byte_offset,
     doc_id, part, n_tokens, ids_sha256 (of the ids in use as little-endian unsigned 32-bit integers)."""
     arrow_batches(spark, rows=1)
-    firsts = {r.range: r.first for r in spark.read.schema("range long, first long, n long").parquet(f"{path}/manifest").where(F.col("first") + F.col("n") > start).collect()}
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").first()
+    each = manifest.each
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
                 data = content.as_buffer().to_pybytes()
+                slot, offset, got = records(data, each, start)
                 _, number, index, _, _ = struct.unpack_from(HEADER, data)
-                if number not in firsts:
-                    continue
-                slot, offset, got = records(data, firsts[number], start)
                 slots = slot + np.arange(len(got))
                 sums = [hashlib.sha256(r["ids"][: r["used"]].astype("<u4").tobytes()).hexdigest() for r in got]
                 docs = pa.array(got["doc"], pa.int64(), mask=got["given"] == 0)
                 cols = [pa.array(slots), pa.array([f"{number}-{index // PER_SHARD}"] * len(got), pa.string()), pa.array(offset + STRIDE * np.arange(len(got))), docs, pa.array(got["part"].astype(np.int64)), pa.array(got["used"].astype(np.int32)), pa.array(sums, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "ids_sha256"])
 
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where(f"length >= {HEADER_BYTES}").select("content")
-    return files.mapInArrow(run, "slot long, shard string, byte_offset long, doc_id long, part long, n_tokens int, ids_sha256 string")
+    schema = "slot long, shard string, byte_offset long, doc_id long, part long, n_tokens int, ids_sha256 string"
+    if start >= manifest.total:
+        return spark.createDataFrame([], schema)
+    # a column of the folders' names, so ranges before the start are not opened
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("range") >= start // each)
+    return files.select("content").mapInArrow(run, schema)
 
 
 def materialised(df: DataFrame, ranks_path: str, pattern: str, key: int = 20240607, path: str | None = None, **columns: str) -> DataFrame:
