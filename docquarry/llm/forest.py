@@ -1,4 +1,4 @@
-"""Random forests for a yes-or-no label, written out as SQL expressions."""
+"""Random forests for a yes-or-no label, fitted as nested nodes and written out as SQL expressions."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import numpy as np
 
 TREES, DEPTH, LEAST = 24, 6, 3
 
+#: A leaf's share of positive rows, or feature, cut, the node for values up to the cut, and the node for others.
+Node = float | tuple
 
-def _tree(x: np.ndarray, y: np.ndarray, names: list[str], depth: int, rng: np.random.Generator, ref: str) -> str:
-    """SQL of a tree: the share of positive rows in the leaf that a row falls in."""
+
+def _tree(x: np.ndarray, y: np.ndarray, names: list[str], depth: int, rng: np.random.Generator) -> Node:
+    """The node of these rows."""
     p = float(y.mean())
     if depth and len(y) >= 2 * LEAST and 0 < p < 1:
         best = (1e-9, None)
@@ -29,16 +32,24 @@ def _tree(x: np.ndarray, y: np.ndarray, names: list[str], depth: int, rng: np.ra
                 best = (gain, (f, float(cuts[k]), left[:, k]))
         if best[1]:
             f, cut, goes = best[1]
-            yes, no = (_tree(x[s], y[s], names, depth - 1, rng, ref) for s in (goes, ~goes))
-            return f"CASE WHEN {ref}{names[f]} <= {cut!r}D THEN {yes} ELSE {no} END"
-    return f"{p:.6f}D"
+            return (names[f], cut, *(_tree(x[s], y[s], names, depth - 1, rng) for s in (goes, ~goes)))
+    return round(p, 6)
 
 
-def fit_sql(x: np.ndarray, y: np.ndarray, names: list[str], ref: str = "", seed: int = 7) -> str:
-    """A SQL expression of the mean over TREES trees, each fitted to a bootstrap sample with a few features a split."""
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> list[Node]:
+    """TREES trees, each fitted to a bootstrap sample with a few features a split."""
     rng = np.random.default_rng(seed)
-    trees = []
-    for _ in range(TREES):
-        rows = rng.integers(0, len(y), len(y))
-        trees.append(f"({_tree(x[rows], y[rows], names, DEPTH, rng, ref)})")
-    return "(" + " + ".join(trees) + f") / {TREES}D"
+    samples = (rng.integers(0, len(y), len(y)) for _ in range(TREES))
+    return [_tree(x[rows], y[rows], names, DEPTH, rng) for rows in samples]
+
+
+def _sql(node: Node, ref: str) -> str:
+    if isinstance(node, float):
+        return f"{node:.6f}D"
+    name, cut, yes, no = node
+    return f"CASE WHEN {ref}{name} <= {cut!r}D THEN {_sql(yes, ref)} ELSE {_sql(no, ref)} END"
+
+
+def to_sql(trees: list[Node], ref: str = "") -> str:
+    """A SQL expression of the trees' mean; ref: what stands before a feature's name."""
+    return "(" + " + ".join(f"({_sql(t, ref)})" for t in trees) + f") / {len(trees)}D"
