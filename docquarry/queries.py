@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry import fixtures
+from docquarry import fixtures, oracles
 from docquarry.config import AGENT, CODE_FONTS, HEADER_FOOTER, ROUTING
 from docquarry.functions import model_text, text
 from docquarry.operators import agent, answers, chunking, evaluation, layout, retrieval, routing
@@ -203,28 +203,28 @@ def _(spark, sf_dir):
 # --- chunking
 
 
-@query("document_chunks")
+@query("document_chunks", oracles.chunks(oracles.PARAGRAPHS))
 def document_chunks(spark, sf_dir):
     return chunking.chunks(ingest.paragraphs(table(spark, sf_dir, "documents")))
 
 
-@query("document_chunk_manifest")
+@query("document_chunk_manifest", f"SELECT section_path, count(*) AS chunks, sum(token_count)::BIGINT AS tokens, round(sum(token_count) / greatest(1, count(*))::DOUBLE, 1) AS mean_tokens FROM ({oracles.chunks(oracles.PARAGRAPHS)}) GROUP BY 1")
 def _(spark, sf_dir):
     return chunking.manifest(document_chunks(spark, sf_dir), "section_path")
 
 
-@query("window_pack_chunks")
+@query("window_pack_chunks", oracles.chunks(oracles.WHOLE))
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return chunking.chunks(docs.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")).alias("doc_name"), F.lit(0).alias("ord"), F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("section")))
 
 
-@query("element_chunks")
+@query("element_chunks", oracles.chunks(f"SELECT * FROM {fixtures.values('elements')}"))
 def _(spark, sf_dir):
     return chunking.chunks(fixtures.frame(spark, "elements"))
 
 
-@query("html_chunks")
+@query("html_chunks", oracles.chunks(oracles.HTML))
 def _(spark, sf_dir):
     return chunking.chunks(html.elements(table(spark, sf_dir, "pages")))
 
@@ -395,7 +395,7 @@ def _(spark, sf_dir):
     return layout.full_markdown(fixtures.frame(spark, "elements").select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "content"))
 
 
-@query("html_elements")
+@query("html_elements", oracles.HTML)
 def _(spark, sf_dir):
     return html.elements(table(spark, sf_dir, "pages"))
 
