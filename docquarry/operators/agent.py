@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,36 @@ def audited(sources: DataFrame, config: Agent = AGENT) -> DataFrame:
     return sources.where(F.col("source_no") <= config.audited)
 
 
+def audited_context(sources: DataFrame, config: Agent = AGENT) -> DataFrame:
+    """query_id and proof: a line for each source that an audit reads."""
+    line = F.format_string("- [%s, p.%d]: %s", "doc_name", "page_number", "snippet")
+    rows = audited(sources, config).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source_no", line.alias("line")))).alias("x"))
+    return rows.select("query_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("proof"))
+
+
+def assessed(ask: Callable[[str, str, list], tuple[bool, str]]) -> Assess:
+    """An assessment of evidence by a model. ask: sub-question, active query and snippets of the hits to whether they are
+    sufficient and another query; where it raises, the evidence is sufficient."""
+
+    def judge(batches):
+        for pdf in batches:
+            out = []
+            for key, step, sub, query, snippets in pdf.itertuples(index=False):
+                try:
+                    enough, other = ask(sub, query, list(snippets) if snippets is not None else [])
+                except Exception:  # no model answers: any evidence will do
+                    enough, other = True, ""
+                out.append((key, step, bool(enough), other or None))
+            yield pd.DataFrame(out, columns=["query_id", "step", "sufficient", "suggested"])
+
+    def assess(rows: DataFrame) -> DataFrame:
+        asked = rows.where(F.array_size("hits") > 0).select("query_id", "step", "sub_question", "active_query", F.transform("hits", lambda h: h["snippet"]).alias("snippets"))
+        kind = rows.schema["query_id"].dataType.simpleString()
+        return rows.join(asked.mapInPandas(judge, f"query_id {kind}, step int, sufficient boolean, suggested string"), ["query_id", "step"], "left")
+
+    return assess
+
+
 def aggregated_context(steps: DataFrame) -> DataFrame:
     """query_id and one text: a heading for each step and a line for each of its hits."""
     line = lambda h: F.format_string("- [%s, p.%d, %s]: %s", h["doc_name"], h["page_number"], h["section"], h["snippet"])

@@ -1,19 +1,22 @@
 """Answering over evidence: citations, context, the decision to abstain, and the single-pass workflow.
 
 Model calls sit behind a provider: an object with draft(question, context) and audit(question, draft, context), each over
-one string, that raises when no model answers. It is called over Arrow batches. Without a provider drafts are extractive
+one string, that raises when no model answers. It is sent to each task once and called over Arrow batches. Without a provider drafts are extractive
 (our own addition, marked by the model name "extractive") and audits take their fallback.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.config import RETRIEVAL, Retrieval
 from docquarry.functions.text import citation_label, concise_section, concise_snippet
+from docquarry.sources.files import cut
 
 AUDIT = "status string, is_grounded boolean, confidence double, supported array<string>, unsupported array<string>, rationale string"
+AUDIT_FIELDS = [x.split()[0] for x in AUDIT.split(", ")]
 NO_EVIDENCE = "The indexed documents hold no sufficient evidence to answer this question."
 ABSTAINS = "The evidence found doesn't support an answer, so none is given."
 
@@ -50,28 +53,39 @@ def audit_skipped() -> Column:
     return audit_fallback().withField("confidence", F.lit(0.9)).withField("rationale", F.lit("the audit is switched off"))
 
 
+def agent_audit() -> Column:
+    """The audit of a multi-step answer that none was made for: it passes with a confidence of 0.85."""
+    return audit_fallback().withField("rationale", F.lit("the multi-step answer stands without an audit"))
+
+
 def no_evidence() -> Column:
     """The audit of a question without evidence."""
     return audit_fallback().withField("status", F.lit("unsupported")).withField("is_grounded", F.lit(False)).withField("confidence", F.lit(0.0)).withField("rationale", F.lit("no evidence was found"))
 
 
-def drafted(rows: DataFrame, provider=None) -> DataFrame:
-    """rows (query_id, question, context, ...) with draft, model_used and audit."""
+def drafted(rows: DataFrame, provider=None, audited: str = "context") -> DataFrame:
+    """rows (query_id, question, context, ...) with draft, model_used and audit. audited: the column of the evidence that an
+    audit reads."""
     if provider is None:
         best = F.regexp_extract("context", r"(?s)^--- Evidence \[1\] ---\n[^\n]*\n(.*?)(\n\n--- Evidence \[2\] ---|$)", 1)
         return rows.withColumn("draft", best).withColumn("model_used", F.lit("extractive")).withColumn("audit", audit_fallback())
-    schema = f"draft string, model_used string, audit struct<{AUDIT.replace(' ', ':').replace(',:', ',')}>"
-
-    @F.udf(schema)
-    def ask(question, evidence):
-        draft, model = provider.draft(question, evidence)
-        try:
-            audit = provider.audit(question, draft, evidence)
-        except Exception:  # an audit that fails lets the draft pass
-            audit = ("supported", True, 0.85, [], [], "no audit was possible")
-        return draft, model, audit
-
-    return rows.withColumn("_asked", ask("question", "context")).select("*", "_asked.*").drop("_asked")
+    asked = rows.select("query_id", "question", F.col("context").alias("evidence"), F.col(audited).alias("proof"))
+    schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, draft string, model_used string, audit struct<{AUDIT.replace(' ', ':').replace(',:', ',')}>"
+
+    def ask(batches):
+        for pdf in batches:
+            out = []
+            for key, question, evidence, proof in pdf.itertuples(index=False):
+                draft, model = provider.draft(question, evidence)
+                try:
+                    audit = provider.audit(question, draft, proof)
+                except Exception:  # an audit that fails lets the draft pass
+                    audit = ("supported", True, 0.85, [], [], "no audit was possible")
+                out.append((key, draft, model, dict(zip(AUDIT_FIELDS, audit, strict=True))))
+            yield pd.DataFrame(out, columns=["query_id", "draft", "model_used", "audit"])
+
+    # written, so that no model is asked twice for one question
+    return rows.join(cut(asked.mapInPandas(ask, schema), "drafts"), "query_id")
 
 
 def answered(questions: DataFrame, evidence: DataFrame, cited: DataFrame, provider=None, verify: bool = True) -> DataFrame:

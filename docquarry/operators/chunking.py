@@ -123,7 +123,7 @@ def counter(spark, ranks_path: str | None = None, pattern: str | None = None):
 
 def chunks(elements: DataFrame, config: Chunking = CHUNKING, *, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """chunk_id, parent_id, doc_name, page_number, section_path, element_type, text, raw_content, token_count, char_count,
-    ordinal, is_split_table, part. token_count counts the text with its breadcrumb, char_count the content alone."""
+    ordinal, is_split_table, part. A null content is an empty one. token_count counts the text with its breadcrumb, char_count the content alone."""
     spark = elements.sparkSession
     make = counter(spark, ranks_path, pattern)
     docs = elements.groupBy("doc_name").agg(F.array_sort(F.collect_list(F.struct("ord", "page_number", "element_type", "content", "section"))).alias("elements"))
@@ -133,7 +133,7 @@ def chunks(elements: DataFrame, config: Chunking = CHUNKING, *, ranks_path: str
         for pdf in batches:
             out = []
             for name, els in zip(pdf["doc_name"], pdf["elements"], strict=True):
-                rows = [(e["page_number"], e["element_type"], e["content"], e["section"]) for e in els]
+                rows = [(e["page_number"], e["element_type"], e["content"] or "", e["section"]) for e in els]
                 out += [(name, i, *c) for i, c in enumerate(packed(rows, count, config))]
             yield pd.DataFrame(out, columns=["doc_name", "ordinal", "suffix", "page_number", "section_path", "element_type", "raw_content", "part"]).astype({"part": "Int32"})
 

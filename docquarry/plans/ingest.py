@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry import schemas
 from docquarry.config import CHUNKING, Chunking
 from docquarry.operators import chunking, layout, retrieval
 from docquarry.sources import files
+from docquarry.sources.files import cut
 
 
 def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", section_col: str = "lang") -> DataFrame:
@@ -17,37 +21,119 @@ def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc_name", "ord", F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type"), "content", "section")
 
 
-def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str) -> DataFrame:
-    """Extract elements from layout tables, and write them as JSON, their Markdown, and a manifest of documents; returns
-    the manifest. Documents without a block raise FileNotFoundError if nothing at all is to be extracted.
+def layout_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, spans and grids from JSON lines in folder/blocks, folder/spans and folder/grids: what a front end writes for
+    each document it reads. Rows that don't fit the schema raise an error."""
+    read = lambda name, schema: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/{name}")
+    return read("blocks", schemas.BLOCKS), read("spans", schemas.SPANS), read("grids", schemas.GRIDS)
 
-    Layout tables come from a front end that reads the files; none for PDF is part of this repository."""
-    found = layout.elements(blocks, spans, grids)
-    rows = found.select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section")
-    files.write_elements(rows, f"{path}/elements")
-    rows = files.read_elements(blocks.sparkSession, f"{path}/elements")
+
+def _found(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame | None:
+    """A table of an earlier run, or None."""
+    try:
+        return getattr(spark.read.schema(schema), kind)(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+#: The manifest of an extraction, a row for each document.
+MANIFEST = "doc_name string, file_hash string, status string, pages int, elements long, tables long, code_blocks long, seconds double"
+
+
+def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str, hashes: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Extract elements from layout tables; write them as JSON, their Markdown, and a manifest; returns the totals.
+
+    hashes: doc_name, file_hash. A document that an earlier run at path extracted from the same bytes, and whose elements
+    and Markdown are both there, is kept as it is and counts as cached, unless forced. Without hashes all are extracted.
+    If there is no document at all, FileNotFoundError is raised."""
+    spark = blocks.sparkSession
+    names = blocks.select(F.col("doc").alias("doc_name")).distinct()
+    found = cut(names.join(hashes, "doc_name", "left") if hashes is not None else names.withColumn("file_hash", F.lit(None).cast("string")), "found")
+    before = _found(spark, f"{path}/documents", MANIFEST, "parquet")
+    old_rows, old_markdown = _found(spark, f"{path}/elements", schemas.ELEMENTS, "json"), _found(spark, f"{path}/markdown", "doc string, markdown string", "json")
+    if before is not None and old_rows is not None and old_markdown is not None and not force:
+        before = files.complete(files.complete(before, old_rows), old_markdown.withColumnRenamed("doc", "doc_name"))
+        kept = files.cached(found, before)
+    else:
+        before, kept = None, found.limit(0)
+    new = files.pending(found, before, force).select(F.col("doc_name").alias("doc"))
+    some = lambda df: df.join(new, "doc", "left_semi")
+    made = layout.elements(some(blocks), some(spans), some(grids))
+    rows = made.select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section")
+    if before is not None:
+        rows = rows.unionByName(old_rows.join(kept, "doc_name", "left_semi"))
+    # the new rows stand in the shared folder before the old ones are replaced
+    rows = cut(rows, "elements")
     if not rows.head(1):
         raise FileNotFoundError("there is no document to extract")
+    files.write_elements(rows, f"{path}/elements")
     els = rows.select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "element_type", "content")
     files.write_markdown(layout.full_markdown(els), f"{path}/markdown")
-    pages = els.groupBy("doc").agg(F.max("page").alias("pages"), F.count(F.lit(1)).alias("elements")).join(layout.doc_statistics(els), "doc")
-    docs = pages.select(F.col("doc").alias("doc_name"), F.lit("extracted").alias("status"), "pages", "elements", "tables", "code_blocks", F.lit(0.0).alias("seconds"))
-    return files.extraction_manifest(docs)
+    pages = els.groupBy("doc").agg(F.max("page").alias("pages"), F.count(F.lit(1)).alias("elements")).join(layout.doc_statistics(els), "doc").withColumnRenamed("doc", "doc_name")
+    status = F.when(F.col("cached"), "cached").otherwise("extracted")
+    docs = found.join(kept.select("doc_name", F.lit(True).alias("cached")), "doc_name", "left").join(pages, "doc_name")
+    return files.write_manifest(docs.select("doc_name", "file_hash", status.alias("status"), "pages", "elements", "tables", "code_blocks", F.lit(0.0).alias("seconds")), path)
 
 
 def chunk_job(spark: SparkSession, elements_path: str, chunks_path: str, config: Chunking = CHUNKING) -> DataFrame:
-    """Chunk the extracted elements at a path; returns the manifest by type."""
-    made = chunking.chunks(files.read_elements(spark, elements_path), config)
-    files.write_chunks(made, chunks_path)
-    return chunking.manifest(files.read_chunks(spark, chunks_path), "element_type")
+    """Chunk the extracted elements at a path; write the chunks, and their manifest by type and by document; returns that by
+    type. FileNotFoundError if there are no elements."""
+    els = _found(spark, elements_path, schemas.ELEMENTS, "json")
+    if els is None or not els.head(1):
+        raise FileNotFoundError(f"there are no elements at {elements_path}")
+    files.write_chunks(chunking.chunks(els, config), chunks_path)
+    made = files.read_chunks(spark, chunks_path)
+    for by in ("element_type", "doc_name"):
+        chunking.manifest(made, by).write.mode("overwrite").parquet(f"{chunks_path}-manifest/{by}")
+    return spark.read.parquet(f"{chunks_path}-manifest/element_type")
 
 
-def index_job(spark: SparkSession, chunks_path: str, index_path: str, vectors: DataFrame | None = None) -> retrieval.Index:
-    """Build, save and reload the index of the chunks at a path. A chunk's ordinal is its place in the order of documents
+def index_job(spark: SparkSession, chunks_path: str, index_path: str, vectors: DataFrame | None = None, probe: str | None = None) -> retrieval.Index:
+    """Build, save and reload the index of the chunks at a path. probe: a question that must find a chunk by its words, or
+    RuntimeError is raised. A chunk's ordinal is its place in the order of documents
     and chunks, which is made by ranges, not in one task."""
     rows = files.read_chunks(spark, chunks_path).repartitionByRange("doc_name", "ordinal").sortWithinPartitions("doc_name", "ordinal")
     numbered = rows.withColumn("ordinal", F.monotonically_increasing_id())
     numbered.write.mode("overwrite").parquet(f"{index_path}/chunks")
     numbered = spark.read.parquet(f"{index_path}/chunks")
     retrieval.build(numbered, vectors, id_col="ordinal").save(index_path)
-    return retrieval.load(spark, index_path)
+    index = retrieval.load(spark, index_path)
+    if probe is not None and not retrieval.search_sparse(index, spark.createDataFrame([(0, probe)], "query_id long, text string"), 3).head(1):
+        raise RuntimeError(f"nothing is found for: {probe}")
+    return index
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """The jobs from a command line: extract, chunk, index."""
+    parser = argparse.ArgumentParser(prog="python -m docquarry.plans.ingest", description=__doc__)
+    jobs = parser.add_subparsers(dest="job", required=True)
+    extract = jobs.add_parser("extract", help="layout tables to elements")
+    extract.add_argument("--input-dir", required=True, help="folder with blocks, spans and grids")
+    extract.add_argument("--documents-dir", help="folder with the documents themselves, for their hashes")
+    extract.add_argument("--force", action="store_true", help="extract what was extracted before, too")
+    chunk = jobs.add_parser("chunk", help="elements to chunks")
+    index = jobs.add_parser("index", help="chunks to an index")
+    index.add_argument("--probe", help="a question that must find something")
+    for job in (chunk, index):
+        job.add_argument("--input-dir", required=True)
+    for job in (extract, chunk, index):
+        job.add_argument("--output-dir", required=True)
+        job.add_argument("-v", "--verbose", action="store_true", help="show the manifest")
+    a = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName(f"docquarry {a.job}").getOrCreate()
+    if a.job == "extract":
+        hashes = files.documents(spark, a.documents_dir).select("doc_name", "file_hash") if a.documents_dir else None
+        out = extract_job(*layout_tables(spark, a.input_dir), a.output_dir, hashes, a.force)
+    elif a.job == "chunk":
+        out = chunk_job(spark, a.input_dir, a.output_dir)
+    else:
+        made = index_job(spark, a.input_dir, a.output_dir, probe=a.probe)
+        out = spark.createDataFrame([(made.n_docs, made.avgdl)], "chunks long, mean_words double")
+    if a.verbose:
+        out.show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

@@ -112,7 +112,7 @@ def _(spark, sf_dir):
 
 @query("search_result_projection", f"{_ALL} SELECT query_id, 'chunk_' || ordinal AS chunk_id, round(score, 4) AS score, 'hybrid_rrf' AS retrieval_method, dense_rank, sparse_rank FROM ({_TOP.format('fused')})")
 def _(spark, sf_dir):
-    return retrieval.search_hybrid(index(spark, sf_dir), asked(spark, sf_dir)).select("query_id", F.concat(F.lit("chunk_"), "ordinal").alias("chunk_id"), F.round("score", 4).alias("score"), F.lit("hybrid_rrf").alias("retrieval_method"), "dense_rank", "sparse_rank")
+    return retrieval.results(retrieval.search_hybrid(index(spark, sf_dir), asked(spark, sf_dir)), chunk_table(spark, sf_dir))
 
 
 def chunk_table(spark, sf_dir) -> DataFrame:
@@ -457,7 +457,7 @@ def _(spark, sf_dir):
 
 @query("catalog_projection", f"SELECT doc_name, title, domain, len(topics)::INTEGER AS n_topics, entities FROM {fixtures.values('catalog')}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "catalog").select("doc_name", "title", "domain", F.size("topics").alias("n_topics"), "entities")
+    return service.metadata(fixtures.frame(spark, "catalog"))
 
 
 @query("fused_fixture", f"WITH d AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, ordinal)::INTEGER AS rank FROM {fixtures.values('ranked')} WHERE dense IS NOT NULL), s AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, ordinal DESC)::INTEGER AS rank FROM {fixtures.values('ranked')} WHERE sparse > 0), f AS (SELECT query_id, ordinal, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score FROM d FULL JOIN s USING (query_id, ordinal)) SELECT query_id, ordinal, round(score, 4) AS score, score >= 0.015 AS passes FROM f")
@@ -521,15 +521,36 @@ def _(spark, sf_dir):
     return agent.traced(agent.searched(steps, lambda rows: spark.createDataFrame([], empty)))
 
 
-@query("answer_dispatch")
+_DISPATCH = f"""WITH {_POSTINGS}, {_STATS}, {_IDF},
+    q AS (SELECT item_id AS id, text FROM benchmark WHERE item_id % 20 = 0),
+    given AS (SELECT id AS query_id, text AS question, CASE WHEN id % 40 = 0 THEN 'auto' ELSE 'agentic' END AS force_workflow, NULL::INTEGER AS top_k FROM q
+              UNION ALL SELECT id + 1, text, 'simple_rag', 3 FROM q UNION ALL SELECT id + 2, text, 'agentic', 21 FROM q UNION ALL SELECT id + 3, 'x', 'auto', 5 FROM q),
+    checked AS (SELECT *, CASE WHEN question IS NULL OR length(question) < 2 THEN 'query' WHEN top_k < 1 OR top_k > 20 THEN 'top_k' WHEN coalesce(force_workflow, 'auto') NOT IN ('auto', 'simple_rag', 'agentic') THEN 'force_workflow' END AS refused FROM given),
+    routed AS ({_rules_sql('query_id', '(SELECT query_id, question AS text FROM checked WHERE refused IS NULL)')}),
+    runs AS (SELECT query_id, question, CASE WHEN force_workflow = 'auto' THEN workflow ELSE force_workflow END AS workflow, CASE WHEN (CASE WHEN force_workflow = 'auto' THEN workflow ELSE force_workflow END) = 'agentic' THEN {AGENT.top_k} ELSE coalesce(top_k, 5) END AS k FROM checked JOIN routed USING (query_id)),
+    asked AS (SELECT query_id, k, term, count(*) AS times FROM (SELECT query_id, k, unnest({_TERMS.replace('text', 'question')}) AS term FROM runs) GROUP BY 1, 2, 3),
+    scored AS (SELECT query_id, k, p.ordinal, round(sum(times * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM postings p JOIN asked USING (term) JOIN idf USING (term) JOIN stats USING (ordinal), corpus GROUP BY 1, 2, 3),
+    sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal DESC) AS rank FROM scored WHERE score > 0) WHERE rank <= 3 * k),
+    near AS (SELECT query_id, k, v.vec_id AS ordinal, round(list_inner_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score FROM runs JOIN embeddings e ON e.vec_id = query_id, embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)),
+    dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM near) WHERE rank <= 3 * k),
+    fused AS (SELECT query_id, ordinal, coalesce(d.k, s.k) AS k, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score FROM dense d FULL JOIN sparse s USING (query_id, ordinal)),
+    hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM fused) WHERE rank <= k),
+    told AS (SELECT h.*, 'Part > ' || lang AS section, source || '_notes.pdf' AS doc_name, text, CASE WHEN length(s) <= 160 THEN s ELSE regexp_replace(s[1:160], ' [^ ]*$', '') || '...' END AS snippet FROM hits h JOIN (SELECT *, {_SNIP} AS s FROM documents) ON doc_id = ordinal),
+    answers AS (SELECT query_id, max(CASE WHEN rank = 1 THEN text END) AS draft, count(*) FILTER (score >= 0.015) AS cited, count(*) AS found, string_agg('- [' || doc_name || ', p.1, ' || section || ']: ' || snippet, chr(10) ORDER BY rank) AS lines FROM told GROUP BY 1)
+    SELECT query_id, question, workflow, CASE WHEN workflow = 'agentic' THEN '### Sub-Question 1: ' || question || chr(10) || lines ELSE draft END AS answer, 0.85::DOUBLE AS confidence, 'supported' AS status, (CASE WHEN workflow = 'agentic' THEN found ELSE cited END)::INTEGER AS sources, false AS abstained, 'extractive' AS model_used, NULL AS refused FROM runs JOIN answers USING (query_id)
+    UNION ALL SELECT query_id, question, NULL, NULL, NULL, NULL, NULL, NULL, NULL, refused FROM checked WHERE refused IS NOT NULL"""
+
+
+@query("answer_dispatch", _DISPATCH)
 def _(spark, sf_dir):
     chunks = chunk_table(spark, sf_dir)
-    vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("request"), "embedding")
     questions = asked(spark, sf_dir).select("query_id", F.col("text").alias("question"))
-    requests = questions.withColumn("force_workflow", F.when(F.col("query_id") % 40 == 0, "auto").otherwise("agentic"))
-    # a sub-question's key is 16 times its question's, and its vector that of the question
-    embed = lambda rows: rows.join(vectors_.unionByName(vectors_.select((F.col("query_id") * 16 + 1).alias("query_id"), "embedding")).dropDuplicates(["query_id"]), "query_id", "left")
-    return service.answer(index(spark, sf_dir), chunks, requests, embed)
+    request = lambda more, question, force, k: questions.select((F.col("query_id") + more).alias("query_id"), question.alias("question"), force.alias("force_workflow"), F.lit(k).cast("int").alias("top_k"))
+    text_ = F.col("question")
+    requests = request(0, text_, F.when(F.col("query_id") % 40 == 0, "auto").otherwise("agentic"), None).unionByName(request(1, text_, F.lit("simple_rag"), 3)).unionByName(request(2, text_, F.lit("agentic"), 21)).unionByName(request(3, F.lit("x"), F.lit("auto"), 5))
+    # the vector of a question, or of one of its sub-questions, is that of the request's number
+    return service.answer(index(spark, sf_dir), chunks, requests, lambda rows: rows.join(own, "request", "left"))
 
 
 @query("request_validation", f"SELECT request_id, CASE WHEN query IS NULL OR length(query) < 2 THEN 'query' WHEN top_k < 1 OR top_k > 20 THEN 'top_k' WHEN coalesce(force_workflow, 'auto') NOT IN ('auto', 'simple_rag', 'agentic') THEN 'force_workflow' END AS refused FROM {fixtures.values('requests')}")
@@ -546,7 +567,7 @@ def _(spark, sf_dir):
 
 @query("result_rounding", f"SELECT id, round(latency * 1.23456789, 3) AS latency_seconds, round(latency / 7, 4) AS confidence FROM {fixtures.values('eval_records')}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "eval_records").select("id", F.round(F.col("latency") * 1.23456789, 3).alias("latency_seconds"), F.round(F.col("latency") / 7, 4).alias("confidence"))
+    return service.rounded(fixtures.frame(spark, "eval_records").select("id", (F.col("latency") * 1.23456789).alias("latency_seconds"), (F.col("latency") / 7).alias("confidence")))
 
 
 # --- model texts
@@ -611,7 +632,7 @@ def _(spark, sf_dir):
 @query("extraction_manifest", "SELECT count(*) AS documents, sum(n_chars)::BIGINT AS total_pages, sum(doc_id)::BIGINT AS total_elements, 0::BIGINT AS total_tables, count(*) AS total_code_blocks, round(count(*) * 0.5, 3)::DOUBLE AS seconds FROM documents")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("doc_name"), F.lit("extracted").alias("status"), F.col("n_chars").alias("pages"), F.col("doc_id").alias("elements"), F.lit(0).alias("tables"), F.lit(1).alias("code_blocks"), F.lit(0.5).alias("seconds"))
-    return files.extraction_manifest(docs).drop("details")
+    return files.extraction_manifest(docs)
 
 
 _EV = fixtures.values("eval_records")

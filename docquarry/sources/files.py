@@ -11,21 +11,40 @@ from pyspark.sql import functions as F
 from docquarry import schemas
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder (spark.checkpoint.dir, or one of our own where it is unset): plans that
-    follow start from it, and a lost executor costs a reread."""
-    spark = df.sparkSession
+#: Folders that documents are dealt to by a hash of their names, where a sink keeps documents apart.
+BUCKETS = 256
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a session on one machine
+    gets a temporary one, and any other is refused, since each machine would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/docquarry/{label}-{uuid.uuid4().hex}"
+    return base
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: plans that follow start from it, and a lost executor costs a reread."""
+    path = f"{shared_folder(df.sparkSession)}/docquarry/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """df dealt by a hash of a document's name, with the column bucket, each document's rows together in one file."""
+    bucket = F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+    return df.withColumn("bucket", bucket).repartition("bucket", name).sortWithinPartitions("bucket", name)
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """doc_name, path, length, file_hash of the files of a folder (not below it), content last, so that it can be pruned."""
+    """doc_name, path, length, file_hash of the files of a folder (not below it), content last, so that it can be pruned.
+
+    No library that reads PDF is available here: a front end turns content into the layout tables of operators.layout
+    (schemas.BLOCKS, SPANS, GRIDS), which plans.ingest.layout_tables() reads as JSON lines."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_name"), "path", "length", content_hash(F.col("content")).alias("file_hash"), "content")
 
@@ -35,6 +54,11 @@ def content_hash(c) -> F.Column:
     return F.sha2(c, 256)
 
 
+def complete(manifest: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The rows of a manifest whose document is among those with outputs (doc_name)."""
+    return manifest.join(outputs.select("doc_name").distinct(), "doc_name", "left_semi")
+
+
 def pending(found: DataFrame, manifest: DataFrame | None, force: bool = False) -> DataFrame:
     """Documents to extract: all if forced, else those whose name and hash the manifest lacks."""
     if force or manifest is None:
@@ -48,20 +72,26 @@ def cached(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def extraction_manifest(docs: DataFrame) -> DataFrame:
-    """One row of totals over documents (doc_name, status, pages, elements, tables, code_blocks, seconds) and a list of them;
-    cached documents count too. No documents give no row."""
-    rows = docs.agg(F.count(F.lit(1)).alias("documents"), *(F.sum(c).alias(f"total_{c}") for c in ("pages", "elements", "tables", "code_blocks")), F.round(F.sum("seconds"), 3).alias("seconds"), F.array_sort(F.collect_list(F.struct("doc_name", "status", "pages", "elements"))).alias("details"))
+    """One row of totals over documents (doc_name, status, pages, elements, tables, code_blocks, seconds); cached documents
+    count too. No documents give no row. The documents themselves stay a table: see write_manifest()."""
+    rows = docs.agg(F.count(F.lit(1)).alias("documents"), *(F.sum(c).alias(f"total_{c}") for c in ("pages", "elements", "tables", "code_blocks")), F.round(F.sum("seconds"), 3).alias("seconds"))
     return rows.where("documents > 0")
 
 
+def write_manifest(docs: DataFrame, path: str) -> DataFrame:
+    """Write the documents of an extraction to path/documents, and return their totals."""
+    docs.write.mode("overwrite").parquet(f"{path}/documents")
+    return extraction_manifest(docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/documents"))
+
+
 def write_markdown(markdown: DataFrame, path: str) -> None:
-    """A folder of Markdown for each document (doc, markdown)."""
-    markdown.select("doc", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc").text(path)
+    """Markdown of documents (doc, markdown) as JSON lines, dealt to folders by a hash of the name."""
+    bucketed(markdown.select("doc", "markdown"), "doc").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def write_elements(elements: DataFrame, path: str) -> None:
-    """Elements as JSON lines, a folder for each document."""
-    elements.write.mode("overwrite").partitionBy("doc_name").json(path)
+    """Elements as JSON lines, dealt to folders by a hash of the document's name."""
+    bucketed(elements, "doc_name").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -70,13 +100,16 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks of all documents as Parquet, in folders by document so that one document's are pruned to."""
-    chunks.write.mode("overwrite").partitionBy("doc_name").parquet(path)
+    """Chunks of all documents as Parquet, in folders by a hash of the name, so that a document is found in one of them."""
+    bucketed(chunks, "doc_name").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks that write_chunks() wrote."""
-    return spark.read.schema(schemas.CHUNKS).parquet(path)
+def read_chunks(spark: SparkSession, path: str, doc_name: str | None = None) -> DataFrame:
+    """Chunks that write_chunks() wrote, of all documents or of one."""
+    rows = spark.read.schema(f"{schemas.CHUNKS}, bucket int").parquet(path)
+    if doc_name is not None:
+        rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(doc_name)), F.lit(BUCKETS))) & (F.col("doc_name") == doc_name))
+    return rows.drop("bucket")
 
 
 def chunks_from_json(spark: SparkSession, path: str) -> DataFrame:
