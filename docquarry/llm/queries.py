@@ -53,4 +53,4 @@ def op10_weighted_mix(spark, sf_dir):
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_feistel_shards": op2_feistel_shards, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op8_warc_history": op8_warc_history, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix}
 
-ORACLE_SQL: dict[str, str] = {"op8_warc_history": warc.ARCHIVED_SQL, "op10_weighted_mix": mixing.TAKEN_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_link_trust": urlgraph.judged_sql(), "op8_warc_history": warc.ARCHIVED_SQL, "op10_weighted_mix": mixing.TAKEN_SQL}

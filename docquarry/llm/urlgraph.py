@@ -107,3 +107,35 @@ def judged(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
     scores = scores.withColumn("host_verdict", F.when(F.col("distrust_share") > limit, "block").otherwise("allow"))
     out = rows.join(scores, "host", "left")
     return out.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust", "distrust_share")
+
+
+def judged_sql(rules=RULES) -> str:
+    """DuckDB SQL of judged() over the table of pages. The recursion makes one round of both vectors at a time, with the sum by
+    which they have moved, and ends as ranks() does."""
+    lower = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    rest = "substr({0}, strpos({0}, '://') + 3)"
+    host = lambda c: f"CASE WHEN strpos({c}, '://') > 0 THEN {lower.format(f"regexp_extract({rest.format(c)}, '^[^/?#]*')")} ELSE '' END"
+    path = f"CASE WHEN strpos(url, '://') > 0 THEN regexp_extract({rest.format('url')}, '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+    ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered) + " END"
+    link = LINK.replace("'", "''")
+    rank = lambda seed, got: f"(1 - {DAMPING}::DOUBLE * sum(coalesce(m.{got}, 0)) OVER ()) * coalesce({seed}, 0) + {DAMPING}::DOUBLE * coalesce(m.{got}, 0)"
+    return f"""WITH RECURSIVE
+    rows AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS decided FROM (SELECT page_id, coalesce({host('url')}, '') AS host, coalesce({path}, '') AS path FROM pages)),
+    counts AS (SELECT host, count(*) AS n, count(*) FILTER (decided = 'allow') AS good, count(*) FILTER (decided = 'block') AS bad FROM rows WHERE host <> '' GROUP BY 1),
+    weights AS (SELECT host, CASE WHEN good > bad THEN good ELSE 0 END AS good, CASE WHEN 2 * bad >= n THEN bad ELSE 0 END AS bad FROM counts),
+    seeds AS (SELECT host, coalesce(good / nullif((SELECT sum(good) FROM weights), 0), 0)::DOUBLE AS p, coalesce(bad / nullif((SELECT sum(bad) FROM weights), 0), 0)::DOUBLE AS q FROM weights WHERE good > 0 OR bad > 0),
+    targets AS (SELECT {host('url')} AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS t FROM pages),
+    links AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END")} AS dst FROM targets WHERE regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+    ways AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS go, n / sum(n) OVER (PARTITION BY dst) AS back FROM links),
+    ranks AS (
+      SELECT 0 AS i, host, p AS t, q AS d, 1e9::DOUBLE AS change FROM seeds
+      UNION ALL
+      SELECT i, host, t, d, sum(abs(t - t0) + abs(d - d0)) OVER ()
+      FROM (SELECT a.i + 1 AS i, coalesce(s.host, m.host, o.host) AS host, {rank('p', 't')} AS t, {rank('q', 'd')} AS d, coalesce(o.t, 0) AS t0, coalesce(o.d, 0) AS d0
+            FROM (SELECT max(i) AS i FROM ranks WHERE change >= {SETTLED} HAVING count(*) > 0) a, seeds s
+            FULL JOIN (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT w.dst AS host, r.t * go AS t, 0.0::DOUBLE AS d FROM ranks r JOIN ways w ON w.src = r.host WHERE change >= {SETTLED} UNION ALL SELECT w.src, 0.0, r.d * back FROM ranks r JOIN ways w ON w.dst = r.host WHERE change >= {SETTLED}) GROUP BY 1) m ON m.host = s.host
+            FULL JOIN (SELECT * FROM ranks WHERE change >= {SETTLED}) o ON o.host = coalesce(s.host, m.host))),
+    settled AS (SELECT host, round(t, 12) AS trust, round(d, 12) AS distrust, round(CASE WHEN t + d > 0 THEN d / (t + d) END, 9) AS distrust_share FROM ranks WHERE i = (SELECT max(i) FROM ranks))
+    SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN distrust_share > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust, distrust_share FROM rows LEFT JOIN settled USING (host)"""

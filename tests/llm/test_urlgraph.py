@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 
 from docquarry.llm import urlgraph as u
+from tests.oracle import differences
 
 
 def test_hosts_paths_and_rules(spark):
@@ -63,6 +65,29 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
     assert {r.page_id: r.verdict for r in u.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), thresholds=strict).collect()}[2] == "allow"
 
 
+def test_a_graph_of_links_equals_sql(spark):
+    rng = random.Random(9)
+    hosts = ["a.com", "b.com", "c.net", "d.net", "e.org", "f.info", "g.info", "h.example.com", "i.de"]
+    pages = []
+    for i in range(120):
+        links = "".join(f'<a class="x" href="{rng.choice(["http:", "https:", ""])}//{rng.choice(hosts)}/p">' for _ in range(rng.randint(0, 3)))
+        pages.append((i if i % 7 else None, f"http://{rng.choice(hosts).title()}/{rng.choice(['en', 'de', 'es', 'xx'])}/{rng.randint(1, 9)}?q#f", links or None))
+    pages += [(500, None, '<a href="http://a.com">'), (501, "no scheme", ""), (502, "http://lonely.xyz/", "x" * 3_000_000 + '<a href="//e.org">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    assert not differences(u.judged(df), con, u.judged_sql())
+    assert len({r.distrust_share for r in u.judged(df).collect()}) > 6
+
+
+def test_a_ring_settles(spark):
+    n = 60
+    links = spark.createDataFrame([(f"h{i}", f"h{(i + 1) % n}", 1) for i in range(n)], "src string, dst string, n long")
+    got = {r.host: r.trust for r in u.ranks(links, spark.createDataFrame([("h0", 1, 0)], "host string, good long, bad long")).collect()}
+    want = {f"h{i}": (1 - u.DAMPING) * u.DAMPING**i / (1 - u.DAMPING**n) for i in range(n)}
+    assert sum(abs(got.get(h, 0) - w) for h, w in want.items()) < 1e-5
+
+
 def test_no_pages(spark):
     assert u.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
