@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ def layout_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return read("blocks", schemas.BLOCKS), read("spans", schemas.SPANS), read("grids", schemas.GRIDS)
 
 
-def _found(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame | None:
-    """A table of an earlier run, or None."""
+def _found(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """A table of an earlier run, or None if there is none."""
     try:
-        return getattr(spark.read.schema(schema), kind)(path)
+        return read()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -51,14 +52,14 @@ def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str
     spark = blocks.sparkSession
     names = blocks.select(F.col("doc").alias("doc_name")).distinct()
     found = cut(names.join(hashes, "doc_name", "left") if hashes is not None else names.withColumn("file_hash", F.lit(None).cast("string")), "found")
-    before = _found(spark, f"{path}/documents", MANIFEST, "parquet")
-    old_rows, old_markdown = _found(spark, f"{path}/elements", schemas.ELEMENTS, "json"), _found(spark, f"{path}/markdown", "doc string, markdown string", "json")
+    before = _found(lambda: spark.read.schema(MANIFEST).parquet(f"{path}/documents"))
+    old_rows, old_markdown = _found(lambda: files.read_elements(spark, f"{path}/elements")), _found(lambda: files.read_markdown(spark, f"{path}/markdown"))
     if before is not None and old_rows is not None and old_markdown is not None and not force:
         before = files.complete(files.complete(before, old_rows), old_markdown.withColumnRenamed("doc", "doc_name"))
-        kept = files.cached(found, before)
+        kept = cut(files.cached(found, before), "kept")
     else:
         before, kept = None, found.limit(0)
-    new = files.pending(found, before, force).select(F.col("doc_name").alias("doc"))
+    new = cut(files.pending(found, before, force).select(F.col("doc_name").alias("doc")), "new")
     some = lambda df: df.join(new, "doc", "left_semi")
     made = layout.elements(some(blocks), some(spans), some(grids))
     rows = made.select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section")
@@ -80,7 +81,7 @@ def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str
 def chunk_job(spark: SparkSession, elements_path: str, chunks_path: str, config: Chunking = CHUNKING) -> DataFrame:
     """Chunk the extracted elements at a path; write the chunks, and their manifest by type and by document; returns that by
     type. FileNotFoundError if there are no elements."""
-    els = _found(spark, elements_path, schemas.ELEMENTS, "json")
+    els = _found(lambda: files.read_elements(spark, elements_path))
     if els is None or not els.head(1):
         raise FileNotFoundError(f"there are no elements at {elements_path}")
     files.write_chunks(chunking.chunks(els, config), chunks_path)

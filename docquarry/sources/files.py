@@ -96,7 +96,12 @@ def write_elements(elements: DataFrame, path: str) -> None:
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """Elements that write_elements() wrote."""
-    return spark.read.schema(schemas.ELEMENTS).json(path)
+    return spark.read.schema(schemas.ELEMENTS).json(path).drop("bucket")
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """doc and markdown that write_markdown() wrote."""
+    return spark.read.schema("doc string, markdown string").json(path).drop("bucket")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
