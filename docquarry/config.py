@@ -62,6 +62,7 @@ class Routing:
     """Weights of the complexity features, in rubric order, and the score from which a question takes several steps."""
 
     threshold: int = 2
+    # The rubric's features and weights.
     weights: tuple[tuple[str, int], ...] = (
         ("direct factual question", 0),
         ("requires one focused retrieval", 0),

@@ -49,6 +49,7 @@ def repaired(text: str | None) -> str | None:
     import re
 
     text = (text or "").strip()
+    # Fixed value: the pattern of a fence.
     fences = re.findall(r"```(?:json)?\s*([\s\S]*?)\s*```", text)
     tries = [text, *(f.strip() for f in reversed(fences)), *_balanced(text, "{", "}"), *_balanced(text, "[", "]")]
     return next((x for x in map(_loads, tries) if x is not None), None)

@@ -69,6 +69,7 @@ def concise_section(path: Column) -> Column:
 
 def concise_snippet(raw: Column, most: int = 160) -> Column:
     """A text without leading breadcrumbs, white space collapsed, cut at the last space within `most` characters and ..."""
+    # The two patterns of breadcrumbs, with white space as Python has it.
     text = F.regexp_replace(stripped(raw), rf"^\([^)]*?>[^)]*?\){SPACE}*", "")
     text = F.regexp_replace(text, rf"^([A-Za-z0-9_.\s\x1C-\x1F\x85\p{{Z}}-]+{SPACE}*>{SPACE}*)+", "")
     text = stripped(F.regexp_replace(text, rf"{SPACE}+", " "))

@@ -121,17 +121,20 @@ def span_stats(spans: DataFrame, config: Layout = LAYOUT) -> DataFrame:
 
 def is_code(text: Column, total: Column, mono: Column) -> Column:
     """Over 20 characters, more than three quarters of them monospaced; or more than one line after a plain sign of code."""
+    # Plain signs of code.
     prefix = reduce(lambda a, b: a | b, [text.startswith(p) for p in ("# Tool schema", "def ", "class ", "import ", "# LCEL", "curl ")], text.contains("TOOL_SCHEMA ="))
     return ((total > 20) & (mono / F.greatest(total, F.lit(1)) > 0.75)) | (prefix & (F.size(lines_of(text)) > 1))
 
 
 def code_language(text: Column) -> Column:
     """python if the text has one of its signs, else text."""
+    # Signs of Python.
     return F.when(reduce(lambda a, b: a | b, [text.contains(k) for k in ("def ", "class ", "import ", "TOOL_SCHEMA", "#")]), "python").otherwise("text")
 
 
 def is_heading(text: Column, size: Column, bold: Column, config: Layout = LAYOUT) -> Column:
     """Large and bold, or numbered like a section."""
+    # Fixed value: the pattern of numbered headings, with white space and digits as Python has them, since Java's are ASCII.
     return ((size >= config.heading_size) & bold) | text.rlike(rf"^(SECTION{SPACE}+[0-9]+|S{SPACE}+E{SPACE}+C{SPACE}+T{SPACE}+I{SPACE}+O{SPACE}+N{SPACE}+[0-9]+|[0-9]+(\.[0-9]+)*{SPACE}+[A-Z])")
 
 

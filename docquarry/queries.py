@@ -6,6 +6,8 @@ a text's vector the embedding of its doc_id: the data doesn't relate them, but t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +65,17 @@ def asked(spark, sf_dir) -> DataFrame:
     return items.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def index(spark, sf_dir) -> retrieval.Index:
-    return retrieval.build(table(spark, sf_dir, "documents"), vectors(spark, sf_dir))
+    """The index of the documents: built and saved once in a session, then loaded."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SAVED:
+        path = f"{files.shared_folder(spark)}/docquarry/index-{uuid.uuid4().hex}"
+        retrieval.build(table(spark, sf_dir, "documents"), vectors(spark, sf_dir)).save(path)
+        _SAVED[key] = path
+    return retrieval.load(spark, _SAVED[key])
 
 
 @query("tokenize_terms", f"SELECT doc_id, len({_TERMS})::BIGINT AS n_terms, len(list_distinct({_TERMS}))::BIGINT AS n_distinct, {_TERMS}[1] AS first_term FROM documents")
