@@ -1,3 +1,5 @@
+"""Column functions on text. The expected breadcrumbs, slugs, labels and footers, which any equal engine must give."""
+
 import random
 
 import regex
