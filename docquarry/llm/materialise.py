@@ -7,7 +7,7 @@ keyed Feistel network permutes the smallest power of four from M numbers on, and
 through again until it is back (cycle-walking). What comes out is the sequence's global slot. So the order depends on
 the rows and the key only, not on files, splits or settings, and slots have no gaps.
 
-Equal ranges of slots are dealt to tasks by number; ids are shuffled without padding. A task sorts its sequences by slot
+Equal ranges of slots are dealt to tasks by number; ids are shuffled packed and without padding. A task sorts its sequences by slot
 and writes them to shards of PER_SHARD records of STRIDE bytes after a header, through Spark's text writer (a newline ends
 the file), to any store that Spark writes to. All ranges but the last are full, so where a slot lies follows by
 arithmetic from one row of the manifest, and a reader that resumes at a slot opens the ranges from there on only.
@@ -21,14 +21,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import arrow_batches, scratch, written
+from docquarry.llm.shared import arrow_batches, delete, scratch, written
 
 LENGTH, PER_SHARD, ROUNDS = 512, 8192, 4
 #: A record: whether the document's id is given, the id, the sequence's number in the document, its ids in use, all ids.
@@ -36,7 +38,9 @@ RECORD = np.dtype([("given", "<u2"), ("used", "<u2"), ("part", "<u4"), ("doc", "
 STRIDE = RECORD.itemsize
 #: Records of a range at least, if there are so many, and rows that are numbered together at most on average.
 RANGE, LOT = 16 * PER_SHARD, 500_000
-#: What a record begins with; in a shuffle only the ids in use follow.
+#: Buckets that Spark allows a table.
+MOST_BUCKETS = 100_000
+#: Bytes of a record before its ids; in a shuffle only the packed ids in use follow.
 FRONT = RECORD.fields["ids"][1]
 #: Of a shard: magic, range, index of its first record in the range, records, stride.
 HEADER = ">8sQQQQ"
@@ -86,8 +90,8 @@ def encoder(ranks: bytes, pattern: str):
 
 
 def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """df: doc, text. Per row: given, doc, h (hash of the text), n (sequences), ids (unsigned 16-bit), task and nth, the row's
-    number among those of its task that are equal in doc, h and n."""
+    """df: doc, text. Per row: given, doc, h (hash of the text), n (sequences), ids (unsigned 16-bit integers in a zstd
+    frame), task and nth, the row's number among those of its task equal in doc, h and n."""
     spark: SparkSession = df.sparkSession
     arrow_batches(spark)
     with open(ranks_path, "rb") as f:
@@ -95,6 +99,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc, task, seen = encoder(sent.value, pattern), TaskContext.get().partitionId(), {}
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             given, docs, hashes, texts = (c.to_pylist() for c in b.columns)
             ids = [enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
@@ -105,7 +110,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for k in zip(given, docs, hashes, n, strict=True):
                 nth.append(seen.get(k, 0))
                 seen[k] = nth[-1] + 1
-            cols = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array([task] * len(n), pa.int32()), pa.array(nth, pa.int64())]
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array([pack(x.astype("<u2").tobytes()) for x in ids], pa.binary()), pa.array([task] * len(n), pa.int32()), pa.array(nth, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["given", "doc", "h", "n", "ids", "task", "nth"])
 
     own = df.select(F.col("doc").isNotNull().alias("given"), F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), F.xxhash64("text").alias("h"), "text")
@@ -113,7 +118,8 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """rows of encoded() with first, the number of each one's first sequence, and the number of all sequences.
+    """Of rows of encoded(): given, doc, h, n, task and start, the number of the first sequence of the first such row of the
+    task, for all that differ in these; and the number of all sequences.
 
     Equal rows are counted by task and numbered from these counts, so a group of any size stays spread. Of each lot only
     its sequences are summed on the driver; there is one lot for LOT rows or so."""
@@ -121,49 +127,64 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     lots = 1 << max(8, (rows.select("n").count() // LOT).bit_length())
     lot = F.pmod(F.xxhash64("given", "doc", "h"), F.lit(lots)).cast("int").alias("lot")
     counted = rows.groupBy(*key, "task").agg(F.count(F.lit(1)).alias("copies")).select("*", lot)
-    before = Window.partitionBy("lot").orderBy("given", "doc", "h", "n", "task").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("lot").orderBy(*key, "task").rowsBetween(Window.unboundedPreceding, -1)
     counted = written(counted.withColumn("at", F.coalesce(F.sum(F.col("copies") * F.col("n")).over(before), F.lit(0))), "counted")
     held = {r.lot: r.n for r in counted.groupBy("lot").agg(F.sum(F.col("copies") * F.col("n")).alias("n")).collect()}
     offsets = np.cumsum([0, *(held.get(k, 0) for k in range(lots))])
     begun = rows.sparkSession.createDataFrame([(k, int(offsets[k])) for k in range(lots)], "lot int, begin long")
-    starts = counted.join(F.broadcast(begun), "lot").select(*key, "task", (F.col("begin") + F.col("at")).alias("start"))
-    return rows.join(starts, [*key, "task"]).withColumn("first", F.col("start") + F.col("nth") * F.col("n")), int(offsets[-1])
+    return counted.join(F.broadcast(begun), "lot").select(*key, "task", (F.col("begin") + F.col("at")).alias("start")), int(offsets[-1])
 
 
 def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20240607, *, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Write the shards of df's texts to the folder `path`; returns the number of sequences. Ids must be below 65536."""
     spark: SparkSession = df.sparkSession
     own = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(encoded(own, ranks_path, pattern), "encoded", compression="zstd")
-    rows, total = numbered(rows)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    # bucketed by the task that wrote it, each task's rows stay in its one file, and their numbers come to them
+    name, place = f"docquarry_{uuid.uuid4().hex}", scratch(spark, "encoded")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded(own, ranks_path, pattern).write.bucketBy(min(parts, MOST_BUCKETS), "task").format("parquet").option("path", place).saveAsTable(name)
+    together = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(together)
+    try:
+        spark.conf.set(together, "false")  # the task alone says where its rows are
+        return _packed(spark.table(name), path, key, parts)
+    finally:
+        spark.conf.set(together, before)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, place)
+
+
+def _packed(rows: DataFrame, path: str, key: int, parts: int) -> int:
+    """Number the rows of encoded(), permute their sequences and write the shards."""
+    spark = rows.sparkSession
+    starts, total = numbered(rows)
+    rows = rows.join(starts.hint("shuffle_hash"), ["task", "given", "doc", "h", "n"]).select("given", "doc", "n", "ids", (F.col("start") + F.col("nth") * F.col("n")).alias("first"))
+    parts = max(parts, -(-total // RANGE))
     each = max(1, -(-total // parts))
 
     def cut(batches):
+        unpack, shrink = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             given, docs, n, first = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-            ids = b.column(3).to_pylist()
+            ids = [unpack(x) for x in b.column(3).to_pylist()]
             part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             slots = permuted(np.repeat(first, n) + part, total, key)
             front = np.zeros(len(part), dtype=[(c, RECORD[c]) for c in ("given", "used", "part", "doc")])
             front["given"], front["doc"], front["part"] = np.repeat(given, n), np.repeat(docs, n), part
-            sizes = np.array([len(x) // 2 for x in ids], dtype=np.int64)
-            front["used"] = np.clip(np.repeat(sizes, n) - LENGTH * part, 0, LENGTH)
+            front["used"] = np.clip(np.repeat([len(x) // 2 for x in ids], n) - LENGTH * part, 0, LENGTH)
             heads = front.tobytes()
-            data, k = [], 0
-            for x, m in zip(ids, n.tolist(), strict=True):
-                for j in range(m):
-                    data.append(heads[FRONT * k : FRONT * (k + 1)] + x[2 * LENGTH * j : 2 * LENGTH * (j + 1)])
-                    k += 1
+            pieces = (x[2 * LENGTH * j : 2 * LENGTH * (j + 1)] for x, m in zip(ids, n.tolist(), strict=True) for j in range(m))
+            data = [heads[FRONT * k : FRONT * (k + 1)] + shrink(x) for k, x in enumerate(pieces)]
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(data, pa.binary())], names=["slot", "data"])
 
     def pack(batches):
         held, done, number = [], 0, TaskContext.get().partitionId()
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if slot != number * each + done + len(held):
                     raise RuntimeError("a slot is missing or taken twice")
-                held.append(data.ljust(STRIDE, b"\0"))
+                held.append((data[:FRONT] + unpack(data[FRONT:])).ljust(STRIDE, b"\0"))
                 if len(held) == PER_SHARD:
                     yield shard(number, done, held)
                     held, done = [], done + PER_SHARD
@@ -174,7 +195,7 @@ def write(df: DataFrame, path: str, ranks_path: str, pattern: str, key: int = 20
         head = struct.pack(HEADER, MAGIC, number, first, len(held), STRIDE)
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join([head, *held])], pa.binary())], names=["range", "value"])
 
-    placed = rows.select("given", "doc", "n", "ids", "first").mapInArrow(cut, "slot long, data binary")
+    placed = rows.mapInArrow(cut, "slot long, data binary")
     dealt = placed.repartitionById(parts, F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions("slot")
     files = dealt.mapInArrow(pack, "range int, value binary").select("range", F.col("value").cast("string").alias("value"))
     files.write.partitionBy("range").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.sources.files import shared_folder
+
 #: The white space that ends a word, and the words themselves, as Java, DuckDB and Python regular expressions read them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,15 +25,6 @@ def arrow_batches(spark: SparkSession, rows: int = 128, mb: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/docquarry/{label}-{uuid.uuid4().hex}"
@@ -44,13 +37,24 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch()."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if "/docquarry/" in path:
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later plan reads."""
-    jvm, sc = spark._jvm, spark.sparkContext
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if "/docquarry/" in name:
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, name)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget its finished jobs now, whereupon executors delete the shuffle files and broadcasts of these. A
+    job of many steps would else keep them all until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def words(text) -> F.Column:
