@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 # Running headers and footers that extraction drops, and the words that tell a monospaced font.
 HEADER_FOOTER = (
@@ -87,3 +89,17 @@ class Agent:
 
 
 LAYOUT, CHUNKING, RETRIEVAL, ROUTING, AGENT = Layout(), Chunking(), Retrieval(), Routing(), Agent()
+
+
+def configured(kind: type, spark=None, environment: Mapping[str, str] = os.environ):
+    """A group of settings with what the session's spark.docquarry.<group>.<name>, or else the environment's
+    DOCQUARRY_<GROUP>_<NAME>, says of its numbers, flags and strings; a value of another type raises ValueError."""
+    found = {}
+    for f in fields(kind):
+        raw = spark.conf.get(f"spark.docquarry.{kind.__name__.lower()}.{f.name}", None) if spark is not None else None
+        raw = environment.get(f"DOCQUARRY_{kind.__name__}_{f.name}".upper()) if raw is None else raw
+        if raw is not None and type(f.default) in (int, float, bool, str):
+            if isinstance(f.default, bool) and raw.lower() not in ("true", "false"):
+                raise ValueError(f"{f.name} is true or false, not {raw}")
+            found[f.name] = raw.lower() == "true" if isinstance(f.default, bool) else type(f.default)(raw)
+    return kind(**found)

@@ -1,7 +1,8 @@
 """Embedding of texts over Arrow batches, with retries and a fallback.
 
-An embedder is a picklable object with a dimension and embed(list of texts) that returns as many vectors. hashed() is a
-local one that needs no model: signed word and character counts, hashed into its dimension (our own addition).
+An embedder is a picklable object with a dimension and embed(list of texts, kind) that returns as many vectors; kind is
+"document" or "query", for models that tell the two apart. Hashed is a local one that needs no model: signed word and
+character counts, hashed into its dimension (our own addition).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BATCH, TRIES, PAUSE = 15, 3, 2.0
+BATCH, TRIES, PAUSE, BETWEEN = 15, 3, 2.0, 0.5
 
 
 def normalised(vectors: np.ndarray) -> np.ndarray:
@@ -30,7 +31,7 @@ class Hashed:
     def __init__(self, dimension: int = 384):
         self.dimension = dimension
 
-    def embed(self, texts: list[str]) -> np.ndarray:
+    def embed(self, texts: list[str], kind: str = "document") -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts, strict=True):
             for word in (text or "").lower().split():
@@ -40,19 +41,32 @@ class Hashed:
         return out
 
 
+class Remote:
+    """An embedder behind a call: any picklable function (texts, kind) -> vectors that raises when the model doesn't answer."""
+
+    def __init__(self, call: Callable[[list[str], str], list], dimension: int):
+        self.call, self.dimension = call, dimension
+
+    def embed(self, texts: list[str], kind: str = "document") -> np.ndarray:
+        return np.asarray(self.call(texts, kind), dtype=np.float32).reshape(len(texts), self.dimension)
+
+
 class Retrying:
-    """An embedder that calls another in batches of BATCH, tries each TRIES times and doubles its pause."""
+    """An embedder that calls another in batches of BATCH, with a pause of BETWEEN seconds between them, tries each TRIES times
+    and doubles its pause after a failure."""
 
-    def __init__(self, inner, batch: int = BATCH, tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep):
-        self.inner, self.batch, self.tries, self.pause, self.sleep = inner, batch, tries, pause, sleep
+    def __init__(self, inner, batch: int = BATCH, tries: int = TRIES, pause: float = PAUSE, between: float = BETWEEN, sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.batch, self.tries, self.pause, self.between, self.sleep = inner, batch, tries, pause, between, sleep
         self.dimension = inner.dimension
 
-    def embed(self, texts: list[str]) -> np.ndarray:
+    def embed(self, texts: list[str], kind: str = "document") -> np.ndarray:
         out = [np.zeros((0, self.dimension))]
         for k in range(0, len(texts), self.batch):
+            if k and self.between:
+                self.sleep(self.between)
             for attempt in range(self.tries):
                 try:
-                    out.append(np.asarray(self.inner.embed(texts[k : k + self.batch])))
+                    out.append(np.asarray(self.inner.embed(texts[k : k + self.batch], kind)))
                     break
                 except Exception:
                     if attempt + 1 == self.tries:
@@ -70,22 +84,40 @@ class Either:
             raise ValueError(f"embedders of dimensions {first.dimension} and {second.dimension} can't stand in for each other")
         self.first, self.second, self.dimension, self.failed = first, second, first.dimension, False
 
-    def embed(self, texts: list[str]) -> np.ndarray:
+    def embed(self, texts: list[str], kind: str = "document") -> np.ndarray:
         if not self.failed:
             try:
-                return np.asarray(self.first.embed(texts))
+                return np.asarray(self.first.embed(texts, kind))
             except Exception:
                 self.failed = True
-        return np.asarray(self.second.embed(texts))
-
-
-def embedded(df: DataFrame, embedder, *, text_col: str = "text", to: str = "embedding") -> DataFrame:
+        return np.asarray(self.second.embed(texts, kind))
+
+
+def chosen(provider: str, remote=None, local=None):
+    """The embedder of a provider: remote, local, or auto, which takes the remote one if it answers a probe. An index keeps the
+    dimension of the one that made it (see retrieval.load), so the choice is made once, before anything is embedded."""
+    if provider not in ("remote", "local", "auto"):
+        raise ValueError(f"no provider {provider}")
+    if provider == "remote" and remote is None:
+        raise ValueError("there is no remote embedder")
+    if provider == "remote":
+        return remote
+    if provider == "auto" and remote is not None:
+        try:
+            remote.embed(["ping"], "query")
+            return remote
+        except Exception:  # it doesn't answer: the local one stands in
+            pass
+    return local or Hashed()
+
+
+def embedded(df: DataFrame, embedder, *, text_col: str = "text", to: str = "embedding", kind: str = "document") -> DataFrame:
     """df with a vector of length 1 for each text (all zeros for a text without content)."""
     out = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vectors = normalised(embedder.embed(pdf[text_col].fillna("").tolist())) if len(pdf) else []
+            vectors = normalised(embedder.embed(pdf[text_col].fillna("").tolist(), kind)) if len(pdf) else []
             yield pdf.assign(**{to: list(vectors)})
 
     return df.mapInPandas(run, out)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from docquarry import fixtures
+from docquarry import config, fixtures
 from docquarry.operators import answers, embedding, models, retrieval
 from docquarry.plans import ingest
 
@@ -12,7 +12,7 @@ class Flaky:
     def __init__(self, failures):
         self.failures, self.calls = failures, []
 
-    def embed(self, texts):
+    def embed(self, texts, kind="document"):
         self.calls.append(len(texts))
         if self.failures:
             self.failures -= 1
@@ -23,7 +23,7 @@ class Flaky:
 def test_embedding_retries_in_batches():
     pauses, inner = [], Flaky(2)
     e = embedding.Retrying(inner, sleep=pauses.append)
-    assert e.embed(["t"] * 32).shape == (32, 4) and pauses == [2.0, 4.0] and inner.calls == [15, 15, 15, 15, 2]
+    assert e.embed(["t"] * 32).shape == (32, 4) and pauses == [2.0, 4.0, 0.5, 0.5] and inner.calls == [15, 15, 15, 15, 2]
     with pytest.raises(RuntimeError):
         embedding.Retrying(Flaky(3), sleep=pauses.append).embed(["t"])
 
@@ -35,6 +35,34 @@ def test_fallback_needs_one_dimension():
         embedding.Either(Flaky(0), embedding.Hashed(5))
 
 
+def test_a_provider_is_chosen_by_a_probe():
+    asked = []
+
+    def call(texts, kind):
+        asked.append((len(texts), kind))
+        return [[1.0, 2.0, 3.0, 4.0]] * len(texts)
+
+    remote, down = embedding.Remote(call, 4), Flaky(99)
+    assert embedding.chosen("auto", remote) is remote and asked == [(1, "query")] and embedding.chosen("remote", down) is down
+    assert isinstance(embedding.chosen("auto", down), embedding.Hashed) and isinstance(embedding.chosen("auto"), embedding.Hashed) and embedding.chosen("local", remote, down) is down
+    assert embedding.Either(remote, embedding.Hashed(4)).embed(["a", "b"], "query").shape == (2, 4) and asked[-1] == (2, "query")
+    for wrong in (("remote",), ("other", remote)):
+        with pytest.raises(ValueError):
+            embedding.chosen(*wrong)
+
+
+def test_settings_of_the_session_and_the_environment(spark):
+    spark.conf.set("spark.docquarry.chunking.target", "300")
+    try:
+        got = config.configured(config.Chunking, spark, {"DOCQUARRY_CHUNKING_TARGET": "200", "DOCQUARRY_CHUNKING_BREADCRUMBS": "false"})
+    finally:
+        spark.conf.unset("spark.docquarry.chunking.target")
+    assert (got.target, got.most, got.breadcrumbs) == (300, 600, False)
+    assert config.configured(config.Retrieval, environment={"DOCQUARRY_RETRIEVAL_MIN_SCORE": "0.5"}).min_score == 0.5
+    with pytest.raises(ValueError):
+        config.configured(config.Chunking, environment={"DOCQUARRY_CHUNKING_BREADCRUMBS": "perhaps"})
+
+
 def test_vectors_have_length_one_and_find_their_text(spark):
     df = spark.createDataFrame([(0, "vector search latency"), (1, "cooking with salt"), (2, "")], "ordinal long, text string")
     got = embedding.embedded(df, embedding.Hashed())
