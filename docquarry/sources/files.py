@@ -15,16 +15,19 @@ from docquarry import schemas
 BUCKETS = 256
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a session on one machine
     gets a temporary one, and any other is refused, since each machine would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _OWN.setdefault(context.applicationId, _OWN.get(context.applicationId) or tempfile.mkdtemp(prefix="docquarry-"))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

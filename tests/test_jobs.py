@@ -1,6 +1,7 @@
 """Jobs from layout files to an index, and requests from validation to answers."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,10 +130,9 @@ def test_evidence_is_assessed_by_a_model(spark):
 
 
 def test_temporary_folders_are_for_one_machine(spark):
-    base = spark.conf.get("spark.checkpoint.dir")
-    try:
-        spark.conf.unset("spark.checkpoint.dir")
-        spark.conf.set("spark.checkpoint.dir", "")
-        assert files.shared_folder(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", base)
+    session = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, applicationId=master))
+    assert files.shared_folder(session("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
+    assert files.shared_folder(session("local[4]")) == files.shared_folder(session("local[4]")) != files.shared_folder(session("local[2]"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            files.shared_folder(session(master))
