@@ -7,7 +7,8 @@ keyed Feistel network permutes the smallest power of four from M numbers on, and
 through again until it is back (cycle-walking). What comes out is the sequence's global slot. So the order depends on
 the rows and the key only, not on files, splits or settings, and slots have no gaps.
 
-Equal ranges of slots are dealt to tasks by number; ids are shuffled packed and without padding. A task sorts its sequences by slot
+Equal ranges of slots are dealt to tasks by number; ids are shuffled packed and without padding, and in WAVES of ranges, each
+of which reads the table again and whose shuffle files go before the next, so that they need little disk. A task sorts its sequences by slot
 and writes them to shards of PER_SHARD records of STRIDE bytes after a header, through Spark's text writer (a newline ends
 the file), to any store that Spark writes to. All ranges but the last are full, so where a slot lies follows by
 arithmetic from one row of the manifest, and a reader that resumes at a slot opens the ranges from there on only.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import arrow_batches, delete, scratch, written
+from docquarry.llm.shared import arrow_batches, delete, release, scratch, written
 
 LENGTH, PER_SHARD, ROUNDS = 512, 8192, 4
 #: A record: whether the document's id is given, the id, the sequence's number in the document, its ids in use, all ids.
@@ -38,6 +40,8 @@ RECORD = np.dtype([("given", "<u2"), ("used", "<u2"), ("part", "<u4"), ("doc", "
 STRIDE = RECORD.itemsize
 #: Records of a range at least, if there are so many, and rows that are numbered together at most on average.
 RANGE, LOT = 16 * PER_SHARD, 500_000
+#: Waves in which ranges are written.
+WAVES = 6
 #: Buckets that Spark allows a table.
 MOST_BUCKETS = 100_000
 #: Bytes of a record before its ids; in a shuffle only the packed ids in use follow.
@@ -90,8 +94,8 @@ def encoder(ranks: bytes, pattern: str):
 
 
 def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """df: doc, text. Per row: given, doc, h (hash of the text), n (sequences), ids (unsigned 16-bit integers in a zstd
-    frame), task and nth, the row's number among those of its task equal in doc, h and n."""
+    """df: doc, text. Per row: given, doc, h (hash of the text), n (sequences), size (ids), parts (each sequence's ids as
+    unsigned 16-bit integers, in a zstd frame), task and nth, the row's number among those of its task equal in doc, h and n."""
     spark: SparkSession = df.sparkSession
     arrow_batches(spark)
     with open(ranks_path, "rb") as f:
@@ -110,11 +114,12 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for k in zip(given, docs, hashes, n, strict=True):
                 nth.append(seen.get(k, 0))
                 seen[k] = nth[-1] + 1
-            cols = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array([pack(x.astype("<u2").tobytes()) for x in ids], pa.binary()), pa.array([task] * len(n), pa.int32()), pa.array(nth, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["given", "doc", "h", "n", "ids", "task", "nth"])
+            parts = [[pack(y[i : i + 2 * LENGTH]) for i in range(0, max(1, len(y)), 2 * LENGTH)] for y in (x.astype("<u2").tobytes() for x in ids)]
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array(parts, pa.list_(pa.binary())), pa.array([task] * len(n), pa.int32()), pa.array(nth, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["given", "doc", "h", "n", "size", "parts", "task", "nth"])
 
     own = df.select(F.col("doc").isNotNull().alias("given"), F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    return own.mapInArrow(run, "given boolean, doc long, h long, n int, ids binary, task int, nth long")
+    return own.mapInArrow(run, "given boolean, doc long, h long, n int, size long, parts array<binary>, task int, nth long")
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -158,47 +163,60 @@ def _packed(rows: DataFrame, path: str, key: int, parts: int) -> int:
     """Number the rows of encoded(), permute their sequences and write the shards."""
     spark = rows.sparkSession
     starts, total = numbered(rows)
-    rows = rows.join(starts.hint("shuffle_hash"), ["task", "given", "doc", "h", "n"]).select("given", "doc", "n", "ids", (F.col("start") + F.col("nth") * F.col("n")).alias("first"))
+    rows = rows.join(starts.hint("shuffle_hash"), ["task", "given", "doc", "h", "n"]).select("given", "doc", "n", "size", "parts", (F.col("start") + F.col("nth") * F.col("n")).alias("first"))
     parts = max(parts, -(-total // RANGE))
     each = max(1, -(-total // parts))
 
-    def cut(batches):
-        unpack, shrink = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            given, docs, n, first = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-            ids = [unpack(x) for x in b.column(3).to_pylist()]
-            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            slots = permuted(np.repeat(first, n) + part, total, key)
-            front = np.zeros(len(part), dtype=[(c, RECORD[c]) for c in ("given", "used", "part", "doc")])
-            front["given"], front["doc"], front["part"] = np.repeat(given, n), np.repeat(docs, n), part
-            front["used"] = np.clip(np.repeat([len(x) // 2 for x in ids], n) - LENGTH * part, 0, LENGTH)
-            heads = front.tobytes()
-            pieces = (x[2 * LENGTH * j : 2 * LENGTH * (j + 1)] for x, m in zip(ids, n.tolist(), strict=True) for j in range(m))
-            data = [heads[FRONT * k : FRONT * (k + 1)] + shrink(x) for k, x in enumerate(pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(data, pa.binary())], names=["slot", "data"])
-
-    def pack(batches):
-        held, done, number = [], 0, TaskContext.get().partitionId()
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if slot != number * each + done + len(held):
-                    raise RuntimeError("a slot is missing or taken twice")
-                held.append((data[:FRONT] + unpack(data[FRONT:])).ljust(STRIDE, b"\0"))
-                if len(held) == PER_SHARD:
-                    yield shard(number, done, held)
-                    held, done = [], done + PER_SHARD
-        if held:
-            yield shard(number, done, held)
+    def cut(low: int, high: int):
+        """The sequences in the ranges from low to high."""
+
+        def run(batches):
+            for b in batches:
+                given, docs, n, size, first = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5))
+                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                slots = permuted(np.repeat(first, n) + part, total, key)
+                here = (slots >= low * each) & (slots < high * each)
+                front = np.zeros(len(part), dtype=[(c, RECORD[c]) for c in ("given", "used", "part", "doc")])
+                front["given"], front["doc"], front["part"] = np.repeat(given, n), np.repeat(docs, n), part
+                front["used"] = np.clip(np.repeat(size, n) - LENGTH * part, 0, LENGTH)
+                heads = front[here].tobytes()
+                packed = b.column(4).flatten().filter(pa.array(here)).to_pylist()
+                data = [heads[FRONT * k : FRONT * (k + 1)] + x for k, x in enumerate(packed)]
+                yield pa.RecordBatch.from_arrays([pa.array(slots[here]), pa.array(data, pa.binary())], names=["slot", "data"])
+
+        return run
+
+    def pack(low: int):
+        """Shards of the range that a task has, the first of which is low."""
+
+        def run(batches):
+            held, done, number = [], 0, low + TaskContext.get().partitionId()
+            unpack = zstandard.ZstdDecompressor().decompress
+            for b in batches:
+                for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if slot != number * each + done + len(held):
+                        raise RuntimeError("a slot is missing or taken twice")
+                    held.append((data[:FRONT] + unpack(data[FRONT:])).ljust(STRIDE, b"\0"))
+                    if len(held) == PER_SHARD:
+                        yield shard(number, done, held)
+                        held, done = [], done + PER_SHARD
+            if held:
+                yield shard(number, done, held)
+
+        return run
 
     def shard(number: int, first: int, held: list) -> pa.RecordBatch:
         head = struct.pack(HEADER, MAGIC, number, first, len(held), STRIDE)
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join([head, *held])], pa.binary())], names=["range", "value"])
 
-    placed = rows.mapInArrow(cut, "slot long, data binary")
-    dealt = placed.repartitionById(parts, F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions("slot")
-    files = dealt.mapInArrow(pack, "range int, value binary").select("range", F.col("value").cast("string").alias("value"))
-    files.write.partitionBy("range").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")
+    for low, high in itertools.pairwise([parts * i // WAVES for i in range(WAVES + 1)]):
+        if low == high:
+            continue
+        placed = rows.mapInArrow(cut(low, high), "slot long, data binary")
+        dealt = placed.repartitionById(high - low, F.floor(F.col("slot") / each).cast("int") - low).sortWithinPartitions("slot")
+        files = dealt.mapInArrow(pack(low), "range int, value binary").select("range", F.col("value").cast("string").alias("value"))
+        files.write.mode("append").partitionBy("range").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")
+        release(spark)
     spark.createDataFrame([(total, each, PER_SHARD, STRIDE)], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     return total
 
