@@ -7,10 +7,10 @@ Within a small radius r the masks cover every pair: position i gets a non-zero v
 of a non-zero vector v keeps the positions with an odd inner product of m(i) and v. The at most r positions in which a
 pair differs put at most r linear conditions on v, so some v satisfies them all, and its mask keeps none of them.
 
-Jaccard similarities of 0.8 lie far outside such a radius (155 of 1024 bits). similar_groups() therefore takes long
-fingerprints and many masks of 20 positions in arithmetic progression, which join most pairs (one at 0.8 meets in some
-table with probability 0.93) and large groups in a few rows for each text. A prefix-filter join then compares every pair
-that could be as similar and is not joined yet, so no pair is left to chance.
+Jaccard similarities of 0.8 lie outside such a radius (10 of 64 bits on average, which would take 2047 tables and still
+miss half of the pairs). So similar_groups() joins by the covering masks what is within their radius, and then compares,
+by a prefix-filter join of the shingle sets, every pair that can be as similar and is not joined yet. No pair is left to
+chance, and none is linked without its sets having been compared.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.graph import components
-from docquarry.llm.shared import arrow_batches, forget, renamed, written
+from docquarry.llm.shared import arrow_batches, forget, release, renamed, written
 
 #: Seed of the shingle hash, which is also the seed of Spark's xxhash64.
 SEED = 42
@@ -66,17 +66,6 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return bits
 
 
-def mixed(h: np.ndarray, j: int) -> np.ndarray:
-    """The j-th further hash of each hash; the 0th is the hash itself."""
-    if not j:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * j) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def hashed(texts: list, k: int, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' shingles of k words (once: each different one once), and how many each text has."""
     runs = [set(shingles(t, k)) if once else shingles(t, k) for t in texts]
@@ -85,10 +74,9 @@ def hashed(texts: list, k: int, once: bool = False) -> tuple[np.ndarray, np.ndar
     return np.fromiter((digest(s, SEED) for r in runs for s in r), dtype=np.uint64, count=int(counts.sum())), counts
 
 
-def sketch(texts: list, k: int, n: int = 1, once: bool = False) -> np.ndarray:
-    """Fingerprint bits of each text, 64 * n a row, over its shingles of k words (once: each different one once)."""
-    h, counts = hashed(texts, k, once)
-    return np.concatenate([majority(mixed(h, j), counts) for j in range(n)], axis=1)
+def sketch(texts: list, k: int, once: bool = False) -> np.ndarray:
+    """Fingerprint bits of each text, 64 a row, over its shingles of k words (once: each different one once)."""
+    return majority(*hashed(texts, k, once))
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -169,21 +157,28 @@ def near_groups(df: DataFrame, *, k: int = 3, radius: int = 2, id_col: str = "do
     return found.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def progressions(tables: int, width: int, bits: int) -> np.ndarray:
-    """Positions of each table's mask: an arithmetic progression around the fingerprint, of an odd step."""
-    t = np.arange(tables)
-    start, step = (t * 37) % bits, (2 * ((t * 29) % (bits // 2)) + 1) % bits
-    return (start[:, None] + step[:, None] * np.arange(width)) % bits
+#: Keys of shingles, and keys of rows, that a broadcast may carry (8 and 24 bytes each).
+KEYS, BROADCAST = 100_000, 500_000
+#: The share of each set, by hash, in which shingles are counted; how often one must come to be known as common; and how
+#: many are known at most. Common shingles come last in prefixes: the cost depends on it, not the groups.
+COUNTED, OFTEN, COMMON = 0.3, 8, 500_000
+#: Rounds, at most, in which the texts of keys that CROWD texts or more have are compared with the NEAREST of HUBS of such a
+#: key. What is left is compared pair by pair, so groups don't depend on these.
+ROUNDS, CROWD, HUBS, NEAREST = 2, 48, 6, 2
+#: Hubs may fall behind the first by a thousand times this share in how often their shingles come.
+SPREAD = 5e-5
 
 
-#: Text hashes that a broadcast may carry (16 bytes each).
-BROADCAST = 500_000
-#: Texts whose shingles are counted, and how many common shingles prefixes take last: the cost depends on it, not the groups.
-SAMPLE, COMMON = 4_000, 50_000
+def known(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each hash comes, 0 for those that aren't common. common: in ascending order, with their counts."""
+    if not len(common):
+        return np.zeros(len(hashes), dtype=np.int64)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return np.where(common[at] == hashes, counts[at], 0)
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The hashes of a set (all different) that come first in the order of counts, and how many of them lead.
+def prefix(hashes: np.ndarray, similarity: float, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """The hashes of a set (all different) that come first in the order of how often each comes, and how many of them lead.
 
     Two sets as similar as asked have at least ceil(similarity * n) hashes in common, n being the size of either. In one
     order of all hashes their first common one is thus among the n - ceil(similarity * n) + 1 first of both, and among
@@ -192,47 +187,71 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np
     if not n:
         return hashes, 0
     least = lambda share: int(np.ceil(share * n - 1e-9))
-    known = np.zeros(n, dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        known = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, known))][: n - least(similarity) + 1], n - least(2 * similarity / (1 + similarity)) + 1
+    return hashes[np.lexsort((hashes, often))][: n - least(similarity) + 1], n - least(2 * similarity / (1 + similarity)) + 1
 
 
 def _common(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles that most texts of a sample have, in ascending order, and how many have each."""
-    every = max(1, own.count() // SAMPLE)
-    some = own.where(F.pmod(F.col("text_hash"), F.lit(every)) == 0).select("text_hash", "text").dropDuplicates(["text_hash"])
+    """Hashes of shingles that come often, in ascending order, and how often each does.
+
+    All texts are counted, each by the COUNTED part of its set with the least hashes: prefixes reach no further unless a
+    tenth of a text is common. At most COMMON hashes reach the driver: those counted most, by quarters of a power of two."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashed(b.column(1).to_pylist(), k, once=True)[0].view(np.int64))], names=["h"])
-
-    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+            h, sizes = hashed(b.column(0).to_pylist(), k, once=True)
+            sets = [np.sort(x)[: int(COUNTED * len(x)) + 1] for x in np.split(h, np.cumsum(sizes)[:-1])] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    level = F.floor(F.log2("n") * 4).cast("int").alias("level")
+    often = own.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    often = written(often.select("h", "n", level), "often")
+    least, held = None, 0
+    for r in sorted(often.groupBy("level").count().collect(), key=lambda r: -r.level):
+        held += r["count"]
+        if held > COMMON:
+            break
+        least = r.level
+    found = often.where(F.col("level") >= F.lit(least)).select("h", "n").toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _across(many: DataFrame, hung: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of different components that shares a key and can be as similar as asked.
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """For a set of n hashes, a power of two of at least n (and 64) bits: each tells whether an odd number of hashes end in its place."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """At least so many elements are in one only of the two sets with these odd sketches: a place that differs has one."""
+    (n, v), (m, w) = ((len(z), int.from_bytes(z, "little")) for z in sorted((x, y), key=len))
+    while m > n:
+        m //= 2
+        w = w >> 8 * m ^ w & (1 << 8 * m) - 1
+    return (v ^ w).bit_count()
+
+
+def odd_words(hashes: np.ndarray) -> np.ndarray:
+    """odd_sketch() of 512 bits whatever the size of the set, as signed 64-bit integers."""
+    return np.packbits(np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1, bitorder="little").view("<i8")
 
-    many: key, fp, size, leads. Components are paired first, so members of one are never paired with each other."""
-    rows = many.join(_label(hung, "fp"), "fp", "left").select("key", "fp", "size", "leads", F.coalesce("fp_root", "fp").alias("root"))
-    rows = written(rows, "rows")
-    blocks = rows.groupBy("key", "root").agg(F.max("leads").alias("leads"), F.min("size").alias("low"), F.max("size").alias("high"))
-    side = lambda df, x, *names: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in names))
-    near = lambda small, large: F.col(small) >= similarity * F.col(large) - 1e-9
-    met = side(blocks, "a", "root", "leads", "low", "high").join(side(blocks, "b", "root", "leads", "low", "high"), "key").where("root_a < root_b and (leads_a or leads_b)")
-    met = met.where(near("high_a", "low_b") & near("high_b", "low_a")).select("key", "root_a", "root_b")
-    both = met.join(side(rows, "a", "root", "fp", "size", "leads"), ["key", "root_a"]).join(side(rows, "b", "root", "fp", "size", "leads"), ["key", "root_b"])
-    both = both.where("(leads_a or size_a > size_b) and (leads_b or size_b > size_a)").where(near("size_a", "size_b") & near("size_b", "size_a"))
-    return both.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
+def _across(many: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of different components that shares a key and can be as similar as asked by sizes and odd words.
 
-def _heads(rows: DataFrame, *more) -> DataFrame:
-    """rows: key, fp. Of each key with two or more: its count n, least and most, and what more asks for."""
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"), *more).where("n > 1")
+    many: key, fp, size, leads, root. Of each key the texts outside its largest component meet all others, so members of that
+    are never paired with each other, and what cannot be similar is dropped within the join."""
+    blocks = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots"))
+    blocks = blocks.where("roots > 1").select("key", F.col("x.root").alias("major"))
+    rows = written(many.join(blocks, "key").join(nodes.select("fp", "words"), "fp").withColumn("major", F.col("root") == F.col("major")), "across")
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "leads", "root", "major", "words")))
+    near = lambda small, large: F.col(small) >= similarity * F.col(large) - 1e-9
+    differ = sum((F.bit_count(F.col("words_a")[i].bitwiseXOR(F.col("words_b")[i])) for i in range(8)), F.lit(0))
+    fits = F.expr("root_a <> root_b and (major_b or root_a < root_b)") & F.expr("(leads_a or size_a > size_b) and (leads_b or size_b > size_a)")
+    fits &= near("size_a", "size_b") & near("size_b", "size_a") & (differ <= F.floor((1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-9))
+    a, b = side(rows.where("not major"), "a"), side(rows, "b").withColumnRenamed("key", "key_b")
+    return a.join(b, (F.col("key") == F.col("key_b")) & fits).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
 def _label(hung: DataFrame, c: str) -> DataFrame:
@@ -240,112 +259,144 @@ def _label(hung: DataFrame, c: str) -> DataFrame:
     return hung.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float, radius: int, bits: int) -> DataFrame:
-    """Components of the candidate pairs (a, b: fp and first 64 bits of each) that are within the radius and similar."""
-    n = bits // 64
-    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    # the first 64 bits alone leave out nearly all strangers: four standard deviations above the radius
-    first = int(radius / n + 4 * np.sqrt(radius / n * (1 - radius / (64 * n))))
-    pairs = pairs.where("a.fp <> b.fp").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(apart(F.col("a.word"), F.col("b.word")) <= first)
-    pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    side = lambda c, name: nodes.select(F.col("fp").alias(c), F.col("bits").alias(name))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    edges = both.where(sum(apart(F.col("x")[i], F.col("y")[i]) for i in range(n)) <= radius).select("a", "b")
-    edges = written(edges, "candidates")
-    # each with the smallest it has met; of a large group of copies little is left after that
-    hung = components(_verified(edges.groupBy("a").agg(F.min("b").alias("b")), docs, own, k, similarity))
-    left = written(_apart(edges, hung), "left")
-    return components(hung.unionByName(_verified(left, docs, own, k, similarity)))
-
-
-def _apart(pairs: DataFrame, hung: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hung has not joined, each once."""
-    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return pairs.join(_label(hung, "a"), "a", "left").join(_label(hung, "b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a and b, hashes of shingle sets) whose sets are as similar as asked."""
-    used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = written(docs.join(used, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash")), "verified")
-    few = texts.count() <= BROADCAST
-    found = own.select("text_hash", "text").join(F.broadcast(texts) if few else texts, "text_hash").select("fp", "text")
+def _covered(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of fp that connect all whose 64-bit fingerprints differ in up to `radius` bits, by the covering masks."""
+    words = written(nodes.groupBy("word").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")), "words")
+    same = nodes.join(words.where("n > 1").select("word", "least"), "word").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    least = lambda c, x: words.select(F.col("word").alias(c), F.col("least").alias(x))
+    linked = links(words.select(F.col("word").alias("fp")), radius).toDF("u", "v")
+    return same.unionByName(linked.join(least("u", "a"), "u").join(least("v", "b"), "v").select("a", "b"))
 
-    def run(batches):
-        for b in batches:
-            sets = [sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(t, k)}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, dtype=np.uint64).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "set"])
 
-    # a text that many rows repeat is taken once for each task at most, then once
-    sets = written(found.mapInArrow(run, "fp long, set array<long>").groupBy("fp").agg(F.first("set").alias("set")), "sets")
-    side = lambda c, name: sets.select(F.col("fp").alias(c), F.col("set").alias(name))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    found = written(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
-    for t in (texts, sets):
-        forget(t.sparkSession, t)
-    return found
+def _contested(docs: DataFrame) -> DataFrame:
+    """key, fp, size, weight and leads of every prefix key that several texts have and that leads in one."""
+    rows = docs.select("fp", "size", "weight", "lead", F.posexplode("prefix").alias("at", "key")).select("key", "fp", "size", "weight", (F.col("at") < F.col("lead")).alias("leads"))
+    # nearly all keys are of one text only, and go here
+    keys = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.max("leads").alias("leads")).where("least <> most and leads").select("key")
+    keys = written(keys, "keys")
+    return written(rows.join(F.broadcast(keys) if keys.count() <= KEYS else keys, "key").dropDuplicates(["key", "fp"]), "contested")
 
 
-def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits: int = 1024, tables: int = 72, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_hubs(many: DataFrame, hung: DataFrame, similarity: float, i: int) -> DataFrame:
+    """Pairs (a, b) of each text with HUBS texts of other components that share a key of CROWD texts or more with it.
+
+    A text takes one such key only: in round 0 the fullest, later that of the least hash. The first hub of a key is the text
+    whose shingles come most often on average, to which copies of one text are all near if to any; the others come close to
+    it in that, and differ from round to round."""
+    rows = many.join(_label(hung, "fp"), "fp", "left").select("key", "fp", "size", "weight", F.coalesce("fp_root", "fp").alias("root"))
+    rows = written(rows, "rows")
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") >= CROWD) & (F.col("low") != F.col("high")))
+    rows = written(rows.join(crowded.select("key", "n"), "key"), "crowded")
+    by = [F.col("weight") * (1 + SPREAD * F.pmod(F.xxhash64("fp", F.lit(HUBS * i + j)), F.lit(1000)) * int(i + j > 0)) for j in range(HUBS)]
+    hubs = rows.groupBy("key").agg(*(F.max(F.struct(o.alias("by"), "fp", "root", "size")).alias(f"hub{j}") for j, o in enumerate(by)))
+    taken = rows.groupBy("fp").agg(F.max(F.struct((F.xxhash64("key", F.lit(i)) if i else F.col("n")).alias("by"), "key", "root", "size")).alias("x")).select("fp", "x.key", "x.root", "x.size")
+    near = lambda small, large: small >= similarity * large - 1e-9
+    fits = lambda h: (h["root"] != F.col("root")) & near(h["size"], F.col("size")) & near(F.col("size"), h["size"])
+    met = taken.join(hubs, "key").select("fp", F.explode(F.filter(F.array(*(f"hub{j}" for j in range(HUBS))), fits)).alias("hub"))
+    return met.select(F.col("fp").alias("a"), F.col("hub.fp").alias("b")).distinct()
+
+
+class _Sets:
+    """Compares shingle sets of candidate pairs, by their texts."""
+
+    def __init__(self, nodes: DataFrame, own: DataFrame, k: int, similarity: float):
+        self.nodes, self.own, self.k, self.similarity = nodes, own, k, similarity
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b: fp) whose sizes and odd sketches allow the similarity, with the least number of elements in which they
+        differ by their sketches; written. Most pairs that only share a passage end here."""
+        most = (1 - self.similarity) / (1 + self.similarity)
+        side = lambda c, x: self.nodes.select(F.col("fp").alias(c), F.col("size").alias(f"{c}_size"), F.col("odd").alias(x))
+        both = pairs.where("a <> b").distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").where(F.least("a_size", "b_size") >= self.similarity * F.greatest("a_size", "b_size") - 1e-9)
+
+        def run(batches):
+            for b in batches:
+                sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+                allowed = np.floor(most * sizes + 1e-9)
+                found = np.array([differing(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["a", "b", "apart"]).filter(pa.array(found <= allowed))
+
+        return written(both.select("a", "b", "a_size", "b_size", "x", "y").mapInArrow(run, "a long, b long, apart long"), "near")
+
+    def similar(self, pairs: DataFrame, nearest: int | None = None) -> DataFrame:
+        """The pairs whose sets are as similar as asked; nearest: of each a only so many b are compared, by the odd sketches (an
+        a may have few b then, as it has hubs)."""
+        pairs = self.near(pairs)
+        if nearest:
+            best = F.slice(F.array_sort(F.collect_list(F.struct("apart", "b"))), 1, nearest)
+            pairs = pairs.groupBy("a").agg(best.alias("x")).select("a", F.explode("x.b").alias("b"))
+        used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        row = ["is_null", "id0", "text_hash"]
+        texts = written(self.nodes.select("fp", *row).join(used, "fp"), "used")
+        few = texts.count() <= BROADCAST
+        found = self.own.join(F.broadcast(texts) if few else texts, row).select("fp", "text")
+        k = self.k
+
+        def run(batches):
+            for b in batches:
+                sets = [np.unique(hashed([t], k, once=True)[0]).view(np.int64) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
+        # of a row that is repeated each task sends one at most
+        sets = written(found.mapInArrow(run, "fp long, set array<long>").groupBy("fp").agg(F.first("set").alias("set")), "sets")
+        side = lambda c, x: sets.select(F.col("fp").alias(c), F.col("set").alias(x))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        out = written(both.where(common >= self.similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+        for t in (texts, sets):
+            forget(t.sparkSession, t)
+        release(out.sparkSession)
+        return out
+
+
+def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
 
     Returns one row for each different pair of id and text: is_null, id0, text_hash (the key of the row: whether the id
-    is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group.
-
-    Two sets with similarity s differ in bits * acos(2s / (1+s)) / pi positions on average, 155 of 1024, and scatter about
-    it by 11. Pairs from the tables up to three such steps above are compared by the sets themselves, unless links have
-    joined them already; no pair is linked without that. Texts with equal shingle sets are one class.
-
-    In a bucket each member is compared with the smallest, so a bucket makes rows in proportion to its members. Then all
-    texts meet again by prefix() of their shingle sets: a pair that is as similar as asked shares a key there, and is
-    compared unless links have joined it already. tables and width decide how much is left to that, not what is found."""
+    is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group. Texts with equal
+    shingle sets are one class, those without words too.
+
+    First, fingerprints within `radius` (0, 2 or 4) differing bits are found by the covering masks. Then all texts meet by
+    prefix() of their sets: a pair as similar as asked shares a key there. In rounds the texts of keys that many components
+    share are compared with a few of them, which joins groups of copies in a few rows for each text. At last every pair that
+    shares a key and is not joined yet is compared. Pairs whose sizes or odd sketches rule the similarity out are dropped
+    before, by bounds that lose none; each other pair is linked by the sets themselves only."""
+    if radius not in (0, 2, 4):
+        raise ValueError("radius must be 0, 2 or 4")
     arrow_batches(df.sparkSession)
-    n = bits // 64
-    at = progressions(tables, width, bits)
-    weights = 1 << np.arange(width, dtype=np.int64)
-    mean = bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    step = np.sqrt(mean * (1 - mean / bits))
-    radius = int(mean + 3 * step)
     key = [F.col(id_col).isNull().alias("is_null"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id0")]
     own = df.select(*key, F.col(text_col).cast("string").alias("text"))
     own = own.select("is_null", "id0", F.xxhash64("text").alias("text_hash"), "text")
-
     common, counts = _common(own, k)
 
     def run(batches):
         for b in batches:
             h, sizes = hashed(b.column(3).to_pylist(), k, once=True)
-            got = np.concatenate([majority(mixed(h, j), sizes) for j in range(n)], axis=1)
             sets = [np.unique(x) for x in np.split(h, np.cumsum(sizes)[:-1])] if b.num_rows else []
-            first = [prefix(x, similarity, common, counts) for x in sets]
-            keys = np.stack([got[:, row] @ weights for row in at], axis=1) if b.num_rows else np.zeros((0, tables), dtype=np.int64)
-            longs = packed(got) if b.num_rows else np.zeros((0, n), dtype=np.int64)
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), kind), w).cast(pa.list_(kind)) for x, kind, w in ((longs, pa.int64(), n), (keys.astype(np.int32), pa.int32(), tables))]
-            cols += [pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([x for _, x in first], pa.int32()), pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "bits", "keys", "fp", "size", "lead", "prefix"])
-
-    found = own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, bits array<long>, keys array<int>, fp long, size int, lead int, prefix array<long>")
-    docs = written(found, "sketches")
-    nodes = written(docs.groupBy("fp").agg(F.min(F.struct("bits", "keys", "size", "lead", "prefix")).alias("x")).select("fp", "x.*"), "nodes")
-    rows = nodes.select(F.struct("fp", F.col("bits")[0].alias("word")).alias("fp"), F.posexplode("keys").alias("t", "key"))
-    rows = rows.select("fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).alias("key"))
-    heads = written(_heads(rows), "heads")
-    two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    star = rows.join(heads.where("n > 2").select("key", "least"), "key").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    hung = _linked(two.unionByName(star), nodes, docs, own, k, similarity, radius, bits)
-    rows = nodes.select("fp", "size", "lead", F.posexplode("prefix").alias("at", "key"))
-    rows = rows.select("key", "fp", "size", (F.col("at") < F.col("lead")).alias("leads"))
-    # a key that leads in no set makes no pair
-    heads = written(_heads(rows, F.max("leads").alias("leads")).where("leads"), "heads")
-    two = heads.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    many = rows.join(heads.where("n > 2").select("key", "least"), "key")
-    many = written(many, "many")
-    sizes = nodes.select("fp", "size")
-    for pairs in (lambda: two.unionByName(many.select(F.col("fp").alias("a"), F.col("least").alias("b"))), lambda: _across(many, hung, similarity)):
-        left = _apart(pairs(), hung).join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b")
-        left = written(left.where(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b"), "left")
-        hung = components(hung.unionByName(_verified(left, docs, own, k, similarity)))
+            often = [known(x, common, counts) for x in sets]
+            first = [prefix(x, similarity, o) for x, o in zip(sets, often, strict=True)]
+            cols = [pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64()), pa.array(packed(majority(h, sizes))[:, 0] if b.num_rows else [], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([odd_words(x) for x in sets], pa.list_(pa.int64()))]
+            cols += [pa.array([len(x) for x in sets], pa.int32()), pa.array([float(o.mean()) if len(o) else 0.0 for o in often], pa.float64()), pa.array([x for _, x in first], pa.int32()), pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "fp", "word", "odd", "words", "size", "weight", "lead", "prefix"])
+
+    docs = written(own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, fp long, word long, odd binary, words array<long>, size int, weight double, lead int, prefix array<long>"), "sketches")
+    # of texts with one set, the row with the smallest key stands for all
+    least = docs.groupBy("fp").agg(F.min(F.struct("is_null", "id0", "text_hash", "word", "size", "odd", "words")).alias("x"))
+    nodes = written(least.select("fp", "x.*"), "nodes")
+    sets = _Sets(nodes, own, k, similarity)
+    edges = sets.similar(_covered(nodes.select("fp", "word"), radius))
+    # texts with one label are linked, which is all that rounds need to know
+    hung = edges.groupBy("a").agg(F.min("b").alias("b"))
+    many = _contested(docs)
+    release(df.sparkSession)
+    for i in range(ROUNDS):
+        found = sets.similar(_with_hubs(many, hung, similarity, i), NEAREST)
+        if not found.head(1):
+            break
+        edges = edges.unionByName(found)
+        hung = components(edges)
+    rows = many.join(_label(hung, "fp"), "fp", "left").select("key", "fp", "size", "leads", F.coalesce("fp_root", "fp").alias("root"))
+    hung = components(edges.unionByName(sets.similar(_across(written(rows, "rows"), nodes, similarity))))
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
 
@@ -353,13 +404,17 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, bits:
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df without near duplicates: of each group of similar_groups() the row with the smallest id stays (a null id only
     if the group has no other; among equal ids the text with the smallest hash). All columns of df stay as they are.
-    Texts without words are one group. Of rows repeated with id and text one stays."""
+    Texts without words are one group. Of rows equal in id and text the least stays, by all columns as JSON."""
     rows, c = renamed(df)
     groups = written(similar_groups(rows, id_col=c[id_col], text_col=c[text_col], **options), "groups")
     stays = groups.groupBy("root").agg(F.min(F.struct("is_null", "id0", "text_hash", "n")).alias("x")).select("x.*")
     stays = written(stays, "stays")
-    repeated = bool(stays.where("n > 1").head(1))
     names = ["is_null", "id0", "text_hash"]
     marked = rows.withColumns({"is_null": F.col(c[id_col]).isNull(), "id0": F.coalesce(F.col(c[id_col]), F.lit(-1)).cast("long"), "text_hash": F.xxhash64(F.col(c[text_col]).cast("string"))})
-    out = marked.join(stays.select(names), names, "left_semi")
-    return (out.dropDuplicates(names) if repeated else out).select(*c.values()).toDF(*df.columns)
+    out = marked.join(stays.where("n = 1").select(names), names, "left_semi").select(*c.values())
+    if stays.where("n > 1").head(1):
+        others = [c[x] for x in df.columns if x != text_col]
+        again = marked.join(stays.where("n > 1").select(names), names, "left_semi")
+        first = again.groupBy(*names).agg(F.min_by(F.struct(*c.values()), F.to_json(F.struct(*others), {"ignoreNullFields": "false"})).alias("x"))
+        out = out.unionByName(first.select("x.*"))
+    return out.toDF(*df.columns)

@@ -129,9 +129,29 @@ def test_a_bucket_of_many_copies_is_one_group(spark):
     assert [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
-def test_expected_distance():
-    s = 2 * 0.8 / 1.8
-    assert int(1024 * np.arccos(s) / np.pi) == 155
+@pytest.mark.parametrize("n", [0, 1, 5, 64, 65, 400, 3000])
+def test_odd_sketches_never_exceed_the_difference(n):
+    rng = np.random.default_rng(n)
+    x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    for other in (x, x[: n * 8 // 9], np.concatenate([x[n // 9 :], rng.integers(0, 2**63, n // 8 + 1).astype(np.uint64)]), rng.integers(0, 2**63, max(1, n * 5 // 4)).astype(np.uint64)):
+        y = np.unique(other)
+        d = simhash.differing(simhash.odd_sketch(x), simhash.odd_sketch(y))
+        assert d <= len(np.setxor1d(x, y)) and d == simhash.differing(simhash.odd_sketch(y), simhash.odd_sketch(x)) and (d or len(x) != len(y) or n < 5 or (x == y).all())
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_prefixes_of_similar_sets_meet(similarity):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        x = np.unique(rng.integers(0, 10_000, n).astype(np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[: len(x) - int(rng.integers(0, len(x) // 6 + 1))], rng.integers(0, 10_000, int(rng.integers(0, len(x) // 6 + 1))).astype(np.uint64)]))
+        if len(np.intersect1d(x, y)) < similarity * len(np.union1d(x, y)):
+            continue
+        common = np.unique(rng.integers(0, 10_000, 500).astype(np.uint64))
+        (a, la), (b, lb) = (simhash.prefix(z, similarity, simhash.known(z, common, np.arange(len(common)) % 7 + 1)) for z in (x, y))
+        met = set(a.tolist()) & set(b.tolist())
+        assert any(k in a[:la].tolist() or k in b[:lb].tolist() for k in met)
 
 
 def grouped(spark, rows, **options):
@@ -153,9 +173,10 @@ def near_pairs(n, seed=8):
     return rows
 
 
-def test_pairs_behind_strangers_in_a_bucket_are_found(spark):
-    # one position a mask: each bucket holds half of all texts, and a pair is never the smallest of most
-    pairs = grouped(spark, near_pairs(40), tables=3, width=1)
+def test_pairs_among_strangers_of_the_same_words_are_found(spark):
+    # the same passage opens all texts, so each meets each
+    passage = " ".join(f"p{i}" for i in range(60))
+    pairs = grouped(spark, [(i, f"{passage} {t}") for i, t in near_pairs(40)])
     assert sum(w for _, w in pairs) > 20 and all(g == w for g, w in pairs)
 
 
@@ -165,19 +186,74 @@ def test_pairs_just_below_the_similarity_stay_apart(spark):
     base = [rng.choices(words, k=400) for _ in range(400)]
     rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(400 + i, " ".join("changed" if x % 40 == 20 and x < 360 else w for x, w in enumerate(b))) for i, b in enumerate(base)]
     assert all(0.79 < jaccard(rows[i][1], rows[400 + i][1]) < 0.8 for i in range(400))
-    # pairs whose fingerprints lie closer than two steps below the mean distance
-    bits = simhash.sketch([t for _, t in rows], 5, 16, once=True)
-    close = [i for i in range(400) if (bits[i] != bits[400 + i]).sum() <= 132]
-    assert close and not any(g for g, _ in grouped(spark, [rows[j] for i in close for j in (i, 400 + i)]))
+    # pairs with equal or nearly equal fingerprints
+    bits = simhash.sketch([t for _, t in rows], 5, once=True)
+    close = sorted(range(400), key=lambda i: (bits[i] != bits[400 + i]).sum())[:40]
+    assert not any(g for g, _ in grouped(spark, [rows[j] for i in close for j in (i, 400 + i)]))
 
 
-def test_equal_first_bits_are_no_class(spark, monkeypatch):
+def test_equal_fingerprints_are_no_class(spark, monkeypatch):
     majority = simhash.majority
     monkeypatch.setattr(simhash, "majority", lambda h, counts: majority(h, counts) & False)
     assert all(g == w for g, w in grouped(spark, near_pairs(6)))
 
 
-@pytest.mark.parametrize("n", [10, 60])
-def test_groups_equal_brute_force_whatever_the_tables(spark, n):
-    pairs = grouped(spark, near_pairs(n, seed=n), tables=1, width=30)
-    assert sum(w for _, w in pairs) > n // 2 and all(g == w for g, w in pairs)
+@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_groups_equal_brute_force_whatever_joins_first(spark, monkeypatch, rounds, few):
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "BROADCAST", few)
+    monkeypatch.setattr(simhash, "KEYS", few)
+    pairs = grouped(spark, near_pairs(30, seed=rounds), radius=0 if rounds else 2)
+    assert sum(w for _, w in pairs) > 15 and all(g == w for g, w in pairs)
+
+
+def test_copies_around_a_text_are_one_group_in_few_rows(spark, monkeypatch):
+    """Copies are near the text they come from and not near each other: compared with it, they need no pairs among themselves."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(220)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 120):
+        new = list(words)
+        for x in rng.sample(range(0, 220, 5), 4):
+            new[x] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(new)))
+    compared, near = [], simhash._Sets.near
+    monkeypatch.setattr(simhash._Sets, "near", lambda self, pairs: (compared.append(pairs.count()), near(self, pairs))[1])
+    assert len({r.root for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == 1
+    assert sum(compared) < (simhash.HUBS + 1) * len(rows)
+
+
+def test_of_rows_equal_in_id_and_text_the_least_stays(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words, s, n) for s, n in (("s2", 1), ("s0", 5), (None, 3), ("s0", 4), ("s1", 1))] + [(2, "other words", "s9", 1)]
+    left = {simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(p, "n")).orderBy("doc_id").collect()[0] for p in (1, 2, 3, 5)}
+    assert len(left) == 1 and {r.n for r in left} == {4}
+
+
+def test_all_similar_pairs_of_the_documents(spark):
+    """Brute force over all pairs of texts that share a shingle, whatever their fingerprints."""
+    docs = table(spark, f"{DATA}/sf0.01", "documents").select("doc_id", "text").collect()
+    sets = {r.doc_id: set(simhash.shingles(r.text, 5)) for r in docs}
+    of = {}
+    for i, s in sets.items():
+        for x in s:
+            of.setdefault(x, []).append(i)
+    met = {(a, b) for ids in of.values() for a in ids for b in ids if a < b}
+    want = {i: i for i in sets}
+    empty = [i for i, s in sets.items() if not s]
+
+    def find(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for a, b in [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])] + [(empty[0], x) for x in empty[1:]]:
+        want[max(find(a), find(b))] = min(find(a), find(b))
+    roots_ = {}
+    for r in simhash.similar_groups(table(spark, f"{DATA}/sf0.01", "documents")).collect():
+        roots_.setdefault(r.root, set()).add(r.id0)
+    groups = {}
+    for i in want:
+        groups.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, roots_.values())) == sorted(map(sorted, groups.values()))
