@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, digest, materialise, mixing, quality, secrets, sharding, simhash, spelling, urlgraph, warc
+from docquarry.llm import bpe, digest, forest_dedup, materialise, mixing, quality, secrets, sharding, simhash, spelling, urlgraph, warc
 from docquarry.llm.shared import table
 
 
@@ -55,6 +55,10 @@ def op11_spelling_bands(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_feistel_shards": op2_feistel_shards, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op8_warc_history": op8_warc_history, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix, "op11_spelling_bands": op11_spelling_bands}
+def op12_lsh_forest(spark, sf_dir):
+    return forest_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op6_link_trust": urlgraph.judged_sql(), "op8_warc_history": warc.ARCHIVED_SQL, "op10_weighted_mix": mixing.TAKEN_SQL, "op11_spelling_bands": spelling.VARIANTS_SQL}
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_feistel_shards": op2_feistel_shards, "op3_boosted_quality": op3_boosted_quality, "op4_virtual_slots": op4_virtual_slots, "op5_improbable_digest": op5_improbable_digest, "op6_link_trust": op6_link_trust, "op7_covering_simhash": op7_covering_simhash, "op8_warc_history": op8_warc_history, "op9_secret_forest": op9_secret_forest, "op10_weighted_mix": op10_weighted_mix, "op11_spelling_bands": op11_spelling_bands, "op12_lsh_forest": op12_lsh_forest}
+
+ORACLE_SQL: dict[str, str] = {"op6_link_trust": urlgraph.judged_sql(), "op8_warc_history": warc.ARCHIVED_SQL, "op10_weighted_mix": mixing.TAKEN_SQL, "op11_spelling_bands": spelling.VARIANTS_SQL, "op12_lsh_forest": forest_dedup.NEAR_SQL}

@@ -159,7 +159,7 @@ def near_groups(df: DataFrame, *, k: int = 3, radius: int = 2, id_col: str = "do
 
 #: Keys of shingles, and keys of rows, that a broadcast may carry (8 and 24 bytes each).
 KEYS, BROADCAST = 100_000, 500_000
-#: The share of each set, by hash, in which shingles are counted; how often one must come to be known as common; and how
+#: The share of all shingles, by hash, that are counted in every text; how often one must come to be known as common; and how
 #: many are known at most. Common shingles come last in prefixes: the cost depends on it, not the groups.
 COUNTED, OFTEN, COMMON = 0.3, 8, 500_000
 #: Rounds, at most, in which the texts of keys that CROWD texts or more have are compared with the NEAREST of HUBS of such a
@@ -190,20 +190,16 @@ def prefix(hashes: np.ndarray, similarity: float, often: np.ndarray) -> tuple[np
     return hashes[np.lexsort((hashes, often))][: n - least(similarity) + 1], n - least(2 * similarity / (1 + similarity)) + 1
 
 
-def _common(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that come often, in ascending order, and how often each does.
+#: Hashes below this are counted in all texts, those above in texts whose prefix would else reach there.
+_COUNTED_BELOW = np.uint64(int(COUNTED * 2**64))
 
-    All texts are counted, each by the COUNTED part of its set with the least hashes: prefixes reach no further unless a
-    tenth of a text is common. At most COMMON hashes reach the driver: those counted most, by quarters of a power of two."""
 
-    def run(batches):
-        for b in batches:
-            h, sizes = hashed(b.column(0).to_pylist(), k, once=True)
-            sets = [np.sort(x)[: int(COUNTED * len(x)) + 1] for x in np.split(h, np.cumsum(sizes)[:-1])] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+def _common(hashes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes of shingles (h, each text's different ones) those that come often, in ascending order, and how often each does.
 
+    At most COMMON reach the driver: those counted most, by quarters of a power of two."""
     level = F.floor(F.log2("n") * 4).cast("int").alias("level")
-    often = own.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    often = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     often = written(often.select("h", "n", level), "often")
     least, held = None, 0
     for r in sorted(often.groupBy("level").count().collect(), key=lambda r: -r.level):
@@ -217,6 +213,18 @@ def _common(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _low_hashes(own: DataFrame, k: int) -> DataFrame:
+    """h: of all texts the different hashes of shingles that are counted in all."""
+
+    def run(batches):
+        for b in batches:
+            h, sizes = hashed(b.column(0).to_pylist(), k, once=True)
+            sets = [np.unique(x[x < _COUNTED_BELOW]) for x in np.split(h, np.cumsum(sizes)[:-1])] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    return own.select("text").mapInArrow(run, "h long")
+
+
 def odd_sketch(hashes: np.ndarray) -> bytes:
     """For a set of n hashes, a power of two of at least n (and 64) bits: each tells whether an odd number of hashes end in its place."""
     bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
@@ -342,51 +350,92 @@ class _Sets:
         side = lambda c, x: sets.select(F.col("fp").alias(c), F.col("set").alias(x))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
-        out = written(both.where(common >= self.similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+        out = written(both.where(common >= self.similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "similar")
         for t in (texts, sets):
             forget(t.sparkSession, t)
         release(out.sparkSession)
         return out
 
 
-def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
+class Covering:
+    """First pairs of similar_groups(): fingerprints within `radius` (0, 2 or 4) differing bits, by the covering masks."""
 
-    Returns one row for each different pair of id and text: is_null, id0, text_hash (the key of the row: whether the id
-    is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group. Texts with equal
-    shingle sets are one class, those without words too.
+    #: Columns that the sketch of a text gets for it, and how many of a text's pairs are compared (None: all).
+    fields, nearest = {"word": "long"}, None
 
-    First, fingerprints within `radius` (0, 2 or 4) differing bits are found by the covering masks. Then all texts meet by
-    prefix() of their sets: a pair as similar as asked shares a key there. In rounds the texts of keys that many components
-    share are compared with a few of them, which joins groups of copies in a few rows for each text. At last every pair that
-    shares a key and is not joined yet is compared. Pairs whose sizes or odd sketches rule the similarity out are dropped
-    before, by bounds that lose none; each other pair is linked by the sets themselves only."""
-    if radius not in (0, 2, 4):
-        raise ValueError("radius must be 0, 2 or 4")
+    def __init__(self, radius: int = 2):
+        if radius not in (0, 2, 4):
+            raise ValueError("radius must be 0, 2 or 4")
+        self.radius = radius
+
+    def columns(self, hashes: np.ndarray, sizes: np.ndarray) -> list:
+        """The columns of a batch. hashes: of all its texts' shingles, each text's different ones; sizes: how many each has."""
+        return [pa.array(packed(majority(hashes, sizes))[:, 0] if len(sizes) else [], pa.int64())]
+
+    def pairs(self, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of fp to compare."""
+        return _covered(nodes.select("fp", "word"), self.radius)
+
+
+def _prefixed(docs: DataFrame, similarity: float) -> DataFrame:
+    """docs with weight, lead and prefix for the rows that have their whole set (`whole`, null for others): counts of the hashes
+    above those counted in all texts are taken among these rows. Others don't reach there, so one order holds for all."""
+    rest = docs.where("whole is not null")
+    if not rest.head(1):
+        return docs.drop("whole")
+    common, counts = _common(rest.select(F.explode("whole").alias("h")))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.array(x, dtype=np.int64).view(np.uint64) for x in b.column("whole").to_pylist()]
+            often = [known(x, common, counts) for x in sets]
+            first = [prefix(x, similarity, o) for x, o in zip(sets, often, strict=True)]
+            new = {"weight": pa.array([float(o.mean()) if len(o) else 0.0 for o in often], pa.float64()), "lead": pa.array([x for _, x in first], pa.int32()), "prefix": pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))}
+            names = [n for n in b.schema.names if n != "whole"]
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(n) for n in names], names=names)
+
+    kept = docs.drop("whole")
+    return docs.where("whole is null").drop("whole").unionByName(written(rest.mapInArrow(run, kept.schema), "prefixed"))
+
+
+def linked_sets(df: DataFrame, *, k: int, similarity: float, first, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links between all texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Returns docs, one row for each row of df (is_null, id0, text_hash: whether the id is null, the id or -1, the text's
+    xxhash64; fp, the hash of the set; size, its elements), and hung: a and b, fp and the smallest fp of its component.
+
+    `first` (see Covering) names the first pairs. Then all texts meet by prefix() of their sets: a pair as similar as asked
+    shares a key there. In rounds the texts of keys that many components share are compared with a few of them, which
+    joins groups of copies in a few rows for each text. At last every pair that shares a key and is not joined yet is
+    compared. Pairs whose sizes or odd sketches rule the similarity out are dropped before, by bounds that lose none;
+    each other pair is linked by the sets themselves only."""
     arrow_batches(df.sparkSession)
     key = [F.col(id_col).isNull().alias("is_null"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id0")]
     own = df.select(*key, F.col(text_col).cast("string").alias("text"))
     own = own.select("is_null", "id0", F.xxhash64("text").alias("text_hash"), "text")
-    common, counts = _common(own, k)
+    common, counts = _common(_low_hashes(own, k))
 
     def run(batches):
         for b in batches:
             h, sizes = hashed(b.column(3).to_pylist(), k, once=True)
             sets = [np.unique(x) for x in np.split(h, np.cumsum(sizes)[:-1])] if b.num_rows else []
             often = [known(x, common, counts) for x in sets]
-            first = [prefix(x, similarity, o) for x, o in zip(sets, often, strict=True)]
-            cols = [pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64()), pa.array(packed(majority(h, sizes))[:, 0] if b.num_rows else [], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([odd_words(x) for x in sets], pa.list_(pa.int64()))]
-            cols += [pa.array([len(x) for x in sets], pa.int32()), pa.array([float(o.mean()) if len(o) else 0.0 for o in often], pa.float64()), pa.array([x for _, x in first], pa.int32()), pa.array([x.view(np.int64) for x, _ in first], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "fp", "word", "odd", "words", "size", "weight", "lead", "prefix"])
-
-    docs = written(own.mapInArrow(run, "is_null boolean, id0 long, text_hash long, fp long, word long, odd binary, words array<long>, size int, weight double, lead int, prefix array<long>"), "sketches")
+            start = [prefix(x, similarity, o) for x, o in zip(sets, often, strict=True)]
+            whole = [x.view(np.int64) if len(p) and p.max() >= _COUNTED_BELOW else None for x, (p, _) in zip(sets, start, strict=True)]
+            cols = [pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64()), *first.columns(h, sizes), pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([odd_words(x) for x in sets], pa.list_(pa.int64()))]
+            cols += [pa.array([len(x) for x in sets], pa.int32()), pa.array([float(o.mean()) if len(o) else 0.0 for o in often], pa.float64()), pa.array([x for _, x in start], pa.int32()), pa.array([x.view(np.int64) for x, _ in start], pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["is_null", "id0", "text_hash", "fp", *first.fields, "odd", "words", "size", "weight", "lead", "prefix", "whole"])
+
+    more = "".join(f", {c} {t}" for c, t in first.fields.items())
+    sketches = own.mapInArrow(run, f"is_null boolean, id0 long, text_hash long, fp long{more}, odd binary, words array<long>, size int, weight double, lead int, prefix array<long>, whole array<long>")
+    docs = _prefixed(written(sketches, "sketches"), similarity)
     # of texts with one set, the row with the smallest key stands for all
-    least = docs.groupBy("fp").agg(F.min(F.struct("is_null", "id0", "text_hash", "word", "size", "odd", "words")).alias("x"))
+    least = docs.groupBy("fp").agg(F.min(F.struct("is_null", "id0", "text_hash", *first.fields, "size", "odd", "words")).alias("x"))
     nodes = written(least.select("fp", "x.*"), "nodes")
     sets = _Sets(nodes, own, k, similarity)
-    edges = sets.similar(_covered(nodes.select("fp", "word"), radius))
+    edges = sets.similar(first.pairs(nodes), first.nearest)
     # texts with one label are linked, which is all that rounds need to know
-    hung = edges.groupBy("a").agg(F.min("b").alias("b"))
+    hung = components(edges) if first.nearest else edges.groupBy("a").agg(F.min("b").alias("b"))
     many = _contested(docs)
     release(df.sparkSession)
     for i in range(ROUNDS):
@@ -397,6 +446,17 @@ def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, radius
         hung = components(edges)
     rows = many.join(_label(hung, "fp"), "fp", "left").select("key", "fp", "size", "leads", F.coalesce("fp_root", "fp").alias("root"))
     hung = components(edges.unionByName(sets.similar(_across(written(rows, "rows"), nodes, similarity))))
+    return docs.select("is_null", "id0", "text_hash", "fp", "size"), hung
+
+
+def similar_groups(df: DataFrame, *, k: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Returns one row for each different pair of id and text: is_null, id0, text_hash (the key of the row: whether the id
+    is null, the id or -1, the text's xxhash64), n (rows that have it), and root, equal within a group. Texts with equal
+    shingle sets are one class, those without words too. First, fingerprints within `radius` (0, 2 or 4) differing bits are
+    found by the covering masks; linked_sets() says what follows."""
+    docs, hung = linked_sets(df, k=k, similarity=similarity, first=Covering(radius), id_col=id_col, text_col=text_col)
     keys = docs.groupBy("is_null", "id0", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     return keys.join(hung.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("is_null", "id0", "text_hash", "n", F.coalesce("root", "fp").alias("root"))
 
