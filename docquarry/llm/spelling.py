@@ -1,24 +1,26 @@
 """Spelling variants of the words of a corpus, found by letter-parity bitmasks in three bands.
 
 Each letter has a bit in one of three bands, and a word's mask tells which letters it has an odd number of times. One
-inserted, deleted or replaced letter flips at most two bits, so of two such words at least one band is equal. Words are joined on an
-equal band and on length, and what meets is verified.
+replaced letter flips at most two bits, so one band at least is equal; an inserted or deleted one flips one, so two
+bands are. Words are joined on equal bands and on length, and what meets is verified.
 
 A vocabulary grows and the bands don't, so buckets of more than CROWD words are split, without losing a pair: where a
 band is equal, no letter of it is touched, so its letters stand in the same places of both words, but for the place that an
-insertion adds. Such words meet again by their shape, in which the letters of the band, and of one band of a second, third
-and fourth dealing of the letters, are kept and all others are dots. One band of each dealing is equal, too.
+insertion adds. Such words meet again by their shape, in which the letters of equal bands, and of those of a second,
+third and fourth dealing of the letters to bands, are kept and all others are dots.
 """
 
 from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import arrow_batches, forget, written
+from docquarry.llm.shared import arrow_batches, forget, release, written
 
 #: What a run of letters is.
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -48,65 +50,79 @@ def mask(word: str) -> int:
 _BANDS = [sum(_BIT[c] for c in LETTERS if DEALINGS[0][c] == k) for k in range(3)]
 
 
+#: What a word is in a bucket: replaced words meet each other, and words a letter is inserted in meet those that have one more.
+REPLACED, SHORT, LONG = 0, 1, 2
+
+
 @functools.cache
-def _dots(path: str) -> dict[int, str]:
-    """A translation of the letters outside the bands of a path into dots."""
-    return {ord(c): "." for c in LETTERS if all(d[c] != int(k) for d, k in zip(DEALINGS, path, strict=False))}
+def _dots(path: str, role: int) -> dict[int, str]:
+    """A translation into dots of the letters that may be touched. path: a band of each dealing, equal for REPLACED, else the touched one."""
+    own = lambda c: [d[c] == int(k) for d, k in zip(DEALINGS, path, strict=False)]
+    return {ord(c): "." for c in LETTERS if (not any(own(c)) if role == REPLACED else all(own(c)))}
 
 
-def shape(word: str, path: str) -> str:
-    """The word with a dot for each letter outside the bands of a path, which has one band of each dealing."""
-    return word.translate(_dots(path))
+def shape(word: str, role: int, path: str) -> str:
+    """The word with a dot for each letter that may be touched."""
+    return word.translate(_dots(path, role))
 
 
 def first_keys(word: str) -> list[tuple[int, str, str]]:
-    """(role, path, key) of a word by the bands of its mask: role 0 at its own length, and role 1 at that of words with one letter less."""
+    """(role, path, key) of a word by the bands of its mask: one band and the length, or the two others and the length of the short word."""
     m = mask(word)
-    return [(role, str(k), f"{k}|{m & band:x}|{len(word) - role}") for k, band in enumerate(_BANDS) for role in (0, 1)]
+    keys = [(REPLACED, str(k), f"={k}|{m & band:x}|{len(word)}") for k, band in enumerate(_BANDS)]
+    return keys + [(role, str(k), f"~{k}|{m & ~band:x}|{len(word) - (role == LONG)}") for k, band in enumerate(_BANDS) for role in (SHORT, LONG)]
 
 
 def next_keys(word: str, role: int, path: str) -> list[tuple[int, str, str]]:
-    """(role, path, key) of a word by its shapes, one dealing further; in role 1 by its shapes with one dot less."""
+    """(role, path, key) of a word by its shapes, one dealing further; those of LONG with one dot less."""
     found = []
     for longer in (path + str(k) for k in range(3)):
-        s = shape(word, longer)
-        shapes = {s[:i] + s[i + 1 :] for i, c in enumerate(s) if c == "."} if role else {s}
-        found += [(role, longer, f"{longer}|{x}") for x in sorted(shapes)]
+        s = shape(word, role, longer)
+        shapes = {s[:i] + s[i + 1 :] for i, c in enumerate(s) if c == "."} if role == LONG else {s}
+        found += [(role, longer, f"{'~' if role else '='}{longer}|{x}") for x in sorted(shapes)]
     return found
 
 
 def _keyed(rows: DataFrame, keys) -> DataFrame:
-    """word, role, path and key of each row by a function of its columns."""
+    """word, role, path and the hash of the key of each row by a function of its columns. Words with equal hashes are only compared."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
 
     def run(batches):
         for b in batches:
-            out = [(row[0], *k) for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in keys(*row)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["word", "role", "path", "key"])
+            out = [(row[0], role, path, xxhash.xxh64_intdigest(key)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for role, path, key in keys(*row)]
+            words, roles, paths, hashes = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip((words, roles, paths), kinds, strict=False)), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))], names=["word", "role", "path", "key"])
 
-    return rows.mapInArrow(run, "word string, role int, path string, key string")
+    return rows.mapInArrow(run, "word string, role int, path string, key long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs (a, b) of different words, each once, that differ by one inserted, deleted or replaced code point. words: word,
     all different, of letters as RUN has them, A-Z lower-cased."""
-    arrow_batches(words.sparkSession, rows=10_000)
-    rows, found = _keyed(words.select("word"), first_keys), []
+    spark = words.sparkSession
+    arrow_batches(spark, rows=4_000)
+    keyed, found = _keyed(words.select("word"), first_keys), []
     for level in range(len(DEALINGS)):
-        rows = written(rows, "bands")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").select("key", "n")
-        met = rows.join(sizes, "key")
+        own = Window.partitionBy("key")
+        sizes = {"n": F.count(F.lit(1)), "least": F.min("role"), "most": F.max("role")}
+        if level:
+            # one shuffle by key: most rows of shapes are alone, and go here
+            met = keyed.withColumns({c: f.over(own) for c, f in sizes.items()})
+        else:
+            # many words have the same band, so their number is aggregated and joined
+            met = keyed.join(keyed.groupBy("key").agg(*(f.alias(c) for c, f in sizes.items())), "key")
+        met = written(met.where(f"n > 1 and (least = {REPLACED} or least = {SHORT} and most = {LONG})").select("word", "role", "path", "key", "n"), "bands")
         last = level == len(DEALINGS) - 1
         few = met if last else met.where(F.col("n") <= CROWD)
-        a, b = few.where("role = 0").select("key", F.col("word").alias("a")), few.select("key", "role", F.col("word").alias("b"))
-        close = F.levenshtein("a", "b", 1) == 1
-        pairs = a.join(b, "key").where(((F.col("role") == 1) | (F.col("a") < F.col("b"))) & close)
+        a, b = few.where(F.col("role") != LONG).select("key", F.col("role").alias("as"), F.col("word").alias("a")), few.select("key", "role", F.col("word").alias("b"))
+        pairs = a.join(b, "key").where(((F.col("as") == SHORT) & (F.col("role") == LONG)) | ((F.col("role") == REPLACED) & (F.col("a") < F.col("b")))).where(F.levenshtein("a", "b", 1) == 1)
         found.append(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
-        if last:
-            break
-        many = met.where(F.col("n") > CROWD).select("word", "role", "path").distinct()
-        if not many.head(1):
+        many = None if last else written(met.where(F.col("n") > CROWD).select("word", "role", "path").distinct(), "crowded")
+        forget(spark, met)
+        release(spark)
+        if last or not many.head(1):
             break
-        rows = _keyed(many, next_keys)
+        keyed = _keyed(many, next_keys)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -100,17 +100,16 @@ def test_one_edit_leaves_a_key_of_each_level_equal(word, i, letter, kind):
     if other == word:
         return
     short, long = sorted((word, other), key=len)
-    role = int(len(short) != len(long))
-    a = {(k[1], k[2]) for k in spelling.first_keys(short) if k[0] == 0}
-    b = {(k[1], k[2]) for k in spelling.first_keys(long) if k[0] == role}
-    for _ in range(4):
+    same = len(short) == len(long)
+    roles = (spelling.REPLACED, spelling.REPLACED) if same else (spelling.SHORT, spelling.LONG)
+    a, b = ({k[1:] for k in spelling.first_keys(w) if k[0] == role} for w, role in zip((short, long), roles, strict=True))
+    for level in range(4):
         shared = a & b
         assert shared
-        paths = {p for p, _ in shared}
-        a = {k[1:] for p in paths if len(p) < 4 for k in spelling.next_keys(short, 0, p)}
-        b = {k[1:] for p in paths if len(p) < 4 for k in spelling.next_keys(long, role, p)}
-        if not a:
+        if level == 3:
             break
+        paths = {p for p, _ in shared}
+        a, b = ({k[1:] for p in paths for k in spelling.next_keys(w, role, p)} for w, role in zip((short, long), roles, strict=True))
 
 
 def test_each_letter_has_a_bit_and_a_band_in_each_dealing():
