@@ -1,8 +1,10 @@
-"""Small tables that queries and tests share where the data has no counterpart: page layout, routing replies, model texts,
-evaluation records. Each is given once and becomes a DataFrame or DuckDB SQL."""
+"""Small tables for tests that show the edges of each rule: page layout, routing replies, model texts, evaluation records. Each is
+given once and becomes a DataFrame or DuckDB SQL. Queries run over the derived tables of the same columns (derived.py)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry import schemas
@@ -188,21 +190,23 @@ def _literal(v) -> str:
     return repr(v)
 
 
-def _duck(kind: str) -> str:
+def duck(kind: str) -> str:
     kind = kind.strip()
     if kind.startswith("array<struct"):
         return "STRUCT(feature VARCHAR, present BOOLEAN)[]"
     if kind.startswith("array<"):
-        return _duck(kind[6:-1]) + "[]"
+        return duck(kind[6:-1]) + "[]"
     return {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "long": "BIGINT"}[kind]
 
 
+def columns(name: str) -> list[tuple[str, str]]:
+    """Names and types of a table's columns."""
+    return [tuple(c.strip().split(" ", 1)) for c in re.split(r",\s*(?=\w+ )", TABLES[name][0])]
+
+
 def values(name: str) -> str:
     """A fixture as a DuckDB subquery."""
-    schema, rows = TABLES[name]
-    import re
-
-    columns = [c.strip().split(" ", 1) for c in re.split(r",\s*(?=\w+ )", schema)]
-    selects = ", ".join(f"CAST({c} AS {_duck(k)}) AS {c}" for c, k in columns)
-    body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return f"(SELECT {selects} FROM (VALUES {body}) AS t({', '.join(c for c, _ in columns)}))"
+    own = columns(name)
+    selects = ", ".join(f"CAST({c} AS {duck(k)}) AS {c}" for c, k in own)
+    body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in TABLES[name][1])
+    return f"(SELECT {selects} FROM (VALUES {body}) AS t({', '.join(c for c, _ in own)}))"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docquarry.config import LAYOUT, Layout
 from docquarry.functions.text import SPACE, stem, stripped
+from docquarry.sources.files import cut
 
 PAGE = ["doc", "page"]
 
@@ -159,13 +160,18 @@ def classified(blocks: DataFrame, stats: DataFrame, config: Layout = LAYOUT) ->
 
 
 def section_path(elements: DataFrame, order: list[str]) -> DataFrame:
-    """elements with section: Introduction until a heading; one of rank 1 starts anew, another is appended with ' > '."""
-    sofar = Window.partitionBy("doc").orderBy(*order)
-    reset = F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(sofar)
-    part = Window.partitionBy("doc", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    titles = F.collect_list("title").over(part)
+    """elements with section: Introduction until a heading; one of rank 1 starts anew, another is appended with ' > '.
+
+    A part reaches from one heading of rank 1 to the next. Its titles are gathered once, and each element takes as many of
+    them as came up to it, so no row carries a list of its own."""
+    sofar = Window.partitionBy("doc").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = elements.withColumn("part", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(sofar))
+    rows = rows.withColumn("passed", F.count("title").over(Window.partitionBy("doc", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    titles = rows.where("title is not null").groupBy("doc", "part").agg(F.array_sort(F.collect_list(F.struct("passed", "title"))).alias("titles"))
+    titles = titles.select("doc", "part", F.transform("titles", lambda t: t["title"]).alias("titles"))
     start = F.when(F.col("part") == 0, F.array(F.lit("Introduction"))).otherwise(F.array().cast("array<string>"))
-    return elements.withColumn("part", reset).withColumn("section", F.array_join(F.concat(start, titles), " > ")).drop("part")
+    path = F.concat(start, F.slice(F.coalesce("titles", F.array().cast("array<string>")), F.lit(1), F.col("passed")))
+    return rows.join(titles, ["doc", "part"], "left").withColumn("section", F.array_join(path, " > ")).drop("part", "passed", "titles")
 
 
 def placements(text: DataFrame, tables: DataFrame, covered: DataFrame, runs: DataFrame) -> DataFrame:
@@ -180,10 +186,11 @@ def elements(blocks: DataFrame, spans: DataFrame, grids: DataFrame, config: Layo
 
     A block that a grid covers gives way to the grid, which stands at its first such block; a grid that covers none comes
     at the page's end. Blocks within a run belong to the run's table and don't place a grid."""
-    text = text_blocks(blocks)
-    tables = grid_tables(grids, config)
-    covered = coverage(text, tables, config)
-    runs = table_runs(text, covered, config)
+    # each of these is read several times below
+    text = cut(text_blocks(blocks), "blocks")
+    tables = cut(grid_tables(grids, config), "tables")
+    covered = cut(coverage(text, tables, config), "covered")
+    runs = cut(table_runs(text, covered, config), "runs")
     spent = text.join(runs.select(*PAGE, "first", "until"), PAGE).where("reading_ord >= first and reading_ord < until").select(*PAGE, "reading_ord")
     free = text.join(spent, [*PAGE, "reading_ord"], "left_anti")
     end = F.lit(1 << 30)

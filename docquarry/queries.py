@@ -1,4 +1,4 @@
-"""The engine's queries by name, over the driver's tables or the shared fixtures, and DuckDB SQL for most of them.
+"""The engine's queries by name, over the given tables or tables derived from them, and their DuckDB SQL.
 
 Questions are the benchmark items whose id is divisible by 20. An item's vector is the embedding of the same number, and
 a text's vector the embedding of its doc_id: the data doesn't relate them, but that serves to fuse two rankings.
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry import fixtures, oracles
+from docquarry import derived, fixtures, oracles
 from docquarry.config import AGENT, CODE_FONTS, HEADER_FOOTER, ROUTING
 from docquarry.functions import model_text, text
 from docquarry.operators import agent, answers, chunking, evaluation, layout, retrieval, routing
@@ -21,12 +21,19 @@ from docquarry.sources import files, html
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 TERM = text.TERM
+#: The name of a folder that stands for the fixtures.
+FIXTURES = "fixtures"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table derived from the given ones or, for tests, the fixture of the same columns."""
+    return fixtures.frame(spark, name) if sf_dir == FIXTURES else derived.frame(spark, sf_dir, name)
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of (spark, sf_dir) under a name, with its SQL."""
 
@@ -196,14 +203,14 @@ def _(spark, sf_dir):
 _SECTION = "list_filter(list_transform(string_split(coalesce(section, ''), '>'), lambda p: trim(p)), lambda p: p <> '' AND lower(p) NOT IN ('table of contents', 'document'))"
 
 
-@query("concise_section", f"SELECT id, CASE WHEN len({_SECTION}) = 0 THEN 'General' ELSE array_to_string({_SECTION}[-2:], ' > ') END AS concise FROM {fixtures.values('sections')}")
+@query("concise_section", f"SELECT id, CASE WHEN len({_SECTION}) = 0 THEN 'General' ELSE array_to_string({_SECTION}[-2:], ' > ') END AS concise FROM {derived.sql('sections')}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "sections").select("id", text.concise_section(F.col("section")).alias("concise"))
+    return given(spark, sf_dir, "sections").select("id", text.concise_section(F.col("section")).alias("concise"))
 
 
-@query("concise_snippet", f"SELECT id, CASE WHEN length(s) <= 160 THEN s ELSE regexp_replace(s[1:160], ' [^ ]*$', '') || '...' END AS snippet FROM (SELECT id, {_SNIP} AS s FROM (SELECT id, raw AS text FROM {fixtures.values('snippets')}))")
+@query("concise_snippet", f"SELECT id, CASE WHEN length(s) <= 160 THEN s ELSE regexp_replace(s[1:160], ' [^ ]*$', '') || '...' END AS snippet FROM (SELECT id, {_SNIP} AS s FROM (SELECT id, raw AS text FROM {derived.sql('snippets')}))")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "snippets").select("id", text.concise_snippet(F.col("raw")).alias("snippet"))
+    return given(spark, sf_dir, "snippets").select("id", text.concise_snippet(F.col("raw")).alias("snippet"))
 
 
 @query("citation_label", "SELECT doc_id, '[' || source || ', p.' || (doc_id % 9) || ' - ' || lang || ']' AS label FROM documents")
@@ -230,11 +237,6 @@ def _(spark, sf_dir):
     return chunking.chunks(docs.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")).alias("doc_name"), F.lit(0).alias("ord"), F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("section")))
 
 
-@query("element_chunks", oracles.chunks(f"SELECT * FROM {fixtures.values('elements')}"))
-def _(spark, sf_dir):
-    return chunking.chunks(fixtures.frame(spark, "elements"))
-
-
 @query("html_chunks", oracles.chunks(oracles.HTML))
 def _(spark, sf_dir):
     return chunking.chunks(html.elements(table(spark, sf_dir, "pages")))
@@ -262,7 +264,7 @@ def _(spark, sf_dir):
 
 # --- layout
 
-_BLOCKS, _SPANS, _GRIDS = fixtures.values("blocks"), fixtures.values("spans"), fixtures.values("grids")
+_BLOCKS, _SPANS, _GRIDS = derived.sql("blocks"), derived.sql("spans"), derived.sql("grids")
 _STRIP = "trim({}, E' \\t\\n\\r')"
 _FOOTER = "(trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' OR " + " OR ".join(f"regexp_matches(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(?i){p}')" for p in HEADER_FOOTER) + ")"
 _READ = f"reading AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY round_even(y0 / 5, 0) * 5, x0, block_ord)::INTEGER AS reading_ord FROM {_BLOCKS} WHERE block_kind = 0)"
@@ -285,12 +287,12 @@ def _md(head: str, rows: str, n: str) -> str:
 
 @query("reading_order", f"WITH {_READ} SELECT doc, page, block_ord, reading_ord FROM reading")
 def _(spark, sf_dir):
-    return layout.text_blocks(fixtures.frame(spark, "blocks")).select("doc", "page", "block_ord", "reading_ord")
+    return layout.text_blocks(given(spark, sf_dir, "blocks")).select("doc", "page", "block_ord", "reading_ord")
 
 
-@query("header_footer_filter", f"SELECT id, {_FOOTER} AS dropped FROM {fixtures.values('footers')}")
+@query("header_footer_filter", f"SELECT doc, page, block_ord, {_FOOTER} AS dropped FROM {_BLOCKS}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "footers").select("id", layout.is_header_or_footer(F.col("text")).alias("dropped"))
+    return given(spark, sf_dir, "blocks").select("doc", "page", "block_ord", layout.is_header_or_footer(F.col("text")).alias("dropped"))
 
 
 @query("header_footer_lines", f"SELECT doc_id, {_FOOTER} AS dropped FROM documents")
@@ -298,29 +300,29 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", layout.is_header_or_footer(F.col("text")).alias("dropped"))
 
 
-@query("code_font", f"SELECT id, ({' OR '.join(f'''contains(lower(font), '{w}')''' for w in CODE_FONTS)}) AS is_code FROM {fixtures.values('fonts')}")
+@query("code_font", f"SELECT doc, page, block_ord, line, span, ({' OR '.join(f'''contains(lower(font), '{w}')''' for w in CODE_FONTS)}) AS is_code FROM {_SPANS}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "fonts").select("id", layout.is_code_font(F.col("font")).alias("is_code"))
+    return given(spark, sf_dir, "spans").select("doc", "page", "block_ord", "line", "span", layout.is_code_font(F.col("font")).alias("is_code"))
 
 
 @query("grid_validity", f"SELECT doc, page, finder, table_ord, {_VALID} AS valid FROM {_GRIDS}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "grids").select("doc", "page", "finder", "table_ord", layout.is_valid_grid(F.col("cells")).alias("valid"))
+    return given(spark, sf_dir, "grids").select("doc", "page", "finder", "table_ord", layout.is_valid_grid(F.col("cells")).alias("valid"))
 
 
 @query("grid_fallback_anti", f"WITH {_TABLES} SELECT doc, page, finder, table_ord FROM tables")
 def _(spark, sf_dir):
-    return layout.grid_tables(fixtures.frame(spark, "grids")).select("doc", "page", "finder", "table_ord")
+    return layout.grid_tables(given(spark, sf_dir, "grids")).select("doc", "page", "finder", "table_ord")
 
 
 @query("markdown_table", f"WITH {_TABLES} SELECT doc, page, table_ord, {_md('clean[1]', 'clean[2:]', 'len(clean[1])')} AS markdown FROM tables")
 def _(spark, sf_dir):
-    return layout.grid_tables(fixtures.frame(spark, "grids")).select("doc", "page", "table_ord", "markdown")
+    return layout.grid_tables(given(spark, sf_dir, "grids")).select("doc", "page", "table_ord", "markdown")
 
 
 @query("bbox_semi_join", f"WITH {_READ}, {_TABLES}, {_COVER} SELECT * FROM cover")
 def _(spark, sf_dir):
-    return layout.coverage(layout.text_blocks(fixtures.frame(spark, "blocks")), layout.grid_tables(fixtures.frame(spark, "grids")))
+    return layout.coverage(layout.text_blocks(given(spark, sf_dir, "blocks")), layout.grid_tables(given(spark, sf_dir, "grids")))
 
 
 _RUNS = f"body AS (SELECT *, len(lines) AS n, lead(reading_ord) OVER w AS nxt, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER w AS island FROM (SELECT *, {_LINES} AS lines, coalesce(lag(len({_LINES})) OVER w = len({_LINES}), false) AS same FROM reading WHERE NOT {_FOOTER} WINDOW w AS (PARTITION BY doc, page ORDER BY reading_ord)) WINDOW w AS (PARTITION BY doc, page ORDER BY reading_ord)), open AS (SELECT *, max((NOT EXISTS (SELECT 1 FROM cover c WHERE c.doc = body.doc AND c.page = body.page AND c.reading_ord = body.reading_ord))::INTEGER) OVER (PARTITION BY doc, page, island ORDER BY reading_ord) AS o FROM body WHERE n BETWEEN 3 AND 8), runs AS (SELECT doc, page, min(reading_ord) AS first, arg_max(coalesce(nxt, 1000000), reading_ord) AS nxt, list(lines ORDER BY reading_ord) AS x FROM open WHERE o = 1 GROUP BY doc, page, island HAVING count(*) >= 2)"
@@ -328,8 +330,8 @@ _RUNS = f"body AS (SELECT *, len(lines) AS n, lead(reading_ord) OVER w AS nxt, s
 
 @query("table_run_islands", f"WITH {_READ}, {_TABLES}, {_COVER}, {_RUNS} SELECT doc, page, first, len(x)::INTEGER - 1 AS n_rows, len(x[1])::INTEGER AS n_cols, {_md('x[1]', 'x[2:]', 'len(x[1])')} AS markdown FROM runs")
 def _(spark, sf_dir):
-    blocks = layout.text_blocks(fixtures.frame(spark, "blocks"))
-    covered = layout.coverage(blocks, layout.grid_tables(fixtures.frame(spark, "grids")))
+    blocks = layout.text_blocks(given(spark, sf_dir, "blocks"))
+    covered = layout.coverage(blocks, layout.grid_tables(given(spark, sf_dir, "grids")))
     return layout.table_runs(blocks, covered).select("doc", "page", "first", "n_rows", "n_cols", "markdown")
 
 
@@ -339,7 +341,7 @@ _STATS_SQL = f"lines_ AS (SELECT doc, page, block_ord, line, string_agg(CASE WHE
 
 @query("span_aggregate", f"WITH {_STATS_SQL} SELECT * FROM spanned")
 def _(spark, sf_dir):
-    return layout.span_stats(fixtures.frame(spark, "spans"))
+    return layout.span_stats(given(spark, sf_dir, "spans"))
 
 
 _CODE = f"((coalesce(total_chars, 0) > 20 AND coalesce(mono_chars, 0) / greatest(coalesce(total_chars, 0), 1) > 0.75) OR ((starts_with(t, '# Tool schema') OR starts_with(t, 'def ') OR starts_with(t, 'class ') OR starts_with(t, 'import ') OR starts_with(t, '# LCEL') OR starts_with(t, 'curl ') OR contains(t, 'TOOL_SCHEMA =')) AND len({_LINES}) > 1))"
@@ -349,12 +351,12 @@ _CLASS = f"typed AS (SELECT *, CASE WHEN {_CODE} THEN 'code' WHEN {_HEADING} THE
 
 @query("heading_classify", f"WITH {_READ}, {_STATS_SQL}, {_CLASS} SELECT doc, page, block_ord, element_type, rank FROM ranked")
 def _(spark, sf_dir):
-    return layout.classified(layout.text_blocks(fixtures.frame(spark, "blocks")), layout.span_stats(fixtures.frame(spark, "spans"))).select("doc", "page", "block_ord", "element_type", "rank")
+    return layout.classified(layout.text_blocks(given(spark, sf_dir, "blocks")), layout.span_stats(given(spark, sf_dir, "spans"))).select("doc", "page", "block_ord", "element_type", "rank")
 
 
 @query("code_classify", f"WITH {_READ}, {_STATS_SQL}, {_CLASS} SELECT doc, page, block_ord, CASE WHEN contains(t, 'def ') OR contains(t, 'class ') OR contains(t, 'import ') OR contains(t, 'TOOL_SCHEMA') OR contains(t, '#') THEN 'python' ELSE 'text' END AS language FROM ranked WHERE element_type = 'code'")
 def _(spark, sf_dir):
-    return layout.classified(layout.text_blocks(fixtures.frame(spark, "blocks")), layout.span_stats(fixtures.frame(spark, "spans"))).where("element_type = 'code'").select("doc", "page", "block_ord", "language")
+    return layout.classified(layout.text_blocks(given(spark, sf_dir, "blocks")), layout.span_stats(given(spark, sf_dir, "spans"))).where("element_type = 'code'").select("doc", "page", "block_ord", "language")
 
 
 _PATH = "resets AS (SELECT *, sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page, reading_ord) AS part FROM ranked), paths AS (SELECT doc, page, block_ord, array_to_string(CASE WHEN part = 0 THEN ['Introduction'] ELSE []::VARCHAR[] END || list_filter(list(CASE WHEN element_type = 'heading' THEN clean END) OVER (PARTITION BY doc, part ORDER BY page, reading_ord), lambda h: h IS NOT NULL), ' > ') AS section FROM resets)"
@@ -362,12 +364,12 @@ _PATH = "resets AS (SELECT *, sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) OVER (PA
 
 @query("section_path", f"WITH {_READ}, {_STATS_SQL}, {_CLASS}, {_PATH} SELECT * FROM paths")
 def _(spark, sf_dir):
-    rows = layout.classified(layout.text_blocks(fixtures.frame(spark, "blocks")), layout.span_stats(fixtures.frame(spark, "spans")))
+    rows = layout.classified(layout.text_blocks(given(spark, sf_dir, "blocks")), layout.span_stats(given(spark, sf_dir, "spans")))
     return layout.section_path(rows, ["page", "reading_ord"]).select("doc", "page", "block_ord", "section")
 
 
-def page_elements(spark) -> DataFrame:
-    return layout.elements(fixtures.frame(spark, "blocks"), fixtures.frame(spark, "spans"), fixtures.frame(spark, "grids"))
+def page_elements(spark, sf_dir) -> DataFrame:
+    return layout.elements(given(spark, sf_dir, "blocks"), given(spark, sf_dir, "spans"), given(spark, sf_dir, "grids"))
 
 
 _PLACED = "spent AS (SELECT r.doc, r.page, r.reading_ord FROM reading r JOIN runs u ON u.doc = r.doc AND u.page = r.page AND r.reading_ord >= u.first AND r.reading_ord < u.nxt), places AS (SELECT doc, page, table_ord, min(reading_ord) AS at_block FROM cover c WHERE NOT EXISTS (SELECT 1 FROM spent s WHERE s.doc = c.doc AND s.page = c.page AND s.reading_ord = c.reading_ord) GROUP BY 1, 2, 3)"
@@ -375,7 +377,7 @@ _PLACED = "spent AS (SELECT r.doc, r.page, r.reading_ord FROM reading r JOIN run
 
 @query("grid_placement", f"WITH {_READ}, {_TABLES}, {_COVER}, {_RUNS}, {_PLACED} SELECT t.doc, t.page, t.table_ord, at_block FROM tables t LEFT JOIN places p ON p.doc = t.doc AND p.page = t.page AND p.table_ord = t.table_ord")
 def _(spark, sf_dir):
-    blocks, tables = layout.text_blocks(fixtures.frame(spark, "blocks")), layout.grid_tables(fixtures.frame(spark, "grids"))
+    blocks, tables = layout.text_blocks(given(spark, sf_dir, "blocks")), layout.grid_tables(given(spark, sf_dir, "grids"))
     covered = layout.coverage(blocks, tables)
     return layout.placements(blocks, tables, covered, layout.table_runs(blocks, covered)).select("doc", "page", "table_ord", F.col("at").alias("at_block"))
 
@@ -406,25 +408,37 @@ _WHOLE = f"""{_ELEMENTS.replace("every AS (", "kinds AS (", 1)},
 
 @query("page_elements", _WHOLE)
 def _(spark, sf_dir):
-    return page_elements(spark).select("*", "box.*").drop("box")
+    return page_elements(spark, sf_dir).select("*", "box.*").drop("box")
 
 
 @query("element_ids", f"{_ELEMENTS} SELECT regexp_replace(doc, '\\.[^.]*$', '') || '_p' || page || '_e' || row_number() OVER (PARTITION BY doc ORDER BY page, place, sub) AS id, element_type FROM every")
 def _(spark, sf_dir):
-    return page_elements(spark).select("id", "element_type")
+    return page_elements(spark, sf_dir).select("id", "element_type")
 
 
 @query("doc_statistics", f"{_ELEMENTS} SELECT doc, count(*) FILTER (element_type = 'heading') AS headings, count(*) FILTER (element_type = 'paragraph') AS paragraphs, count(*) FILTER (element_type = 'table') AS tables, count(*) FILTER (element_type = 'code') AS code_blocks FROM every GROUP BY 1")
 def _(spark, sf_dir):
-    return layout.doc_statistics(page_elements(spark))
+    return layout.doc_statistics(page_elements(spark, sf_dir))
 
 
-_E = fixtures.values("elements")
+#: The elements of the derived pages, as chunking takes them.
+ELEMENTS = f"(SELECT doc AS doc_name, ord, page AS page_number, element_type, content, section FROM ({_WHOLE}))"
+
+
+def layout_elements(spark, sf_dir) -> DataFrame:
+    if sf_dir == FIXTURES:
+        return fixtures.frame(spark, "elements")
+    return page_elements(spark, sf_dir).select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section")
+
+
+@query("element_chunks", oracles.chunks(f"SELECT * FROM {ELEMENTS}"))
+def _(spark, sf_dir):
+    return chunking.chunks(layout_elements(spark, sf_dir))
 
 
-@query("full_markdown", f"SELECT doc, '# ' || regexp_replace(doc, '\\.[^.]*$', '') || chr(10) || chr(10) || string_agg(CASE WHEN page <> before THEN chr(10) || '<!-- Page ' || page || ' -->' || chr(10) || chr(10) ELSE '' END || content || chr(10), chr(10) ORDER BY ord) AS markdown FROM (SELECT doc_name AS doc, page_number AS page, ord, content, lag(page_number, 1, 0) OVER (PARTITION BY doc_name ORDER BY ord) AS before FROM {_E}) GROUP BY 1")
+@query("full_markdown", f"SELECT doc, '# ' || regexp_replace(doc, '\\.[^.]*$', '') || chr(10) || chr(10) || string_agg(CASE WHEN page <> before THEN chr(10) || '<!-- Page ' || page || ' -->' || chr(10) || chr(10) ELSE '' END || content || chr(10), chr(10) ORDER BY ord) AS markdown FROM (SELECT doc_name AS doc, page_number AS page, ord, content, lag(page_number, 1, 0) OVER (PARTITION BY doc_name ORDER BY ord) AS before FROM {ELEMENTS}) GROUP BY 1")
 def _(spark, sf_dir):
-    return layout.full_markdown(fixtures.frame(spark, "elements").select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "content"))
+    return layout.full_markdown(layout_elements(spark, sf_dir).select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "content"))
 
 
 @query("html_elements", oracles.HTML)
@@ -448,56 +462,56 @@ def _(spark, sf_dir):
     return routing.rule_routed(table(spark, sf_dir, "conversations"), text_col="text").select("conv_id", "turn", "comparison", "several_docs", "planning", "calculation", "total_score", "workflow")
 
 
-@query("rule_router_questions", _rules_sql("query_id, expected", f"(SELECT *, question AS text FROM {fixtures.values('questions')})"))
+@query("rule_router_questions", _rules_sql("query_id, expected", f"(SELECT *, question AS text FROM {derived.sql('questions')})"))
 def _(spark, sf_dir):
-    return routing.rule_routed(fixtures.frame(spark, "questions")).select("query_id", "expected", "comparison", "several_docs", "planning", "calculation", "total_score", "workflow")
+    return routing.rule_routed(given(spark, sf_dir, "questions")).select("query_id", "expected", "comparison", "several_docs", "planning", "calculation", "total_score", "workflow")
 
 
 _WEIGHT = "CASE " + " ".join(f"WHEN contains(n, '{k}') OR contains('{k}', n) THEN {w}" for k, w in ROUTING.weights) + " ELSE 0 END"
 
 
-@query("rubric_score", f"WITH f AS (SELECT query_id, total_score, unnest(features) AS f FROM {fixtures.values('router_replies')}), s AS (SELECT query_id, sum(CASE WHEN coalesce(f.present, false) THEN {_WEIGHT.replace('(n,', '(trim(lower(f.feature)),').replace(', n)', ', trim(lower(f.feature)))')} ELSE 0 END)::INTEGER AS t FROM f GROUP BY 1), j AS (SELECT r.query_id, greatest(coalesce(t, 0), coalesce(r.total_score, coalesce(t, 0)))::INTEGER AS total_score FROM {fixtures.values('router_replies')} r LEFT JOIN s USING (query_id)) SELECT *, CASE WHEN total_score >= 2 THEN 'agentic' ELSE 'simple_rag' END AS workflow FROM j")
+@query("rubric_score", f"WITH f AS (SELECT query_id, total_score, unnest(features) AS f FROM {derived.sql('router_replies')}), s AS (SELECT query_id, sum(CASE WHEN coalesce(f.present, false) THEN {_WEIGHT.replace('(n,', '(trim(lower(f.feature)),').replace(', n)', ', trim(lower(f.feature)))')} ELSE 0 END)::INTEGER AS t FROM f GROUP BY 1), j AS (SELECT r.query_id, greatest(coalesce(t, 0), coalesce(r.total_score, coalesce(t, 0)))::INTEGER AS total_score FROM {derived.sql('router_replies')} r LEFT JOIN s USING (query_id)) SELECT *, CASE WHEN total_score >= 2 THEN 'agentic' ELSE 'simple_rag' END AS workflow FROM j")
 def _(spark, sf_dir):
-    return routing.rubric_scored(fixtures.frame(spark, "router_replies")).select("query_id", "total_score", "workflow")
+    return routing.rubric_scored(given(spark, sf_dir, "router_replies")).select("query_id", "total_score", "workflow")
 
 
-@query("corpus_context", f"SELECT 'Available Knowledge Base Documents and Coverage:' || chr(10) || string_agg(chr(10) || 'Document: ' || doc_name || chr(10) || '  Title: ' || title || chr(10) || '  Domain: ' || domain || chr(10) || '  Key Topics: ' || array_to_string(topics, ', ') || chr(10) || '  Summary: ' || summary, chr(10) ORDER BY ord) AS context FROM {fixtures.values('catalog')}")
+@query("corpus_context", f"SELECT 'Available Knowledge Base Documents and Coverage:' || chr(10) || string_agg(chr(10) || 'Document: ' || doc_name || chr(10) || '  Title: ' || title || chr(10) || '  Domain: ' || domain || chr(10) || '  Key Topics: ' || array_to_string(topics, ', ') || chr(10) || '  Summary: ' || summary, chr(10) ORDER BY ord) AS context FROM {derived.sql('catalog')}")
 def _(spark, sf_dir):
-    return routing.corpus_context(fixtures.frame(spark, "catalog"))
+    return routing.corpus_context(given(spark, sf_dir, "catalog"))
 
 
-@query("catalog_projection", f"SELECT doc_name, title, domain, len(topics)::INTEGER AS n_topics, entities FROM {fixtures.values('catalog')}")
+@query("catalog_projection", f"SELECT doc_name, title, domain, len(topics)::INTEGER AS n_topics, entities FROM {derived.sql('catalog')}")
 def _(spark, sf_dir):
-    return service.metadata(fixtures.frame(spark, "catalog"))
+    return service.metadata(given(spark, sf_dir, "catalog"))
 
 
-@query("fused_fixture", f"WITH d AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, ordinal)::INTEGER AS rank FROM {fixtures.values('ranked')} WHERE dense IS NOT NULL), s AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, ordinal DESC)::INTEGER AS rank FROM {fixtures.values('ranked')} WHERE sparse > 0), f AS (SELECT query_id, ordinal, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score FROM d FULL JOIN s USING (query_id, ordinal)) SELECT query_id, ordinal, round(score, 4) AS score, score >= 0.015 AS passes FROM f")
+@query("fused_fixture", f"WITH d AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, ordinal)::INTEGER AS rank FROM {derived.sql('ranked')} WHERE dense IS NOT NULL), s AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, ordinal DESC)::INTEGER AS rank FROM {derived.sql('ranked')} WHERE sparse > 0), f AS (SELECT query_id, ordinal, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score FROM d FULL JOIN s USING (query_id, ordinal)) SELECT query_id, ordinal, round(score, 4) AS score, score >= 0.015 AS passes FROM f")
 def _(spark, sf_dir):
-    rows = fixtures.frame(spark, "ranked")
+    rows = given(spark, sf_dir, "ranked")
     dense = retrieval.ranked(rows.where("dense is not null").select("query_id", "ordinal", F.col("dense").alias("score")), 99, "score", F.col("ordinal").asc())
     sparse = retrieval.ranked(rows.where("sparse > 0").select("query_id", "ordinal", F.col("sparse").alias("score")), 99, "score", F.col("ordinal").desc())
     return retrieval.fuse(dense, sparse, 99).select("query_id", "ordinal", F.round("score", 4).alias("score"), (F.col("score") >= 0.015).alias("passes"))
 
 
-@query("abstain_rule", f"SELECT id, status = 'unsupported' OR (coalesce(len(unsupported), 0) > coalesce(len(supported), 0) AND NOT is_grounded) AS abstained FROM {fixtures.values('audits')}")
+@query("abstain_rule", f"SELECT id, status = 'unsupported' OR (coalesce(len(unsupported), 0) > coalesce(len(supported), 0) AND NOT is_grounded) AS abstained FROM {derived.sql('audits')}")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "audits").select("id", answers.abstains(F.col("status"), F.col("is_grounded"), F.col("supported"), F.col("unsupported")).alias("abstained"))
+    return given(spark, sf_dir, "audits").select("id", answers.abstains(F.col("status"), F.col("is_grounded"), F.col("supported"), F.col("unsupported")).alias("abstained"))
 
 
-@query("no_evidence_abstain", f"SELECT query_id, 'simple_rag' AS workflow, '{answers.NO_EVIDENCE}' AS answer, 1.0::DOUBLE AS confidence, true AS abstained, 'none' AS model_used FROM {fixtures.values('questions')}")
+@query("no_evidence_abstain", f"SELECT query_id, 'simple_rag' AS workflow, '{answers.NO_EVIDENCE}' AS answer, 1.0::DOUBLE AS confidence, true AS abstained, 'none' AS model_used FROM {derived.sql('questions')}")
 def _(spark, sf_dir):
-    questions = fixtures.frame(spark, "questions").select("query_id", "question")
-    none = fixtures.frame(spark, "hits").limit(0)
+    questions = given(spark, sf_dir, "questions").select("query_id", "question")
+    none = given(spark, sf_dir, "hits").limit(0)
     cited = none.select("query_id", F.col("place").alias("rank"), "doc_name", "page_number", "section", "chunk_id", F.lit(0.0).alias("score"), "snippet")
     return answers.answered(questions, none.select("query_id", F.lit("").alias("context")), cited).select("query_id", "workflow", "answer", "confidence", "abstained", "model_used")
 
 
-_H = fixtures.values("hits")
+_H = derived.sql("hits")
 
 
-def _steps(spark) -> DataFrame:
+def _steps(spark, sf_dir) -> DataFrame:
     """The hits fixture as executed steps."""
-    hits = fixtures.frame(spark, "hits")
+    hits = given(spark, sf_dir, "hits")
     best = hits.groupBy("query_id", "step").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "doc_name", "page_number", "section", "snippet"))).alias("x"))
     return best.select("query_id", "step", F.concat(F.lit("question "), "step").alias("sub_question"), F.transform("x", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["doc_name"].alias("doc_name"), h["page_number"].alias("page_number"), h["section"].alias("section"), h["snippet"].alias("snippet"))).alias("best"), F.col("step").alias("attempts"), F.when(F.col("step") > 1, F.array(F.lit("again"))).otherwise(F.array().cast("array<string>")).alias("rewrites"))
 
@@ -507,28 +521,28 @@ _ONCE = f"once AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s
 
 @query("evidence_dedup", f"WITH {_ONCE} SELECT query_id, step, chunk_id, doc_name, page_number, section, snippet, source_no FROM once")
 def _(spark, sf_dir):
-    return agent.evidence(_steps(spark))
+    return agent.evidence(_steps(spark, sf_dir))
 
 
 @query("audited_sources", f"WITH {_ONCE} SELECT query_id, chunk_id, source_no FROM once WHERE source_no <= {AGENT.audited}")
 def _(spark, sf_dir):
-    return agent.audited(agent.evidence(_steps(spark))).select("query_id", "chunk_id", "source_no")
+    return agent.audited(agent.evidence(_steps(spark, sf_dir))).select("query_id", "chunk_id", "source_no")
 
 
 @query("aggregated_context", f"SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY step) AS context FROM (SELECT query_id, step, '### Sub-Question ' || step || ': question ' || step || chr(10) || string_agg('- [' || doc_name || ', p.' || page_number || ', ' || section || ']: ' || snippet, chr(10) ORDER BY place) AS block FROM {_H} GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf_dir):
-    return agent.aggregated_context(_steps(spark))
+    return agent.aggregated_context(_steps(spark, sf_dir))
 
 
 @query("agent_trace", f"WITH {_ONCE}, s AS (SELECT DISTINCT query_id, step FROM {_H}) SELECT query_id, count(*) AS steps, sum(step)::BIGINT AS attempts, count(*) FILTER (step > 1) AS total_rewrites, (SELECT count(*) FROM once o WHERE o.query_id = s.query_id) AS unique_chunks, false AS abstained FROM s GROUP BY 1")
 def _(spark, sf_dir):
-    return agent.traced(_steps(spark))
+    return agent.traced(_steps(spark, sf_dir))
 
 
-@query("agent_no_evidence", f"SELECT query_id, 1::BIGINT AS steps, {1 + AGENT.rewrites}::BIGINT AS attempts, {AGENT.rewrites}::BIGINT AS total_rewrites, 0::BIGINT AS unique_chunks, true AS abstained FROM {fixtures.values('questions')}")
+@query("agent_no_evidence", f"SELECT query_id, 1::BIGINT AS steps, {1 + AGENT.rewrites}::BIGINT AS attempts, {AGENT.rewrites}::BIGINT AS total_rewrites, 0::BIGINT AS unique_chunks, true AS abstained FROM {derived.sql('questions')}")
 def _(spark, sf_dir):
     empty = "query_id int, step int, hits array<struct<chunk_id:string,doc_name:string,page_number:int,section:string,snippet:string>>"
-    steps = agent.planned(fixtures.frame(spark, "questions").select("query_id", "question"))
+    steps = agent.planned(given(spark, sf_dir, "questions").select("query_id", "question"))
     return agent.traced(agent.searched(steps, lambda rows: spark.createDataFrame([], empty)))
 
 
@@ -564,37 +578,37 @@ def _(spark, sf_dir):
     return service.answer(index(spark, sf_dir), chunks, requests, lambda rows: rows.join(own, "request", "left"))
 
 
-@query("request_validation", f"SELECT request_id, CASE WHEN query IS NULL OR length(query) < 2 THEN 'query' WHEN top_k < 1 OR top_k > 20 THEN 'top_k' WHEN coalesce(force_workflow, 'auto') NOT IN ('auto', 'simple_rag', 'agentic') THEN 'force_workflow' END AS refused FROM {fixtures.values('requests')}")
+@query("request_validation", f"SELECT request_id, CASE WHEN query IS NULL OR length(query) < 2 THEN 'query' WHEN top_k < 1 OR top_k > 20 THEN 'top_k' WHEN coalesce(force_workflow, 'auto') NOT IN ('auto', 'simple_rag', 'agentic') THEN 'force_workflow' END AS refused FROM {derived.sql('requests')}")
 def _(spark, sf_dir):
-    return service.validated(fixtures.frame(spark, "requests")).select("request_id", "refused")
+    return service.validated(given(spark, sf_dir, "requests")).select("request_id", "refused")
 
 
-@query("effective_workflow", f"WITH r AS ({_rules_sql('query_id', '(SELECT *, question AS text FROM ' + fixtures.values('questions') + ')')}) SELECT query_id, workflow, CASE WHEN query_id % 3 = 0 THEN 'agentic' ELSE workflow END AS runs FROM r")
+@query("effective_workflow", f"WITH r AS ({_rules_sql('query_id', '(SELECT *, question AS text FROM ' + derived.sql('questions') + ')')}) SELECT query_id, workflow, CASE WHEN query_id % 3 = 0 THEN 'agentic' ELSE workflow END AS runs FROM r")
 def _(spark, sf_dir):
-    questions = fixtures.frame(spark, "questions").select("query_id", "question")
+    questions = given(spark, sf_dir, "questions").select("query_id", "question")
     forced = questions.select("query_id", F.when(F.col("query_id") % 3 == 0, "agentic").otherwise("auto").alias("force_workflow"))
     return service.effective(routing.routed(questions), forced).select("query_id", "workflow", "runs")
 
 
-@query("result_rounding", f"SELECT id, round(latency * 1.23456789, 3) AS latency_seconds, round(latency / 7, 4) AS confidence FROM {fixtures.values('eval_records')}")
+@query("result_rounding", f"SELECT id, round(latency * 1.23456789, 3) AS latency_seconds, round(latency / 7, 4) AS confidence FROM {derived.sql('eval_records')}")
 def _(spark, sf_dir):
-    return service.rounded(fixtures.frame(spark, "eval_records").select("id", (F.col("latency") * 1.23456789).alias("latency_seconds"), (F.col("latency") / 7).alias("confidence")))
+    return service.rounded(given(spark, sf_dir, "eval_records").select("id", (F.col("latency") * 1.23456789).alias("latency_seconds"), (F.col("latency") / 7).alias("confidence")))
 
 
 # --- model texts
 
 
-@query("model_chain", f"SELECT id, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN list_position(c, c[i]) = i THEN c[i] END), lambda m: m IS NOT NULL) AS chain FROM (SELECT id, list_filter(CASE WHEN tier IN ('complex', 'flash') THEN [second, first] ELSE [first, second] END || fallbacks, lambda m: m <> '') AS c FROM {fixtures.values('model_chains')})")
+@query("model_chain", f"SELECT id, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN list_position(c, c[i]) = i THEN c[i] END), lambda m: m IS NOT NULL) AS chain FROM (SELECT id, list_filter(CASE WHEN tier IN ('complex', 'flash') THEN [second, first] ELSE [first, second] END || fallbacks, lambda m: m <> '') AS c FROM {derived.sql('model_chains')})")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "model_chains").select("id", model_text.model_chain(F.col("tier"), F.col("first"), F.col("second"), F.col("fallbacks")).alias("chain"))
+    return given(spark, sf_dir, "model_chains").select("id", model_text.model_chain(F.col("tier"), F.col("first"), F.col("second"), F.col("fallbacks")).alias("chain"))
 
 
 _KEPT = "list_filter(regexp_split_to_array(t, '\\n\\s*\\n'), lambda p: NOT regexp_matches(trim(p, E' \\t\\n\\r'), '^\\*   (Question:|Constraint:|Option)'))"
 
 
-@query("clean_model_text", f"SELECT id, CASE WHEN regexp_matches(t, '(?s)^\\*\\s+Question:.*?\\n\\*\\s+Constraint:') AND len({_KEPT}) > 0 THEN trim(array_to_string({_KEPT}, chr(10) || chr(10)), E' \\t\\n\\r') ELSE t END AS cleaned FROM (SELECT id, trim(text, E' \\t\\n\\r') AS t FROM {fixtures.values('model_texts')})")
+@query("clean_model_text", f"SELECT id, CASE WHEN regexp_matches(t, '(?s)^\\*\\s+Question:.*?\\n\\*\\s+Constraint:') AND len({_KEPT}) > 0 THEN trim(array_to_string({_KEPT}, chr(10) || chr(10)), E' \\t\\n\\r') ELSE t END AS cleaned FROM (SELECT id, trim(text, E' \\t\\n\\r') AS t FROM {derived.sql('model_texts')})")
 def _(spark, sf_dir):
-    return fixtures.frame(spark, "model_texts").select("id", model_text.clean_model_text(F.col("text")).alias("cleaned"))
+    return given(spark, sf_dir, "model_texts").select("id", model_text.clean_model_text(F.col("text")).alias("cleaned"))
 
 
 def _balanced(opening: str, closing: str) -> str:
@@ -608,10 +622,10 @@ _FENCES = f"list_reverse(list_transform(regexp_extract_all(t, '```(?:json)?\\s*(
 _JSON = f"list_filter([t] || {_FENCES} || {_balanced('{', '}')} || {_balanced('[', ']')}, lambda x: json_valid(x))[1]"
 
 
-@query("json_repair", f"SELECT id, json(j)::VARCHAR AS json FROM (SELECT id, {_JSON} AS j FROM (SELECT id, {_STRIP.format('text')} AS t FROM {fixtures.values('model_texts')}))")
+@query("json_repair", f"SELECT id, json(j)::VARCHAR AS json FROM (SELECT id, {_JSON} AS j FROM (SELECT id, {_STRIP.format('text')} AS t FROM {derived.sql('model_texts')}))")
 def _(spark, sf_dir):
     # white space outside strings goes, as none of the fixture's strings holds any; its keys are in order
-    return fixtures.frame(spark, "model_texts").select("id", F.regexp_replace(model_text.json_repair(F.col("text")), r"\s+", "").alias("json"))
+    return given(spark, sf_dir, "model_texts").select("id", F.regexp_replace(model_text.json_repair(F.col("text")), r"\s+", "").alias("json"))
 
 
 # --- files and evaluation
@@ -646,14 +660,14 @@ def _(spark, sf_dir):
     return files.extraction_manifest(docs)
 
 
-_EV = fixtures.values("eval_records")
+_EV = derived.sql("eval_records")
 
 
 @query("eval_summary", f"SELECT count(*) FILTER (NOT errored) AS completed, round(100.0 * count(*) FILTER (NOT errored AND actual_workflow = expected_workflow) / count(*) FILTER (NOT errored), 1)::DOUBLE AS routing_accuracy, round(coalesce(100.0 * count(*) FILTER (NOT errored AND should_abstain AND abstained) / nullif(count(*) FILTER (should_abstain), 0), 100), 1)::DOUBLE AS abstention_accuracy, round(100.0 * count(*) FILTER (NOT errored AND NOT should_abstain AND NOT abstained AND verification_status IN ('supported', 'partially_supported')) / count(*) FILTER (NOT should_abstain), 1)::DOUBLE AS grounding, round(coalesce(avg(latency) FILTER (NOT errored AND actual_workflow = 'simple_rag'), 0), 2) AS latency_simple, round(coalesce(avg(latency) FILTER (NOT errored AND actual_workflow = 'agentic'), 0), 2) AS latency_agentic FROM {_EV}")
 def _(spark, sf_dir):
-    return evaluation.summary(fixtures.frame(spark, "eval_records"))
+    return evaluation.summary(given(spark, sf_dir, "eval_records"))
 
 
 @query("eval_details", f"SELECT id, expected_workflow, actual_workflow, actual_workflow = expected_workflow AS routing_match, should_abstain, abstained, abstained = should_abstain AS abstained_correctly, verification_status, round(latency, 2) AS latency FROM {_EV} WHERE NOT errored")
 def _(spark, sf_dir):
-    return evaluation.details(fixtures.frame(spark, "eval_records"))
+    return evaluation.details(given(spark, sf_dir, "eval_records"))
