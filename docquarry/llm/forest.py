@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-TREES, DEPTH, LEAST = 24, 6, 3
+TREES, DEPTH, LEAST = 24, 8, 3
 
 #: A leaf's share of positive rows, or feature, cut, the node for values up to the cut, and the node for others.
 Node = float | tuple

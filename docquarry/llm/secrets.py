@@ -46,11 +46,15 @@ NEAREST = 4
 # space, less closing punctuation; a comma, semicolon or ampersand ends it if an assignment follows.
 _NAMED = r"(?i:(?<![A-Za-z0-9])(" + "|".join(SECRET_WORDS).replace("ñ", "[ñÑ]") + r")s?)"
 _BETWEEN = r"[\\x22\\x27]?([ \\t](is|was|es|ist|est))?[ \\t]{0,4}([=:]{1,3}>?[ \\t]{0,4}[\\x22\\x27]?|[ \\t])"
-_PLAIN = r"[^\\s\\x22\\x27<>,;&]"
-_VALUE = r"(?!\\[SECRET\\]|[\\s=:\\x22\\x27])((?<=[\\x22\\x27])[^\\x22\\x27\\r\\n]{4,256}(?=[\\x22\\x27])|(?=[^\\s\\x22\\x27<>]{4})" + _PLAIN + r"+([,;&](?![A-Za-z_.\\-]{0,40}=)" + _PLAIN + r"+){0,20}(?<![.,;:)}\\]]))"
-_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=:,;.\\s-]{1,20000}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+# characters of a value, punctuation that isn't its end, and signs after which another assignment would end it; possessive
+# all, so values of any length take linear time and no stack
+_CORE, _INNER = r"[^\\s\\x22\\x27<>,;&.:)}\\]]", r"[.:)}\\]]"
+_SIGN = r"[,;&](?![A-Za-z_.\\-]{0,40}=)(?=" + _INNER + r"*+" + _CORE + r")"
+_VALUE = r"(?!\\[SECRET\\]|[\\s=:\\x22\\x27])((?<=[\\x22\\x27])[^\\x22\\x27\\r\\n]{4,}+(?=[\\x22\\x27])|(?=[^\\s\\x22\\x27<>]{4})(?:" + _CORE + r"++|" + _INNER + r"++(?=" + _CORE + r"|" + _SIGN + r")|" + _SIGN + r")++)"
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=:,;.\\s]++(?:-[A-Za-z0-9+/=:,;.\\s]++)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
 _TOKEN = r"(?<![A-Za-z0-9+/_\\-])eyJ[A-Za-z0-9_\\-]{5,}(\\.[A-Za-z0-9_\\-]{5,}){1,2}"
-_USER, _IN_URL = r"://[^\\s/:@]{1,64}:", r"[^\\s/@]{4,256}"
+# a look-behind must be bounded, so a user in a URL has 64 characters at most
+_USER, _IN_URL = r"://[^\\s/:@]{1,64}:", r"[^\\s/@]{4,}+"
 RUNS = rf"{_PEM}|(?<={_NAMED}{_BETWEEN}){_VALUE}|(?<={_USER}){_IN_URL}(?=@)|{_TOKEN}|[A-Za-z0-9+/_\\-]+|(?<={_NAMED}){_BETWEEN}(?={_VALUE})|[^A-Za-z0-9+/_\\-]+"
 #: A run of 12 or more with a digit or an issuer's prefix; tried where a run begins only, so long runs take linear time.
 _STARTS = "(" + "|".join(PREFIXES) + ")"
@@ -83,7 +87,7 @@ def _in_url(v: str, before: str, after: str) -> str:
 
 
 def trie(words: list[str]) -> str:
-    """A regular expression of any of the words (letters a to z), branching letter by letter; the longest is taken."""
+    """A regular expression of any of the words, all letters, branching letter by letter; the longest is taken."""
     tree: dict = {}
     for w in words:
         node = tree
@@ -101,7 +105,7 @@ def trie(words: list[str]) -> str:
 
 def vocabulary(df: DataFrame, *, text_col: str = "text", most: int = WORDS) -> tuple[str, ...]:
     """The words of 4 to 16 letters that most rows of df have, `most` at most, and the COMMON ones, in alphabetical order."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("(?<![a-z0-9])[a-z]{4,16}(?![a-z0-9])"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(r"(?<![\p{L}0-9])\p{L}{4,16}(?![\p{L}0-9])"), F.lit(0)))
     rows = df.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
     return tuple(sorted({r.w for r in rows} | set(COMMON)))
 

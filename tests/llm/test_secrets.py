@@ -1,6 +1,8 @@
+import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -17,7 +19,6 @@ KEY = re.compile(r'AKIA[A-Z0-9]{16}|password=([0-9a-f]{16,})|token = "([0-9a-f]{
 def test_candidates_equal_a_plain_search(spark):
     docs = table(spark, f"{DATA}/sf0.01", "documents")
     got = sorted((r.doc_id, r.value_sha256) for r in secrets.report(docs).collect())
-    import hashlib
 
     starts = tuple(secrets.PREFIXES)
     want = [(r.doc_id, hashlib.sha256(v.encode()).hexdigest()) for r in docs.collect() for v in re.findall(r"[A-Za-z0-9+/_\-]+", r.text) if len(v) >= 12 and (re.search("[0-9]", v) or v.startswith(starts))]
@@ -186,3 +187,35 @@ def test_a_dictionary_of_the_corpus(spark):
     assert [pattern.match(w).group() for w in ("abcd", "abx", "bb", "hello", "helping")] == ["abc", "ab", "b", "hello", "help"] and not pattern.match("hel")
     with pytest.raises(ValueError):
         secrets.scanned(df.withColumn("_findings", F.lit(1)))
+
+
+@pytest.mark.parametrize(
+    ("before", "secret", "after"),
+    [
+        ("see\n", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "\n".join("Ab3+/xY9" * 8 for _ in range(460)) + "\n-----END RSA PRIVATE KEY-----", "\nmore"),
+        ("at postgres://app:", "x7Q$b!" * 50, "@db.local:5432/main"),
+        ('password = "', "tersil fanomi bagdur " * 15 + "nostem", '" next'),
+        ("password=", "a1,b2;c3&" * 40 + "d4", " and so on"),
+        ("api_key=", "Zq9x.Kp7:Lw3)" * 40 + "k1", ". Then more"),
+    ],
+    ids=["key block", "password in a URL", "quoted", "parts", "punctuation"],
+)
+def test_long_secrets_are_one_finding_each(spark, before, secret, after):
+    """However long a value is, no part of it stays."""
+    df = spark.createDataFrame([(1, before + secret + after, "notes")], "doc_id long, text string, source string")
+    found = [r for r in secrets.report(df).collect() if r.is_secret]
+    assert [(r.n_chars, r.value_sha256) for r in found] == [(len(secret), hashlib.sha256(secret.encode()).hexdigest())]
+    assert secrets.redacted(df).first().text == before + secrets.MASK + after
+
+
+def test_broken_key_blocks_take_linear_time(spark):
+    text = "-----BEGIN PRIVATE KEY-----\n" + "abc " * 20
+    df = spark.createDataFrame([(1, text * 3000, "notes")], "doc_id long, text string, source string")
+    start = time.time()
+    secrets.redacted(df).collect()
+    assert time.time() - start < 60
+
+
+def test_the_dictionary_has_words_of_all_letters(spark):
+    df = spark.createDataFrame([(i, "Größe señal élève wort") for i in range(3)], "doc_id long, text string")
+    assert {"größe", "señal", "élève", "wort"} <= set(secrets.vocabulary(df))
