@@ -166,55 +166,72 @@ def order(entry: tuple) -> tuple:
 
 class LoserTree:
     """Merges sorted lists: inner nodes keep the losers of matches between lists, so the next winner needs one match for
-    each level. An exhausted list loses to all; of equal heads the earlier list wins. A list that has run out can be
-    filled up again by add(); matches are then played anew when the next winner is asked for."""
-
-    def __init__(self, lists: list[list], key=order):
-        self.key, self.lists, self.at = key, [list(x) for x in lists], [0] * len(lists)
-        self._play()
-
-    def _play(self) -> None:
-        """Play all matches."""
-        self.k, self.stale = len(self.lists), False
-        self.head = [self.key(x[i]) if i < len(x) else None for x, i in zip(self.lists, self.at, strict=True)]
-        self.losers = [-1] * self.k
-        winner = [-1] * (2 * self.k)
-        winner[self.k :] = range(self.k)
+    each level. Of equal heads the smaller number wins. add() opens a list or appends to one at any time, and plays the matches from its leaf
+    to the root only; for that, nodes keep their winners, too. A list that has run out gives its leaf to the next that is opened, so there are about
+    as many leaves as lists are open at a time."""
+
+    def __init__(self, lists=(), key=order):
+        self.key, self.leaf, self.free = key, {}, []
+        self.lists, self.at, self.number, self.head = [], [], [], []
+        self._double()
+        for number, entries in enumerate(lists):
+            self.add(number, list(entries))
+
+    def _double(self) -> None:
+        """Twice as many leaves (two at first), and all matches anew."""
+        k = len(self.head)
+        self.k = max(2, 2 * k)
+        self.free += range(self.k - 1, k - 1, -1)
+        for column, empty in ((self.lists, ()), (self.at, 0), (self.number, -1), (self.head, None)):
+            column += [empty] * (self.k - k)
+        self.losers, self.winners = [-1] * self.k, [-1] * self.k + list(range(self.k))
         for node in range(self.k - 1, 0, -1):
-            a, b = winner[2 * node], winner[2 * node + 1]
-            winner[node], self.losers[node] = (a, b) if self._beats(a, b) else (b, a)
-        self.best = winner[1] if self.k > 1 else self.k - 1
+            self._match(node)
+
+    def _match(self, node: int) -> None:
+        a, b = self.winners[2 * node], self.winners[2 * node + 1]
+        self.winners[node], self.losers[node] = (b, a) if self._beats(b, a) else (a, b)
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.head[a], self.head[b]
-        return y is None or x is not None and (x, a) < (y, b)
+        return x is not None and (y is None or (x, self.number[a]) < (y, self.number[b]))
 
     def add(self, number: int, entries: list) -> None:
-        """Append entries to a list; number may be one past the last list, for a new one."""
-        if number == len(self.lists):
-            self.lists.append([])
-            self.at.append(0)
-        ran_out = self.at[number] >= len(self.lists[number])
-        self.lists[number] = self.lists[number][self.at[number] :] + entries
-        self.at[number] = 0
-        # the head of a list that goes on stays as it is
-        self.stale |= ran_out
+        """Append entries to the list of a number, a new one or one that goes on."""
+        if not entries:
+            return
+        leaf = self.leaf.get(number)
+        if leaf is not None:
+            # the head of a list that goes on stays as it is
+            self.lists[leaf] = self.lists[leaf][self.at[leaf] :] + entries
+            self.at[leaf] = 0
+            return
+        if not self.free:
+            self._double()
+        leaf = self.leaf[number] = self.free.pop()
+        self.lists[leaf], self.at[leaf], self.number[leaf], self.head[leaf] = entries, 0, number, self.key(entries[0])
+        node = (self.k + leaf) // 2
+        while node:
+            self._match(node)
+            node //= 2
 
     def before(self, limit=None):
         """The entries in order, as long as their key is below the limit."""
-        if self.stale:
-            self._play()
-        while self.best >= 0 and self.head[self.best] is not None and (limit is None or self.head[self.best] < limit):
-            w = self.best
-            yield self.lists[w][self.at[w]]
-            self.at[w] += 1
-            self.head[w] = self.key(self.lists[w][self.at[w]]) if self.at[w] < len(self.lists[w]) else None
-            node = (w + self.k) // 2
+        while (head := self.head[best := self.winners[1]]) is not None and (limit is None or head < limit):
+            yield self.lists[best][self.at[best]]
+            self.at[best] += 1
+            if self.at[best] < len(self.lists[best]):
+                self.head[best] = self.key(self.lists[best][self.at[best]])
+            else:
+                self.head[best], self.lists[best] = None, ()
+                del self.leaf[self.number[best]]
+                self.free.append(best)
+            w, node = best, (self.k + best) // 2
             while node:
-                if self.losers[node] >= 0 and self._beats(self.losers[node], w):
+                if self._beats(self.losers[node], w):
                     self.losers[node], w = w, self.losers[node]
+                self.winners[node] = w
                 node //= 2
-            self.best = w
 
     def __iter__(self):
         return self.before()

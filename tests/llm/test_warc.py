@@ -75,6 +75,28 @@ def test_a_merge_holds_open_blocks_only(monkeypatch):
     assert max(held) <= 5 * 64 * 2
 
 
+def test_many_runs_take_a_match_for_each_level():
+    """Runs of one capture each, all open at once or one after the other; leaves of runs that ended are used again."""
+    rows = [(i, (i * 7919 % 40_000,)) for i in range(40_000)]
+    for head in (lambda r: (-1,), lambda r: r[1]):
+        given = sorted(rows, key=head)
+        matches, beats = [0], warc.LoserTree._beats
+
+        class Counted(warc.LoserTree):
+            def _beats(self, a, b):
+                matches[0] += 1
+                return beats(self, a, b)
+
+        tree = Counted(key=lambda r: r[1])
+        out = []
+        for row in given:
+            out += tree.before(head(row))
+            tree.add(row[0], [row])
+        out += tree.before()
+        assert [r[1] for r in out] == sorted(r[1] for r in rows) and matches[0] < 40_000 * 40
+    assert tree.k < 10
+
+
 def test_captures_of_many_small_archives(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 3)
     rng = random.Random(4)
