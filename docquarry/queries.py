@@ -101,7 +101,7 @@ def _(spark, sf_dir):
     return retrieval.doc_stats(table(spark, sf_dir, "documents"))
 
 
-@query("term_stats_idf", f"WITH {_POSTINGS}, {_STATS}, {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("term_stats_idf", f"WITH found AS MATERIALIZED (SELECT unnest(list_distinct({_TERMS})) AS term FROM documents), df AS MATERIALIZED (SELECT term, count(*) AS df FROM found GROUP BY 1), raw AS (SELECT term, df, ln((SELECT count(*) FROM documents)::DOUBLE - df + 0.5) - ln(df + 0.5) AS r FROM df) SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END, 6) AS idf FROM raw")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return retrieval.term_stats(retrieval.postings(docs), docs.count()).withColumn("idf", F.round("idf", 6))

@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,21 +111,10 @@ def docs(spark, n=60):
 
 
 def test_bm25_equals_a_plain_loop(spark):
-    import math
-    from collections import Counter
-
     d = docs(spark)
     query = "w1 w2 w2 w29 nothing"
-    corpus = {r.doc_id: r.text.split() for r in d.collect()}
-    n, avg = len(corpus), sum(map(len, corpus.values())) / len(corpus)
-    df = Counter(t for ws in corpus.values() for t in set(ws))
-    idf = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
-    floor = 0.25 * sum(idf.values()) / len(idf)
-    idf = {t: floor if x < 0 else x for t, x in idf.items()}
-    score = {i: sum(idf.get(t, 0) * ws.count(t) * 2.5 / (ws.count(t) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for t in query.split()) for i, ws in corpus.items()}
-    want = sorted(((round(s, 6), i) for i, s in score.items() if s > 0), reverse=True)[:10]
-    got = retrieval.search_sparse(retrieval.build(d), spark.createDataFrame([(1, query)], "query_id int, text string"), 10).orderBy("rank").collect()
-    assert [(r.ordinal, pytest.approx(r.score)) for r in got] == [(i, s) for s, i in want]
+    want = plain_bm25({r.doc_id: r.text.split() for r in d.collect()}, query, 10)
+    assert found(retrieval.build(d), spark, [query], 10)[0] == want
 
 
 def test_index_round_trip_and_dimension(spark, tmp_path):
@@ -138,6 +131,116 @@ def test_index_round_trip_and_dimension(spark, tmp_path):
         retrieval.build(d.limit(0))
 
 
+def plain_bm25(corpus, query, k):
+    """(score, ordinal) of the k best texts, by loops; corpus: ordinal to words."""
+    n, avg = len(corpus), sum(map(len, corpus.values())) / len(corpus)
+    df = Counter(t for ws in corpus.values() for t in set(ws))
+    idf = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    idf = {t: floor if x < 0 else x for t, x in idf.items()}
+    score = {i: sum(idf.get(t, 0) * ws.count(t) * 2.5 / (ws.count(t) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for t in query.split()) for i, ws in corpus.items()}
+    return sorted(((round(s, 6), i) for i, s in score.items() if s > 0), reverse=True)[:k]
+
+
+def found(index, spark, questions, k):
+    rows = retrieval.search_sparse(index, spark.createDataFrame(list(enumerate(questions)), "query_id int, text string"), k).orderBy("query_id", "rank").collect()
+    return {i: [(pytest.approx(r.score, abs=2e-6), r.ordinal) for r in rows if r.query_id == i] for i in range(len(questions))}
+
+
+def zipf(n, seed=3):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    return {i: rng.choices(words, weights=[1 / (j + 1) for j in range(400)], k=rng.randint(0, 60)) for i in range(n)}
+
+
+def test_optional_words_are_looked_up_for_candidates_only(spark, monkeypatch):
+    """The same rows as by scoring everything; a stop word's postings are no longer scored one by one."""
+    corpus = zipf(3000)
+    corpus = {i: ws + ["the"] * (i % 7 > 0) + ["rare"] * (i % 200 == 0) for i, ws in corpus.items()}
+    index = retrieval.build(spark.createDataFrame([(i, " ".join(ws)) for i, ws in corpus.items()], "doc_id long, text string"))
+    questions = ["the rare w300", "the w0 rare w399", "w1 w399 w399 the the", "the", "nothing at all", "w250 w251 w252 w5"]
+    seen, cut = {}, retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df, label: seen.setdefault(label, cut(df, label)))
+    got = found(index, spark, questions, 5)
+    assert got == {i: plain_bm25(corpus, q, 5) for i, q in enumerate(questions)}
+    df = Counter(t for ws in corpus.values() for t in set(ws))
+    everything = {i: sum(df[t] for t in set(q.split())) for i, q in enumerate(questions)}
+    scored = {r.query_id: r["count"] for r in seen["candidates"].groupBy("query_id").count().collect()}
+    assert 5 * scored[0] < everything[0] and 5 * scored[1] < everything[1]
+
+
+def test_segments_are_searched_like_one_index(spark, tmp_path):
+    """Texts added, replaced and removed, once more after a failure; every other table stays as it is."""
+    path, corpus = str(tmp_path / "i"), zipf(200)
+    frame = lambda rows: spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows.items()], "doc_id long, text string")
+    first = {i: ws for i, ws in corpus.items() if i < 150}
+    retrieval.build(frame(first)).save(path)
+    before = sorted(p.name for p in (tmp_path / "i" / "postings" / "segment=0").rglob("*.parquet"))
+    new = {i: ws for i, ws in corpus.items() if i >= 150} | {3: ["w1", "fresh", "fresh"], 4: []}
+    gone = spark.createDataFrame([(7,), (9999,)], "ordinal long")
+    write, calls = retrieval._write, []
+
+    def fails(*a):
+        calls.append(a[1])
+        raise OSError("lost")
+
+    # postings of a segment without its row of corpus don't count
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(retrieval, "_write", fails)
+    with pytest.raises(OSError):
+        retrieval.append(frame(new), path, removed=gone)
+    monkey.undo()
+    frame({1: ["stray"]}).selectExpr("doc_id as ordinal", "text as term", "1L as tf", "1L as dl", "1 as segment", "0 as bucket").write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/postings")
+    assert found(retrieval.load(spark, path), spark, ["w1 stray"], 5)[0] == plain_bm25(first, "w1 stray", 5)
+    assert retrieval.append(frame(new), path, removed=gone) == 1 and calls == [1]
+    now = {i: ws for i, ws in (first | new).items() if i != 7}
+    questions = ["w1 fresh", "w0 w2 w3", "w50 w51 stray"]
+    want = {i: plain_bm25(now, q, 8) for i, q in enumerate(questions)}
+    assert found(retrieval.load(spark, path), spark, questions, 8) == want
+    assert before == sorted(p.name for p in (tmp_path / "i" / "postings" / "segment=0").rglob("*.parquet"))
+    # again, a text that a later segment brought is replaced; then all is written as one segment
+    assert retrieval.append(frame({160: ["fresh"]}), path) == 2
+    now[160] = ["fresh"]
+    whole = retrieval.load(spark, path)
+    assert (whole.n_docs, whole.words) == (len(now), sum(map(len, now.values())))
+    whole.save(str(tmp_path / "j"))
+    for p in (path, str(tmp_path / "j")):
+        assert found(retrieval.load(spark, p), spark, questions, 8) == {i: plain_bm25(now, q, 8) for i, q in enumerate(questions)}
+
+
+def test_a_search_reads_the_folders_of_its_words_only(spark, tmp_path):
+    retrieval.build(docs(spark)).save(str(tmp_path))
+    index = retrieval.load(spark, str(tmp_path))
+    rows = retrieval.search_sparse(index, spark.createDataFrame([(1, "w1 w2")], "query_id int, text string"), 3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(", plan)
+
+
+@pytest.mark.parametrize("rows", [16, 10_000])
+def test_a_task_hands_on_its_best_once(spark, rows):
+    """At most tasks x questions x k rows leave the tasks, whatever the size of Arrow batches."""
+    rng = np.random.default_rng(1)
+    vectors, questions = np.round(rng.normal(size=(700, 4)), 1), np.round(rng.normal(size=(300, 4)), 1)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "ordinal long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(questions)], "query_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = {}
+        for r in retrieval.search_dense(v, q, 7).collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.ordinal))
+        monkey, sent = pytest.MonkeyPatch(), []
+        monkey.setattr(retrieval, "ranked", lambda found, *a: sent.append(found) or found)
+        retrieval.search_dense(v, q, 7)
+        monkey.undo()
+        assert sent[0].count() == 3 * 300 * 7
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    scores = np.round(questions @ vectors.T, 6) + 0.0
+    for i in range(300):
+        assert sorted(got[i]) == sorted((-s, o) for o, s in enumerate(scores[i]))[:7]
+
+
 def test_two_chunk_index(spark):
     chunks = spark.createDataFrame([(1, "FAISS latency 2-5ms at 1M vectors | benchmarks"), (2, "Retrieval basics for everyone")], "doc_id long, text string")
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "ordinal long, embedding array<float>")
