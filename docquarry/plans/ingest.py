@@ -48,7 +48,9 @@ def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str
 
     hashes: doc_name, file_hash. A document that an earlier run at path extracted from the same bytes, and whose elements
     and Markdown are both there, is kept as it is and counts as cached, unless forced. Without hashes all are extracted.
-    If there is no document at all, FileNotFoundError is raised."""
+    Only the folders of documents that are new, changed or gone are written; if such a folder would end up empty, all are.
+    The manifest comes last: after a failure before, the next run finds no new hashes in it and extracts these documents
+    again. If there is no document at all, FileNotFoundError is raised."""
     spark = blocks.sparkSession
     names = blocks.select(F.col("doc").alias("doc_name")).distinct()
     found = cut(names.join(hashes, "doc_name", "left") if hashes is not None else names.withColumn("file_hash", F.lit(None).cast("string")), "found")
@@ -62,16 +64,29 @@ def extract_job(blocks: DataFrame, spans: DataFrame, grids: DataFrame, path: str
     new = cut(files.pending(found, before, force).select(F.col("doc_name").alias("doc")), "new")
     some = lambda df: df.join(new, "doc", "left_semi")
     made = layout.elements(some(blocks), some(spans), some(grids))
-    rows = made.select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section")
+    rows = cut(made.select(F.col("doc").alias("doc_name"), "ord", F.col("page").alias("page_number"), "element_type", "content", "section"), "elements")
+    as_elements = lambda df: df.select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "element_type", "content")
+    markdown = layout.full_markdown(as_elements(rows))
+    buckets = None
     if before is not None:
-        rows = rows.unionByName(old_rows.join(kept, "doc_name", "left_semi"))
-    # the new rows stand in the shared folder before the old ones are replaced
-    rows = cut(rows, "elements")
-    if not rows.head(1):
+        # at most BUCKETS numbers; what lies in other folders is neither read nor written
+        named = new.select(F.col("doc").alias("doc_name"))
+        for there in (old_rows.select("doc_name"), old_markdown.select(F.col("doc").alias("doc_name"))):
+            named = named.unionByName(there.distinct().join(found, "doc_name", "left_anti"))
+        buckets = sorted(r[0] for r in named.select(files.bucket_of(F.col("doc_name"))).distinct().collect())
+        stay = kept.select("doc_name")
+        filled = {r[0] for r in rows.select("doc_name").unionByName(stay).select(files.bucket_of(F.col("doc_name"))).distinct().collect()}
+        if not filled >= set(buckets):
+            buckets = list(range(files.BUCKETS))
+        # the new rows stand in the shared folder before the old ones are replaced
+        rows = cut(rows.unionByName(files.read_elements(spark, f"{path}/elements", buckets).join(stay, "doc_name", "left_semi")), "elements")
+        markdown = cut(markdown.unionByName(files.read_markdown(spark, f"{path}/markdown", buckets).join(stay.withColumnRenamed("doc_name", "doc"), "doc", "left_semi")), "markdown")
+    if not rows.head(1) and not kept.head(1):
         raise FileNotFoundError("there is no document to extract")
-    files.write_elements(rows, f"{path}/elements")
-    els = rows.select(F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "ord", "element_type", "content")
-    files.write_markdown(layout.full_markdown(els), f"{path}/markdown")
+    only = buckets is not None and len(buckets) < files.BUCKETS
+    files.write_elements(rows, f"{path}/elements", only)
+    files.write_markdown(markdown, f"{path}/markdown", only)
+    els = as_elements(files.read_elements(spark, f"{path}/elements"))
     pages = els.groupBy("doc").agg(F.max("page").alias("pages"), F.count(F.lit(1)).alias("elements")).join(layout.doc_statistics(els), "doc").withColumnRenamed("doc", "doc_name")
     status = F.when(F.col("cached"), "cached").otherwise("extracted")
     docs = found.join(kept.select("doc_name", F.lit(True).alias("cached")), "doc_name", "left").join(pages, "doc_name")

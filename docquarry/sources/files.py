@@ -39,8 +39,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def bucketed(df: DataFrame, name: str) -> DataFrame:
     """df dealt by a hash of a document's name, with the column bucket, each document's rows together in one file."""
-    bucket = F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
-    return df.withColumn("bucket", bucket).repartition("bucket", name).sortWithinPartitions("bucket", name)
+    return df.withColumn("bucket", bucket_of(name)).repartition("bucket", name).sortWithinPartitions("bucket", name)
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -87,24 +86,40 @@ def write_manifest(docs: DataFrame, path: str) -> DataFrame:
     return extraction_manifest(docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/documents"))
 
 
-def write_markdown(markdown: DataFrame, path: str) -> None:
-    """Markdown of documents (doc, markdown) as JSON lines, dealt to folders by a hash of the name."""
-    bucketed(markdown.select("doc", "markdown"), "doc").write.mode("overwrite").partitionBy("bucket").json(path)
+def bucket_of(name) -> F.Column:
+    """The folder of a document."""
+    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
 
 
-def write_elements(elements: DataFrame, path: str) -> None:
-    """Elements as JSON lines, dealt to folders by a hash of the document's name."""
-    bucketed(elements, "doc_name").write.mode("overwrite").partitionBy("bucket").json(path)
+def _write_json(rows: DataFrame, name: str, path: str, only: bool) -> None:
+    mode = "dynamic" if only else "static"
+    bucketed(rows, name).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").json(path)
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Elements that write_elements() wrote."""
-    return spark.read.schema(schemas.ELEMENTS).json(path).drop("bucket")
+def _read_json(spark: SparkSession, schema: str, path: str, buckets: list[int] | None) -> DataFrame:
+    rows = spark.read.schema(f"{schema}, bucket int").json(path)
+    return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket")
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """doc and markdown that write_markdown() wrote."""
-    return spark.read.schema("doc string, markdown string").json(path).drop("bucket")
+def write_markdown(markdown: DataFrame, path: str, only: bool = False) -> None:
+    """Markdown of documents (doc, markdown) as JSON lines, dealt to folders by a hash of the name. only: folders of other
+    documents stay as they are."""
+    _write_json(markdown.select("doc", "markdown"), "doc", path, only)
+
+
+def write_elements(elements: DataFrame, path: str, only: bool = False) -> None:
+    """Elements as JSON lines, dealt to folders by a hash of the document's name. only: as in write_markdown()."""
+    _write_json(elements, "doc_name", path, only)
+
+
+def read_elements(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """Elements that write_elements() wrote, of all folders or of some."""
+    return _read_json(spark, schemas.ELEMENTS, path, buckets)
+
+
+def read_markdown(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """doc and markdown that write_markdown() wrote, of all folders or of some."""
+    return _read_json(spark, "doc string, markdown string", path, buckets)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -116,7 +131,7 @@ def read_chunks(spark: SparkSession, path: str, doc_name: str | None = None) ->
     """Chunks that write_chunks() wrote, of all documents or of one."""
     rows = spark.read.schema(f"{schemas.CHUNKS}, bucket int").parquet(path)
     if doc_name is not None:
-        rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(doc_name)), F.lit(BUCKETS))) & (F.col("doc_name") == doc_name))
+        rows = rows.where((F.col("bucket") == bucket_of(F.lit(doc_name))) & (F.col("doc_name") == doc_name))
     return rows.drop("bucket")
 
 

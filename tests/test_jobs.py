@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry import fixtures
+from docquarry import fixtures, schemas
 from docquarry.operators import agent, answers, chunking, layout, retrieval
 from docquarry.plans import ingest, service
 from docquarry.sources import files
@@ -55,6 +55,40 @@ def test_documents_of_the_same_bytes_are_kept(spark, tmp_path):
     assert status() == {"report.pdf": "extracted", "other_doc.v2.pdf": "cached"}
 
 
+def test_only_the_folders_of_changed_documents_are_written(spark, tmp_path):
+    """New, changed and vanished documents; other folders keep their files, and a failure before the manifest is made good."""
+    path = str(tmp_path / "out")
+    names = [f"d{i}.pdf" for i in range(40)]
+    blocks = lambda texts: spark.createDataFrame([(n, 1, 0, 0, 0.0, 0.0, 9.0, 9.0, t) for n, t in texts.items()], schemas.BLOCKS)
+    none = [spark.createDataFrame([], s) for s in (schemas.SPANS, schemas.GRIDS)]
+    hashes = lambda texts: spark.createDataFrame(list(texts.items()), "doc_name string, file_hash string")
+    run = lambda texts: ingest.extract_job(blocks(texts), *none, path, hashes(texts))
+    texts = {n: f"Text of {n}" for n in names}
+    run(texts)
+    stamp = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("part-*.json")}
+    before = stamp()
+    texts["d3.pdf"], texts["d77.pdf"] = "Another text", "A new text"
+    manifest = files.write_manifest
+
+    def fails(*a):
+        raise OSError("lost")
+
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(files, "write_manifest", fails)
+    with pytest.raises(OSError):
+        run(texts)
+    monkey.undo()
+    run(texts)
+    content = lambda: {r.doc_name: r.content for r in files.read_elements(spark, f"{path}/elements").collect()}
+    assert content() == texts and set(files.read_markdown(spark, f"{path}/markdown").select("doc").toPandas()["doc"]) == set(texts) and files.write_manifest is manifest
+    kept = {p for p, t in stamp().items() if before.get(p) == t}
+    assert len(kept) >= 2 * 30
+    # a document that is alone in its folder goes: all folders are written
+    del texts["d5.pdf"]
+    run(texts)
+    assert content() == texts
+
+
 def test_sinks_deal_documents_to_a_fixed_number_of_folders(spark, tmp_path):
     rows = spark.range(600).select(F.concat(F.lit("doc_"), "id").alias("doc_name"), F.lit(1).alias("ord"), F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type"), F.lit("text").alias("content"), F.lit("s").alias("section"))
     files.write_elements(rows, str(tmp_path / "e"))
