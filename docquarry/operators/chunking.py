@@ -1,14 +1,17 @@
 """From elements to chunks within token budgets.
 
-A document's elements are one fold with resets that depend on the data, so a document is packed by one call over an
-Arrow batch; documents are independent. elements: doc_name, ord, page_number, element_type, content, section.
+A document's elements are one fold with resets that depend on the data. Elements are dealt by document and sorted, and the
+fold goes on from one Arrow batch to the next, so a task holds the prose of a chunk and never a document. elements: doc_name,
+ord, page_number, element_type, content, section.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from docquarry.config import CHUNKING, Chunking
 from docquarry.functions.text import breadcrumb, parent_id, token_estimate
 
 Count = Callable[[str], int]
+#: Chunks that a task hands on at a time.
+ROWS = 256
 _SENTENCE = regex.compile(r"(?<=[.!?])\s+(?=[A-Z0-9✓✗•\-])")
 
 
@@ -60,7 +65,7 @@ def table_parts(markdown: str, count: Count, config: Chunking = CHUNKING) -> lis
     return [("\n".join([head, *rows]), i) for i, rows in enumerate(parts, 1)]
 
 
-def packed(elements: list, count: Count = estimate, config: Chunking = CHUNKING) -> Iterator[tuple[str, int, str, str, str, int | None]]:
+def packed(elements: Iterable, count: Count = estimate, config: Chunking = CHUNKING) -> Iterator[tuple[str, int, str, str, str, int | None]]:
     """Chunks of a document's ordered elements (page, type, content, section): suffix of the id, page, section, type,
     content and the part of a split table.
 
@@ -102,6 +107,15 @@ def packed(elements: list, count: Count = estimate, config: Chunking = CHUNKING)
     yield from prose()
 
 
+def packed_documents(rows: Iterable, count: Count = estimate, config: Chunking = CHUNKING) -> Iterator[tuple]:
+    """Chunks of elements (doc_name, page, type, content, section) that come document by document, in order: doc_name, the chunk's
+    place, and what packed() gives. Rows are taken as they are needed."""
+    for name, own in itertools.groupby(rows, key=lambda r: r[0]):
+        els = ((page, kind, content or "", section) for _, page, kind, content, section in own)
+        for i, c in enumerate(packed(els, count, config)):
+            yield name, i, *c
+
+
 def counter(spark, ranks_path: str | None = None, pattern: str | None = None):
     """A function that makes a token counter on a worker: the estimate, or exact counts of a rank file and its pattern."""
     if ranks_path is None:
@@ -126,18 +140,17 @@ def chunks(elements: DataFrame, config: Chunking = CHUNKING, *, ranks_path: str
     ordinal, is_split_table, part. A null content is an empty one. token_count counts the text with its breadcrumb, char_count the content alone."""
     spark = elements.sparkSession
     make = counter(spark, ranks_path, pattern)
-    docs = elements.groupBy("doc_name").agg(F.array_sort(F.collect_list(F.struct("ord", "page_number", "element_type", "content", "section"))).alias("elements"))
+    columns = ["doc_name", "ord", "page_number", "element_type", "content", "section"]
+    rows = elements.select(*columns).repartition("doc_name").sortWithinPartitions(*columns).drop("ord")
+    kinds = {"doc_name": pa.string(), "ordinal": pa.int32(), "suffix": pa.string(), "page_number": pa.int32(), "section_path": pa.string(), "element_type": pa.string(), "raw_content": pa.string(), "part": pa.int32()}
 
     def run(batches):
         count = make()
-        for pdf in batches:
-            out = []
-            for name, els in zip(pdf["doc_name"], pdf["elements"], strict=True):
-                rows = [(e["page_number"], e["element_type"], e["content"] or "", e["section"]) for e in els]
-                out += [(name, i, *c) for i, c in enumerate(packed(rows, count, config))]
-            yield pd.DataFrame(out, columns=["doc_name", "ordinal", "suffix", "page_number", "section_path", "element_type", "raw_content", "part"]).astype({"part": "Int32"})
-
-    got = docs.mapInPandas(run, "doc_name string, ordinal int, suffix string, page_number int, section_path string, element_type string, raw_content string, part int")
+        each = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for some in itertools.batched(packed_documents(each, count, config), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    got = rows.mapInArrow(run, "doc_name string, ordinal int, suffix string, page_number int, section_path string, element_type string, raw_content string, part int")
     return projected(got, config, None if ranks_path is None else (make,))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry import fixtures
+from docquarry import fixtures, schemas
 from docquarry.config import Chunking
 from docquarry.operators import agent, answers, chunking, layout, retrieval, routing
 from docquarry.plans import ingest
@@ -104,6 +104,33 @@ def test_sections_nest_until_a_new_first_level(spark):
     assert got == ["SECTION 1 Overview", "SECTION 1 Overview > 1.2 Vector Search", "SECTION 1 Overview > 1.2 Vector Search > Intro to things", "SECTION 2 Results"]
 
 
+def test_a_document_of_a_million_elements_is_packed_as_it_comes(spark):
+    """No more than the elements of a chunk are taken before it is handed on, and batches may cut documents anywhere."""
+    taken = 0
+
+    def rows():
+        nonlocal taken
+        for i in range(1_000_000):
+            taken += 1
+            yield ("a.pdf", 1, "paragraph", f"Line {i} of a long document.", "S")
+
+    ahead = 0
+    for n, _ in enumerate(chunking.packed_documents(rows())):
+        ahead = max(ahead, taken - 50 * n)
+        if n == 2000:
+            break
+    assert ahead < 60_000 and taken < 200_000
+    els = spark.createDataFrame([(f"d{i % 3}.pdf", i, 1, "paragraph", f"Sentence {i} goes here. " * 3, "S") for i in range(900)], schemas.ELEMENTS)
+    before, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for size in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            got.append(sorted(map(str, chunking.chunks(els).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] and len(got[0]) > 10
+
+
 def docs(spark, n=60):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(30)]
