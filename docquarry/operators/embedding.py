@@ -14,8 +14,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.functions.text import SPACE
+
 BATCH, TRIES, PAUSE, BETWEEN = 15, 3, 2.0, 0.5
 
 
@@ -41,6 +44,28 @@ class Hashed:
         return out
 
 
+def hashed_features(df: DataFrame, dimension: int = 384, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, place, weight: the places of Hashed's vectors that aren't 0, divided by their length, in functions of Spark only.
+
+    Words are counted for each text before they are cut into parts, and parts are summed by place; nothing of a text is gathered. A text
+    without words, or whose parts cancel out, has no rows. Rows with the same id are one text."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), f"{SPACE}+"), lambda w: w != "")
+    counts = df.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    inner = F.when(F.length("word") >= 3, F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    parts = counts.select("id", "n", F.explode(F.concat(F.array("word"), inner)).alias("part"))
+    h = F.crc32(F.col("part").cast("binary"))
+    signed = parts.select("id", (h % dimension).cast("int").alias("place"), F.when(h >= 1 << 31, F.col("n")).otherwise(-F.col("n")).alias("n"))
+    sums = signed.groupBy("id", "place").agg(F.sum("n").alias("n")).where("n <> 0")
+    lengths = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    return sums.join(lengths, "id").select(F.col("id").alias(id_col), "place", (F.col("n") / F.col("length")).alias("weight"))
+
+
+def dense(features: DataFrame, dimension: int = 384, *, id_col: str = "doc_id") -> DataFrame:
+    """ordinal and embedding (array<float>) of hashed_features(); a text without features has no row."""
+    held = features.groupBy(F.col(id_col).alias("ordinal")).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m"))
+    return held.select("ordinal", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
+
+
 class Remote:
     """An embedder behind a call: any picklable function (texts, kind) -> vectors that raises when the model doesn't answer."""
 

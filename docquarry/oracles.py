@@ -106,3 +106,20 @@ HTML = f"""SELECT doc_name, (row_number() OVER w)::INTEGER AS ord, 1 AS page_num
                 FROM (SELECT *, {_OPENS} AS opens, sum(({_OPENS} OR regexp_matches(piece, '(?is)^</(h[1-6]|p|li|pre|article|nav|ul|ol|div)>$') OR regexp_matches(piece, '(?is)^<(ul|ol|article|footer|nav|div)(\\s[^>]*)?>$'))::INTEGER) OVER (PARTITION BY doc_name ORDER BY i) AS block
                       FROM (SELECT doc_name, unnest(found) AS piece, generate_subscripts(found, 1) AS i FROM (SELECT 'page_' || page_id || '.html' AS doc_name, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>|[^<]+|<') AS found FROM pages)))
                 GROUP BY 1, 2) WHERE is_block AND content <> '') WINDOW w AS (PARTITION BY doc_name ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+#: The table of crc32, as a CTE of one row, and what is left of a list of bytes b by it.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+CRC = "xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def hashed_features(docs: str, dimension: int) -> str:
+    """doc_id, place and weight of operators.embedding.hashed_features()."""
+    white = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+"
+    return f"""WITH {CRC_TABLE},
+    counts AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '{white}')) AS word FROM {docs}) WHERE word <> '' GROUP BY 1, 2),
+    parts AS (SELECT word, unnest([word] || list_transform(range(1, length(word) - 1), lambda i: word[i:i + 2])) AS part FROM (SELECT DISTINCT word FROM counts)),
+    bytes AS (SELECT part, list_transform(range(octet_length(encode(part))), lambda i: ('0x' || hex(encode(part))[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM (SELECT DISTINCT part FROM parts)),
+    hashed AS (SELECT part, {CRC} AS h FROM bytes, crc),
+    sums AS (SELECT doc_id, (h % {dimension})::INTEGER AS place, sum(CASE WHEN h >= 2147483648 THEN n ELSE -n END) AS n FROM counts JOIN parts USING (word) JOIN hashed USING (part) GROUP BY 1, 2 HAVING sum(CASE WHEN h >= 2147483648 THEN n ELSE -n END) <> 0)
+    SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)::DOUBLE AS weight FROM sums"""

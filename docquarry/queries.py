@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docquarry import derived, fixtures, oracles
 from docquarry.config import AGENT, CODE_FONTS, HEADER_FOOTER, ROUTING
 from docquarry.functions import model_text, text
-from docquarry.operators import agent, answers, chunking, evaluation, layout, retrieval, routing
+from docquarry.operators import agent, answers, chunking, embedding, evaluation, layout, retrieval, routing
 from docquarry.plans import ingest, service
 from docquarry.sources import files, html
 
@@ -159,6 +159,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(retrieval.l2_normalised(scaled), lambda x: F.round(x, 6) + 0.0).alias("unit"))
 
 
+@query("hashed_embeddings", oracles.hashed_features("documents", 384))
+def _(spark, sf_dir):
+    return embedding.hashed_features(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+
+
 @query("health_summary", "SELECT count(*) AS chunks, count(DISTINCT source) AS documents, (SELECT max(len(embedding))::INTEGER FROM embeddings) AS dimension FROM documents")
 def _(spark, sf_dir):
     return service.health(chunk_table(spark, sf_dir), table(spark, sf_dir, "embeddings"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docquarry import fixtures, schemas
 from docquarry.config import Chunking
-from docquarry.operators import agent, answers, chunking, layout, retrieval, routing
+from docquarry.operators import agent, answers, chunking, embedding, layout, retrieval, routing
 from docquarry.plans import ingest
 from docquarry.sources import files, html
 
@@ -365,6 +365,15 @@ def test_stream_chunks_each_document_once(spark, tmp_path):
     assert sorted(r.doc_name for r in made.collect()) == ["doc_1.pdf", "doc_2.pdf", "doc_3.pdf"]
 
 
+def test_hashed_vectors_in_functions_equal_the_embedder(spark):
+    texts = ["Größe und Maß — ✓ 😀a", "one two two", "ab", "", None, "a\u00a0b\x1cc " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.ordinal: r.embedding for r in embedding.dense(embedding.hashed_features(df, 64), 64).collect()}
+    want = embedding.normalised(embedding.Hashed(64).embed(texts))
+    assert sorted(got) == [i for i in range(6) if want[i].any()] == [0, 1, 2, 5]
+    assert all(np.allclose(got[i], want[i], atol=1e-6) for i in got)
+
+
 def test_html_elements(spark):
     page = '<html><script>x="<p>no</p>"</script><h1>Title &amp; more</h1><p>One<b> two</b><br><p>Three</p><!-- <p>no</p> --><ul><li>item</li></ul></html>'
     got = html.elements(spark.createDataFrame([(7, page), (8, None)], "page_id long, html string")).orderBy("ord").collect()
