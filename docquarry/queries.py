@@ -595,9 +595,9 @@ def _(spark, sf_dir):
     return service.effective(routing.routed(questions), forced).select("query_id", "workflow", "runs")
 
 
-@query("result_rounding", f"SELECT id, round(latency * 1.23456789, 3) AS latency_seconds, round(latency / 7, 4) AS confidence FROM {derived.sql('eval_records')}")
+@query("result_rounding", f"SELECT id, round(latency / 3, 3) AS latency_seconds, round(latency / 7, 4) AS confidence FROM {derived.sql('eval_records')}")
 def _(spark, sf_dir):
-    return service.rounded(given(spark, sf_dir, "eval_records").select("id", (F.col("latency") * 1.23456789).alias("latency_seconds"), (F.col("latency") / 7).alias("confidence")))
+    return service.rounded(given(spark, sf_dir, "eval_records").select("id", (F.col("latency") / 3).alias("latency_seconds"), (F.col("latency") / 7).alias("confidence")))
 
 
 # --- model texts
@@ -659,9 +659,11 @@ def _(spark, sf_dir):
     return files.cached(*_found(spark, sf_dir)).select("doc_id", "doc_name")
 
 
-@query("extraction_manifest", "SELECT count(*) AS documents, sum(n_chars)::BIGINT AS total_pages, sum(doc_id)::BIGINT AS total_elements, 0::BIGINT AS total_tables, count(*) AS total_code_blocks, round(count(*) * 0.5, 3)::DOUBLE AS seconds FROM documents")
+@query("extraction_manifest", f"WITH b AS (SELECT doc, max(page) AS pages, count(*) AS elements, count(*) FILTER (starts_with(text, 'def ') OR starts_with(text, 'import ')) AS code_blocks FROM {_BLOCKS} GROUP BY 1), g AS (SELECT doc, count(*) AS tables FROM {_GRIDS} GROUP BY 1) SELECT count(*) AS documents, sum(pages)::BIGINT AS total_pages, sum(elements)::BIGINT AS total_elements, coalesce(sum(tables), 0)::BIGINT AS total_tables, sum(code_blocks)::BIGINT AS total_code_blocks, round(count(*) * 0.5, 3)::DOUBLE AS seconds FROM b LEFT JOIN g USING (doc)")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("doc_name"), F.lit("extracted").alias("status"), F.col("n_chars").alias("pages"), F.col("doc_id").alias("elements"), F.lit(0).alias("tables"), F.lit(1).alias("code_blocks"), F.lit(0.5).alias("seconds"))
+    blocks = given(spark, sf_dir, "blocks").groupBy("doc").agg(F.max("page").alias("pages"), F.count(F.lit(1)).alias("elements"), F.count_if(F.col("text").startswith("def ") | F.col("text").startswith("import ")).alias("code_blocks"))
+    tables = given(spark, sf_dir, "grids").groupBy("doc").agg(F.count(F.lit(1)).alias("tables"))
+    docs = blocks.join(tables, "doc", "left").select(F.col("doc").alias("doc_name"), F.lit("extracted").alias("status"), "pages", "elements", F.coalesce("tables", F.lit(0)).alias("tables"), "code_blocks", F.lit(0.5).alias("seconds"))
     return files.extraction_manifest(docs)
 
 
