@@ -1,10 +1,10 @@
-"""Random forests for a yes-or-no label, fitted as nested nodes and written out as SQL expressions."""
+"""Random forests for a yes-or-no label, fitted as nested nodes and written out as a SQL expression over arrays of nodes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-TREES, DEPTH, LEAST = 24, 6, 3
+TREES, DEPTH, LEAST = 24, 8, 3
 
 #: A leaf's share of positive rows, or feature, cut, the node for values up to the cut, and the node for others.
 Node = float | tuple
@@ -43,13 +43,28 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> list[N
     return [_tree(x[rows], y[rows], names, DEPTH, rng) for rows in samples]
 
 
-def _sql(node: Node, ref: str) -> str:
-    if isinstance(node, float):
-        return f"{node:.6f}D"
-    name, cut, yes, no = node
-    return f"CASE WHEN {ref}{name} <= {cut!r}D THEN {_sql(yes, ref)} ELSE {_sql(no, ref)} END"
+def _flat(node: Node, names: list[str]) -> tuple[list[int], list[float], list[float]]:
+    """A tree as one of DEPTH full levels, level by level: each node's feature and cut, and the leaves. Below a leaf of fewer
+    levels all leaves are that one."""
+    level, features, cuts = [node], [], []
+    for _ in range(DEPTH):
+        inner = [n if isinstance(n, tuple) else (names[0], 0.0, n, n) for n in level]
+        features += [names.index(n[0]) for n in inner]
+        cuts += [n[1] for n in inner]
+        level = [side for n in inner for side in n[2:]]
+    return features, cuts, level
 
 
-def to_sql(trees: list[Node], ref: str = "") -> str:
-    """A SQL expression of the trees' mean; ref: what stands before a feature's name."""
-    return "(" + " + ".join(f"({_sql(t, ref)})" for t in trees) + f") / {len(trees)}D"
+def to_sql(trees: list[Node], names: list[str], ref: str = "") -> str:
+    """A SQL expression of the trees' mean; names: the features, ref: what stands before a feature's name.
+
+    The nodes of all trees are three constant arrays that a fold walks level by level, so the expression is as small for
+    deep trees as for flat ones, and the driver doesn't hold each branch as expressions of its own."""
+    features, cuts, leaves = ([x for t in trees for x in _flat(t, names)[i]] for i in range(3))
+    array = lambda values, kind: f"CAST(split('{','.join(values)}', ',') AS ARRAY<{kind}>)"
+    inner, at = 2**DEPTH - 1, f"q__t * {2**DEPTH - 1} + q__n"
+    step = f"2 * q__n + IF(q__x[{array(map(str, features), 'INT')}[{at}]] <= {array(map(repr, cuts), 'DOUBLE')}[{at}], 1, 2)"
+    leaf = f"aggregate(sequence(1, {DEPTH}), 0, (q__n, q__d) -> {step}) - {inner}"
+    total = f"aggregate(sequence(0, {len(trees) - 1}), 0.0D, (q__s, q__t) -> q__s + {array((f'{v:.6f}' for v in leaves), 'DOUBLE')}[q__t * {inner + 1} + {leaf}])"
+    values = ", ".join(f"CAST({ref}{n} AS DOUBLE)" for n in names)
+    return f"(transform(array(array({values})), q__x -> {total})[0] / {len(trees)}D)"

@@ -87,7 +87,7 @@ def _in_url(v: str, before: str, after: str) -> str:
 
 
 def trie(words: list[str]) -> str:
-    """A regular expression of any of the words (letters a to z), branching letter by letter; the longest is taken."""
+    """A regular expression of any of the words, all letters, branching letter by letter; the longest is taken."""
     tree: dict = {}
     for w in words:
         node = tree
@@ -105,7 +105,7 @@ def trie(words: list[str]) -> str:
 
 def vocabulary(df: DataFrame, *, text_col: str = "text", most: int = WORDS) -> tuple[str, ...]:
     """The words of 4 to 16 letters that most rows of df have, `most` at most, and the COMMON ones, in alphabetical order."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("(?<![a-z0-9])[a-z]{4,16}(?![a-z0-9])"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(r"(?<![\p{L}0-9])\p{L}{4,16}(?![\p{L}0-9])"), F.lit(0)))
     rows = df.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
     return tuple(sorted({r.w for r in rows} | set(COMMON)))
 
@@ -277,7 +277,7 @@ def features_of(spark: SparkSession, rows: list[tuple[str, str, int]], words: tu
 @functools.lru_cache(maxsize=4)
 def _fitted(findings: tuple, words: tuple[str, ...], ref: str, spark: SparkSession) -> str:
     x, y = features_of(spark, list(findings), words)
-    return forest.to_sql(forest.fit(x, y, FEATURES), ref)
+    return forest.to_sql(forest.fit(x, y, FEATURES), FEATURES, ref)
 
 
 def _score(df: DataFrame, text_col: str, findings: list | None, words: tuple[str, ...] | None) -> tuple[str, tuple[str, ...]]:
