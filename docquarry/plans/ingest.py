@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry import schemas
 from docquarry.config import CHUNKING, Chunking
+from docquarry.functions.text import trimmed
 from docquarry.operators import chunking, layout, retrieval
 from docquarry.sources import files
 from docquarry.sources.files import cut
@@ -17,7 +18,7 @@ from docquarry.sources.files import cut
 
 def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", section_col: str = "lang") -> DataFrame:
     """Elements of plain texts: each line that isn't blank is a paragraph."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), trimmed), lambda x: x != "")
     rows = docs.select(F.concat(F.lit("doc_"), F.col(id_col).cast("string"), F.lit(".pdf")).alias("doc_name"), F.posexplode(lines).alias("ord", "content"), F.col(section_col).alias("section"))
     return rows.select("doc_name", "ord", F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type"), "content", "section")
 
