@@ -13,12 +13,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions.text import SPACE
+from docquarry.sources.files import cut
 
+#: Texts whose places are summed at a time.
+ROWS = 256
 BATCH, TRIES, PAUSE, BETWEEN = 15, 3, 2.0, 0.5
 
 
@@ -45,19 +50,48 @@ class Hashed:
 
 
 def hashed_features(df: DataFrame, dimension: int = 384, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, place, weight: the places of Hashed's vectors that aren't 0, divided by their length, in functions of Spark only.
+    """id, place, weight: the places of Hashed's vectors that aren't 0, divided by their length.
 
-    Words are counted for each text before they are cut into parts, and parts are summed by place; nothing of a text is gathered. A text
-    without words, or whose parts cancel out, has no rows. Rows with the same id are one text."""
+    Texts are cut into words in functions of Spark, and a text's places are summed where it is read, so nothing is shuffled but the
+    sums of rows that share an id, which are one text. A text without words, or whose parts cancel out, has no rows."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), f"{SPACE}+"), lambda w: w != "")
-    counts = df.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    inner = F.when(F.length("word") >= 3, F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    parts = counts.select("id", "n", F.explode(F.concat(F.array("word"), inner)).alias("part"))
-    h = F.crc32(F.col("part").cast("binary"))
-    signed = parts.select("id", (h % dimension).cast("int").alias("place"), F.when(h >= 1 << 31, F.col("n")).otherwise(-F.col("n")).alias("n"))
-    sums = signed.groupBy("id", "place").agg(F.sum("n").alias("n")).where("n <> 0")
-    lengths = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return sums.join(lengths, "id").select(F.col("id").alias(id_col), "place", (F.col("n") / F.col("length")).alias("weight"))
+    own = df.select(F.col(id_col).alias("id"), words.alias("words"))
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, len(whole), ROWS):
+                b = whole.slice(k, ROWS)
+                row, place, n = _sums(b.column("words"), dimension)
+                lengths = np.sqrt(np.bincount(row, weights=n.astype(np.float64) ** 2, minlength=len(b)))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(place, pa.int32()), pa.array(n), pa.array(lengths[row])], names=["id", "place", "n", "length"])
+
+    sums = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, place int, n long, length double")
+    many = cut(df.groupBy(F.col(id_col).alias("o")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("o"), "repeated")
+    if many.head(1):
+        same = F.col("id").eqNullSafe(F.col("o"))
+        again = sums.join(many, same, "left_semi").groupBy("id", "place").agg(F.sum("n").alias("n")).where("n <> 0")
+        again = again.withColumn("length", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id"))))
+        sums = sums.join(many, same, "left_anti").unionByName(again)
+    return sums.select(F.col("id").alias(id_col), "place", (F.col("n") / F.col("length")).alias("weight"))
+
+
+def _sums(words: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, place and sum of what Hashed counts in lists of words, sums of 0 left out."""
+    found = pa.table({"row": pc.list_parent_indices(words), "word": pc.list_flatten(words)}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = pc.dictionary_encode(found.column("word").chunk(0))
+    parts = [[zlib.crc32(x.encode()) for x in (w, *(w[i : i + 3] for i in range(len(w) - 2)))] for w in word.dictionary.to_pylist()]
+    sizes = np.array([len(x) for x in parts])
+    h = np.array([x for own in parts for x in own], dtype=np.int64)
+    code, row, times = word.indices.to_numpy(), found.column("row").to_numpy().astype(np.int64), found.column("count_all").to_numpy()
+    n = sizes[code]
+    # the parts of each word of a row stand one after the other
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(sizes) - sizes)[code], n)
+    signed = np.where(h >> 31, 1, -1)[at] * np.repeat(times, n)
+    sums = np.rint(np.bincount(np.repeat(row, n) * dimension + h[at] % dimension, weights=signed)).astype(np.int64)
+    held = np.flatnonzero(sums)
+    return held // dimension, held % dimension, sums[held]
 
 
 def dense(features: DataFrame, dimension: int = 384, *, id_col: str = "doc_id") -> DataFrame:
