@@ -28,7 +28,8 @@ def text_blocks(blocks: DataFrame) -> DataFrame:
 def is_header_or_footer(text: Column, config: Layout = LAYOUT) -> Column:
     """Empty, or a running header or footer."""
     clean = stripped(F.regexp_replace(text, f"{SPACE}+", " "))
-    return reduce(lambda a, b: a | b, [clean.rlike(f"(?i){p}") for p in config.header_footer], clean == "")
+    # one pattern, so that a text is cleaned once and not for each of them
+    return clean.rlike("(?i)" + "|".join(f"(?:{p})" for p in ("^$", *config.header_footer)))
 
 
 def is_code_font(font: Column, config: Layout = LAYOUT) -> Column:
