@@ -196,6 +196,27 @@ def test_optional_words_are_looked_up_for_candidates_only(spark, monkeypatch):
     assert 5 * scored[0] < everything[0] and 5 * scored[1] < everything[1]
 
 
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_many_questions_are_scored_in_cells(spark, monkeypatch, k):
+    """The same rows as by loops, copies and repeated words too; no part of a score is a row, and each cell hands on k rows a question at most."""
+    monkeypatch.setattr(retrieval, "PARTS", 10_000)
+    monkeypatch.setattr(retrieval, "CELL", 3_000)
+    monkeypatch.setattr(retrieval, "QUESTIONS", 30)
+    corpus = zipf(600) | {1000 + i: ["w3", "w9", "w9", "copy"] for i in range(300)}
+    index = retrieval.build(spark.createDataFrame([(i, " ".join(ws)) for i, ws in corpus.items()], "doc_id long, text string"))
+    rng = random.Random(5)
+    questions = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=rng.randint(1, 30))) for _ in range(100)] + ["copy w9", "w0 w0 w1", "none", ""]
+    labels, cut = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df, label: labels.append(label) or cut(df, label))
+    best, scored = retrieval._best, []
+    monkeypatch.setattr(retrieval, "_best", lambda rows, k: scored.append(rows) or best(rows, k))
+    assert found(index, spark, questions, k) == {i: plain_bm25(corpus, q, k) for i, q in enumerate(questions)}
+    assert "candidates" not in labels and len(scored) == 1
+    df = Counter(t for ws in corpus.values() for t in set(ws))
+    blocks = -(-sum(df[t] for t in {t for q in questions for t in q.split()}) // retrieval.CELL)
+    assert blocks > 1 and scored[0].groupBy("query_id").count().agg(F.max("count")).first()[0] <= k * blocks
+
+
 def test_segments_are_searched_like_one_index(spark, tmp_path):
     """Texts added, replaced and removed, once more after a failure; every other table stays as it is."""
     path, corpus = str(tmp_path / "i"), zipf(200)
