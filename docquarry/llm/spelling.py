@@ -96,6 +96,12 @@ def _keyed(rows: DataFrame, keys) -> DataFrame:
     return rows.mapInArrow(run, "word string, role int, path string, key long")
 
 
+def _joined(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """a and b joined by a shuffle. All that is joined here grows with the vocabulary, and Spark takes what mapInArrow makes for
+    smaller than it is, so it would pass such tables whole through the driver, as broadcasts."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs (a, b) of different words, each once, that differ by one inserted, deleted or replaced code point. words: word,
     all different, of letters as RUN has them, A-Z lower-cased."""
@@ -110,12 +116,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
             met = keyed.withColumns({c: f.over(own) for c, f in sizes.items()})
         else:
             # many words have the same band, so their number is aggregated and joined
-            met = keyed.join(keyed.groupBy("key").agg(*(f.alias(c) for c, f in sizes.items())), "key")
+            met = _joined(keyed, keyed.groupBy("key").agg(*(f.alias(c) for c, f in sizes.items())), "key")
         met = written(met.where(f"n > 1 and (least = {REPLACED} or least = {SHORT} and most = {LONG})").select("word", "role", "path", "key", "n"), "bands")
         last = level == len(DEALINGS) - 1
         few = met if last else met.where(F.col("n") <= CROWD)
         a, b = few.where(F.col("role") != LONG).select("key", F.col("role").alias("as"), F.col("word").alias("a")), few.select("key", "role", F.col("word").alias("b"))
-        pairs = a.join(b, "key").where(((F.col("as") == SHORT) & (F.col("role") == LONG)) | ((F.col("role") == REPLACED) & (F.col("a") < F.col("b")))).where(F.levenshtein("a", "b", 1) == 1)
+        pairs = _joined(a, b, "key").where(((F.col("as") == SHORT) & (F.col("role") == LONG)) | ((F.col("role") == REPLACED) & (F.col("a") < F.col("b")))).where(F.levenshtein("a", "b", 1) == 1)
         found.append(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
         many = None if last else written(met.where(F.col("n") > CROWD).select("word", "role", "path").distinct(), "crowded")
         forget(spark, met)
@@ -153,20 +159,20 @@ def grouped(words: DataFrame) -> DataFrame:
     own = written(words.select("word", "n"), "words")
     pairs = near_pairs(own)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(own.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
+    near = _joined(both, own.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
     best = near.groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("minus"), F.col("b").alias("form"))).alias("x"))
     best = best.select(F.col("a").alias("word"), "n_near", F.col("x.form").alias("near_form"), (-F.col("x.minus")).alias("near_n"))
     takes = F.coalesce(F.col("near_n") >= 2 * F.col("n"), F.lit(False))
-    rows = own.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(takes, F.col("near_form")).alias("form"), F.when(takes, F.col("near_n")).alias("form_n"))
+    rows = _joined(own, best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(takes, F.col("near_form")).alias("form"), F.when(takes, F.col("near_n")).alias("form_n"))
     rows = written(rows, "forms")
     hops, done = written(rows.where("form is not null").select("word", F.col("form").alias("root")), "hops"), False
     while not done:
-        step = hops.join(hops.select(F.col("word").alias("root"), F.col("root").alias("further")), "root", "left")
+        step = _joined(hops, hops.select(F.col("word").alias("root"), F.col("root").alias("further")), "root", "left")
         step = written(step.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "hops")
         done = not step.where("moved").head(1)
         forget(hops.sparkSession, hops)
         hops = step.select("word", "root")
-    return rows.join(hops, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _joined(rows, hops, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variants(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

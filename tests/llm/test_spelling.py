@@ -67,6 +67,17 @@ def test_equals_its_sql(spark):
     assert not oracle.differences(spelling.variants(table(spark, sf, "documents")), oracle.database(sf), spelling.VARIANTS_SQL)
 
 
+def test_nothing_passes_through_the_driver(spark, monkeypatch):
+    """No join broadcasts a table, however small Spark takes it to be: they all grow with the vocabulary."""
+    frames, written = [], spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df, *a: frames.append(df) or written(df, *a))
+    rows = corpus(1)
+    frames.append(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found(frames[-1]) == plain(rows)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in frames]
+    assert sum("Join" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_odd_tables(spark):
     """Nulls, empty and very long texts, texts without words, repeated rows, clashing columns."""
     long = "a" * 300_000 + " " + "apples apple " * 20_000
