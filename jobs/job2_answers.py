@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import concise_snippet
 from docquarry.operators import answers, retrieval, routing
+from docquarry.sources.files import cut, forget, release
 from jobs.common import command, log
 
 
@@ -51,16 +53,22 @@ def run(spark: SparkSession, texts: str, conversations: str, target: str, config
     """Answer the questions of a table of conversations from a table of texts (both Parquet); returns how many were answered."""
     corpus = spark.read.parquet(texts)
     asked = questions(spark.read.parquet(conversations), config.role)
-    retrieval.build(corpus, id_col=config.id_column, text_col=config.text_column).save(f"{target}/index")
+    built = retrieval.build(corpus, id_col=config.id_column, text_col=config.text_column)
+    built.save(f"{target}/index")
+    built.forget()
     index = retrieval.load(spark, f"{target}/index")
     log.info("read %d texts of %s (%.1f words on average)", index.n_docs, texts, index.avgdl)
 
     routes = routing.routed(asked.select("query_id", "question")).select("query_id", "total_score", "workflow")
     hits = retrieval.search_sparse(index, asked.select("query_id", F.col("question").alias("text")), config.citations)
     good = hits.where(F.col("score") >= config.least_score)
-    chunks = corpus.select(F.col(config.id_column).alias("ordinal"), F.col(config.name_column).alias("doc_name"), F.lit(1).alias("page_number"), F.coalesce(F.col(config.section_column), F.lit("")).alias("section_path"), F.concat(F.lit("chunk_"), F.col(config.id_column).cast("string")).alias("chunk_id"), F.col(config.text_column).alias("raw_content"))
+    chunks = corpus.select(F.col(config.id_column).alias("ordinal"), F.col(config.name_column).alias("doc_name"), F.lit(1).alias("page_number"), F.coalesce(F.col(config.section_column), F.lit("")).alias("section_path"), F.concat(F.lit("chunk_"), F.col(config.id_column).cast("string")).alias("chunk_id"), concise_snippet(F.col(config.text_column)).alias("snippet"))
+    # a text is cut to its snippet once, however many questions cite it, and no whole text is joined
+    chunks = cut(chunks, "snippets")
     cited = answers.citations(good, chunks, every=True).join(routes.select("query_id", "workflow"), "query_id")
     cited.repartition("workflow", "query_id").write.mode("overwrite").partitionBy("workflow").parquet(f"{target}/citations")
+    forget(chunks)
+    release(spark)
 
     best = spark.read.schema(CITATIONS).parquet(f"{target}/citations").groupBy("query_id").agg(F.count(F.lit(1)).alias("sources"), F.max("score").alias("score"), F.min_by("snippet", "rank").alias("answer"))
     rows = asked.join(routes, "query_id").join(best, "query_id", "left")
